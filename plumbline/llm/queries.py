@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, quality
+from . import bpe, chat, exact_dedup, packing, quality, shards
 
 
 def queries() -> dict:
     return {
         "op3_quality_rules": quality.op3_quality_rules,
+        "op4_mixture_packing": packing.op4_mixture_packing,
+        "op5_byte_bpe": bpe.op5_byte_bpe,
+        "op6_hypergeometric_shards": shards.op6_hypergeometric_shards,
         "op7_chat_format": chat.op7_chat_format,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
