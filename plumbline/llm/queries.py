@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, packing, quality, shards
+from . import bpe, chat, exact_dedup, html_extract, packing, quality, shards
 
 
 def queries() -> dict:
     return {
+        "op1_html_extraction": html_extract.op1_html_extraction,
         "op3_quality_rules": quality.op3_quality_rules,
         "op4_mixture_packing": packing.op4_mixture_packing,
         "op5_byte_bpe": bpe.op5_byte_bpe,
