@@ -109,14 +109,17 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
     ends_mask[:-1] &= space[1:] | starts_mask[1:]
     starts, ends = np.flatnonzero(starts_mask), np.flatnonzero(ends_mask) + 1
     lengths = ends - starts
-    text = (_FOLD[data] if lower else data).astype(np.uint64) + np.uint64(1)
-    at = np.arange(len(data), dtype=np.int64)
-    within = at[inside] - np.repeat(starts, lengths)
-    powers = _powers(int(lengths.max()) if len(lengths) else 0)
-    terms = text[inside] * powers[within]
-    begin = np.cumsum(lengths) - lengths
-    sums = np.add.reduceat(terms, begin) if len(begin) else np.zeros(0, np.uint64)
-    hashes = mix64(sums ^ (lengths.astype(np.uint64) * _MIX2))
+    hashes, until = np.empty(len(starts), np.uint64), np.cumsum(lengths)
+    cuts = np.unique(np.append(np.searchsorted(until, np.arange(0, int(until[-1]) if len(until) else 0, 1 << 19)), len(starts)))
+    for i, j in zip(cuts[:-1], cuts[1:]):  # a slice at a time, so that the temporaries stay in cache
+        s, e, n = starts[i], ends[j - 1], lengths[i:j]
+        mine = inside[s:e]
+        text = data[s:e][mine]
+        text = (_FOLD[text] if lower else text).astype(np.uint64) + np.uint64(1)
+        begin = np.cumsum(n) - n
+        within = np.arange(len(text)) - np.repeat(begin, n)
+        sums = np.add.reduceat(text * _powers(int(n.max()))[within], begin)
+        hashes[i:j] = mix64(sums ^ (n.astype(np.uint64) * _MIX2))
     return hashes, np.searchsorted(starts, offsets)
 
 
