@@ -79,6 +79,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Additive seeds of a shingle's word positions.
+_SEEDS = mix64(np.arange(1, 65, dtype=np.uint64))
+
+
 def _is_space_table() -> np.ndarray:
     t = np.zeros(256, bool)
     t[[ord(c) for c in WHITESPACE]] = True
@@ -147,8 +151,7 @@ def shingle_hashes(words: np.ndarray, offsets: np.ndarray, size: int) -> tuple[n
         return np.zeros(0, np.uint64), out_offsets
     runs = np.zeros(n, np.uint64)
     for k in range(size):
-        part = mix64(words + np.uint64(k + 1) * _RADIX)
-        runs[: n - k] += part[k:]
+        runs[: n - k] += mix64(words + _SEEDS[k])[k:]
     runs = mix64(runs)
     keep = np.repeat(counts >= size, counts)
     last = np.repeat(offsets[1:], counts) - np.arange(n)  # words left, this one included
@@ -159,7 +162,7 @@ def shingle_hashes(words: np.ndarray, offsets: np.ndarray, size: int) -> tuple[n
         c = int(counts[i])
         whole = np.zeros(1, np.uint64)
         for k in range(c):
-            whole += mix64(words[head + k : head + k + 1] + np.uint64(k + 1) * _RADIX)
+            whole += mix64(words[head + k : head + k + 1] + _SEEDS[k])
         runs[head] = mix64(whole ^ np.uint64(c))[0]
     keep[heads] = True
     return runs[keep], out_offsets

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, html_extract, interpolated_lm, packing, quality, shards
+from . import bpe, chat, exact_dedup, html_extract, interpolated_lm, jaccard_join, packing, quality, shards
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_byte_bpe": bpe.op5_byte_bpe,
         "op6_hypergeometric_shards": shards.op6_hypergeometric_shards,
         "op7_chat_format": chat.op7_chat_format,
+        "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "op9_interpolated_lm": interpolated_lm.op9_interpolated_lm,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
