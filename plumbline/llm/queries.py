@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, html_extract, interpolated_lm, jaccard_join, packing, quality, shards
+from . import bpe, chat, exact_dedup, html_extract, interpolated_lm, jaccard_join, line_dedup, packing, quality, shards
 
 
 def queries() -> dict:
     return {
         "op1_html_extraction": html_extract.op1_html_extraction,
+        "op2_line_dedup": line_dedup.op2_line_dedup,
         "op3_quality_rules": quality.op3_quality_rules,
         "op4_mixture_packing": packing.op4_mixture_packing,
         "op5_byte_bpe": bpe.op5_byte_bpe,
