@@ -221,9 +221,10 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the least of their component: one document of each group, with all its columns."""
+    """The rows of docs whose id is the least of their component: one document of each group, with all its columns. Of rows that
+    repeat id and text one stays."""
     keep = clusters(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__keep")).distinct()
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
+    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates([id_col, text_col])
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -96,11 +96,10 @@ def accepted(docs: DataFrame, text_col: str = "text", host_col: str = "source",
     names = [f"__c{i}" for i in range(len(docs.columns))]
     held = docs.toDF(*names)
     text, host = (names[docs.columns.index(c)] for c in (text_col, host_col))
-    # Two scans: the first measures the texts for the hosts' verdicts, the second judges each row where it lies, so no text is shuffled.
-    first = measures(held.select(F.col(host).alias("__host"), F.col(text).alias("__text")), "__text").withColumn("base_failed", base_failed())
-    bad = materialise(host_verdicts(materialise(first.select("__host", "base_failed"), "failures"), "__host", limit).where("not host_ok").select("host"), "bad-hosts")
-    kept = measures(held.withColumn("__text", F.col(text)), "__text").where(~base_failed())
-    return kept.join(bad, kept[host] == bad["host"], "left_anti").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+    judged = materialise(measures(held.withColumn("__text", F.col(text)), "__text").withColumn("base_failed", base_failed()), "judged")
+    bad = host_verdicts(judged.select(F.col(host).alias("__host"), "base_failed"), "__host", limit).where("not host_ok").select("host")
+    kept = judged.where("not base_failed").join(bad, F.col(host) == bad["host"], "left_anti")
+    return kept.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:

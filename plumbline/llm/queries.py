@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import bpe, chat, exact_dedup, html_extract, interpolated_lm, jaccard_join, line_dedup, packing, quality, shards
 
 
@@ -17,6 +19,7 @@ def queries() -> dict:
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "op9_interpolated_lm": interpolated_lm.op9_interpolated_lm,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 
