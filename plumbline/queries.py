@@ -1,9 +1,13 @@
 """All queries of the library's own operators and the SQL that checks them."""
 
+from .plans import answer_queries
+
+MODULES = (answer_queries,)
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in MODULES for k, v in m.ORACLE.items()}
