@@ -150,7 +150,7 @@ def shingle_hashes(words: np.ndarray, offsets: np.ndarray, size: int) -> tuple[n
     if not n:
         return np.zeros(0, np.uint64), out_offsets
     runs = np.zeros(n, np.uint64)
-    for k in range(size):
+    for k in range(min(size, n)):
         runs[: n - k] += mix64(words + _SEEDS[k])[k:]
     runs = mix64(runs)
     keep = np.repeat(counts >= size, counts)

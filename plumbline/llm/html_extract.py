@@ -1,7 +1,8 @@
 """Main text of web pages by a maximum-scoring subsequence.
 
 A page is a sequence of tags and words. Words score positive, less so or negative inside elements that labelled pages show
-to hold boilerplate; tags score negative, by how much more often labelled pages have them outside their main text. Kadane's
+to hold boilerplate; tags outside boilerplate score
+negative, by how much more often labelled pages have them outside their main text. Kadane's
 linear scan finds the contiguous region with the largest sum; its text is returned without what lies in boilerplate elements.
 
 All weights are log odds counted on labelled pages (by default LABELLED_PAGES, a fixed set of a few pages).
@@ -36,7 +37,7 @@ CONTAINERS = frozenset("head title body main article section div nav header foot
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 WORD = 1.0
 #: A word in boilerplate: the text leaves it out in any case, so an advert amid an article must not cut the article in two.
-BOILERPLATE_WORD = -0.25
+BOILERPLATE_WORD = -0.1
 #: Log odds below which an element's name marks boilerplate.
 BOILERPLATE = -1.0
 
@@ -127,8 +128,9 @@ def main_text(page: str | None, weights: dict[str, float], scores: dict[str, flo
             if not opened.bad:
                 items.append(value)
         else:
+            bad = opened.bad
             opened.take(kind, value, names)
-            total += scores.get(value, -0.5)
+            total += 0.0 if bad or opened.bad else scores.get(value, -0.5)
             if value not in INLINE:
                 items.append(None)
         if total > best[0]:

@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from .common import materialise, mix64, string_bytes, word_hashes
 
 FOLDS, TEST_FOLD, HELD_OUT_FOLD = 10, 0, 1
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 6 << 20
+#: Text whose words and bigrams one bucket counts.
+BUCKET_BYTES = 16 << 20
 END = np.uint64(0x5D1F3C9A7E624B80)
 ADD = 0.1
 #: Context-frequency buckets: 0 for an unseen context, then one for each power of two.
@@ -196,7 +198,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
     deal = F.xxhash64("__id", "__text")
     # Held-out training texts have groups of their own, so that learning the weights reads no other texts.
     base = base.withColumn("grp", F.when(held, F.lit(n_rest) + F.pmod(deal, F.lit(n_held))).otherwise(F.pmod(deal, F.lit(n_rest))))
-    buckets = int(n_rest + n_held)
+    buckets = int(1 + ((rest_bytes or 0) + (held_bytes or 0)) // BUCKET_BYTES)
     sent = base.groupBy("grp").applyInArrow(lambda key, table: _send(key, table, buckets), _SENT)
     answers = materialise(sent.groupBy("kind", "bucket").applyInArrow(_answer, _ANSWER), "corpus-counts")
     tokens, types, rest_tokens, rest_types = (int(x or 0) for x in answers.where(F.col("kind") == UNIGRAM).agg(*[F.sum(c) for c in ("tokens", "types", "rest_tokens", "rest_types")]).first())

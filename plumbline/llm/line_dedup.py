@@ -46,7 +46,7 @@ def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.array([len(x) for x in lines], np.int64)
     starts = np.cumsum(sizes) - sizes
     hashes = np.zeros(len(chars), np.uint64)
-    for k in range(CHARS):
+    for k in range(min(CHARS, len(chars))):
         hashes[: len(chars) - k] += chars[k:] * _PLACES[k]
     hashes = mix64(hashes)
     n = np.maximum(1, sizes - CHARS + 1)

@@ -4,10 +4,11 @@ Every source is a queue of tokens, in document order. A window holds a fixed num
 sources are served in turn, each for its share of the window's tokens plus the fraction that it was owed from the windows
 before, so every window has the target proportions to within a token for each source, and no deficit is ever lost.
 
-The round-robin has a closed form, which is what makes it parallel: with the queues' shares m_1..m_S of a phase (integers
-with sum M), source k has been served floor((m_1+..+m_k) x / M) - floor((m_1+..+m_(k-1)) x / M) tokens when x tokens are
-out. The fractions cut off are the deficits, carried over windows and, because x counts tokens of the whole corpus, over
-partitions. A document that knows its place in its queue computes where its tokens go by itself.
+Service is counted in tokens: the next token always goes to the source with the largest deficit for its share, the one whose
+m / (2 s + 1) is largest when s of its m tokens have been served (ties by name). How many tokens each source has been
+served when x are out is a function of x alone, never decreases, and is found from the rounded shares of x in a few steps
+(served). So the deficits carry over windows and, because x counts tokens of the whole corpus, over partitions, and a
+document that knows its place in its queue computes where its tokens go by itself.
 
 A phase ends when a source runs dry; the others' target weights then make up the next one. Without target weights the
 targets are the corpus's own proportions, and there is one phase. All tokens are packed, cut freely, and only the last
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
+from .jaccard_join import slices
 from .token_memo import ChunkMemo, encode_by_chunks
 
 SEQUENCE = 1024
@@ -50,7 +52,7 @@ class Encoder:
     a special token's string goes through the library itself.
     """
 
-    def __init__(self, path: str, pattern: str, memo: int = 600_000):
+    def __init__(self, path: str, pattern: str, memo: int = 400_000):
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -104,7 +106,7 @@ def encoder(path: str, pattern: str) -> Encoder:
 def _tokens(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     own, part, served = encoder(path, pattern), TaskContext.get().partitionId(), {}
     end = np.array([END_ID], np.uint32).tobytes()
-    for batch in batches:
+    for batch in slices(batches, "__text"):
         texts, sources = [t or "" for t in batch.column("__text").to_pylist()], batch.column("__source").to_pylist()
         own.learn(texts)
         ids, before, n = [], [], []
@@ -142,45 +144,79 @@ def phases(totals: dict[str, int], weights: dict[str, float] | None) -> list[tup
     return out
 
 
-def place(first: int, n: int, lower: int, upper: int, total: int, begin: int, window: int) -> list[tuple[int, int, int]]:
-    """Pieces (start in the range, length, corpus position) of n tokens that begin at `first` in their source's share of a
-    phase. lower, upper: the sums of shares before and with this source; total: of all; begin: tokens before the phase."""
-    share, out, done = upper - lower, [], 0
-    served = lambda x: upper * x // total - lower * x // total  # noqa: E731  this source's tokens among the phase's first x
-    edge = lambda w: min(total, max(0, w * window - begin))  # noqa: E731  where window w begins in the phase
-    w = (begin + (first * total) // max(1, share)) // window
-    while w and served(edge(w)) > first:
-        w -= 1
-    while served(edge(w + 1)) <= first:
-        w += 1
-    while done < n:
-        left, right = edge(w), edge(w + 1)
-        queue, stop = served(left), served(right)
-        if stop > first + done:
-            take = min(n - done, stop - (first + done))
-            inside = lower * right // total - lower * left // total + first + done - queue
-            out.append((done, take, begin + left + inside))
-            done += take
-        w += 1
+def served(shares: list[int], x: int) -> list[int]:
+    """Tokens that each source has been served when x of the sum of shares are out."""
+    total = sum(shares)
+    out = [(2 * m * x + total) // (2 * total) for m in shares]
+    while (gap := x - sum(out)) > 0:
+        k = 0
+        for j in range(1, len(shares)):
+            if shares[j] * (2 * out[k] + 1) > shares[k] * (2 * out[j] + 1):
+                k = j
+        out[k] += 1
+    while gap < 0:
+        k = -1
+        for j in range(len(shares)):
+            if out[j] and (k < 0 or shares[j] * (2 * out[k] - 1) <= shares[k] * (2 * out[j] - 1)):
+                k = j
+        out[k] -= 1
+        gap += 1
     return out
 
 
+class Phase:
+    """A phase of the round-robin: its sources' shares, its first corpus position, and the windows' length in tokens."""
+
+    def __init__(self, shares: list[int], begin: int, window: int):
+        self.shares, self.begin, self.window, self.total = shares, begin, window, sum(shares)
+        self.known: dict[int, list[int]] = {}
+
+    def edge(self, w: int) -> int:
+        """Where window w begins in the phase."""
+        return min(self.total, max(0, w * self.window - self.begin))
+
+    def at(self, w: int) -> list[int]:
+        """Tokens served before window w."""
+        if w not in self.known:
+            if len(self.known) > 10_000:
+                self.known.clear()
+            self.known[w] = served(self.shares, self.edge(w))
+        return self.known[w]
+
+    def place(self, k: int, first: int, n: int) -> list[tuple[int, int, int]]:
+        """Pieces (start in the range, length, corpus position) of the n tokens from `first` on of source k."""
+        out, done = [], 0
+        w = (self.begin + first * self.total // self.shares[k]) // self.window
+        while self.at(w)[k] > first:
+            w -= 1
+        while self.at(w + 1)[k] <= first:
+            w += 1
+        while done < n:
+            left, right = self.at(w), self.at(w + 1)
+            take = min(n - done, right[k] - (first + done))
+            if take > 0:
+                inside = sum(right[:k]) - sum(left[:k]) + first + done - left[k]
+                out.append((done, take, self.begin + self.edge(w) + inside))
+                done += take
+            w += 1
+        return out
+
+
 def _pieces(batches: Iterator[pa.RecordBatch], plan: list, sequence: int, window: int, id_name: str) -> Iterator[pa.RecordBatch]:
-    by_source: dict[str, list[tuple[int, int, int, int, int, int]]] = {}
+    by_source: dict[str, list[tuple[int, int, int, Phase]]] = {}
     for begin, shares in plan:
-        total, lower = sum(n for _, _, n in shares), 0
-        for source, used, n in shares:
-            by_source.setdefault(source, []).append((used, n, lower, lower + n, total, begin))
-            lower += n
+        phase = Phase([n for _, _, n in shares], begin, window)
+        for k, (source, used, n) in enumerate(shares):
+            by_source.setdefault(source, []).append((used, n, k, phase))
     for batch in batches:
         rows: list[list[int]] = [[] for _ in range(7)]
         for k, (source, at, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("__source", "__at", "__n")))):
             ids, done = memoryview(batch.column("__ids")[k].as_buffer()), 0
-            for used, share, lower, upper, total, begin in by_source[source]:
+            for used, share, k_source, phase in by_source[source]:
                 here = min(n - done, used + share - (at + done))
                 if here <= 0:
                     continue
-                for start, length, position in place(at + done - used, here, lower, upper, total, begin, window):
+                for start, length, position in phase.place(k_source, at + done - used, here):
                     while length:
                         offset = position % sequence
                         take = min(length, sequence - offset)
