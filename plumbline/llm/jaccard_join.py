@@ -11,8 +11,9 @@ leaves. The tree is therefore planted in coarse clusters that no link leaves, fo
 1. Sets that occur more than once are one item.
 2. A set with a partner shares at least 0.8 of its shingles with other sets. All shingles are exchanged by hash, packed, and
    sets are counted off against this; most documents drop out here.
-3. Of two linked sets, the n - ceil(0.8 n) + 1 least shingle hashes have one in common. Sets that share such a hash are in one
-   coarse cluster.
+3. Of two linked sets, the n - ceil(0.8 n) + 1 rarest shingles (by the remaining sets that have them, roughly, then by hash)
+   have one in common. Sets that share such a shingle are in one coarse cluster. Rare ones come first so that a passage that
+   many documents share doesn't tie their groups together.
 
 Clusters of any size are linked in bounded tasks (links.linked); within one, the search skips what is connected already,
 so a group of near copies takes time near its size, not its square.
@@ -28,13 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, mix64, shingle_hashes, string_bytes, word_hashes
-from .links import EDGES, PACKED, Forest, components, linked, may_contain, member_filter, packed_batch, packed_rows, runs, unpacked
+from .links import EDGES, PACKED, Forest, components, dealt, linked, may_contain, member_filter, packed_batch, packed_rows, runs, unpacked
 
 WORDS = 5
 #: Similarity 0.8 as integers: 100 * intersection >= 80 * union.
 NEED, OF = 80, 100
 GROUPS = 64
 LEAF = 32
+#: Shingles of an exchange's bucket.
+BUCKET_SHINGLES = 2_000_000
 #: Shingles that one task links at a time.
 TASK_SHINGLES = 2_000_000
 BATCH_BYTES = 6 << 20
@@ -85,8 +88,8 @@ def _send(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
             yield packed_batch(rows)
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """(item, shared): how many of an item's keys in this bucket another item has too; items without one are left out."""
+def _shared(table: pa.Table, slots: int) -> pa.Table:
+    """Packed by slots of items: how many of an item's keys in this bucket another item has too; items without one are left out."""
     keys, items, rows = unpacked(table)
     starts, run = runs(keys)
     common = (np.minimum.reduceat(items, starts) != np.maximum.reduceat(items, starts))[run]
@@ -98,7 +101,17 @@ def _shared(table: pa.Table) -> pa.Table:
     at = np.flatnonzero(new)
     counts = np.diff(np.append(at, len(items)))  # by item and row; rows that repeat an item have the same count
     found, where = np.unique(pair[0][at], return_index=True)
-    return pa.table({"item": found.view(np.int64), "shared": counts[where].astype(np.int64)})
+    counts = counts[where].astype(np.uint32)
+    out = [(s, found[i].tobytes(), counts[i].tobytes()) for s, i in dealt(found, slots)]
+    return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["slot", "items", "counts"])
+
+
+def _sums(table: pa.Table) -> pa.Table:
+    """(item, shared) of one slot over all buckets."""
+    items = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("items")])
+    counts = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("counts")])
+    found, at = np.unique(items, return_inverse=True)
+    return pa.table({"item": found.view(np.int64), "shared": np.bincount(at, counts).astype(np.int64)})
 
 
 def _sets(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]:
@@ -114,11 +127,62 @@ def prefix_length(n):
     return n - -(-NEED * n // OF) + 1
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _send_sets(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        items = batch.column("item").to_numpy()
-        heads = [(x := np.frombuffer(p.as_buffer(), np.uint64))[: prefix_length(len(x))] for p in batch.column("payload")]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(items, [len(h) for h in heads])), pa.array(np.concatenate([np.zeros(0, np.uint64), *heads]).view(np.int64))], names=["item", "head"])
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("payload")]
+        items = batch.column("item").to_numpy().view(np.uint64)
+        n = np.array([len(s) for s in sets], np.int64)
+        until = np.cumsum(n)
+        cuts = np.unique(np.concatenate([[0], np.searchsorted(until, np.arange(BUCKET_SHINGLES // 2, until[-1] if len(n) else 0, BUCKET_SHINGLES // 2)), [len(n)]]))
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            yield packed_batch(list(packed_rows(np.concatenate(sets[i:j]), np.repeat(np.arange(j - i), n[i:j]), items[i:j], buckets)))
+
+
+def _rarities(table: pa.Table, slots: int) -> pa.Table:
+    """Packed by slots of items: for each item's keys in this bucket, ascending, about how many items have them (0: no other)."""
+    keys, items = [], []
+    for k, r, x in zip(*(table.column(c) for c in ("keys", "refs", "items"))):
+        k, r, x = np.frombuffer(k.as_buffer(), np.uint32), r.as_buffer(), np.frombuffer(x.as_buffer(), np.uint64)
+        keys.append(k)
+        items.append(x[np.frombuffer(r, np.uint16 if len(r) == 2 * len(k) else np.uint32)])
+    keys, items = np.concatenate(keys), np.concatenate(items)  # an item's keys stand together
+    _, at, counts = np.unique(keys, return_inverse=True, return_counts=True)
+    rarity = np.ceil(4 * np.log2(counts)).astype(np.uint8)[at]
+    out = []
+    for s, i in dealt(items, slots):
+        starts, _ = runs(items[i])
+        out.append((s, table.column("bucket")[0].as_py(), items[i][starts].tobytes(), np.diff(np.append(starts, len(i))).astype(np.uint32).tobytes(), rarity[i].tobytes()))
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["slot", "bucket", "items", "counts", "rarity"])
+
+
+def _prefixes(sets: pa.Table, answers: pa.Table) -> pa.Table:
+    """(item, head) for the sets of one slot: each set's rarest shingles, less those that no other set has. Buckets are ranges of
+    hashes, so a set's answers in bucket order follow its ascending hashes. A set with too few shared shingles has no heads."""
+    answers = answers.sort_by("bucket")
+    parts: dict[int, list[np.ndarray]] = {}
+    for i, c, r in zip(*(answers.column(x) for x in ("items", "counts", "rarity"))):
+        c = np.frombuffer(c.as_buffer(), np.uint32)
+        for item, part in zip(np.frombuffer(i.as_buffer(), np.int64).tolist(), np.split(np.frombuffer(r.as_buffer(), np.uint8), np.cumsum(c)[:-1])):
+            parts.setdefault(item, []).append(part)
+    items, heads = [], []
+    for item, payload in zip(sets.column("item").to_pylist(), sets.column("payload")):
+        keys, rarity = np.frombuffer(payload.as_buffer(), np.uint64), np.concatenate(parts[item])
+        if OF * int((rarity > 0).sum()) >= NEED * len(keys):
+            first = np.lexsort((keys, rarity))[: prefix_length(len(keys))]
+            heads.append(keys[first[rarity[first] > 0]])
+            items.append(np.full(len(heads[-1]), item, np.int64))
+    return pa.table({"item": np.concatenate([np.zeros(0, np.int64), *items]), "head": np.concatenate([np.zeros(0, np.uint64), *heads]).view(np.int64)})
+
+
+def prefixes(sets: DataFrame) -> DataFrame:
+    """(item, head): two sets that link have a head in common."""
+    parts = int(1 + (sets.agg(F.sum("weight")).first()[0] or 0) // BUCKET_SHINGLES)
+    packed = sets.select("item", "payload").mapInArrow(lambda batches: _send_sets(batches, parts), PACKED)
+    answers = packed.groupBy("bucket").applyInArrow(lambda table: _rarities(table, parts), "slot int, bucket int, items binary, counts binary, rarity binary")
+    slot = F.expr(f"cast(pmod(cast(conv(hex(item), 16, 10) as decimal(20, 0)), {parts}) as int)")  # of the unsigned number
+    own = sets.select(slot.alias("slot"), "item", "payload")
+    return own.groupBy("slot").cogroup(answers.groupBy("slot")).applyInArrow(_prefixes, "item long, head long")
 
 
 def rtree_links(sets: list[np.ndarray], seeds: np.ndarray) -> list[tuple[int, int]]:
@@ -196,15 +260,15 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     kind = dict(docs.dtypes)["__id"]
     rows = materialise(docs.mapInArrow(_fingerprints, f"__id {kind}, n long, item long"), "fingerprints")
     n_shingles, n_rows = rows.agg(F.sum("n"), F.count("*")).first()
-    buckets = int(1 + (n_shingles or 0) // 4_000_000)
+    buckets = int(1 + (n_shingles or 0) // BUCKET_SHINGLES)
     packed = docs.mapInArrow(lambda batches: _send(batches, buckets), PACKED)
-    shared = packed.groupBy("bucket").applyInArrow(lambda table: _shared(table), "item long, shared long").groupBy("item").agg(F.sum("shared").alias("shared"))
+    shared = packed.groupBy("bucket").applyInArrow(lambda table: _shared(table, buckets), "slot int, items binary, counts binary").groupBy("slot").applyInArrow(lambda table: _sums(table), "item long, shared long")
     sizes = rows.where("n > 0").groupBy("item").agg(F.min("n").alias("n"))
     candidates = materialise(shared.join(sizes, "item").where(OF * F.col("shared") >= NEED * F.col("n")).select("item"), "candidates")
     wanted = member_filter(candidates, "item")
     found = docs.mapInArrow(lambda batches: _sets(batches, wanted), "item long, weight long, payload binary")
     sets = materialise(found.join(candidates, "item", "left_semi").groupBy("item").agg(F.first("weight").alias("weight"), F.first("payload").alias("payload")), "sets")
-    heads = materialise(sets.mapInArrow(_prefixes, "item long, head long"), "prefixes")
+    heads = materialise(prefixes(sets), "prefixes")
     firsts = heads.groupBy("head").agg(F.min("item").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
     coarse = components(heads.join(firsts, "head").select("a", F.col("item").alias("b")))
     items = sets.join(coarse.withColumnRenamed("node", "item"), "item")

@@ -52,6 +52,15 @@ def unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys[order], items[order], rows[order]
 
 
+def dealt(items: np.ndarray, slots: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(slot, places of the items that go there, in order)."""
+    slot = (items % np.uint64(slots)).astype(np.int64)
+    order = np.argsort(slot, kind="stable")
+    cuts = np.searchsorted(slot[order], np.arange(slots + 1))
+    for s in np.flatnonzero(np.diff(cuts)):
+        yield int(s), order[cuts[s] : cuts[s + 1]]
+
+
 def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(where each run of equal keys starts, the run of each entry) of sorted keys."""
     new = np.ones(len(keys), bool)
