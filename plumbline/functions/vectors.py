@@ -81,8 +81,7 @@ def fade(x: Column, length: Column) -> Column:
 
 def remove_offset(x: Column) -> Column:
     """x less its mean."""
-    mean = total(x) / F.size(x)
-    return F.transform(x, lambda v: v - mean)
+    return F.transform(F.array(total(x) / F.size(x)), lambda mean: F.transform(x, lambda v: v - mean))[0]  # the mean once, not for each value
 
 
 def pre_emphasis(x: Column, coefficient: float) -> Column:
