@@ -9,7 +9,9 @@ Signatures have 64 minima in 16 bands of 4: a pair with similarity 0.8 shares a
 0.9998, one with 0.9 all but surely. Equal lines are one item from the start and need no verification.
 
 How it runs. Band keys of each batch's distinct lines are exchanged packed; lines that share one make coarse clusters. Only
-lines in a cluster, found by a bitmap filter, are read again with their shingles, and linked in bounded tasks (links.linked).
+lines in a cluster, found by a bitmap filter, are read again, exchanged once each as text, and linked in bounded tasks
+(links.linked), which make their shingles anew: as hashes these would be eight times the text. Lines are told apart by
+64-bit hashes of their text, so that only the pass that makes signatures has to make shingles of all lines.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +43,13 @@ def split_lines(text: str | None) -> list[tuple[int, str]]:
     return [(i, x) for i, line in enumerate((text or "").split("\n")) if (x := line.strip(WHITESPACE))]
 
 
-def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(shingle hashes, offsets, line hashes) of non-empty lines, in order; repeats stay."""
+def line_hashes(lines: list[str]) -> np.ndarray:
+    """64-bit hashes of whole lines, their names everywhere else."""
+    return np.fromiter((xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines), np.uint64, len(lines))
+
+
+def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle hashes, offsets) of non-empty lines, in order; repeats stay."""
     chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
     sizes = np.array([len(x) for x in lines], np.int64)
     starts = np.cumsum(sizes) - sizes
@@ -54,11 +62,7 @@ def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for i in np.flatnonzero(sizes < CHARS):  # one shingle: the whole line
         part = chars[starts[i] : starts[i] + sizes[i]]
         hashes[starts[i]] = mix64(np.atleast_1d((part * _PLACES[: len(part)]).sum(dtype=np.uint64) ^ _PLACES[CHARS]))[0]
-    at = np.concatenate([[0], np.cumsum(n)])
-    hashes = hashes[keep]
-    places = np.arange(len(hashes), dtype=np.uint64) - np.repeat(at[:-1], n).astype(np.uint64)
-    whole = np.add.reduceat(mix64(hashes + places * _PLACES[CHARS + 1]), at[:-1]) if len(lines) else np.zeros(0, np.uint64)
-    return hashes, at, mix64(whole + sizes.astype(np.uint64))
+    return hashes[keep], np.concatenate([[0], np.cumsum(n)])
 
 
 def bands(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -93,7 +97,7 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], lis
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for keys, numbers, lines in _batches(batches):
-        _, _, items = shingles(lines)
+        items = line_hashes(lines)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(numbers, pa.int32()), pa.array(items.view(np.int64))], names=["key", "line", "item"])
 
 
@@ -103,18 +107,18 @@ def _distinct(lines: list[str]) -> list[str]:
 
 def _send(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     for _, _, lines in _batches(batches):
-        hashes, at, items = shingles(_distinct(lines))
-        keys = bands(hashes, at)
+        items = line_hashes(lines := _distinct(lines))
+        keys = bands(*shingles(lines))
         yield packed_batch(list(packed_rows(keys.ravel(), np.repeat(np.arange(len(items)), BANDS), items, buckets)))
 
 
 def _payloads(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]:
     for _, _, lines in _batches(batches):
-        hashes, at, items = shingles(lines := _distinct(lines))
+        items = line_hashes(lines := _distinct(lines))
         found = np.flatnonzero(may_contain(wanted.value, items))
-        sets = [np.unique(hashes[at[i] : at[i + 1]]) for i in found]
+        texts = [lines[i] for i in found]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(items[found].view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["item", "weight", "payload"]
+            [pa.array(items[found].view(np.int64)), pa.array([len(x) for x in texts], pa.int64()), pa.array([x.encode("utf-8", "surrogatepass") for x in texts], pa.binary())], names=["item", "weight", "payload"]
         )
 
 
@@ -148,6 +152,12 @@ def band_links(sets: list[np.ndarray], seeds: np.ndarray) -> list[tuple[int, int
     return out
 
 
+def text_links(texts: list[np.ndarray], seeds: np.ndarray) -> list[tuple[int, int]]:
+    """band_links over lines given as UTF-8 bytes."""
+    hashes, at = shingles([x.tobytes().decode("utf-8", "surrogatepass") for x in texts])
+    return band_links([np.unique(hashes[i:j]) for i, j in zip(at[:-1], at[1:])], seeds)
+
+
 def line_components(docs: DataFrame) -> DataFrame:
     """(key, line, item, component) for every line with a word of docs (__key, __text); component: the least item of it."""
     occurrences = materialise(docs.mapInArrow(_occurrences, "key long, line int, item long"), "lines")
@@ -156,9 +166,9 @@ def line_components(docs: DataFrame) -> DataFrame:
     coarse = components(packed.groupBy("bucket").applyInArrow(lambda table: stars(table), "a long, b long"))
     wanted = member_filter(coarse, "node")
     found = docs.mapInArrow(lambda batches: _payloads(batches, wanted), "item long, weight long, payload binary")
-    items = found.join(coarse.withColumnRenamed("node", "item"), "item").groupBy("label", "item").agg(F.first("weight").alias("weight"), F.first("payload").alias("payload"))
-    items = materialise(items, "line-sets")
-    labels = components(linked(items, band_links, TASK_SHINGLES)).select(F.col("node").alias("item"), F.col("label").alias("component"))
+    items = found.groupBy("item").agg(F.first("weight").alias("weight"), F.first("payload").alias("payload"))
+    items = materialise(items.join(coarse.withColumnRenamed("node", "item"), "item"), "clustered-lines")
+    labels = components(linked(items, text_links, TASK_SHINGLES, np.uint8)).select(F.col("node").alias("item"), F.col("label").alias("component"))
     return occurrences.join(labels, "item", "left").select("key", "line", "item", F.coalesce("component", "item").alias("component"))
 
 

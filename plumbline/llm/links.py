@@ -152,7 +152,7 @@ class Forest:
 Linker = Callable[[list[np.ndarray], np.ndarray], list[tuple[int, int]]]
 
 
-def _link(table: pa.Table, linker: Linker) -> pa.Table:
+def _link(table: pa.Table, linker: Linker, kind: type) -> pa.Table:
     table = table.take(pc.sort_indices(table, sort_keys=[("label", "ascending"), ("item", "ascending")]))
     label, item, seed = (table.column(c).to_numpy() for c in ("label", "item", "seed"))
     new = np.ones(len(item), bool)
@@ -163,17 +163,17 @@ def _link(table: pa.Table, linker: Linker) -> pa.Table:
     a, b = [], []
     for i, j in zip(starts, [*starts[1:], len(label)]):
         if j - i > 1:
-            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in payload[i:j]]
+            sets = [np.frombuffer(x.as_buffer(), kind) for x in payload[i:j]]
             for x, y in linker(sets, seed[i:j]):
                 a.append(int(item[i + x]))
                 b.append(int(item[i + y]))
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def linked(items: DataFrame, linker: Linker, limit: int) -> DataFrame:
+def linked(items: DataFrame, linker: Linker, limit: int, kind: type = np.uint64) -> DataFrame:
     """EDGES that connect all items of a cluster that links connect; no others.
 
-    items: label (the coarse cluster; links never leave it), item, weight, payload (packed uint64). A task gets clusters
+    items: label (the coarse cluster; links never leave it), item, weight, payload (packed values of a numpy kind). A task gets clusters
     of about `limit` weight in all. A larger cluster is cut into chunks of that weight: chunks are linked by themselves; then
     a few members of each component, to connect the components over chunks; then whatever is still outside the cluster's
     main component is held against all chunks, which finds every link that is left.
@@ -188,7 +188,7 @@ def linked(items: DataFrame, linker: Linker, limit: int) -> DataFrame:
 
     def edges(df: DataFrame) -> DataFrame:
         grouped = df.select("k1", "k2", "k3", "label", "item", "seed", "payload").groupBy("k1", "k2", "k3")
-        return materialise(grouped.applyInArrow(lambda key, table: _link(table, linker), EDGES), "links")
+        return materialise(grouped.applyInArrow(lambda key, table: _link(table, linker, kind), EDGES), "links")
 
     first = edges(keyed)
     if sizes.where(chunks > 1).isEmpty():
