@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, mix64, shingle_hashes, string_bytes, word_hashes
-from .links import EDGES, PACKED, Forest, components, dealt, linked, may_contain, member_filter, packed_batch, packed_rows, runs, unpacked
+from .links import EDGES, PACKED, Forest, components, dealt, each_cluster, linked, may_contain, member_filter, packed_batch, packed_rows, runs, unpacked
 
 WORDS = 5
 #: Similarity 0.8 as integers: 100 * intersection >= 80 * union.
@@ -272,7 +272,7 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     firsts = heads.groupBy("head").agg(F.min("item").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
     coarse = components(heads.join(firsts, "head").select("a", F.col("item").alias("b")))
     items = sets.join(coarse.withColumnRenamed("node", "item"), "item")
-    labels = components(linked(items, rtree_links, TASK_SHINGLES)).select(F.col("node").alias("item"), F.col("label").alias("__label"))
+    labels = components(linked(items, each_cluster(rtree_links), TASK_SHINGLES)).select(F.col("node").alias("item"), F.col("label").alias("__label"))
     labelled = materialise(rows.join(labels, "item", "left").select("__id", "n", F.when(F.col("n") > 0, F.coalesce("__label", "item")).alias("__group")), "labelled")
     least = materialise(labelled.where("__group is not null").groupBy("__group").agg(F.min("__id").alias("least"), F.count("*").alias("size")).where("size > 1"), "groups")
     # Groups with a thousandth of the rows or more, at most a thousand of them, are joined by broadcast: no task gets a hot group.

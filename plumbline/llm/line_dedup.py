@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import WHITESPACE, materialise, mix64
 from .jaccard_join import similar
-from .links import PACKED, Forest, components, linked, may_contain, member_filter, packed_batch, packed_rows, stars
+from .links import PACKED, Forest, components, linked, may_contain, member_filter, packed_batch, packed_rows, runs, stars
 
 CHARS = 8
 BANDS, ROWS = 16, 4
@@ -36,6 +36,8 @@ BATCH_CHARS = 1 << 20
 _ODD = mix64(np.arange(1, 2 * BANDS * ROWS + CHARS + 9, dtype=np.uint64)) | np.uint64(1)
 _MULTIPLIERS, _FLIPS = _ODD[: BANDS * ROWS].astype(np.uint32) | np.uint32(1), (_ODD[BANDS * ROWS : 2 * BANDS * ROWS] >> np.uint64(32)).astype(np.uint32)
 _PLACES = _ODD[2 * BANDS * ROWS :]
+#: Multipliers of a run's first half, by its length.
+_DOUBLINGS = {span: mix64(_ODD[-1:] + np.uint64(span))[0] | np.uint64(1) for span in (1, 2, 4)}
 
 
 def split_lines(text: str | None) -> list[tuple[int, str]]:
@@ -50,19 +52,21 @@ def line_hashes(lines: list[str]) -> np.ndarray:
 
 def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(shingle hashes, offsets) of non-empty lines, in order; repeats stay."""
-    chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    chars = np.frombuffer("".join([*lines, "\0" * (CHARS - 1)]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
     sizes = np.array([len(x) for x in lines], np.int64)
-    starts = np.cumsum(sizes) - sizes
-    hashes = np.zeros(len(chars), np.uint64)
-    for k in range(min(CHARS, len(chars))):
-        hashes[: len(chars) - k] += chars[k:] * _PLACES[k]
+    ends = np.cumsum(sizes)
+    hashes, span = chars, 1
+    while span < CHARS:  # of runs of span characters, those of twice as many
+        hashes = hashes[:-span] * _DOUBLINGS[span] + hashes[span:]
+        span *= 2
     hashes = mix64(hashes)
-    n = np.maximum(1, sizes - CHARS + 1)
-    keep = np.arange(len(chars)) - np.repeat(starts, sizes) < np.repeat(n, sizes)
+    keep = np.ones(len(hashes), bool)
+    for k in range(1, CHARS):  # a run that would start k characters before its line's end
+        keep[ends[sizes > k] - k] = False
     for i in np.flatnonzero(sizes < CHARS):  # one shingle: the whole line
-        part = chars[starts[i] : starts[i] + sizes[i]]
-        hashes[starts[i]] = mix64(np.atleast_1d((part * _PLACES[: len(part)]).sum(dtype=np.uint64) ^ _PLACES[CHARS]))[0]
-    return hashes[keep], np.concatenate([[0], np.cumsum(n)])
+        part = chars[ends[i] - sizes[i] : ends[i]]
+        hashes[ends[i] - sizes[i]] = mix64(np.atleast_1d((part * _PLACES[: len(part)]).sum(dtype=np.uint64) ^ _PLACES[CHARS]))[0]
+    return hashes[keep], np.concatenate([[0], np.cumsum(np.maximum(1, sizes - CHARS + 1))])
 
 
 def bands(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -122,40 +126,64 @@ def _payloads(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBa
         )
 
 
-def band_links(sets: list[np.ndarray], seeds: np.ndarray) -> list[tuple[int, int]]:
+def band_links(sets: list[np.ndarray], keys: np.ndarray, seeds: np.ndarray) -> list[tuple[int, int]]:
     """Pairs that share a band and are similar, as far as they connect what the seeds and earlier pairs don't."""
-    at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-    keys, forest, out, failed = bands(np.concatenate(sets), at), Forest(seeds), [], set()
+    forest, out, failed, most = Forest(seeds), [], set(), len(set(seeds.tolist())) - 1
     for b in range(BANDS):
-        order = np.argsort(keys[:, b], kind="stable")
-        column = keys[order, b]
-        for group in np.split(order, np.flatnonzero(column[1:] != column[:-1]) + 1):
+        groups: dict[int, list[int]] = {}
+        for q, key in enumerate(keys[:, b].tolist()):
+            groups.setdefault(key, []).append(q)
+        for group in groups.values():
             # The group's members by component: a newcomer is held against members of other components only.
             parts: dict[int, list[int]] = {}
-            for q in group.tolist() if len(group) > 1 else ():
+            for q in group if len(group) > 1 else ():
+                mine = forest.root(q)
                 for root in list(parts):
-                    members = parts[root]
-                    if root == forest.root(q):
+                    if root == mine or root not in parts:
                         continue
-                    for p in members:
+                    for p in parts[root]:
                         if (p, q) in failed or (q, p) in failed:
                             continue
                         if similar(sets[p], sets[q]):
                             forest.join(q, p)
                             out.append((p, q))
+                            parts[root] += parts.pop(mine, [])
+                            mine = root
                             break
                         failed.add((p, q))
-                merged: dict[int, list[int]] = {}
-                for members in [*parts.values(), [q]]:
-                    merged.setdefault(forest.root(members[0]), []).extend(members)
-                parts = merged
+                parts.setdefault(mine, []).append(q)
+        if len(out) == most:
+            break
     return out
 
 
-def text_links(texts: list[np.ndarray], seeds: np.ndarray) -> list[tuple[int, int]]:
-    """band_links over lines given as UTF-8 bytes."""
-    hashes, at = shingles([x.tobytes().decode("utf-8", "surrogatepass") for x in texts])
-    return band_links([np.unique(hashes[i:j]) for i, j in zip(at[:-1], at[1:])], seeds)
+def _ascending(hashes: np.ndarray) -> np.ndarray:
+    """The distinct values in order."""
+    hashes = np.sort(hashes)
+    return hashes[runs(hashes)[0]]
+
+
+def text_links(texts: list[np.ndarray], seeds: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Linked pairs of lines given as UTF-8 bytes, for all clusters of a task; signatures are made for many clusters at a time.
+
+    Two lines alone in a cluster share a band already, so they are compared without signatures.
+    """
+    lines = [x.tobytes().decode("utf-8", "surrogatepass") for x in texts]
+    until = np.concatenate([[0], np.cumsum([len(x) for x in lines])])
+    ends = np.append(starts[1:], len(lines))
+    cuts = np.unique(np.append(np.searchsorted(until[starts], np.arange(0, until[-1], BATCH_CHARS)), len(starts)))
+    for i, j in zip(cuts[:-1], cuts[1:]):
+        first = starts[i]
+        hashes, at = shingles(lines[first : ends[j - 1]])
+        sets = [_ascending(hashes[x:y]) for x, y in zip(at[:-1], at[1:])]
+        many = np.repeat(ends[i:j] - starts[i:j] > 2, ends[i:j] - starts[i:j])
+        keys = np.zeros((len(sets), BANDS), np.uint64)
+        if many.any():
+            kept = np.diff(at)[many]
+            keys[many] = bands(hashes[np.repeat(many, np.diff(at))], np.concatenate([[0], np.cumsum(kept)]))
+        for s, e in zip((starts[i:j] - first).tolist(), (ends[i:j] - first).tolist()):
+            for x, y in band_links(sets[s:e], keys[s:e], seeds[first + s : first + e]) if e - s > 1 else ():
+                yield int(first) + s + x, int(first) + s + y
 
 
 def line_components(docs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ Items are known by 64-bit hashes of their content, so equal items are one.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -148,8 +148,20 @@ class Forest:
             up = higher
 
 
-#: (payloads, seeds) -> pairs of indexes that are linked and connect what the seeds and earlier pairs don't.
-Linker = Callable[[list[np.ndarray], np.ndarray], list[tuple[int, int]]]
+#: (payloads, seeds, where each cluster starts) -> pairs of indexes that are linked and connect what the seeds and earlier
+#: pairs of their cluster don't.
+Linker = Callable[[list[np.ndarray], np.ndarray, np.ndarray], Iterable[tuple[int, int]]]
+
+
+def each_cluster(linker: Callable[[list[np.ndarray], np.ndarray], list[tuple[int, int]]]) -> Linker:
+    """A Linker from one that takes a single cluster's payloads and seeds."""
+
+    def link(payloads: list[np.ndarray], seeds: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int]]:
+        for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(payloads)]):
+            for x, y in linker(payloads[i:j], seeds[i:j]) if j - i > 1 else ():
+                yield i + x, i + y
+
+    return link
 
 
 def _link(table: pa.Table, linker: Linker, kind: type) -> pa.Table:
@@ -160,14 +172,9 @@ def _link(table: pa.Table, linker: Linker, kind: type) -> pa.Table:
     keep = np.flatnonzero(new)
     label, item, seed, payload = label[keep], item[keep], seed[keep], table.column("payload").take(pa.array(keep))
     starts, _ = runs(label)
-    a, b = [], []
-    for i, j in zip(starts, [*starts[1:], len(label)]):
-        if j - i > 1:
-            sets = [np.frombuffer(x.as_buffer(), kind) for x in payload[i:j]]
-            for x, y in linker(sets, seed[i:j]):
-                a.append(int(item[i + x]))
-                b.append(int(item[i + y]))
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    sets = [np.frombuffer(x.as_buffer(), kind) for x in payload]
+    pairs = np.array(list(linker(sets, seed, starts)), np.int64).reshape(-1, 2)
+    return pa.table({"a": item[pairs[:, 0]], "b": item[pairs[:, 1]]})
 
 
 def linked(items: DataFrame, linker: Linker, limit: int, kind: type = np.uint64) -> DataFrame:

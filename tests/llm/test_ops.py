@@ -150,7 +150,8 @@ def test_band_links_prune_but_connect():
     base = [rng.randrange(1 << 60) for _ in range(200)]
     sets = [np.unique(np.array(base[: 200 - rng.randrange(20)] + [rng.randrange(1 << 60) for _ in range(5)], np.uint64)) for _ in range(60)]
     sets += [np.array(sorted(rng.randrange(1 << 60) for _ in range(50)), np.uint64) for _ in range(5)]
-    for linker in (line_dedup.band_links, jaccard_join.rtree_links):
+    keys = line_dedup.bands(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]))
+    for linker in (lambda sets, seeds: line_dedup.band_links(sets, keys, seeds), jaccard_join.rtree_links):
         found = linker(sets, np.arange(len(sets)))
         forest = links.Forest(np.arange(len(sets)))
         for p, q in found:
@@ -161,6 +162,24 @@ def test_band_links_prune_but_connect():
         assert len(found) == len(sets) - len(set(want))
 
 
+def test_clusters_of_a_task_are_linked_each_by_itself():
+    long = "the quick brown fox jumps over the lazy dog and runs far away from here"
+    clusters = [[f"{long}{i}a", f"{long}{i}b", *(["x", "", "short"][1:] if i % 3 == 0 else [])] for i in range(40)] + [["alone"]]
+    lines = [x or "y" for c in clusters for x in c]
+    starts = np.cumsum([0, *map(len, clusters[:-1])])
+    texts = [np.frombuffer(x.encode(), np.uint8) for x in lines]
+    found = {tuple(sorted(map(int, p))) for p in line_dedup.text_links(texts, np.arange(len(lines)), starts)}
+    assert found == {(int(s), int(s) + 1) for s in starts[:-1]}
+
+
+def test_shingles_are_those_of_each_line():
+    lines = ["abcdefghij", "abcdefgh", "short", "zabcdefghi", "x", "abcdefg"]
+    hashes, at = line_dedup.shingles(lines)
+    text = [line[i : i + 8] for line in lines for i in range(max(1, len(line) - 7))]
+    assert at.tolist() == [0, 3, 4, 5, 8, 9, 10] and len(hashes) == len(text)
+    assert {(a, b) for a, b in zip(text, hashes.tolist())} == {(a, dict(zip(text, hashes.tolist()))[a]) for a in text} and len(set(hashes.tolist())) == len(set(text))
+
+
 # 3 -----------------------------------------------------------------------------------------------------------------------
 
 
