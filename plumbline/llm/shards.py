@@ -3,24 +3,32 @@
 The law of this shuffle is `rows`: every permutation of the rows over the shards' slots is equally likely, and shard sizes
 differ by one at most. Rows lie in input partitions of known sizes; how many rows of partition p go to shard s is drawn from
 the exact (multivariate hypergeometric) distribution that a uniform shuffle has. Each partition then permutes its rows and
-cuts them by its matrix row, rows are exchanged, and each receiving block permutes again.
+cuts them by its matrix row, whole rows are exchanged, and each receiving block permutes again.
 
-Slots of a shard are cut into blocks of at most `block_rows`, each with a column of the matrix of its own, so no task holds
-a shard whole. The driver holds the matrix: input partitions x blocks numbers, no rows.
+Slots of a shard are cut into blocks of at most `block_rows` rows and about `block_bytes` bytes, each with a column of the
+matrix of its own and an exchange partition of its own, so no task reads a shard whole. Rows stream through both ends:
+a row's place follows from its number in its part and then in its block, so tasks hold permutations of numbers (of at most
+PART_ROWS or block_rows) and never a part's or a block's rows. The driver holds the matrix: parts x blocks numbers, no rows.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialise
 
 BLOCK_ROWS = 1 << 20
+BLOCK_BYTES = 256 << 20
+#: Rows of an input partition that are dealt together, as a power of two.
+PART_BITS = 20
 
 
 def shard_sizes(rows: int, shards: int) -> np.ndarray:
@@ -78,44 +86,96 @@ def communication_matrix(parts: np.ndarray, blocks: np.ndarray, seed: int) -> np
     return out
 
 
-def shuffle_rows(rows: DataFrame, shards: int, seed: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def row_bytes(rows: DataFrame):
+    """About how many bytes each row has: strings, binaries and nested values by their content."""
+    sizes = []
+    for f in rows.schema.fields:
+        column = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            column = column.cast("string")
+        elif not isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            continue
+        sizes.append(F.coalesce(F.octet_length(column), F.lit(0)).cast("long"))
+    return sum(sizes, F.lit(8 * (1 + len(rows.columns))).cast("long"))
+
+
+def dealer(counts, seed: int) -> Callable[[pd.Series], pd.DataFrame]:
+    """Row numbers to (block, number in the block). counts: a broadcast of {part: (rows to each block, rows of earlier parts in it)}."""
+
+    known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def places(part: int) -> tuple[np.ndarray, np.ndarray]:
+        if part in known:
+            return known[part]
+        if len(known) >= 8:
+            known.clear()
+        own, before = counts.value[part]
+        n = int(own.sum())
+        order = np.random.default_rng([seed, 1, part]).permutation(n)
+        block, at = np.empty(n, np.int32), np.empty(n, np.int64)
+        block[order] = np.repeat(np.arange(len(own)), own)
+        at[order] = np.repeat(before - (np.cumsum(own) - own), own) + np.arange(n)
+        known[part] = block, at
+        return known[part]
+
+    def deal(row: pd.Series) -> pd.DataFrame:
+        number = row.to_numpy(np.int64)
+        parts, block, at = number >> PART_BITS, np.empty(len(number), np.int32), np.empty(len(number), np.int64)
+        for part in np.unique(parts).tolist():
+            mine = parts == part
+            block[mine], at[mine] = (x[number[mine] & ((1 << PART_BITS) - 1)] for x in places(part))
+        return pd.DataFrame({"block": block, "at": at})
+
+    return deal
+
+
+def settler(blocks: pd.DataFrame, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Whole rows with __block and __at to the same rows with shard and slot."""
+    shard_of, first, size = (blocks[c].to_numpy() for c in ("shard", "first", "size"))
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots: dict[int, np.ndarray] = {}  # of the one block that a partition has
+        for batch in batches:
+            block, at = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("__block", "__at"))
+            slot = np.empty(len(at), np.int64)
+            for b in np.unique(block).tolist():
+                if b not in slots:
+                    slots = {b: np.random.default_rng([seed, 2, b]).permutation(int(size[b])) + first[b]}
+                mine = block == b
+                slot[mine] = slots[b][at[mine]]
+            names = [n for n in batch.schema.names if n not in ("__block", "__at")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(shard_of[block].astype(np.int32)), pa.array(slot)], names=[*names, "shard", "slot"])
+
+    return settle
+
+
+def shuffle_rows(rows: DataFrame, shards: int, seed: int = 0, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """rows with `shard` (int) and `slot` (long, gapless from 0 in each shard) added; all their columns stay.
 
-    Nothing depends on values: nulls, ties and repeated rows are dealt like others. Fewer rows than shards leave some
-    shards empty; empty input gives no rows. Columns named shard or slot are replaced.
+    Whole rows move: none of their columns is left out of the exchange, whichever are read afterwards. Nothing depends on
+    values: nulls, ties and repeated rows are dealt like others. Fewer rows than shards leave some shards empty; empty input
+    gives no rows. Columns named shard or slot are replaced. Blocks are cut by the mean size of rows, so they vary around
+    block_bytes as sums of rows drawn at random do.
     """
     rows = rows.drop("shard", "slot")
-    held = materialise(rows.withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id()), "shard-rows")
-    sizes = sorted((r["__part"], r["n"]) for r in held.groupBy("__part").agg(F.count("*").alias("n")).collect())
-    blocks = blocks_of(shard_sizes(sum(n for _, n in sizes), shards), block_rows)
-    matrix = communication_matrix(np.array([n for _, n in sizes], np.int64), blocks["size"].to_numpy(), seed)
-    counts = held.sparkSession.sparkContext.broadcast({p: row for (p, _), row in zip(sizes, matrix)})
-
-    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__row")
-        part = int(pdf["__part"].iloc[0])
-        order = np.random.default_rng([seed, 1, part]).permutation(len(pdf))
-        block = np.empty(len(pdf), np.int64)
-        block[order] = np.repeat(np.arange(len(blocks)), counts.value[part])
-        return pdf.assign(__block=block)
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__row")
-        b = blocks.iloc[int(pdf["__block"].iloc[0])]
-        slot = np.random.default_rng([seed, 2, int(b["block"])]).permutation(len(pdf)) + int(b["first"])
-        return pdf.assign(shard=np.int32(b["shard"]), slot=slot.astype(np.int64))
-
-    kinds = ", ".join(f"`{n}` {t}" for n, t in held.dtypes)
-    dealt = held.groupBy("__part").applyInPandas(deal, f"{kinds}, __block long")
-    settled = dealt.groupBy("__block").applyInPandas(settle, f"{kinds}, __block long, shard int, slot long")
-    return settled.drop("__part", "__row", "__block")
+    held = materialise(rows.withColumn("__row", F.monotonically_increasing_id()).withColumn("__bytes", row_bytes(rows)), "shard-rows")
+    parts = held.groupBy(F.shiftright("__row", PART_BITS).alias("part")).agg(F.count("*").alias("n"), F.sum("__bytes").alias("bytes")).collect()
+    parts.sort(key=lambda r: r["part"])
+    n_rows, n_bytes = (sum(r[c] for r in parts) for c in ("n", "bytes"))
+    blocks = blocks_of(shard_sizes(n_rows, shards), max(1, min(block_rows, block_bytes * n_rows // max(1, n_bytes))))
+    matrix = communication_matrix(np.array([r["n"] for r in parts], np.int64), blocks["size"].to_numpy(), seed)
+    before = np.cumsum(matrix, axis=0) - matrix
+    counts = held.sparkSession.sparkContext.broadcast({r["part"]: x for r, *x in zip(parts, matrix, before)})
+
+    deal = F.pandas_udf(dealer(counts, seed), "block int, at long")
+    dealt = held.drop("__bytes").withColumn("__to", deal("__row")).withColumns({"__block": F.col("__to.block"), "__at": F.col("__to.at")}).drop("__to", "__row")
+    whole = T.StructType([*rows.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
+    return dealt.repartitionById(max(1, len(blocks)), F.col("__block")).mapInArrow(settler(blocks, seed), whole)
 
 
 def op6_hypergeometric_shards(spark, sf_dir: str) -> DataFrame:
-    """All documents in 40 shards, under the law `rows`."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    small = docs.select(
-        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
-    )
-    dealt = shuffle_rows(small, 40)
-    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    """All documents, whole, in 40 shards, under the law `rows`; sizes and checksums are those of the texts that arrived."""
+    dealt = shuffle_rows(spark.read.parquet(f"{sf_dir}/documents.parquet"), 40)
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size")
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
+    return dealt.select("doc_id", size, crc, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

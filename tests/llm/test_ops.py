@@ -323,6 +323,31 @@ def test_shards(spark, odd, empty):
     assert shards.shuffle_rows(odd, 40).count() == odd.count() and shards.shuffle_rows(empty, 40).count() == 0
 
 
+def test_shards_move_whole_rows(spark):
+    """Every column arrives as it was, in blocks cut by bytes, each from all parts."""
+    rows = [(2**53 + i if i % 7 else None, f"{i} " * (i % 50) if i % 11 else None, [i]) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, more array<int>").repartition(3)
+    dealt = shards.shuffle_rows(docs, 2, block_bytes=5000)
+    assert dealt.rdd.getNumPartitions() > 10
+    got = dealt.collect()
+    assert sorted(((r["doc_id"], r["text"], r["more"]) for r in got), key=str) == sorted(rows, key=str)
+    assert sorted((r["shard"], r["slot"]) for r in got) == [(s, i) for s in range(2) for i in range(250)]
+
+
+def test_shards_query(spark, sf, documents, monkeypatch):
+    """The texts are what is shuffled; sizes and checksums come from what arrived."""
+    given, whole = [], shards.shuffle_rows
+    monkeypatch.setattr(shards, "shuffle_rows", lambda rows, *a, **b: given.append(rows.columns) or whole(rows, *a, **b))
+    df = queries.queries()["op6_hypergeometric_shards"](spark, sf)
+    assert given == [spark.read.parquet(f"{sf}/documents.parquet").columns]
+    got = df.collect()
+    assert {r["doc_id"]: (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) for r in got} == {i: (len((t or "").encode()) + 16, zlib.crc32((t or "").encode()), "rows", None) for i, t in documents.items()}
+    by = defaultdict(list)
+    for r in got:
+        by[r["shard"]].append(r["slot"])
+    assert len(got) == len(documents) and sorted(map(len, by.values())) == sorted(shards.shard_sizes(len(documents), 40).tolist()) and all(sorted(s) == list(range(len(s))) for s in by.values())
+
+
 def test_shards_are_uniform():
     """The matrix has the hypergeometric mean and variance, and large populations follow the same law."""
     draws = np.array([shards.communication_matrix(np.array([30, 70]), np.array([40, 60]), s)[0, 0] for s in range(3000)])
