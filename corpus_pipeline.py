@@ -1,7 +1,7 @@
 """The corpus pipeline: quality rules, line deduplication, near-duplicate removal, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. The first three return the columns of
-documents; the last returns the packed pieces.
+documents; the last fills sequences and returns their pieces with the token ids.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All that is left, packed into sequences in its sources' proportions."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return packing.pieces_of(packing.sequences(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)))
 
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup_stage), ("n-gram Jaccard join", near_duplicates), ("packing", pack)]

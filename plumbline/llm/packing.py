@@ -13,11 +13,13 @@ document that knows its place in its queue computes where its tokens go by itsel
 A phase ends when a source runs dry; the others' target weights then make up the next one. Without target weights the
 targets are the corpus's own proportions, and there is one phase. All tokens are packed, cut freely, and only the last
 sequence is short.
+
+pack() gives the pieces with their token ids, sequences() brings the pieces of each sequence together and fills it, and
+pieces_of() cuts filled sequences into their pieces again.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from functools import cache, partial
 
@@ -36,6 +38,8 @@ SEQUENCE = 1024
 WINDOW_SEQUENCES = 64
 END_ID = 0
 NO_SOURCE = ""
+#: About the most bytes of ids in a batch of pieces.
+BATCH_BYTES = 8 << 20
 
 
 def byte_letters() -> list[str]:
@@ -208,8 +212,16 @@ def _pieces(batches: Iterator[pa.RecordBatch], plan: list, sequence: int, window
         phase = Phase([n for _, _, n in shares], begin, window)
         for k, (source, used, n) in enumerate(shares):
             by_source.setdefault(source, []).append((used, n, k, phase))
+    names = [id_name, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+
+    def made(batch: pa.RecordBatch, rows: list[list]) -> pa.RecordBatch:
+        which, *columns = (pa.array(c, kind) for c, kind in zip(rows, kinds))
+        return pa.RecordBatch.from_arrays([batch.column("__id").take(which), *columns], names=names)
+
     for batch in batches:
-        rows: list[list[int]] = [[] for _ in range(7)]
+        rows: list[list] = [[] for _ in names]
+        size = 0
         for k, (source, at, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("__source", "__at", "__n")))):
             ids, done = memoryview(batch.column("__ids")[k].as_buffer()), 0
             for used, share, k_source, phase in by_source[source]:
@@ -221,20 +233,23 @@ def _pieces(batches: Iterator[pa.RecordBatch], plan: list, sequence: int, window
                         offset = position % sequence
                         take = min(length, sequence - offset)
                         first = done + start
-                        for column, value in zip(rows, (k, first, take, zlib.crc32(ids[4 * first : 4 * (first + take)]), n, position // sequence, offset)):
+                        for column, value in zip(rows, (k, first, take, bytes(ids[4 * first : 4 * (first + take)]), n, position // sequence, offset)):
                             column.append(value)
                         start, length, position = start + take, length - take, position + take
+                        size += 4 * take
+                        if size >= BATCH_BYTES:
+                            yield made(batch, rows)
+                            rows, size = [[] for _ in names], 0
                 done += here
                 if done == n:
                     break
-        names = [id_name, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-        yield pa.RecordBatch.from_arrays([batch.column("__id").take(pa.array(rows[0], pa.int64())), *(pa.array(c, pa.int64()) for c in rows[1:])], names=names)
+        yield made(batch, rows)
 
 
 def pack(docs: DataFrame, path: str, pattern: str, weights: dict[str, float] | None = None, sequence: int = SEQUENCE, window_sequences: int = WINDOW_SEQUENCES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    """One row per piece: id_col, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Null text is empty and has its end id alone; rows without a source form one queue; repeated rows are packed each; other
+    ids are the piece's token ids, little-endian unsigned 32-bit integers, and ids_crc32 their checksum. Null text is empty and has its end id alone; rows without a source form one queue; repeated rows are packed each; other
     columns are not read; empty input gives no rows. weights: target token proportions by source. The driver gets one number
     for each source (sources of a mixture are few and named in its configuration).
     """
@@ -247,11 +262,38 @@ def pack(docs: DataFrame, path: str, pattern: str, weights: dict[str, float] | N
     totals = {r["__source"]: r["n"] for r in base.groupBy("__source").agg(F.sum("__served").alias("n")).collect()}
     placed = tokens.join(base, ["__source", "__part"]).select("__id", "__source", (F.col("__base") + F.col("__before")).alias("__at"), "__n", "__ids")
     run = partial(_pieces, plan=phases(totals, weights), sequence=sequence, window=sequence * window_sequences, id_name=id_col)
-    return placed.mapInArrow(run, f"`{id_col}` {id_kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    pieces = placed.mapInArrow(run, f"`{id_col}` {id_kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return pieces.select(*piece_columns(id_col))
+
+
+def piece_columns(id_col: str) -> list:
+    """The columns of a piece."""
+    return [F.col(f"`{id_col}`"), "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"]
+
+
+def sequences(pieces: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One row per packed sequence: sequence_id, n_tokens, ids (its token ids, all pieces in order), pieces (where they came from).
+
+    The pieces of a sequence meet in one row: a sequence has as many pieces as tokens at most.
+    """
+    piece = F.struct("offset", F.col(f"`{id_col}`").alias("id"), "start", "length", "doc_tokens", "ids")
+    by = pieces.groupBy("sequence_id").agg(F.array_sort(F.collect_list(piece)).alias("__pieces"))
+    ids = F.aggregate("__pieces", F.lit(b""), lambda all_ids, p: F.concat(all_ids, p["ids"]))
+    origin = F.transform("__pieces", lambda p: F.struct(p["id"].alias("id"), p["start"].alias("start"), p["length"].alias("length"), p["doc_tokens"].alias("doc_tokens"), p["offset"].alias("offset")))
+    return by.select("sequence_id", (F.octet_length(ids) / 4).cast("long").alias("n_tokens"), ids.alias("ids"), origin.alias("pieces"))
+
+
+def pieces_of(packed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The pieces of filled sequences, with the columns of pack(); ids are read from where they lie in the sequence."""
+    cut = lambda p: F.substring("ids", (4 * p["offset"] + 1).cast("int"), (4 * p["length"]).cast("int"))
+    placed = packed.select("sequence_id", F.explode(F.transform("pieces", lambda p: F.struct(p.alias("p"), cut(p).alias("ids")))).alias("x"))
+    flat = placed.select(F.col("x.p.id").alias(id_col), "x.p.start", "x.p.length", "x.ids", "x.p.doc_tokens", "sequence_id", "x.p.offset")
+    return flat.select(*piece_columns(id_col))
 
 
 def op4_mixture_packing(spark, sf_dir: str) -> DataFrame:
-    """All documents packed in the corpus's own proportions."""
+    """All documents packed in the corpus's own proportions; checksums are those of the pieces in the filled sequences."""
     import public_tokenizers
 
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    packed = sequences(pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN))
+    return pieces_of(packed).drop("ids")

@@ -229,6 +229,30 @@ def test_packing(spark, sf, documents):
     check_pieces(queries.queries()["op4_mixture_packing"](spark, sf).collect(), token_ids(documents))
 
 
+def test_packed_sequences_hold_the_tokens(spark, sf, documents, monkeypatch):
+    """Pieces carry their ids, sequences are filled with them, and the query and the pipeline's last stage read them from there."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(packing, "BATCH_BYTES", 5000)
+    ids, docs = token_ids(documents), spark.read.parquet(f"{sf}/documents.parquet")
+    pieces = packing.pack(docs, GPT, public_tokenizers.PATTERN)
+    want = defaultdict(dict)
+    for r in pieces.collect():
+        assert bytes(r["ids"]) == ids[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes()
+        want[r["sequence_id"]][r["offset"]] = r
+    filled = {r["sequence_id"]: r for r in packing.sequences(pieces).collect()}
+    assert sorted(filled) == list(range(len(want))) and [filled[s]["n_tokens"] for s in range(len(filled) - 1)] == [1024] * (len(filled) - 1)
+    for s, r in filled.items():
+        assert bytes(r["ids"]) == b"".join(bytes(want[s][o]["ids"]) for o in sorted(want[s])) and len(r["ids"]) == 4 * r["n_tokens"]
+    assert sum(r["n_tokens"] for r in filled.values()) == sum(map(len, ids.values()))
+    last = corpus_pipeline.pack(spark, docs, sf)
+    assert last.columns == pieces.columns
+    for r in last.collect():
+        assert r == want[r["sequence_id"]].pop(r["offset"])
+    assert not any(want.values())
+    assert packing.sequences(packing.pack(docs.limit(0), GPT, public_tokenizers.PATTERN)).count() == 0
+
+
 def test_packing_mixture(spark, documents):
     docs = spark.createDataFrame([(i, t, "a" if i % 3 else "b") for i, t in documents.items()], "doc_id long, text string, source string").repartition(5)
     rows = packing.pack(docs, GPT, public_tokenizers.PATTERN, weights={"a": 1, "b": 1}, window_sequences=2).collect()
