@@ -285,10 +285,14 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the least of their component: one document of each group, with all its columns. Of rows that
-    repeat id and text one stays."""
-    keep = clusters(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__keep")).distinct()
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates([id_col, text_col])
+    """One document of each component, with all its columns: the row with the least id (null ids come last), and of those the
+    least text hash. Rows are chosen by id and text, not by id alone, so ids may be null or repeat; of rows that repeat both,
+    one stays, and so does every other row without words."""
+    key = {"__null": F.col(id_col).isNull(), "__id": F.col(id_col), "__hash": F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))}
+    keyed = docs.select(F.struct(*(c.alias(n) for n, c in key.items())).alias("__key"), F.col(text_col).alias("__text"))
+    least = clusters(keyed, "__key", "__text").where(F.col("__key") == F.col("component_id"))
+    keep = least.select(F.col("__key.__id").alias("__keep"), F.col("__key.__hash").alias("__keep_hash")).distinct()
+    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("__keep")) & (key["__hash"] == F.col("__keep_hash")), "left_semi").dropDuplicates([id_col, text_col])
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:

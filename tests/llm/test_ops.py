@@ -435,6 +435,16 @@ def test_jaccard_cases(spark, odd, empty):
     assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3, 4, 6, 7, 8]
 
 
+def test_one_of_each_chooses_rows(spark):
+    """Null ids, and ids that repeat with other texts, neither keep near copies nor lose documents."""
+    text = lambda name, tail: " ".join([f"{name}{i}" for i in range(60)] + [tail])
+    rows = [(None, text("a", "x")), (None, text("a", "y")), (None, text("n", "x")), (1, text("b", "x")), (None, text("b", "y")), (7, text("c", "x")), (3, text("c", "y")), (7, text("d", "x")), (9, text("e", "x")), (9, text("e", "y")), (None, ""), (None, None)]
+    kept = [(r["doc_id"], r["text"]) for r in jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert set(kept) <= set(rows)
+    assert sorted((i, t and t[0]) for i, t in kept if i) == [(1, "b"), (3, "c"), (7, "d"), (9, "e")]
+    assert sorted(str(t)[:1] for i, t in kept if not i) == ["", "N", "a", "n"]
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(250)] + [(0, i) for i in range(300, 400)]
