@@ -45,6 +45,18 @@ def maybe_repeated(hashed: DataFrame, bits: int) -> DataFrame:
     return out.withColumn("__again", tests[0] & tests[1]).drop(*[f"__{x}{k}" for x in ("bucket", "bitmap") for k in (0, 1)])
 
 
+def digest_of(text_col: str) -> Column:
+    """What equal texts share."""
+    return F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))
+
+
+def filter_bits(rows: int, max_bits: int) -> int:
+    bits = 1 << 20
+    while bits < min(16 * rows, max_bits):
+        bits *= 2
+    return bits
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 1 << 30) -> DataFrame:
     """One row per input row: id_col, keep_id, group_size, kept, text_sha256.
 
@@ -52,13 +64,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     stays; a null id is less than any other, and of rows that share text and id one stays. Empty input gives no rows;
     columns other than id and text are not read.
     """
-    digest = F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))
-    hashed = materialise(docs.select(F.col(id_col).alias("__id"), digest.alias("__digest")).withColumn("__row", F.monotonically_increasing_id()), "digests")
+    hashed = materialise(docs.select(F.col(id_col).alias("__id"), digest_of(text_col).alias("__digest")).withColumn("__row", F.monotonically_increasing_id()), "digests")
     rows = hashed.count()
-    bits = 1 << 20
-    while bits < min(16 * rows, max_bits):
-        bits *= 2
-    flagged = maybe_repeated(hashed, bits)
+    flagged = maybe_repeated(hashed, filter_bits(rows, max_bits))
     single = flagged.where(~F.col("__again")).select("__id", F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "__digest")
     again = flagged.where("__again")
     groups = materialise(again.groupBy("__digest").agg(F.max(F.struct("__id", "__row")).alias("top"), F.count("*").alias("group_size")), "groups")
@@ -73,6 +81,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return single.unionByName(resolved).select(F.col("__id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("__digest")).alias("text_sha256"))
 
 
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 1 << 30) -> DataFrame:
+    """The rows that exact_groups keeps, with all their columns: one of each group of equal texts.
+
+    Rows are told apart by row, not by id, so ids may be null or repeat. Rows that surely occur once go straight through; the
+    others are shuffled, whole, by row number, so no key is hot.
+    """
+    own = {"__id": F.col(id_col), "__digest": digest_of(text_col), "__row": F.monotonically_increasing_id()}
+    hashed = materialise(docs.withColumns(own), "digested-rows")
+    flagged = maybe_repeated(hashed, filter_bits(hashed.count(), max_bits))
+    again = flagged.where("__again")
+    top = again.groupBy("__digest").agg(F.max(F.struct("__id", "__row")).alias("top")).select(F.col("top.__row").alias("__row"))
+    return flagged.where(~F.col("__again")).unionByName(again.join(top, "__row", "left_semi")).select(*(F.col(f"`{c}`") for c in docs.columns))
+
 
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:
     """Every row of documents with its group's keeper."""

@@ -523,6 +523,17 @@ def test_dedup_with_a_full_filter(spark):
     assert got.where("kept").count() == 15_000 and got.where("group_size = 2").count() == 10_000
 
 
+def test_survivors_are_whole_rows(spark, sf, odd, empty):
+    rows = [(None, "x", "s"), (None, "X", "s"), (None, "y", "t"), (5, "z", "u"), (5, "Z", "u"), (4, "z", "v"), (5, "q", "w"), (6, None, "e"), (None, "", "f")]
+    got = [(r["doc_id"], (r["text"] or "").lower(), r["source"]) for r in exact_dedup.survivors(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()]
+    assert sorted(got, key=str) == sorted([(None, "x", "s"), (None, "y", "t"), (5, "z", "u"), (5, "q", "w"), (6, "", "e")], key=str)
+    kept = exact_dedup.survivors(odd)
+    assert kept.columns == odd.columns and kept.count() == 6 and exact_dedup.survivors(empty).count() == 0
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = docs.join(exact_dedup.exact_groups(docs).where("kept").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    assert sorted(map(tuple, exact_dedup.survivors(docs, max_bits=1 << 6).collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_bloom_lets_singles_pass(spark):
     hashed = spark.range(5000).select(F.col("id").alias("__id"), F.sha2(F.when(F.col("id") < 10, F.lit("x")).otherwise(F.col("id").cast("string")), 256).alias("__digest"))
     again = exact_dedup.maybe_repeated(hashed, 1 << 20).where("__again").select("__id").collect()
