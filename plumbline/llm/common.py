@@ -24,27 +24,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own if it is unset (tests)."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset, a local session (tests) gets
+    a folder of its own; on a cluster that would be a folder of the driver's machine, so it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="plumbline-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def _file_system(spark: SparkSession, path: str):
+    """(Hadoop path, its file system)."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, and survives the loss of any executor.
 
-    The files go when the session's JVM ends.
+    The files go when the session's JVM ends, or before by discard().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/plumbline-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    where, files = _file_system(spark, path)
+    files.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._plumbline_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that materialise() wrote and that nothing reads any more."""
+    for df in tables:
+        where, files = _file_system(df.sparkSession, df._plumbline_path)
+        files.delete(where, True)
+
+
+def joined_by_size(left: DataFrame, right: DataFrame, keys: str | list[str], size: str, total: int) -> DataFrame:
+    """left joined with right, which has one row for each key and in `size` how many rows of left (of `total`) have the key.
+
+    Keys with a thousandth of left's rows or more, so at most a thousand of them, are joined by broadcast: no task gets a hot
+    key. The others are shuffled.
+    """
+    keys = [keys] if isinstance(keys, str) else keys
+    hot = max(1000, total // 1000)
+    few, rest = F.broadcast(right.where(F.col(size) >= hot).drop(size)), right.where(F.col(size) < hot).drop(size)
+    return left.join(few, keys).unionByName(left.join(few.select(*keys), keys, "left_anti").join(rest, keys))
 
 
 def ascii_lower(column):

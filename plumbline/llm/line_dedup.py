@@ -1,37 +1,47 @@
 """Fuzzy line deduplication by MinHash: one line of each component of similar lines stays.
 
 A line, stripped of white space at its ends, is the set of its distinct shingles of 8 characters (a shorter line is one
-shingle). Two lines are linked when their signatures agree in a band and the exact Jaccard similarity of their shingles is
-0.8 or more; components of links are found by distributed union-find; of each component the first line in order of document
-id and line number stays and all others go. Lines without a word are left alone.
-
-Signatures have 64 minima in 16 bands of 4: a pair with similarity 0.8 shares a band with a chance of 1 - (1 - 0.8^4)^16 =
-0.9998, one with 0.9 all but surely. Equal lines are one item from the start and need no verification.
-
-How it runs. Band keys of each batch's distinct lines are exchanged packed; lines that share one make coarse clusters. Only
-lines in a cluster, found by a bitmap filter, are read again, exchanged once each as text, and linked in bounded tasks
-(links.linked), which make their shingles anew: as hashes these would be eight times the text. Lines are told apart by
-64-bit hashes of their text, so that only the pass that makes signatures has to make shingles of all lines.
+shingle). Two lines are linked when the exact Jaccard similarity of their shingles is 0.8 or more; candidates come from
+signatures that agree in a band. Components of links are found by distributed union-find; of each component the first line in
+order of document id and line number stays and all others go. Lines without a word are left alone.
+
+Signatures have 80 minima in 16 bands of 5: a pair with similarity 0.8 shares a band with a chance of 1 - (1 - 0.8^5)^16 =
+0.998, one with 0.85 of 0.9999. Beside its band keys a line sends a sketch, one bit of each of 64 minima; lines that share a key but whose
+sketches differ in more than 18 bits aren't candidates (99.99 % of the pairs with similarity 0.8 pass, one in twelve with 0.3, one
+in a thousand with 0.1), so unrelated lines don't grow together to large clusters as the corpus grows.
+
+How it runs. A batch combines its lines by band key first: only leaders, the first line of those with close sketches, are
+exchanged, so a line, or a family of near copies, that holds a third of all rows is sent once a batch. Lines that share a key in the exchange
+make coarse clusters, and lines that occur twice are noted. Only lines of a cluster or with two occurrences, found by a bitmap
+filter, are written; the texts of the clustered ones are exchanged once each and linked exactly in bounded tasks
+(links.linked). Lines are named by 128-bit hashes of their text. Documents that lose no line are never shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITESPACE, materialise, mix64
-from .jaccard_join import similar
-from .links import PACKED, Forest, components, linked, may_contain, member_filter, packed_batch, packed_rows, runs, stars
+from .common import WHITESPACE, discard, joined_by_size, materialise, mix64
+from .jaccard_join import prefix_length, similar
+from .links import PACKED, Forest, components, linked, may_contain, member_filter, packed_batch, packed_rows, runs, star_pairs, stars
 
 CHARS = 8
-BANDS, ROWS = 16, 4
+BANDS, ROWS = 16, 5
+#: Entries (lines times bands) of one bucket of the exchange.
+BUCKET_ENTRIES = 250_000
 TASK_SHINGLES = 2_000_000
-BATCH_CHARS = 1 << 20
+#: Characters of the lines that are sent together, and of those that are hashed together.
+BATCH_CHARS, SLICE_CHARS = 1 << 22, 1 << 20
+#: Failed comparisons that a task remembers at a time.
+FAILED = 1_000_000
 
 _ODD = mix64(np.arange(1, 2 * BANDS * ROWS + CHARS + 9, dtype=np.uint64)) | np.uint64(1)
 _MULTIPLIERS, _FLIPS = _ODD[: BANDS * ROWS].astype(np.uint32) | np.uint32(1), (_ODD[BANDS * ROWS : 2 * BANDS * ROWS] >> np.uint64(32)).astype(np.uint32)
@@ -45,9 +55,10 @@ def split_lines(text: str | None) -> list[tuple[int, str]]:
     return [(i, x) for i, line in enumerate((text or "").split("\n")) if (x := line.strip(WHITESPACE))]
 
 
-def line_hashes(lines: list[str]) -> np.ndarray:
-    """64-bit hashes of whole lines, their names everywhere else."""
-    return np.fromiter((xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines), np.uint64, len(lines))
+def line_names(lines: list[str]) -> tuple[list[bytes], np.ndarray]:
+    """128-bit hashes of whole lines, their names, and the second halves as numbers, their nodes in coarse clusters."""
+    names = [xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines]
+    return names, np.frombuffer(b"".join(names), ">u8")[1::2].astype(np.uint64)
 
 
 def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -69,89 +80,123 @@ def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return hashes[keep], np.concatenate([[0], np.cumsum(np.maximum(1, sizes - CHARS + 1))])
 
 
-def bands(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(lines, BANDS) keys of the MinHash signatures of consecutive shingle sets."""
+def bands(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lines, BANDS) keys of the MinHash signatures of consecutive shingle sets, and the lines' sketches."""
     short = (hashes >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(at) - 1, BANDS), np.uint64)
+    out, sketches = np.empty((len(at) - 1, BANDS), np.uint64), np.zeros(len(at) - 1, np.uint64)
     for b in range(BANDS):
         key = np.full(len(at) - 1, b, np.uint64)
         for r in range(b * ROWS, (b + 1) * ROWS):
-            least = np.minimum.reduceat((short ^ _FLIPS[r]) * _MULTIPLIERS[r], at[:-1])
-            key = mix64(key + least.astype(np.uint64) * _PLACES[0])
+            least = np.minimum.reduceat((short ^ _FLIPS[r]) * _MULTIPLIERS[r], at[:-1]).astype(np.uint64)
+            if r < 64:
+                sketches |= ((least * _PLACES[1]) >> np.uint64(63)) << np.uint64(r)
+            key = mix64(key + least * _PLACES[0])
         out[:, b] = key
-    return out
+    return out, sketches
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[int], list[str]]]:
-    """(document keys, line numbers, lines) of about BATCH_CHARS characters at a time."""
-    keys, numbers, lines, size = [], [], [], 0
+def _batches(batches: Iterator[pa.RecordBatch], limit: int = SLICE_CHARS) -> Iterator[tuple[pa.Array, pa.Array, list[int], list[str]]]:
+    """(ids, keys, line numbers, lines) of about `limit` characters at a time."""
     for batch in batches:
-        for key, text in zip(batch.column("__key").to_pylist(), batch.column("__text").to_pylist()):
+        of, numbers, lines, size = [], [], [], 0
+        for row, text in enumerate(batch.column("__text").to_pylist()):
             for number, line in split_lines(text):
-                keys.append(key)
+                of.append(row)
                 numbers.append(number)
                 lines.append(line)
                 size += len(line)
-                if size >= BATCH_CHARS:
-                    yield keys, numbers, lines
-                    keys, numbers, lines, size = [], [], [], 0
-    if lines:
-        yield keys, numbers, lines
-
-
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for keys, numbers, lines in _batches(batches):
-        items = line_hashes(lines)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(numbers, pa.int32()), pa.array(items.view(np.int64))], names=["key", "line", "item"])
-
-
-def _distinct(lines: list[str]) -> list[str]:
-    return list(dict.fromkeys(lines))
+                if size >= limit:
+                    yield batch.column("__id").take(pa.array(of)), batch.column("__key").take(pa.array(of)), numbers, lines
+                    of, numbers, lines, size = [], [], [], 0
+        if lines:
+            yield batch.column("__id").take(pa.array(of)), batch.column("__key").take(pa.array(of)), numbers, lines
+
+
+def _packed(keys: list[np.ndarray], sketches: list[np.ndarray], items: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    """What a batch sends: the leaders of each key, and the edges to all others, dealt over the buckets."""
+    keys, sketches, items = np.concatenate(keys), np.concatenate(sketches), np.concatenate(items)
+    items, first, times = np.unique(items, return_index=True, return_counts=True)
+    flat, of = keys[first].ravel(), np.repeat(np.arange(len(items)), BANDS)
+    order = np.argsort(flat, kind="stable")
+    flat, of = flat[order], of[order]
+    leader, member, leads = star_pairs(flat, sketches[first][of])
+    edges = np.unique(np.concatenate([np.stack([items[of[leader]], items[of[member]]], axis=1), np.repeat(items[times > 1], 2).reshape(-1, 2)]), axis=0)
+    rows = list(packed_rows(flat[leads], of[leads], np.stack([items, sketches[first]], axis=1), buckets))
+    if len(edges):
+        rows.append((int(edges[0, 0] % np.uint64(buckets)), b"", b"", edges.tobytes()))
+    return packed_batch(rows)
 
 
 def _send(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    for _, _, lines in _batches(batches):
-        items = line_hashes(lines := _distinct(lines))
-        keys = bands(*shingles(lines))
-        yield packed_batch(list(packed_rows(keys.ravel(), np.repeat(np.arange(len(items)), BANDS), items, buckets)))
-
-
-def _payloads(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]:
-    for _, _, lines in _batches(batches):
-        items = line_hashes(lines := _distinct(lines))
-        found = np.flatnonzero(may_contain(wanted.value, items))
-        texts = [lines[i] for i in found]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(items[found].view(np.int64)), pa.array([len(x) for x in texts], pa.int64()), pa.array([x.encode("utf-8", "surrogatepass") for x in texts], pa.binary())], names=["item", "weight", "payload"]
-        )
-
-
-def band_links(sets: list[np.ndarray], keys: np.ndarray, seeds: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs that share a band and are similar, as far as they connect what the seeds and earlier pairs don't."""
+    keys, sketches, items, size = [], [], [], 0
+    for _, _, _, lines in _batches(batches):
+        times: dict[str, int] = {}
+        for x in lines:
+            times[x] = times.get(x, 0) + 1
+        own, (own_keys, own_sketches) = line_names(list(times))[1], bands(*shingles(list(times)))
+        again = np.array([n > 1 for n in times.values()])
+        for column, value in zip((keys, sketches, items), (own_keys, own_sketches, own)):
+            column += [value, value[again]]  # twice what occurs twice: _packed() notes it
+        size += sum(map(len, lines))
+        if size >= BATCH_CHARS:
+            yield _packed(keys, sketches, items, buckets)
+            keys, sketches, items, size = [], [], [], 0
+    if items:
+        yield _packed(keys, sketches, items, buckets)
+
+
+def _found(batches: Iterator[pa.RecordBatch], wanted, clustered) -> Iterator[pa.RecordBatch]:
+    """Occurrences of the lines of `wanted`; a batch's first one of a line of `clustered` has its text."""
+    for ids, keys, numbers, lines in _batches(batches):
+        names, items = line_names(lines)
+        at = np.flatnonzero(may_contain(wanted.value, items))
+        in_cluster, texts, seen = may_contain(clustered.value, items).tolist(), [], set()
+        for i in at.tolist():
+            fresh = in_cluster[i] and names[i] not in seen
+            texts.append(lines[i].encode("utf-8", "surrogatepass") if fresh else None)
+            seen.add(names[i])
+        take = pa.array(at)
+        columns = [ids.take(take), keys.take(take), pa.array([numbers[i] for i in at], pa.int32()), pa.array([names[i] for i in at], pa.binary()), pa.array(items[at].view(np.int64)), pa.array([len(lines[i]) for i in at], pa.int64()), pa.array(texts, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "line", "name", "item", "weight", "payload"])
+
+
+def prefix_links(sets: list[np.ndarray], seeds: np.ndarray) -> list[tuple[int, int]]:
+    """Similar pairs of ascending sets, as far as they connect what the seeds and earlier pairs don't.
+
+    Two similar sets share one of their n - ceil(0.8 n) + 1 rarest shingles, so only sets that do are compared; what a family of lines
+    has in common isn't rare.
+    """
+    shingle, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    groups: dict[int, list[int]] = {}
+    begin = 0
+    for q, own in enumerate(sets):
+        mine = at[begin : begin + len(own)]
+        begin += len(own)
+        for key in mine[np.lexsort((mine, times[mine]))[: prefix_length(len(own))]].tolist():
+            if times[key] > 1:
+                groups.setdefault(key, []).append(q)
     forest, out, failed, most = Forest(seeds), [], set(), len(set(seeds.tolist())) - 1
-    for b in range(BANDS):
-        groups: dict[int, list[int]] = {}
-        for q, key in enumerate(keys[:, b].tolist()):
-            groups.setdefault(key, []).append(q)
-        for group in groups.values():
-            # The group's members by component: a newcomer is held against members of other components only.
-            parts: dict[int, list[int]] = {}
-            for q in group if len(group) > 1 else ():
-                mine = forest.root(q)
-                for root in list(parts):
-                    if root == mine or root not in parts:
+    for group in groups.values():
+        # The group's members by component: a newcomer is held against members of other components only.
+        parts: dict[int, list[int]] = {}
+        for q in group if len(group) > 1 else ():
+            mine = forest.root(q)
+            for root in list(parts):
+                if root == mine or root not in parts:
+                    continue
+                for p in parts[root]:
+                    if (p, q) in failed:
                         continue
-                    for p in parts[root]:
-                        if (p, q) in failed or (q, p) in failed:
-                            continue
-                        if similar(sets[p], sets[q]):
-                            forest.join(q, p)
-                            out.append((p, q))
-                            parts[root] += parts.pop(mine, [])
-                            mine = root
-                            break
-                        failed.add((p, q))
-                parts.setdefault(mine, []).append(q)
+                    if similar(sets[p], sets[q]):
+                        forest.join(q, p)
+                        out.append((p, q))
+                        parts[root] += parts.pop(mine, [])
+                        mine = root
+                        break
+                    if len(failed) >= FAILED:
+                        failed.clear()
+                    failed.add((p, q))
+            parts.setdefault(mine, []).append(q)
         if len(out) == most:
             break
     return out
@@ -164,40 +209,48 @@ def _ascending(hashes: np.ndarray) -> np.ndarray:
 
 
 def text_links(texts: list[np.ndarray], seeds: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Linked pairs of lines given as UTF-8 bytes, for all clusters of a task; signatures are made for many clusters at a time.
-
-    Two lines alone in a cluster share a band already, so they are compared without signatures.
-    """
+    """Linked pairs of lines given as UTF-8 bytes, for all clusters of a task; shingles are made for many clusters at a time."""
     lines = [x.tobytes().decode("utf-8", "surrogatepass") for x in texts]
     until = np.concatenate([[0], np.cumsum([len(x) for x in lines])])
     ends = np.append(starts[1:], len(lines))
-    cuts = np.unique(np.append(np.searchsorted(until[starts], np.arange(0, until[-1], BATCH_CHARS)), len(starts)))
+    cuts = np.unique(np.append(np.searchsorted(until[starts], np.arange(0, until[-1], SLICE_CHARS)), len(starts)))
     for i, j in zip(cuts[:-1], cuts[1:]):
         first = starts[i]
         hashes, at = shingles(lines[first : ends[j - 1]])
         sets = [_ascending(hashes[x:y]) for x, y in zip(at[:-1], at[1:])]
-        many = np.repeat(ends[i:j] - starts[i:j] > 2, ends[i:j] - starts[i:j])
-        keys = np.zeros((len(sets), BANDS), np.uint64)
-        if many.any():
-            kept = np.diff(at)[many]
-            keys[many] = bands(hashes[np.repeat(many, np.diff(at))], np.concatenate([[0], np.cumsum(kept)]))
         for s, e in zip((starts[i:j] - first).tolist(), (ends[i:j] - first).tolist()):
-            for x, y in band_links(sets[s:e], keys[s:e], seeds[first + s : first + e]) if e - s > 1 else ():
+            for x, y in prefix_links(sets[s:e], seeds[first + s : first + e]) if e - s > 1 else ():
                 yield int(first) + s + x, int(first) + s + y
 
 
-def line_components(docs: DataFrame) -> DataFrame:
-    """(key, line, item, component) for every line with a word of docs (__key, __text); component: the least item of it."""
-    occurrences = materialise(docs.mapInArrow(_occurrences, "key long, line int, item long"), "lines")
-    buckets = int(1 + occurrences.count() * BANDS // 4_000_000)
-    packed = docs.mapInArrow(lambda batches: _send(batches, buckets), PACKED)
-    coarse = components(packed.groupBy("bucket").applyInArrow(lambda table: stars(table), "a long, b long"))
-    wanted = member_filter(coarse, "node")
-    found = docs.mapInArrow(lambda batches: _payloads(batches, wanted), "item long, weight long, payload binary")
-    items = found.groupBy("item").agg(F.first("weight").alias("weight"), F.first("payload").alias("payload"))
-    items = materialise(items.join(coarse.withColumnRenamed("node", "item"), "item"), "clustered-lines")
-    labels = components(linked(items, text_links, TASK_SHINGLES, np.uint8)).select(F.col("node").alias("item"), F.col("label").alias("component"))
-    return occurrences.join(labels, "item", "left").select("key", "line", "item", F.coalesce("component", "item").alias("component"))
+def lost_lines(docs: DataFrame) -> DataFrame:
+    """(id, key, gone) for the documents of docs (__id, __key, __text) that lose lines; gone: their numbers."""
+    kind = dict(docs.dtypes)["__id"]
+    newlines = F.coalesce(F.length("__text") - F.length(F.replace("__text", F.lit("\n"), F.lit(""))), F.lit(0))
+    buckets = int(1 + (docs.agg(F.sum(newlines + 1)).first()[0] or 0) * BANDS // BUCKET_ENTRIES)
+    packed = docs.mapInArrow(partial(_send, buckets=buckets), PACKED)
+    pairs = materialise(packed.groupBy("bucket").applyInArrow(lambda table: stars(table), "a long, b long"), "line-pairs")
+    edges = pairs.where("a <> b")
+    n_pairs, n_edges = pairs.agg(F.count("*"), F.count_if(F.col("a") != F.col("b"))).first()
+    ends = lambda df: df.select(F.explode(F.array("a", "b")).alias("item"))
+    wanted, clustered = member_filter(ends(pairs), "item", 2 * n_pairs), member_filter(ends(edges), "item", 2 * n_edges)
+    schema = f"id {kind}, key long, line int, name binary, item long, weight long, payload binary"
+    found = materialise(docs.mapInArrow(partial(_found, wanted=wanted, clustered=clustered), schema), "lines")
+    coarse = components(edges)
+    texts = found.where("payload is not null").groupBy("name").agg(F.first("item").alias("node"), F.first("weight").alias("weight"), F.first("payload").alias("payload"))
+    items = materialise(texts.join(coarse, "node").select("label", F.col("name").alias("item"), "weight", "payload"), "clustered-lines")
+    labels = components(linked(items, text_links, TASK_SHINGLES, np.uint8)).select(F.col("node").alias("name"), F.col("label").alias("component"))
+    # Whatever has many rows is added up before it is joined: occurrences by name, names by component.
+    place = F.struct("id", "key", "line")
+    by_name = found.groupBy("name").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    by_name = materialise(by_name.join(labels, "name", "left").select("name", "n", "first", F.coalesce("component", "name").alias("component")), "line-names")
+    whole = by_name.groupBy("component").agg(F.min("first").alias("stays"), F.sum("n").alias("lines"), F.count("*").alias("names")).where("lines > 1").select("component", "stays", "names")
+    n_names, n_found = by_name.agg(F.count("*"), F.sum("n")).first()
+    verdicts = joined_by_size(by_name.select("component", "name", "n"), whole, "component", "names", n_names).select("name", "n", "stays")
+    gone = joined_by_size(found.select("id", "key", "line", "name"), verdicts, "name", "n", n_found or 0).where(~place.eqNullSafe(F.col("stays")))
+    out = materialise(gone.groupBy("id", "key").agg(F.collect_set("line").alias("gone")), "lost-lines")
+    discard(pairs, found, items, by_name)
+    return out
 
 
 def _without(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
@@ -213,30 +266,34 @@ def _without(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([*columns, pa.array(lost, pa.int64())], names=[*batch.schema.names[:-1], "__lost"])
 
 
+def _touched(filter_) -> Column:
+    @F.pandas_udf("boolean")
+    def test(hashes: pd.Series) -> pd.Series:
+        return pd.Series(may_contain(filter_.value, hashes.to_numpy(np.int64)))
+
+    return test
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the removed lines gone from their texts, and a column removed_lines (long). No row goes.
 
     A text without removed lines is unchanged, null stays null. A null id is less than any other. Rows that repeat id and
     text count as one document and keep the same lines. Empty input gives no rows; a column named removed_lines is replaced.
+    Documents that surely lose nothing pass straight through; the others are joined with their lines' numbers.
     """
     docs = docs.drop("removed_lines")
     names = [f"__c{i}" for i in range(len(docs.columns))]
     held = docs.toDF(*names)
     the_id, text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
-    key = F.xxhash64(F.col(the_id), F.col(text))
-    keyed = held.select(key.alias("__key"), F.col(text).alias("__text"))
-    lines = materialise(line_components(keyed), "line-components")
-    ids = materialise(held.select(key.alias("key"), F.col(the_id).alias("id")).distinct(), "line-ids")
-    # Components with a single occurrence need no order; the others' first occurrence is their least (id, line).
-    sizes = lines.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    repeated = materialise(lines.join(sizes, "component", "left_semi").join(ids, "key").select("component", "key", "line", "id"), "repeated-lines")
-    first = repeated.groupBy("component").agg(F.min(F.struct("id", "key", "line")).alias("first"))
-    gone = repeated.join(first, "component").where((F.col("key") != F.col("first.key")) | (F.col("line") != F.col("first.line")))
-    gone = gone.groupBy(F.col("key").alias("__key")).agg(F.collect_set("line").alias("__gone"))
-    marked = held.withColumn("__key", key).join(gone, "__key", "left").select(*names, "__gone")
-    kinds = dict(held.dtypes)
-    at = names.index(text)
-    out = marked.mapInArrow(lambda batches: _without(batches, at), ", ".join([*(f"{n} {kinds[n]}" for n in names), "__lost long"]))
+    key = F.xxhash64(F.col(text))
+    gone = lost_lines(held.select(F.col(the_id).alias("__id"), key.alias("__key"), F.col(text).alias("__text")))
+    gone = gone.select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("gone").alias("__gone"))
+    touched = _touched(member_filter(gone.select(F.xxhash64("__id", "__key").alias("hash")), "hash"))
+    marked = held.withColumn("__key", key).withColumn("__touched", touched(F.xxhash64(F.col(the_id), "__key")))
+    losing = marked.where("__touched").join(gone, F.col(the_id).eqNullSafe(F.col("__id")) & (marked["__key"] == gone["__key"]), "left").select(*names, "__gone")
+    kinds, at = dict(held.dtypes), names.index(text)
+    shorter = losing.mapInArrow(lambda batches: _without(batches, at), ", ".join([*(f"{n} {kinds[n]}" for n in names), "__lost long"]))
+    out = marked.where("not __touched").select(*names, F.lit(0).cast("long").alias("__lost")).unionByName(shorter)
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)], F.col("__lost").alias("removed_lines"))
 
 

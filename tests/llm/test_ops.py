@@ -145,13 +145,12 @@ def test_lines_cases(spark, odd, empty):
     assert line_dedup.dedup_lines(odd).count() == odd.count() and line_dedup.dedup_lines(empty).count() == 0
 
 
-def test_band_links_prune_but_connect():
+def test_linkers_prune_but_connect():
     rng = random.Random(1)
     base = [rng.randrange(1 << 60) for _ in range(200)]
     sets = [np.unique(np.array(base[: 200 - rng.randrange(20)] + [rng.randrange(1 << 60) for _ in range(5)], np.uint64)) for _ in range(60)]
     sets += [np.array(sorted(rng.randrange(1 << 60) for _ in range(50)), np.uint64) for _ in range(5)]
-    keys = line_dedup.bands(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]))
-    for linker in (lambda sets, seeds: line_dedup.band_links(sets, keys, seeds), jaccard_join.rtree_links):
+    for linker in (line_dedup.prefix_links, jaccard_join.rtree_links):
         found = linker(sets, np.arange(len(sets)))
         forest = links.Forest(np.arange(len(sets)))
         for p, q in found:
