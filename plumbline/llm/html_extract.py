@@ -1,11 +1,13 @@
 """Main text of web pages by a maximum-scoring subsequence.
 
-A page is a sequence of tags and words. Words score positive, less so or negative inside elements that labelled pages show
-to hold boilerplate; tags outside boilerplate score
-negative, by how much more often labelled pages have them outside their main text. Kadane's
-linear scan finds the contiguous region with the largest sum; its text is returned without what lies in boilerplate elements.
-
-All weights are log odds counted on labelled pages (by default LABELLED_PAGES, a fixed set of a few pages).
+A page is a sequence of tags and words. Tags score negative, by how much more often labelled pages have them outside their main
+text. Words score by the block that they stand in: a logistic model, fitted to the same labelled pages, weighs the elements
+and names around the block, whether it lies in or outside the page's article or main element, its number of words, the share
+of them in links, and its end. Words of text-like blocks score positive, those of menus, notices and the like negative. Kadane's linear
+scan finds the contiguous region with the largest sum, and all outside it goes, whatever its blocks look like; blocks inside the region
+that score clearly negative, such as an advert amid an article, are left out.
+
+All weights come from labelled pages (by default LABELLED_PAGES, a fixed set of a few pages); no name is good or bad by itself.
 """
 
 from __future__ import annotations
@@ -14,138 +16,181 @@ import html
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .labelled_pages import LABELLED_PAGES
 
 _ATTRIBUTES = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
-#: Comments, elements whose content is no markup, declarations, tags; then tags with an odd quote.
+#: Comments, elements whose content is no text of the page, declarations, tags; then tags with an odd quote.
 _MARKUP = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|object)\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|</?[a-z]{_ATTRIBUTES}>|</?[a-z][^>]*>", re.S | re.I
+    rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|object|title|textarea)\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|</?[a-z]{_ATTRIBUTES}>|</?[a-z][^>]*>", re.S | re.I
 )
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)(.*)", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_PARTS = re.compile(r"[a-z]+")
+_PARTS = re.compile(r"[a-z]{2,}")
 
-#: Elements that hold others and may be boilerplate as a whole.
-CONTAINERS = frozenset("head title body main article section div nav header footer aside form ul ol dl table figure blockquote button select label fieldset dialog menu details".split())
 #: Elements inside a block; any other tag ends the block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-WORD = 1.0
-#: A word in boilerplate: the text leaves it out in any case, so an advert amid an article must not cut the article in two.
-BOILERPLATE_WORD = -0.1
-#: Log odds below which an element's name marks boilerplate.
-BOILERPLATE = -1.0
-
+#: Elements without content.
+VOID = frozenset("area base br col embed hr img input link meta param source track".split())
+#: Elements that say nothing about what is inside.
+NEUTRAL = frozenset("html body div table tbody tr center".split())
+#: An element of these ends an open one of its kind that it stands directly in.
+UNCLOSED = frozenset("p li td th dd dt option tr".split())
+#: Blocks of at least so many words are one kind of length each.
+LENGTHS = (1, 2, 5, 10, 25)
+BIAS = "bias"
+#: Strength of the model's ridge penalty, and its fitting steps.
+RIDGE, STEPS = 0.1, 50
+#: The most that a word scores, that one costs, and that a tag costs. Words cost less than they score, so that an advert amid an
+#: article doesn't cut it in two.
+WORD_LIMIT, WORD_COST, TAG_LIMIT = 2.0, 0.5, 1.0
+#: Blocks inside the region with lower log odds are left out: being there speaks for a block.
+LEFT_OUT = -0.8
+
+
+class Reader:
+    """The open elements of a page while it is read, as the features of what is inside them."""
+
+    def __init__(self, known: Container[str] | None = None):
+        self.known, self.stack, self.features, self.opened, self.links = known, [], Counter(), Counter(), 0
+
+    def open(self, tag: str, attributes: str) -> None:
+        if tag in VOID:
+            return
+        if tag in INLINE:
+            self.links += tag == "a"
+            return
+        if self.stack and (self.stack[-1][0] == tag and tag in UNCLOSED or self.stack[-1][0] == "p"):
+            self.close(self.stack[-1][0])
+        names = [] if tag in ("html", "body") else [w for x in _NAMES.findall(attributes) for w in _PARTS.findall("".join(x).lower())]
+        mine = {f"name:{w}" for w in names} | ({f"in:{tag}"} if tag not in NEUTRAL else set())
+        mine = [f for f in mine if self.known is None or f in self.known]
+        self.features.update(mine)
+        self.opened[tag] += 1
+        self.stack.append((tag, mine))
+        self.links = 0
+
+    def close(self, tag: str) -> None:
+        if tag == "a":
+            self.links = max(0, self.links - 1)
+        if tag in INLINE or not self.opened[tag]:
+            return
+        while True:  # a closing tag ends all that is open inside its element
+            last, mine = self.stack.pop()
+            self.opened[last] -= 1
+            for f in mine:
+                self.features[f] -= 1
+                if not self.features[f]:
+                    del self.features[f]
+            if last == tag:
+                self.links = 0
+                return
+
+
+def items(page: str, known: Container[str] | None = None) -> list[tuple[str, str, tuple[str, ...]]]:
+    """("block", text, features) and ("tag", its name, ()) in page order. Elements end blocks, inline ones aside."""
+    reader, out, parts, words, linked, at = Reader(known), [], [], 0, 0, 0
+    has = {tag: bool(re.search(rf"<{tag}[\s>]", page, re.I)) for tag in ("article", "main")}
+
+    def end() -> None:
+        nonlocal parts, words, linked
+        if words:
+            raw = "".join(parts)
+            features = [BIAS, *reader.features, f"own:{reader.stack[-1][0] if reader.stack else ''}", f"words:{max(k for k in LENGTHS if k <= words)}"]
+            features.append("links:none" if not linked else "links:some" if 2 * linked < words else "links:most")
+            features.append(f"end:{raw.rstrip()[-1:] in '.?!。？！…:;'}")
+            features += [f"{tag}:{'inside' if reader.opened[tag] else 'outside'}" for tag, found in has.items() if found]
+            out.append(("block", raw, tuple(features)))
+        parts, words, linked = [], 0, 0
+
+    def take(text: str) -> None:
+        nonlocal words, linked
+        n = len(text.split())
+        parts.append(text)
+        words += n
+        linked += n if reader.links else 0
 
-def tokens(page: str) -> Iterator[tuple[str, str, tuple[str, ...]]]:
-    """("text", raw text, ()), ("open", tag, names) and ("close", tag, ()) in page order; names: the tag and the words of its class, id and role."""
-    at = 0
     for m in _MARKUP.finditer(page):
         if m.start() > at:
-            yield "text", page[at : m.start()], ()
+            take(page[at : m.start()])
         at = m.end()
-        if m[1] is not None or not (tag := _TAG.match(m[0])):
-            yield "close", m[1].lower() if m[1] else "!", ()
-            continue
+        tag = None if m[1] is not None else _TAG.match(m[0])
+        if not tag:
+            continue  # a comment or a script doesn't end a block
         name = tag[2].lower()
-        if tag[1]:
-            yield "close", name, ()
-        else:
-            found = _NAMES.findall(tag[3]) if name in CONTAINERS else ()
-            yield "open", name, (name, *(w for x in found for w in _PARTS.findall("".join(x).lower())))
+        if name not in INLINE:
+            end()
+        (reader.close(name) if tag[1] else reader.open(name, tag[3]))
+        out.append(("tag", "/" + name if tag[1] else name, ()))
     if at < len(page):
-        yield "text", page[at:], ()
-
-
-class Open:
-    """The container elements that are open, and whether one of them is boilerplate."""
-
-    def __init__(self, weights: dict[str, float]):
-        self.weights, self.stack, self.bad = weights, [], 0
-
-    def take(self, kind: str, tag: str, names: tuple[str, ...]) -> None:
-        if tag not in CONTAINERS:
-            return
-        if kind == "open":
-            worst = min((self.weights.get(n, 0.0) for n in names), default=0.0) < BOILERPLATE
-            self.stack.append((tag, names, worst))
-            self.bad += worst
-        elif any(t == tag for t, _, _ in self.stack):  # a closing tag ends all that is open inside its element
-            while True:
-                t, _, worst = self.stack.pop()
-                self.bad -= worst
-                if t == tag:
-                    break
+        take(page[at:])
+    end()
+    return out
 
 
 def learn(pages: list[str]) -> tuple[dict[str, float], dict[str, float]]:
-    """(log odds by element name for the words inside, score by tag) from pages with [[ ]] around their main text."""
-    words: dict[bool, Counter] = {True: Counter(), False: Counter()}
+    """(weights of block features, scores of tags) from pages with [[ ]] around their main text."""
     tags: dict[bool, Counter] = {True: Counter(), False: Counter()}
+    blocks, labels, sizes = [], [], []
     for page in pages:
-        opened, found = Open({}), []
-        for kind, value, names in tokens(page):
-            if kind == "text":
-                parts = re.split(r"(\[\[|\]\])", value)
-                for part in parts:
-                    if part in ("[[", "]]"):
-                        found.append((part, None))
-                    elif n := len(part.split()):
-                        found.append((n, {x for _, ns, _ in opened.stack for x in ns}))
+        inside = ["[[" in value for _, value, _ in items(page)]
+        found = items(page.replace("[[", "").replace("]]", ""))
+        first, last = inside.index(True), len(inside) - 1 - inside[::-1].index(True)
+        for i, (kind, value, features) in enumerate(found):
+            if kind == "tag":
+                tags[first - 1 <= i <= last + 1][value] += 1  # the tags around the first and last blocks are theirs
             else:
-                opened.take(kind, value, names)
-                found.append((value, None))
-        first, last = (min if k == "[[" else max for k in ("[[", "]]"))
-        begin, end = first(i for i, (x, _) in enumerate(found) if x == "[["), last(i for i, (x, _) in enumerate(found) if x == "]]")
-        inside = False
-        for i, (x, names) in enumerate(found):
-            if x in ("[[", "]]"):
-                inside = x == "[["
-            elif names is not None:
-                for name in names:
-                    words[inside][name] += x
-            else:
-                tags[begin <= i <= end][x] += 1
-    weights = {n: math.log((words[True][n] + 1) / (words[False][n] + 1)) for n in words[True] | words[False]}
+                blocks.append(set(features))
+                labels.append(inside[i])
+                sizes.append(1 + math.log(len(value.split())))
+    # A feature of a single block could only learn that block by heart.
+    counts = Counter(f for b in blocks for f in b)
+    names = sorted(f for f, n in counts.items() if n > 1 or f.startswith("name:"))
+    x = np.array([[f in b for f in names] for b in blocks], float)
+    y, n, w = np.array(labels, float), np.array(sizes), np.zeros(len(names))
+    for _ in range(STEPS):  # Newton's method on the penalised likelihood
+        p = 1 / (1 + np.exp(-x @ w))
+        step = np.linalg.solve(x.T * (n * p * (1 - p)) @ x + RIDGE * np.eye(len(names)), x.T @ (n * (y - p)) - RIDGE * w)
+        w = w + step
+        if np.abs(step).max() < 1e-6:
+            break
     n_in, n_out = sum(tags[True].values()), sum(tags[False].values())
-    scores = {t: min(-0.05, math.log((tags[True][t] + 1) / (n_in + 1)) - math.log((tags[False][t] + 1) / (n_out + 1))) for t in tags[True] | tags[False]}
-    return weights, scores
+    scores = {t: max(-TAG_LIMIT, min(-0.05, math.log((tags[True][t] + 1) / (n_in + 1)) - math.log((tags[False][t] + 1) / (n_out + 1)))) for t in tags[True] | tags[False]}
+    return dict(zip(names, w.tolist())), scores
+
+
+def log_odds(features: tuple[str, ...], weights: dict[str, float]) -> float:
+    """Of a block being main text."""
+    return sum(weights.get(f, 0.0) for f in features)
+
+
+def region(scored: list[float]) -> tuple[int, int]:
+    """Where the largest sum of consecutive scores begins and ends (Kadane's scan); nothing if no sum is positive."""
+    best, span, total, begin = 0.0, (0, 0), 0.0, 0
+    for i, score in enumerate(scored):
+        if total <= 0:
+            total, begin = 0.0, i
+        total += score
+        if total > best:
+            best, span = total, (begin, i + 1)
+    return span
 
 
 def main_text(page: str | None, weights: dict[str, float], scores: dict[str, float]) -> str:
     """The page's main text: references decoded, white space inside a block one space, blocks joined by one space."""
-    opened, best, total = Open(weights), (0.0, 0, 0), 0.0
-    begin, items = 0, []  # (text, or None for the end of a block)
-    for kind, value, names in tokens(page or ""):
-        if kind == "text":
-            n = value.count(" ") + 1 if value.strip() else 0
-            total += n * (BOILERPLATE_WORD if opened.bad else WORD)
-            if not opened.bad:
-                items.append(value)
-        else:
-            bad = opened.bad
-            opened.take(kind, value, names)
-            total += 0.0 if bad or opened.bad else scores.get(value, -0.5)
-            if value not in INLINE:
-                items.append(None)
-        if total > best[0]:
-            best = (total, begin, len(items))
-        elif total < 0:
-            total, begin = 0.0, len(items)
-    blocks, block = [], []
-    for item in [*items[best[1] : best[2]], None]:
-        if item is not None:
-            block.append(item)
-        elif block:
-            text = " ".join(html.unescape("".join(block)).split())
-            blocks += [text] if text else []
-            block = []
-    return " ".join(blocks)
+    found, scored, odds = items(page or "", weights), [], []
+    for kind, value, features in found:
+        odds.append(log_odds(features, weights) if kind == "block" else 0.0)
+        scored.append(len(value.split()) * max(-WORD_COST, min(WORD_LIMIT, odds[-1])) if kind == "block" else scores.get(value, -0.3))
+    begin, end = region(scored)
+    blocks = (" ".join(html.unescape(value).split()) for (kind, value, _), odd in zip(found[begin:end], odds[begin:end]) if kind == "block" and odd > LEFT_OUT)
+    return " ".join(b for b in blocks if b)
 
 
 def _extract(batches: Iterator[pa.RecordBatch], weights: dict, scores: dict) -> Iterator[pa.RecordBatch]:
@@ -158,7 +203,7 @@ def _extract(batches: Iterator[pa.RecordBatch], weights: dict, scores: dict) ->
 def extract(pages: DataFrame, html_col: str = "html", labelled: list[str] | None = None) -> DataFrame:
     """pages with html_col replaced by text and n_chars (code points); no shuffle, pages of any length whole.
 
-    Null or empty html, and a page without words outside boilerplate, give an empty text. Repeated rows stay. Columns named
+    Null or empty html, and a page without a region of positive score, give an empty text. Repeated rows stay. Columns named
     text or n_chars are replaced.
     """
     weights, scores = learn(labelled or LABELLED_PAGES)
