@@ -8,7 +8,12 @@ cuts them by its matrix row, whole rows are exchanged, and each receiving block
 Slots of a shard are cut into blocks of at most `block_rows` rows and about `block_bytes` bytes, each with a column of the
 matrix of its own and an exchange partition of its own, so no task reads a shard whole. Rows stream through both ends:
 a row's place follows from its number in its part and then in its block, so tasks hold permutations of numbers (of at most
-PART_ROWS or block_rows) and never a part's or a block's rows. The driver holds the matrix: parts x blocks numbers, no rows.
+2^PART_BITS or block_rows) and never a part's or a block's rows.
+
+The matrix is never held whole. It is drawn by halving: the parts are split in two, and how many of a block's slots go to the
+first half is drawn for all blocks; each half is split again, with random numbers that its place in the tree seeds. A task
+draws the counts on the way down to its own parts only: log2(parts) draws a block, the same wherever it runs. The driver holds
+one number a part and two a block.
 """
 
 from __future__ import annotations
@@ -70,20 +75,35 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int
     return mode
 
 
-def communication_matrix(parts: np.ndarray, blocks: np.ndarray, seed: int) -> np.ndarray:
-    """Row p: how many of partition p's rows go to each block; rows sum to parts, columns to blocks."""
-    rng, left = np.random.default_rng(seed), blocks.astype(np.int64).copy()
-    out = np.zeros((len(parts), len(blocks)), np.int64)
-    for p, n in enumerate(parts.tolist()):
-        rest = int(left.sum())
-        for b, have in enumerate(left.tolist()):
-            if not n:
+class Matrix:
+    """The communication matrix, by rows: how many of a part's rows go to each block, and how many of earlier parts' do. Rows sum
+    to parts, columns to blocks, and every row follows the exact hypergeometric law."""
+
+    def __init__(self, parts: np.ndarray, blocks: np.ndarray, seed: int):
+        self.until, self.blocks, self.seed = np.concatenate([[0], np.cumsum(parts, dtype=np.int64)]), blocks.astype(np.int64), seed
+
+    def _draw(self, node: list[int], rows: int, out_of: np.ndarray) -> np.ndarray:
+        """How many of `rows` rows drawn from the blocks, which have out_of places, come from each."""
+        rng, left, drawn = np.random.default_rng([self.seed, 0, *node]), int(out_of.sum()), np.zeros(len(out_of), np.int64)
+        for b, have in enumerate(out_of.tolist()):
+            if not rows:
                 break
-            rest -= have
-            out[p, b] = hypergeometric(rng, have, rest, n)
-            n -= int(out[p, b])
-        left -= out[p]
-    return out
+            left -= have
+            drawn[b] = hypergeometric(rng, have, left, rows)
+            rows -= int(drawn[b])
+        return drawn
+
+    def row(self, part: int) -> tuple[np.ndarray, np.ndarray]:
+        """(rows of the part to each block, rows of all earlier parts in each)."""
+        low, high, own, before = 0, len(self.until) - 1, self.blocks, np.zeros(len(self.blocks), np.int64)
+        while high - low > 1:
+            middle = (low + high) // 2
+            first = self._draw([low, high], int(self.until[middle] - self.until[low]), own)
+            if part < middle:
+                high, own = middle, first
+            else:
+                low, own, before = middle, own - first, before + first
+        return own, before
 
 
 def row_bytes(rows: DataFrame):
@@ -99,8 +119,8 @@ def row_bytes(rows: DataFrame):
     return sum(sizes, F.lit(8 * (1 + len(rows.columns))).cast("long"))
 
 
-def dealer(counts, seed: int) -> Callable[[pd.Series], pd.DataFrame]:
-    """Row numbers to (block, number in the block). counts: a broadcast of {part: (rows to each block, rows of earlier parts in it)}."""
+def dealer(matrix, numbers, seed: int) -> Callable[[pd.Series], pd.DataFrame]:
+    """Row numbers to (block, number in the block). Broadcasts: the Matrix, and the parts' names, ascending."""
 
     known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -109,7 +129,7 @@ def dealer(counts, seed: int) -> Callable[[pd.Series], pd.DataFrame]:
             return known[part]
         if len(known) >= 8:
             known.clear()
-        own, before = counts.value[part]
+        own, before = matrix.value.row(int(np.searchsorted(numbers.value, part)))
         n = int(own.sum())
         order = np.random.default_rng([seed, 1, part]).permutation(n)
         block, at = np.empty(n, np.int32), np.empty(n, np.int64)
@@ -158,19 +178,21 @@ def shuffle_rows(rows: DataFrame, shards: int, seed: int = 0, block_rows: int =
     block_bytes as sums of rows drawn at random do.
     """
     rows = rows.drop("shard", "slot")
-    held = materialise(rows.withColumn("__row", F.monotonically_increasing_id()).withColumn("__bytes", row_bytes(rows)), "shard-rows")
+    plain = rows.toDF(*[f"__c{i}" for i in range(len(rows.columns))])
+    held = materialise(plain.withColumn("__row", F.monotonically_increasing_id()).withColumn("__bytes", row_bytes(plain)), "shard-rows")
     parts = held.groupBy(F.shiftright("__row", PART_BITS).alias("part")).agg(F.count("*").alias("n"), F.sum("__bytes").alias("bytes")).collect()
     parts.sort(key=lambda r: r["part"])
     n_rows, n_bytes = (sum(r[c] for r in parts) for c in ("n", "bytes"))
     blocks = blocks_of(shard_sizes(n_rows, shards), max(1, min(block_rows, block_bytes * n_rows // max(1, n_bytes))))
-    matrix = communication_matrix(np.array([r["n"] for r in parts], np.int64), blocks["size"].to_numpy(), seed)
-    before = np.cumsum(matrix, axis=0) - matrix
-    counts = held.sparkSession.sparkContext.broadcast({r["part"]: x for r, *x in zip(parts, matrix, before)})
+    share = held.sparkSession.sparkContext.broadcast
+    matrix = share(Matrix(np.array([r["n"] for r in parts], np.int64), blocks["size"].to_numpy(), seed))
 
-    deal = F.pandas_udf(dealer(counts, seed), "block int, at long")
+    deal = F.pandas_udf(dealer(matrix, share(np.array([r["part"] for r in parts], np.int64)), seed), "block int, at long")
     dealt = held.drop("__bytes").withColumn("__to", deal("__row")).withColumns({"__block": F.col("__to.block"), "__at": F.col("__to.at")}).drop("__to", "__row")
-    whole = T.StructType([*rows.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
-    return dealt.repartitionById(max(1, len(blocks)), F.col("__block")).mapInArrow(settler(blocks, seed), whole)
+    named = [T.StructField(f"__c{i}", f.dataType) for i, f in enumerate(rows.schema.fields)]  # rows may have any names, even these
+    whole = T.StructType([*named, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
+    out = dealt.repartitionById(max(1, len(blocks)), F.col("__block")).mapInArrow(settler(blocks, seed), whole)
+    return out.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(rows.columns)], "shard", "slot")
 
 
 def op6_hypergeometric_shards(spark, sf_dir: str) -> DataFrame:
