@@ -1,22 +1,27 @@
 """Host-level quality rules, with DataFrame functions only.
 
 Each document is measured and judged by base rules. Failures are then aggregated by host; a host's failure rate is shrunk
-towards the corpus with a beta prior fitted to all hosts by the method of moments, and hosts whose shrunk rate is over the
-limit are rejected as a whole. Verdicts are joined back to the documents.
+towards the corpus with a beta prior fitted to all hosts by the method of moments, and hosts whose shrunk rate lies more than
+DEVIATIONS standard deviations of that prior above its mean are rejected as a whole: what is too much follows from the corpus.
+Verdicts are joined back to the documents.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITESPACE, WHITESPACE_RUN, materialise
+from .common import WHITESPACE, WHITESPACE_RUN, joined_by_size, materialise
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A host is rejected when its shrunk failure rate is over this.
-MAX_HOST_FAILURE = 0.8
+#: A host is rejected when its shrunk failure rate is over the prior's mean by so many of its standard deviations.
+DEVIATIONS = 2.0
+#: Rejected hosts of one broadcast (tens of megabytes).
+HOSTS = 1_000_000
 
 
 def let(value: Column, body) -> Column:
@@ -63,10 +68,10 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def host_verdicts(judged: DataFrame, host_col: str, limit: float = MAX_HOST_FAILURE) -> DataFrame:
+def host_verdicts(judged: DataFrame, host_col: str, deviations: float = DEVIATIONS) -> DataFrame:
     """(host, n_docs, n_failed, shrunk_rate, host_ok) for every non-null host; judged has base_failed.
 
-    The prior has the hosts' mean rate m and a strength of m(1-m)/v - 1 pseudo-documents, held in 1 to 10,000 (10,000 when
+    The prior is a beta distribution. It has the hosts' mean rate m and a strength of m(1-m)/v - 1 pseudo-documents, held in 1 to 10,000 (10,000 when
     the hosts do not differ). It is one row, the only thing that the driver gets.
     """
     hosts = judged.where(F.col(host_col).isNotNull()).groupBy(F.col(host_col).alias("host")).agg(F.count("*").alias("n_docs"), F.count_if("base_failed").alias("n_failed"))
@@ -75,10 +80,11 @@ def host_verdicts(judged: DataFrame, host_col: str, limit: float = MAX_HOST_FAIL
     m = m or 0.0
     strength = min(10_000.0, max(1.0, m * (1 - m) / v - 1)) if v else 10_000.0
     shrunk = (F.col("n_failed") + F.lit(m * strength)) / (F.col("n_docs") + F.lit(strength))
+    limit = m + deviations * math.sqrt(max(0.0, m * (1 - m)) / (strength + 1))
     return hosts.withColumn("shrunk_rate", shrunk).withColumn("host_ok", F.col("shrunk_rate") <= limit)
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: float = MAX_HOST_FAILURE) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", deviations: float = DEVIATIONS) -> DataFrame:
     """One row per document: id_col, the measures, base_failed, host_rate, kept.
 
     Null text has no words and so fails. A document without a host is judged by the base rules alone. Repeated rows are
@@ -86,19 +92,24 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     """
     measured = measures(docs.select(F.col(id_col).alias("__id"), F.col(host_col).alias("__host"), F.col(text_col).alias("__text")), "__text")
     judged = materialise(measured.withColumn("base_failed", base_failed()), "measures")
-    verdicts = host_verdicts(judged, "__host", limit).select(F.col("host").alias("__host"), F.col("shrunk_rate").alias("host_rate"), "host_ok")
-    out = judged.join(verdicts, "__host", "left")
+    verdicts = host_verdicts(judged, "__host", deviations).select(F.col("host").alias("__host"), F.col("shrunk_rate").alias("host_rate"), "host_ok", "n_docs")
+    nowhere = judged.where("__host is null").withColumns({"host_rate": F.lit(None).cast("double"), "host_ok": F.lit(True)})
+    out = joined_by_size(judged, materialise(verdicts, "hosts"), "__host", "n_docs", judged.count()).unionByName(nowhere)
     return out.select(F.col("__id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce("host_ok", F.lit(True))).alias("kept"), "host_rate")
 
 
-def accepted(docs: DataFrame, text_col: str = "text", host_col: str = "source", limit: float = MAX_HOST_FAILURE) -> DataFrame:
+def accepted(docs: DataFrame, text_col: str = "text", host_col: str = "source", deviations: float = DEVIATIONS) -> DataFrame:
     """The rows of docs that judge() keeps, with all their columns and nothing else."""
     names = [f"__c{i}" for i in range(len(docs.columns))]
     held = docs.toDF(*names)
     text, host = (names[docs.columns.index(c)] for c in (text_col, host_col))
     judged = materialise(measures(held.withColumn("__text", F.col(text)), "__text").withColumn("base_failed", base_failed()), "judged")
-    bad = host_verdicts(judged.select(F.col(host).alias("__host"), "base_failed"), "__host", limit).where("not host_ok").select("host")
-    kept = judged.where("not base_failed").join(bad, F.col(host) == bad["host"], "left_anti")
+    bad = host_verdicts(judged.select(F.col(host).alias("__host"), "base_failed"), "__host", deviations).where("not host_ok").select(F.col("host").alias("__bad"))
+    bad = materialise(bad, "rejected-hosts")
+    # Texts aren't shuffled: the rejected hosts come to them, in broadcasts of bounded size.
+    kept, broadcasts = judged.where("not base_failed"), -(-bad.count() // HOSTS)
+    for part in range(broadcasts):
+        kept = kept.join(F.broadcast(bad.where(F.pmod(F.xxhash64("__bad"), F.lit(broadcasts)) == part)), F.col(host) == F.col("__bad"), "left_anti")
     return kept.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
 
 
@@ -134,7 +145,7 @@ words AS (
 ), prior2 AS (
   SELECT m, CASE WHEN v > 0 THEN least(10000.0, greatest(1.0, m * (1 - m) / v - 1)) ELSE 10000.0 END AS k FROM prior
 ), judged AS (
-  SELECT b.*, NOT base_failed AND coalesce((f + m * k) / (n + k) <= 0.8, TRUE) AS kept
+  SELECT b.*, NOT base_failed AND coalesce((f + m * k) / (n + k) <= m + 2 * sqrt(m * (1 - m) / (k + 1)), TRUE) AS kept
   FROM based b LEFT JOIN hosts USING (source) CROSS JOIN prior2
 )"""
 

@@ -2,8 +2,10 @@
 
 import base64
 import hashlib
+import html
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -71,31 +73,63 @@ def test_word_hashes(texts):
 def test_html_learns_its_labels():
     weights, scores = html_extract.learn(LABELLED_PAGES)
     for page in LABELLED_PAGES:
-        inside = " ".join(x.split("]]")[0] for x in page.split("[[")[1:])
-        want = " ".join(inside.replace("<b>", "").replace("</b>", "").split())
-        assert html_extract.main_text(page.replace("[[", "").replace("]]", ""), weights, scores) == want
+        inside = "".join(re.sub("<[^>]*>", "", x.split("]]")[0]) + " " for x in page.split("[[")[1:])
+        assert html_extract.main_text(page.replace("[[", "").replace("]]", ""), weights, scores) == " ".join(inside.split())
     assert all(s < 0 for s in scores.values())
 
 
+TALK = "The committee met on Tuesday to review the plan, and after two hours of talk it agreed to fund the work for another year."
+ITEMS = "".join(f"<li><a href='/{i}'>Go on to item {i}</a></li>" for i in range(12))
+
+
 @pytest.mark.parametrize("page,want", [
     (None, ""), ("", ""), ("<p></p>", ""), ("just words", "just words"), ("<article><p>a&amp;&lt;b&nbsp;c</p><p>d<b>e</b>\n f", "a&<b c de f"),
     ("<body><nav><a>x</a></nav><article><p>one two three four<script>var a='</p>'</script></p><div class='ad'>buy this now</div><p>five six</p></article><footer>z z z</footer>", "one two three four five six"),
     ("<article><p>one two three</p><!-- <p>no</p> --><form><label>l</label></form></article><section class='comments'><p>bad</p></section>", "one two three"),
+    (f"<article class='post meta'><p>{TALK}</p></article>", TALK),
+    (f"<body class='search-page header-fixed'><article><p>{TALK}</p></article></body>", TALK),
+    ("<ul><li>" + " " * 200 + "Home</li><li>" + " " * 200 + f"News</li></ul><article><h1>Plan</h1><p>{TALK}</p></article>", f"Plan {TALK}"),
+    ("<div><p>" + "\n".join(TALK.split() * 9) + "</p></div>", " ".join([TALK] * 9)),
+    (f"<div class='top-links'><a href=a>Jobs</a> <a href=b>Press</a></div><div><h1>Plan</h1><p>{TALK}</p></div><div class='bottom-strip'>Terms of use and privacy policy</div>", f"Plan {TALK}"),
+    (f"<article><p>{TALK}</p><form><textarea>Your words here</textarea><button>Send</button></form></article>", TALK),
+    (f"<form action='x'><div id='main'><h1>Plan</h1><p>{TALK}</p><p>{TALK}</p></div></form>", f"Plan {TALK} {TALK}"),
+    (f"<main><h1>Plan</h1><p>{TALK}</p></main><div><h3>Comments</h3><div><p>I think this is a very good idea and I hope that they do it soon.</p></div><div><p>{TALK}</p></div></div>", f"Plan {TALK}"),
 ])
 def test_html_cases(page, want):
     assert html_extract.main_text(page, *html_extract.learn(LABELLED_PAGES)) == want
 
 
+@pytest.mark.parametrize("page,want", [
+    (f"<div><p>{TALK}</p></div><ul>{ITEMS}</ul><div><h1>Plan</h1><p>{TALK}</p><p>{TALK}</p></div>", f"Plan {TALK} {TALK}"),
+    (f"<div><h1>Plan</h1><p>{TALK}</p><p>{TALK}</p></div><ul>{ITEMS}</ul><div><p>{TALK[:40]} read on.</p></div>", f"Plan {TALK} {TALK}"),
+    (f"<div><p>We may be late today.</p></div><ul>{ITEMS}</ul><h1>Plan</h1><div>{TALK} {TALK}</div><ul>{ITEMS}</ul><p>{TALK}</p>", f"Plan {TALK} {TALK}"),
+])
+def test_html_scan_decides(page, want):
+    """Blocks that look like text, beyond what lies between: only the best contiguous region tells them from the article."""
+    weights, scores = html_extract.learn(LABELLED_PAGES)
+    assert html_extract.main_text(page, weights, scores) == want
+    likely = [x for kind, x, features in html_extract.items(page, weights) if kind == "block" and html_extract.log_odds(features, weights) > html_extract.LEFT_OUT]
+    assert len(" ".join(likely)) > len(want)
+
+
+@given(st.lists(st.integers(-5, 5), max_size=12))
+def test_html_region_is_the_best(scored):
+    begin, end = html_extract.region(scored)
+    assert sum(scored[begin:end]) == max([0] + [sum(scored[i:j]) for i in range(len(scored)) for j in range(i, len(scored) + 1)])
+
+
 def test_html_frame(spark, sf):
-    pages = spark.createDataFrame([(1, None, "t"), (None, "<p>x y</p>", None)], "page_id long, html string, text string")
-    assert sorted((r["text"], r["n_chars"]) for r in html_extract.extract(pages).collect()) == [("", 0), ("x y", 3)]
+    pages = spark.createDataFrame([(1, None, "t"), (None, f"<p>{TALK}</p>", None), (None, f"<p>{TALK}</p>", None), (2, "<p>" + TALK * 20_000, "t")], "page_id long, html string, n_chars string")
+    got = sorted((r["n_chars"], r["text"]) for r in html_extract.extract(pages).collect())
+    assert got[:3] == [(0, ""), (len(TALK), TALK), (len(TALK), TALK)] and got[3][0] == len(TALK) * 20_000 and html_extract.extract(pages).columns == ["page_id", "text", "n_chars"]
     assert html_extract.extract(pages.limit(0)).count() == 0
-    held_out = spark.read.parquet(f"{sf}/pages.parquet").collect()
-    weights = html_extract.learn(LABELLED_PAGES)
-    for r in held_out:  # these pages' main text is their article
-        inner = r["html"].split("<article>")[1].split("</article>")[0]
-        want = html_extract.main_text(f"<article>{inner}</article>", *weights)
-        assert want and html_extract.main_text(r["html"], *weights) == want
+    given = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    rows = queries.queries()["op1_html_extraction"](spark, sf).collect()
+    assert len(rows) == len(given)
+    for r in rows:  # these pages' main text is their article: its blocks by a plain cut at block tags
+        inner = re.sub("<!--.*?-->", "", given[r["page_id"]].split("<article>")[1].split("</article>")[0], flags=re.S)
+        blocks = [" ".join(html.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h\d|br|div|ul|ol|li)\b[^>]*>", inner)]
+        assert r["text"] == " ".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
 
 
 # 2 -----------------------------------------------------------------------------------------------------------------------
@@ -192,6 +226,27 @@ def test_quality_cases(spark, odd, empty):
     assert quality.accepted(odd).columns == odd.columns
 
 
+def test_hosts_decide_on_the_tables(spark, sf):
+    """The tables' sources fail alike, so none goes; where failing documents come from few hosts, their other documents go too."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    judged = {r["doc_id"]: r["base_failed"] for r in quality.judge(docs).collect()}
+    host = lambda i: "bad" if judged[i] or i % 29 == 0 else f"h{i % 7}"
+    moved = spark.createDataFrame([(r["doc_id"], r["text"], host(r["doc_id"])) for r in docs.collect()], "doc_id long, text string, source string")
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge(moved).collect()}
+    dropped = {i for i in judged if not judged[i] and not kept[i]}
+    assert dropped == {i for i in judged if not judged[i] and host(i) == "bad"} and dropped
+    assert {r["doc_id"] for r in quality.accepted(moved).collect()} == {i for i in judged if kept[i]}
+    check(spark, lambda spark, _: quality.judge(moved).drop("host_rate"), quality.ORACLE, sf, documents=moved)
+
+
+def test_rejected_hosts_of_many_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(quality, "HOSTS", 2)
+    good = " ".join(f"w{i}" for i in range(80))
+    rows = [(i, "short" if i % 2 else good, f"bad{i % 7}") for i in range(140)] + [(1000 + i, good, f"h{i % 50}") for i in range(1000)]
+    kept = {r["doc_id"] for r in quality.accepted(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert kept == {1000 + i for i in range(1000)}
+
+
 def test_bad_hosts_go(spark):
     good = " ".join(f"w{i}" for i in range(80))
     rows = [(i, "short" if i % 10 else good, "bad") for i in range(100)] + [(1000 + i, good, f"h{i % 5}") for i in range(100)] + [(5000, good, None)]
@@ -373,8 +428,16 @@ def test_shards_query(spark, sf, documents, monkeypatch):
 
 def test_shards_are_uniform():
     """The matrix has the hypergeometric mean and variance, and large populations follow the same law."""
-    draws = np.array([shards.communication_matrix(np.array([30, 70]), np.array([40, 60]), s)[0, 0] for s in range(3000)])
+    draws = np.array([shards.Matrix(np.array([30, 70]), np.array([40, 60]), s).row(0)[0][0] for s in range(3000)])
     assert abs(draws.mean() - 12) < 0.25 and abs(draws.var() - 30 * 0.4 * 0.6 * 70 / 99) < 0.5
+    parts, blocks = np.array([5, 0, 17, 3, 8, 30, 1]), np.array([20, 20, 24])
+    draws = []
+    for seed in range(2000):
+        rows = [shards.Matrix(parts, blocks, seed).row(p) for p in range(len(parts))]
+        assert all(own.sum() == n and (own >= 0).all() for n, (own, _) in zip(parts, rows)) and (sum(own for own, _ in rows) == blocks).all()
+        assert all((before == sum((own for own, _ in rows[:p]), np.zeros(3))).all() for p, (_, before) in enumerate(rows))
+        draws.append(rows[5][0][2])
+    assert abs(np.mean(draws) - 30 * 24 / 64) < 0.25 and abs(np.var(draws) - 30 * 24 / 64 * 40 / 64 * 34 / 63) < 0.4
     rng = np.random.default_rng(0)
     big = np.array([shards.hypergeometric(rng, 2 * 10**9, 3 * 10**9, 1000) for _ in range(2000)])
     assert abs(big.mean() - 400) < 2 and abs(big.var() / 240 - 1) < 0.15
