@@ -28,14 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64, shingle_hashes, string_bytes, word_hashes
-from .links import EDGES, PACKED, Forest, components, dealt, each_cluster, linked, may_contain, member_filter, packed_batch, packed_rows, runs, unpacked
+from .common import discard, joined_by_size, materialise, mix64, shingle_hashes, string_bytes, word_hashes
+from .links import PACKED, Forest, components, dealt, each_cluster, linked, may_contain, member_filter, packed_batch, packed_rows, runs, unpacked
 
 WORDS = 5
 #: Similarity 0.8 as integers: 100 * intersection >= 80 * union.
 NEED, OF = 80, 100
 GROUPS = 64
-LEAF = 32
+#: Points of a leaf, and children of a box.
+FAN = 4
 #: Shingles of an exchange's bucket.
 BUCKET_SHINGLES = 2_000_000
 #: Shingles that one task links at a time.
@@ -185,52 +186,61 @@ def prefixes(sets: DataFrame) -> DataFrame:
     return own.groupBy("slot").cogroup(answers.groupBy("slot")).applyInArrow(_prefixes, "item long, head long")
 
 
+class Tree:
+    """An R-tree over the group counts of sets. Leaves and boxes have FAN members each; a box has the largest count of each group and the
+    range of sizes. `seen` and `skipped` count the points that searches looked at, and those that a box's bound kept from it."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        n = len(sets)
+        self.sizes = np.array([len(s) for s in sets])
+        self.points = np.stack([np.bincount((s >> np.uint64(20)).astype(np.int64) % GROUPS, minlength=GROUPS) for s in sets]).astype(np.int32)
+        # Leaves hold points that are close: by size, then by the coordinates with the widest spread.
+        order = np.argsort(self.sizes, kind="stable")
+        for depth, k in enumerate(np.argsort(-self.points.var(0))[:4], 1):
+            step = max(FAN, n // 2**depth + 1)
+            order = np.concatenate([t[np.argsort(self.points[t, k], kind="stable")] for t in np.split(order, range(step, n, step))])
+        self.order, self.place = order, np.empty(n, np.int64)
+        self.place[order] = np.arange(n)
+        self.levels, level = [], (self.points[order], self.sizes[order], self.sizes[order])
+        while len(level[1]) > 1:
+            heads = np.arange(0, len(level[1]), FAN)
+            level = (np.maximum.reduceat(level[0], heads), np.minimum.reduceat(level[1], heads), np.maximum.reduceat(level[2], heads))
+            self.levels.append(level)
+        self.seen = self.skipped = 0
+
+    def reach(self, level: tuple, boxes: np.ndarray, q: int) -> np.ndarray:
+        """Those boxes that may hold a partner: (100 + 80) * overlap >= 80 * (sum of sizes) for some size that the box has. The
+        overlap is at most the sum over groups of the smaller of the set's count and the box's."""
+        corner, low, up = (x[boxes] for x in level)
+        size = self.sizes[q]
+        ok = (NEED * low <= OF * size) & (OF * up >= NEED * size)
+        ok[ok] = (OF + NEED) * np.minimum(corner[ok], self.points[q]).sum(1) >= NEED * (size + np.maximum(low[ok], NEED * size // OF))
+        return boxes[ok]
+
+    def before(self, q: int) -> np.ndarray:
+        """The sets earlier in the tree's order that the bounds allow to be partners of q."""
+        until, boxes = int(self.place[q]), np.zeros(1, np.int64)
+        for depth in range(len(self.levels) - 1, -1, -1):
+            boxes = self.reach(self.levels[depth], boxes[boxes * FAN ** (depth + 1) < until], q)
+            boxes = (boxes[:, None] * FAN + np.arange(FAN)).ravel()
+        near = boxes[boxes < until]
+        self.seen += len(near)
+        self.skipped += until - len(near)
+        near = self.order[near]
+        return near[(OF + NEED) * np.minimum(self.points[near], self.points[q]).sum(1) >= NEED * (self.sizes[near] + self.sizes[q])]
+
+
 def rtree_links(sets: list[np.ndarray], seeds: np.ndarray) -> list[tuple[int, int]]:
     """Linked pairs of indexes that connect all that links connect beyond the seeds."""
-    n = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    points = np.stack([np.bincount((s >> np.uint64(20)).astype(np.int64) % GROUPS, minlength=GROUPS) for s in sets]).astype(np.int32)
-    # Leaves hold points that are close: by size, then by the coordinates with the widest spread.
-    wide = np.argsort(-points.var(0))[:4]
-    tiles = np.argsort(sizes, kind="stable")
-    for depth, k in enumerate(wide, 1):
-        step = max(LEAF, n // 2**depth + 1)
-        tiles = np.concatenate([t[np.argsort(points[t, k], kind="stable")] for t in np.split(tiles, range(step, n, step))])
-    heads = np.arange(0, n, LEAF)
-    high = np.maximum.reduceat(points[tiles], heads)
-    least = np.minimum.reduceat(sizes[tiles], heads)
-    most = np.maximum.reduceat(sizes[tiles], heads)
-    top_heads = np.arange(0, len(heads), LEAF)
-    top_high, top_least, top_most = np.maximum.reduceat(high, top_heads), np.minimum.reduceat(least, top_heads), np.maximum.reduceat(most, top_heads)
-    forest, out = Forest(seeds), []
-    place = np.empty(n, np.int64)
-    place[tiles] = np.arange(n)
+    tree, forest, out = Tree(sets), Forest(seeds), []
     roots, fresh = forest.roots(), 0
-
-    def reach(corner: np.ndarray, low: np.ndarray, up: np.ndarray, q: int) -> np.ndarray:
-        """Which boxes may hold a partner: (100 + 80) * overlap >= 80 * (sum of sizes) for some size that the box has."""
-        size = sizes[q]
-        ok = (NEED * low <= OF * size) & (OF * up >= NEED * size)
-        ok[ok] = (OF + NEED) * np.minimum(corner[ok], points[q]).sum(1) >= NEED * (size + np.maximum(low[ok], NEED * size // OF))
-        return ok
-
-    for q in tiles.tolist():
-        boxes = np.flatnonzero(reach(top_high, top_least, top_most, q))
-        leaves = np.concatenate([np.arange(t * LEAF, min(len(heads), (t + 1) * LEAF)) for t in boxes]) if len(boxes) else np.zeros(0, np.int64)
-        leaves = leaves[leaves <= place[q] // LEAF]  # each pair once
-        leaves = leaves[reach(high[leaves], least[leaves], most[leaves], q)]
-        if not len(leaves):
-            continue
-        near = (leaves[:, None] * LEAF + np.arange(LEAF)).ravel()
-        near = tiles[near[near < place[q]]]
+    for q in tree.order.tolist():
         if fresh:
             roots, fresh = forest.roots(), 0
-        near = near[roots[near] != forest.root(q)]  # what is connected already needs no link
-        if not len(near):
-            continue
-        bound = np.minimum(points[near], points[q]).sum(1)
-        ok = (OF + NEED) * bound >= NEED * (sizes[near] + sizes[q])
-        for p in near[ok][np.argsort(-bound[ok], kind="stable")].tolist():
+        near = tree.before(q)
+        near = near[roots[near] != roots[q]]  # what is connected already needs no link
+        bound = np.minimum(tree.points[near], tree.points[q]).sum(1)
+        for p in near[np.argsort(-bound, kind="stable")].tolist():
             if forest.root(p) != forest.root(q) and similar(sets[p], sets[q]):
                 forest.join(p, q)
                 out.append((p, q))
@@ -269,8 +279,9 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = docs.mapInArrow(lambda batches: _sets(batches, wanted), "item long, weight long, payload binary")
     sets = materialise(found.join(candidates, "item", "left_semi").groupBy("item").agg(F.first("weight").alias("weight"), F.first("payload").alias("payload")), "sets")
     heads = materialise(prefixes(sets), "prefixes")
-    firsts = heads.groupBy("head").agg(F.min("item").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
-    coarse = components(heads.join(firsts, "head").select("a", F.col("item").alias("b")))
+    firsts = materialise(heads.groupBy("head").agg(F.min("item").alias("a"), F.count("*").alias("c")).where("c > 1"), "heads")
+    coarse = components(joined_by_size(heads, firsts, "head", "c", heads.count()).select("a", F.col("item").alias("b")))
+    discard(heads, firsts)
     items = sets.join(coarse.withColumnRenamed("node", "item"), "item")
     labels = components(linked(items, each_cluster(rtree_links), TASK_SHINGLES)).select(F.col("node").alias("item"), F.col("label").alias("__label"))
     labelled = materialise(rows.join(labels, "item", "left").select("__id", "n", F.when(F.col("n") > 0, F.coalesce("__label", "item")).alias("__group")), "labelled")
