@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -47,9 +48,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
     The files go when the session's JVM ends, or before by discard().
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/plumbline-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    return materialise_parts([df], name)
+
+
+def materialise_parts(parts: Iterable[DataFrame], name: str) -> DataFrame:
+    """One table of several DataFrames with the same columns, written one after the other."""
+    path = ""
+    for df in parts:
+        spark = df.sparkSession
+        path = path or f"{shared_dir(spark)}/plumbline-{name}-{uuid.uuid4().hex}"
+        df.write.mode("append").parquet(path)
     where, files = _file_system(spark, path)
     files.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)

@@ -1,12 +1,13 @@
 """Exact deduplication by two-pass Bloom filtering, with DataFrame functions only.
 
-Pass one counts, for two hash functions, the filter bits that rows hit; bits hit at least twice are packed into bitmaps.
-Pass two tests each row's two bits: a row that misses either bit has no equal and passes straight through. Only the
-remaining rows, the repeated ones and a few false positives, are shuffled by digest and resolved exactly.
-
-Bounds. The bitmaps are broadcast; together they take at most 2 * max_bits / 8 bytes whatever the input. Beyond
-max_bits / 16 rows the filter gets fuller and more rows take the exact path; results don't change. Groups with at least a
-thousandth of the rows (so at most 1,000 of them) are joined back by broadcast, so that no task gets a hot group.
+Pass one counts how many rows hit each bit of a filter; bits hit at least twice are packed into bitmaps. All that it moves is one number a
+row, the bit, added up before the exchange. Pass two tests each row's bit: a row that misses has no equal and passes straight
+through. Only the remaining rows, the repeated ones and about one in 32 of the others, are shuffled by digest and resolved exactly.
+
+Digests are dealt into ranges of about RANGE_ROWS rows, each with a filter of its own of 32 to 64 bits a row, so a filter is never
+fuller and never larger (RANGE_ROWS * 64 bits, 128 MB) however many rows there are. Filters are made, broadcast and applied
+one after the other. Groups with at least a thousandth of the rows (so at most 1,000 of them) are joined back by broadcast, so that no
+task gets a hot group.
 """
 
 from __future__ import annotations
@@ -14,35 +15,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialise
+from .common import ascii_lower, discard, joined_by_size, materialise, materialise_parts
 
-_OWN = ("__row", "__id", "__digest")
+#: Rows of one filter, about.
+RANGE_ROWS = 1 << 24
+BITS_A_ROW = 32
 
 
-def _slot(seed: int, bits: int) -> Column:
-    return F.pmod(F.xxhash64(F.col("__digest"), F.lit(seed)), F.lit(bits))
+def _slot(bits: int) -> Column:
+    return F.pmod(F.xxhash64(F.col("__digest")), F.lit(bits))
 
 
 def repeated_bits(hashed: DataFrame, bits: int) -> DataFrame:
-    """(fn, bucket, bitmap): for each of two hash functions, the bits that at least two rows hit."""
-    slots = hashed.select(F.explode(F.array(*[F.struct(F.lit(k).alias("fn"), _slot(k, bits).alias("slot")) for k in (0, 1)])).alias("x")).select("x.*")
-    twice = slots.groupBy("fn", "slot").agg(F.count("*").alias("hits")).where("hits > 1")
-    return twice.groupBy("fn", F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap"))
+    """(bucket, bitmap): the bits that at least two rows hit."""
+    twice = hashed.groupBy(_slot(bits).alias("slot")).agg(F.count("*").alias("hits")).where("hits > 1")
+    return twice.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap"))
 
 
 def maybe_repeated(hashed: DataFrame, bits: int) -> DataFrame:
     """hashed with a column __again: false only for rows whose digest surely occurs once."""
-    bitmaps = materialise(repeated_bits(hashed, bits), "bloom")
-    out = hashed
-    for k in (0, 1):
-        side = bitmaps.where(F.col("fn") == k).select(F.col("bucket").alias(f"__bucket{k}"), F.col("bitmap").alias(f"__bitmap{k}"))
-        out = out.withColumn(f"__bucket{k}", F.bitmap_bucket_number(_slot(k, bits))).join(F.broadcast(side), f"__bucket{k}", "left")
-    tests = []
-    for k in (0, 1):
-        at = F.bitmap_bit_position(_slot(k, bits))
-        byte = F.conv(F.hex(F.substring(F.col(f"__bitmap{k}"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        tests.append(F.coalesce(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1, F.lit(False)))
-    return out.withColumn("__again", tests[0] & tests[1]).drop(*[f"__{x}{k}" for x in ("bucket", "bitmap") for k in (0, 1)])
+    bitmaps = materialise(repeated_bits(hashed, bits), "bloom").select(F.col("bucket").alias("__bucket"), F.col("bitmap").alias("__bitmap"))
+    out = hashed.withColumn("__bucket", F.bitmap_bucket_number(_slot(bits))).join(F.broadcast(bitmaps), "__bucket", "left")
+    at = F.bitmap_bit_position(_slot(bits))
+    byte = F.conv(F.hex(F.substring("__bitmap", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return out.withColumn("__again", F.coalesce(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1, F.lit(False))).drop("__bucket", "__bitmap")
+
+
+def flagged(hashed: DataFrame, rows: int) -> DataFrame:
+    """hashed (a written table of so many rows) with __again, range by range."""
+    ranges, bits = 1 + rows // RANGE_ROWS, 1 << 16
+    while bits < BITS_A_ROW * (rows // ranges):
+        bits *= 2
+    of = F.pmod(F.xxhash64(F.col("__digest"), F.lit("range")), F.lit(ranges))
+    return materialise_parts((maybe_repeated(hashed.where(of == r), bits) for r in range(ranges)), "flagged")
 
 
 def digest_of(text_col: str) -> Column:
@@ -50,14 +55,7 @@ def digest_of(text_col: str) -> Column:
     return F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))
 
 
-def filter_bits(rows: int, max_bits: int) -> int:
-    bits = 1 << 20
-    while bits < min(16 * rows, max_bits):
-        bits *= 2
-    return bits
-
-
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 1 << 30) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id_col, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of a group the row with the largest id
@@ -66,22 +64,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     hashed = materialise(docs.select(F.col(id_col).alias("__id"), digest_of(text_col).alias("__digest")).withColumn("__row", F.monotonically_increasing_id()), "digests")
     rows = hashed.count()
-    flagged = maybe_repeated(hashed, filter_bits(rows, max_bits))
-    single = flagged.where(~F.col("__again")).select("__id", F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "__digest")
-    again = flagged.where("__again")
-    groups = materialise(again.groupBy("__digest").agg(F.max(F.struct("__id", "__row")).alias("top"), F.count("*").alias("group_size")), "groups")
-    hot_rows = max(1000, rows // 1000)
-    hot = F.broadcast(groups.where(F.col("group_size") >= hot_rows).select("__digest", F.col("top").alias("hot_top"), F.col("group_size").alias("hot_size")))
-    marked = again.join(hot, "__digest", "left")
-    cold = groups.where(F.col("group_size") < hot_rows)
-    resolved = marked.where("hot_top is not null").withColumns({"top": F.col("hot_top"), "group_size": F.col("hot_size")}).unionByName(
-        marked.where("hot_top is null").join(cold, "__digest"), allowMissingColumns=True
-    )
+    all_rows = flagged(hashed, rows)
+    discard(hashed)
+    single = all_rows.where(~F.col("__again")).select("__id", F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "__digest")
+    again = all_rows.where("__again").drop("__again")
+    groups = again.groupBy("__digest").agg(F.max(F.struct("__id", "__row")).alias("top"), F.count("*").alias("group_size"))
+    groups = materialise(groups.withColumn("size", F.col("group_size")), "groups")
+    resolved = joined_by_size(again, groups, "__digest", "size", rows)
     resolved = resolved.select("__id", F.col("top.__id").alias("keep_id"), "group_size", (F.col("top.__row") == F.col("__row")).alias("kept"), "__digest")
     return single.unionByName(resolved).select(F.col("__id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("__digest")).alias("text_sha256"))
 
 
-def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 1 << 30) -> DataFrame:
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that exact_groups keeps, with all their columns: one of each group of equal texts.
 
     Rows are told apart by row, not by id, so ids may be null or repeat. Rows that surely occur once go straight through; the
@@ -89,10 +83,11 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     """
     own = {"__id": F.col(id_col), "__digest": digest_of(text_col), "__row": F.monotonically_increasing_id()}
     hashed = materialise(docs.withColumns(own), "digested-rows")
-    flagged = maybe_repeated(hashed, filter_bits(hashed.count(), max_bits))
-    again = flagged.where("__again")
+    all_rows = flagged(hashed, hashed.count())
+    discard(hashed)
+    again = all_rows.where("__again")
     top = again.groupBy("__digest").agg(F.max(F.struct("__id", "__row")).alias("top")).select(F.col("top.__row").alias("__row"))
-    return flagged.where(~F.col("__again")).unionByName(again.join(top, "__row", "left_semi")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return all_rows.where(~F.col("__again")).unionByName(again.join(top, "__row", "left_semi")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:

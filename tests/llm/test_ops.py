@@ -480,6 +480,26 @@ def test_jaccard_brute_force(spark, sf, documents, monkeypatch, task):
     assert got == brute_components(documents)
 
 
+def test_tree_skips_boxes_and_loses_no_link(sf, monkeypatch):
+    """Over all sets of the table with a partner, planted in one tree: bounds skip most points, and every link is found."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet").column("text").combine_chunks()
+    grams, at, prints = jaccard_join.text_sets(texts)
+    _, first = np.unique(prints, return_index=True)
+    sets = [grams[at[i] : at[i + 1]] for i in first.tolist() if at[i + 1] > at[i]]
+    trees, made = [], jaccard_join.Tree
+    monkeypatch.setattr(jaccard_join, "Tree", lambda sets: trees.append(made(sets)) or trees[-1])
+    found = jaccard_join.rtree_links(sets, np.arange(len(sets)))
+    want = brute_links([frozenset(s.tolist()) for s in sets])
+    forest = links.Forest(np.arange(len(sets)))
+    for p, q in found:
+        assert jaccard_join.similar(sets[p], sets[q])
+        forest.join(p, q)
+    assert len(found) == len(sets) - len(set(want)) and all(forest.root(i) == forest.root(w) for i, w in enumerate(want))
+    assert trees[0].skipped > 2 * trees[0].seen > 0
+
+
 def test_jaccard_chain(spark, monkeypatch):
     """A chain of near copies whose ends aren't similar is one component, chunks or not."""
     words = [f"w{i}" for i in range(260)]
@@ -579,9 +599,10 @@ def test_dedup_cases(spark, odd, empty):
     assert exact_dedup.exact_groups(empty).count() == 0
 
 
-def test_dedup_with_a_full_filter(spark):
+def test_dedup_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "RANGE_ROWS", 5000)
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), (F.col("id") % 15_000).cast("string").alias("text"))
-    got = exact_dedup.exact_groups(docs, max_bits=1 << 10)
+    got = exact_dedup.exact_groups(docs)
     assert got.where("kept").count() == 15_000 and got.where("group_size = 2").count() == 10_000
 
 
@@ -593,7 +614,7 @@ def test_survivors_are_whole_rows(spark, sf, odd, empty):
     assert kept.columns == odd.columns and kept.count() == 6 and exact_dedup.survivors(empty).count() == 0
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     want = docs.join(exact_dedup.exact_groups(docs).where("kept").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    assert sorted(map(tuple, exact_dedup.survivors(docs, max_bits=1 << 6).collect())) == sorted(map(tuple, want.collect()))
+    assert sorted(map(tuple, exact_dedup.survivors(docs).collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_bloom_lets_singles_pass(spark):
