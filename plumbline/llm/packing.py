@@ -15,11 +15,13 @@ targets are the corpus's own proportions, and there is one phase. All tokens are
 sequence is short.
 
 pack() gives the pieces with their token ids, sequences() brings the pieces of each sequence together and fills it, and
-pieces_of() cuts filled sequences into their pieces again.
+pieces_of() cuts filled sequences into their pieces again. On the way ids take two bytes where the vocabulary allows it
+(id_kind); pieces_of() gives them as four.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import cache, partial
 
@@ -101,13 +103,20 @@ class Encoder:
         return encode_by_chunks(text, self.chunks)
 
 
+def id_kind(path: str) -> str:
+    """The numpy kind of token ids in packed sequences: two bytes if all ids of the vocabulary fit."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(Tokenizer.from_file(path).get_vocab().values()) < 1 << 16 else "<u4"
+
+
 @cache
 def encoder(path: str, pattern: str) -> Encoder:
     """One for each worker process."""
     return Encoder(path, pattern)
 
 
-def _tokens(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+def _tokens(batches: Iterator[pa.RecordBatch], path: str, pattern: str, kind: str) -> Iterator[pa.RecordBatch]:
     own, part, served = encoder(path, pattern), TaskContext.get().partitionId(), {}
     end = np.array([END_ID], np.uint32).tobytes()
     for batch in slices(batches, "__text"):
@@ -115,8 +124,9 @@ def _tokens(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Itera
         own.learn(texts)
         ids, before, n = [], [], []
         for text, source in zip(texts, sources):
-            ids.append(own.encode(text) + end)
-            n.append(len(ids[-1]) // 4)
+            four = own.encode(text) + end
+            ids.append(np.frombuffer(four, "<u4").astype(kind).tobytes())
+            n.append(len(four) // 4)
             before.append(served.get(source, 0))
             served[source] = before[-1] + n[-1]
         yield pa.RecordBatch.from_arrays(
@@ -206,7 +216,7 @@ class Phase:
         return out
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], plan: list, sequence: int, window: int, id_name: str) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], plan: list, sequence: int, window: int, id_name: str, width: int) -> Iterator[pa.RecordBatch]:
     by_source: dict[str, list[tuple[int, int, int, Phase]]] = {}
     for begin, shares in plan:
         phase = Phase([n for _, _, n in shares], begin, window)
@@ -233,10 +243,10 @@ def _pieces(batches: Iterator[pa.RecordBatch], plan: list, sequence: int, window
                         offset = position % sequence
                         take = min(length, sequence - offset)
                         first = done + start
-                        for column, value in zip(rows, (k, first, take, bytes(ids[4 * first : 4 * (first + take)]), n, position // sequence, offset)):
+                        for column, value in zip(rows, (k, first, take, bytes(ids[width * first : width * (first + take)]), n, position // sequence, offset)):
                             column.append(value)
                         start, length, position = start + take, length - take, position + take
-                        size += 4 * take
+                        size += width * take
                         if size >= BATCH_BYTES:
                             yield made(batch, rows)
                             rows, size = [[] for _ in names], 0
@@ -247,28 +257,26 @@ def _pieces(batches: Iterator[pa.RecordBatch], plan: list, sequence: int, window
 
 
 def pack(docs: DataFrame, path: str, pattern: str, weights: dict[str, float] | None = None, sequence: int = SEQUENCE, window_sequences: int = WINDOW_SEQUENCES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per piece: id_col, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset.
+    """One row per piece: id_col, start, length, ids, doc_tokens, sequence_id, offset.
 
-    ids are the piece's token ids, little-endian unsigned 32-bit integers, and ids_crc32 their checksum. Null text is empty and has its end id alone; rows without a source form one queue; repeated rows are packed each; other
-    columns are not read; empty input gives no rows. weights: target token proportions by source. The driver gets one number
-    for each source (sources of a mixture are few and named in its configuration).
+    ids are the piece's token ids, little-endian, of id_kind(path). Null text is empty and has its end id alone; rows without a
+    source form one queue; repeated rows are packed each; other columns are not read; empty input gives no rows. weights:
+    target token proportions by source. The driver gets one number for each source (sources of a mixture are few and named
+    in its configuration), and a number for each source and input partition comes to the texts' tasks.
     """
+    width = np.dtype(kind := id_kind(path)).itemsize
     docs = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE)).alias("__source"), F.col(text_col).alias("__text"))
-    id_kind = dict(docs.dtypes)["__id"]
-    tokens = materialise(docs.mapInArrow(partial(_tokens, path=path, pattern=pattern), f"__id {id_kind}, __source string, __part int, __before long, __n long, __ids binary"), "tokens")
+    own = dict(docs.dtypes)["__id"]
+    tokens = materialise(docs.mapInArrow(partial(_tokens, path=path, pattern=pattern, kind=kind), f"__id {own}, __source string, __part int, __before long, __n long, __ids binary"), "tokens")
     served = tokens.groupBy("__source", "__part").agg(F.max(F.col("__before") + F.col("__n")).alias("__served"))
     queue = Window.partitionBy("__source").orderBy("__part")
     base = materialise(served.withColumn("__base", F.sum("__served").over(queue) - F.col("__served")), "queue-starts")
     totals = {r["__source"]: r["n"] for r in base.groupBy("__source").agg(F.sum("__served").alias("n")).collect()}
-    placed = tokens.join(base, ["__source", "__part"]).select("__id", "__source", (F.col("__base") + F.col("__before")).alias("__at"), "__n", "__ids")
-    run = partial(_pieces, plan=phases(totals, weights), sequence=sequence, window=sequence * window_sequences, id_name=id_col)
-    pieces = placed.mapInArrow(run, f"`{id_col}` {id_kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
-    return pieces.select(*piece_columns(id_col))
-
-
-def piece_columns(id_col: str) -> list:
-    """The columns of a piece."""
-    return [F.col(f"`{id_col}`"), "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"]
+    # The queue starts come as one array a partition, so that the join's key is the partition's number.
+    starts = base.groupBy("__part").agg(F.map_from_entries(F.collect_list(F.struct("__source", "__base"))).alias("__bases"))
+    placed = tokens.join(starts, "__part").withColumn("__base", F.element_at("__bases", F.col("__source"))).select("__id", "__source", (F.col("__base") + F.col("__before")).alias("__at"), "__n", "__ids")
+    run = partial(_pieces, plan=phases(totals, weights), sequence=sequence, window=sequence * window_sequences, id_name=id_col, width=width)
+    return placed.mapInArrow(run, f"`{id_col}` {own}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def sequences(pieces: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -277,18 +285,33 @@ def sequences(pieces: DataFrame, id_col: str = "doc_id") -> DataFrame:
     The pieces of a sequence meet in one row: a sequence has as many pieces as tokens at most.
     """
     piece = F.struct("offset", F.col(f"`{id_col}`").alias("id"), "start", "length", "doc_tokens", "ids")
-    by = pieces.groupBy("sequence_id").agg(F.array_sort(F.collect_list(piece)).alias("__pieces"))
+    by = pieces.groupBy("sequence_id").agg(F.array_sort(F.collect_list(piece)).alias("__pieces"), F.sum("length").alias("n_tokens"))
     ids = F.aggregate("__pieces", F.lit(b""), lambda all_ids, p: F.concat(all_ids, p["ids"]))
     origin = F.transform("__pieces", lambda p: F.struct(p["id"].alias("id"), p["start"].alias("start"), p["length"].alias("length"), p["doc_tokens"].alias("doc_tokens"), p["offset"].alias("offset")))
-    return by.select("sequence_id", (F.octet_length(ids) / 4).cast("long").alias("n_tokens"), ids.alias("ids"), origin.alias("pieces"))
+    return by.select("sequence_id", "n_tokens", ids.alias("ids"), origin.alias("pieces"))
+
+
+def _cut(batches: Iterator[pa.RecordBatch], id_name: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pieces = batch.column("pieces")
+        flat, counts = pieces.flatten(), np.diff(pieces.offsets.to_numpy())
+        of = np.repeat(np.arange(len(batch)), counts)
+        length, offset = (flat.field(c).to_numpy() for c in ("length", "offset"))
+        four = []  # each sequence's ids, as four bytes each
+        for raw, n in zip(batch.column("ids"), batch.column("n_tokens").to_pylist()):
+            raw = raw.as_buffer()
+            four.append(np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4"))
+        ids = [four[s][o : o + n].tobytes() for s, o, n in zip(of.tolist(), offset.tolist(), length.tolist())]
+        columns = [flat.field("id"), flat.field("start"), flat.field("length"), pa.array(ids, pa.binary()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), flat.field("doc_tokens"), batch.column("sequence_id").take(pa.array(of)), flat.field("offset")]
+        yield pa.RecordBatch.from_arrays(columns, names=[id_name, "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
 
 def pieces_of(packed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The pieces of filled sequences, with the columns of pack(); ids are read from where they lie in the sequence."""
-    cut = lambda p: F.substring("ids", (4 * p["offset"] + 1).cast("int"), (4 * p["length"]).cast("int"))
-    placed = packed.select("sequence_id", F.explode(F.transform("pieces", lambda p: F.struct(p.alias("p"), cut(p).alias("ids")))).alias("x"))
-    flat = placed.select(F.col("x.p.id").alias(id_col), "x.p.start", "x.p.length", "x.ids", "x.p.doc_tokens", "sequence_id", "x.p.offset")
-    return flat.select(*piece_columns(id_col))
+    """The pieces of filled sequences, with the columns of pack() and ids_crc32, the checksum of their ids. ids are read from
+    where they lie in the sequence and given as little-endian unsigned 32-bit integers."""
+    kind = packed.schema["pieces"].dataType.elementType["id"].dataType.simpleString()
+    schema = f"`{id_col}` {kind}, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    return packed.mapInArrow(partial(_cut, id_name=id_col), schema)
 
 
 def op4_mixture_packing(spark, sf_dir: str) -> DataFrame:

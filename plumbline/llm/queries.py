@@ -1,9 +1,7 @@
-"""The queries of this package and their SQL."""
+"""The queries of this package and their SQL; the pipeline on top of it is corpus_pipeline at the repository's top."""
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import bpe, chat, exact_dedup, html_extract, interpolated_lm, jaccard_join, line_dedup, packing, quality, shards
 
 
@@ -19,7 +17,6 @@ def queries() -> dict:
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "op9_interpolated_lm": interpolated_lm.op9_interpolated_lm,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
-        "pipeline": corpus_pipeline.run,
     }
 
 
