@@ -4,63 +4,62 @@ from __future__ import annotations
 
 import json
 import re
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_FENCE = re.compile(r"```(?:json)?\s*(.*?)\s*```", re.DOTALL)
+#: Fixed value: a code fence anywhere.
+FENCE = re.compile(r"```(?:json)?\s*(.*?)\s*```", re.DOTALL)
+#: What decides where an object ends: whole strings, and braces outside of them. A string that never ends hides the rest.
+_TOKENS = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\Z)|[{}]', re.DOTALL)
 CALLS = T.ArrayType(T.StructType([T.StructField("tool_name", T.StringType()), T.StructField("parameters", T.StringType())]))
 
 
 def first_object(text: str) -> str | None:
-    """The first {...} with balanced braces, braces in strings aside."""
-    begin = text.find("{")
-    if begin < 0:
-        return None
-    depth, quoted, skip = 0, False, False
-    for at, c in enumerate(text[begin:], begin):
-        if skip:
-            skip = False
-        elif quoted:
-            skip, quoted = c == "\\", c != '"'
-        elif c == '"':
-            quoted = True
-        elif c in "{}":
-            depth += 1 if c == "{" else -1
-            if not depth:
-                return text[begin : at + 1]
-    return None
+    """The text from its first brace to the one that balances it; None without such."""
+    start = text.find("{")
+    braces = [m for m in _TOKENS.finditer(text, max(start, 0)) if m[0] in "{}"] if start >= 0 else []
+    depths = accumulate(1 if m[0] == "{" else -1 for m in braces)
+    return next((text[start : m.end()] for m, depth in zip(braces, depths) if depth == 0), None)
+
+
+def read_json(text: str | None):
+    """(whether it is JSON, the value)."""
+    try:
+        return text is not None, json.loads(text) if text is not None else None
+    except json.JSONDecodeError:
+        return False, None
 
 
 def payload(text: str | None) -> dict | None:
-    """The object that a text is or holds, fenced or amid prose; a list stands for its tool calls."""
+    """The object that a text is or holds, in a fence or amid prose. A list at the top is one of calls; any other JSON is nothing."""
     if text is None:
         return None
-    text = text.strip()
-    fenced = _FENCE.search(text)
-    text = fenced[1] if fenced else text
-    for candidate in (text, first_object(text)):
-        try:
-            found = json.loads(candidate) if candidate is not None else None
-        except json.JSONDecodeError:
-            continue
-        return {"tool_calls": found} if isinstance(found, list) else found if isinstance(found, dict) else None
-    return None
+    inner = FENCE.search(text.strip())
+    body = inner[1] if inner else text.strip()
+    whole, value = read_json(body)
+    if not whole:
+        value = read_json(first_object(body))[1]
+    by_kind = {dict: lambda: value, list: lambda: {"tool_calls": value}}
+    return by_kind.get(type(value), lambda: None)()
+
+
+def is_call(x) -> bool:
+    """A call is an object with a name; its parameters, if there are any, are an object."""
+    return isinstance(x, dict) and isinstance(x.get("tool_name"), str) and isinstance(x.get("parameters", {}), dict)
+
+
+def canonical(value) -> str:
+    return json.dumps(value, sort_keys=True, ensure_ascii=False)
 
 
 def calls_of(text: str | None) -> list[tuple[str, str]] | None:
     """(name, parameters as canonical JSON) of all calls; one malformed call spoils the lot."""
     calls = (payload(text) or {}).get("tool_calls")
-    if not isinstance(calls, list):
-        return None
-    out = []
-    for call in calls:
-        name, params = (call.get("tool_name"), call.get("parameters", {})) if isinstance(call, dict) else (None, None)
-        if not isinstance(name, str) or not isinstance(params, dict):
-            return None
-        out.append((name, json.dumps(params, sort_keys=True, ensure_ascii=False)))
-    return out
+    good = isinstance(calls, list) and all(map(is_call, calls))
+    return [(x["tool_name"], canonical(x.get("parameters", {}))) for x in calls] if good else None
 
 
 def turn_of(text: str) -> dict | None:
@@ -68,11 +67,8 @@ def turn_of(text: str) -> dict | None:
     text = text.strip()
     if text.startswith("```"):
         text = re.sub(r"^json\s*", "", text.strip("`").strip())
-    try:
-        found = json.loads(text)
-    except json.JSONDecodeError:
-        return None
-    return found if isinstance(found, dict) else None
+    value = read_json(text)[1]
+    return value if isinstance(value, dict) else None
 
 
 @F.pandas_udf(CALLS)
@@ -83,4 +79,4 @@ def extract_calls(text: pd.Series) -> pd.Series:
 @F.pandas_udf(T.StringType())
 def parse_turn(text: pd.Series) -> pd.Series:
     """The turn's object as canonical JSON, or null."""
-    return pd.Series([None if t is None or (found := turn_of(t)) is None else json.dumps(found, sort_keys=True, ensure_ascii=False) for t in text])
+    return pd.Series([None if t is None or (found := turn_of(t)) is None else canonical(found) for t in text])

@@ -5,33 +5,50 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The patterns of free-form answers, timestamps and code fences, and what a file name's part may hold.
+OPTION_LETTER = r"^\s*([A-Da-d])[.\s]"
+CHOICE_LETTER = r"^\s*\(?([A-Za-z])\)?\s*[\.\):,-]"
+TIMESTAMP = r"^(2[0-3]|[01]?\d):[0-5]?\d:[0-5]?\d\.\d{1,6}$"
+REWARD_TIMESTAMP = r"^\d{1,2}:\d{2}:\d{2}(?:\.\d{1,3})?$"
+FENCE = r"(?s)```(?:json)?\s*(.*?)\s*```"
+NOT_IN_NAMES = r"[^\p{L}\p{N}_\-]"
 PUNCTUATION = r"""!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~"""
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def is_correct(answer: Column, prediction: Column) -> Column:
-    """The trimmed answer occurs in the prediction, by case; a missing answer ("N/A") and nulls are wrong, an empty one right."""
+    """The stripped answer occurs in the prediction, by case; a missing answer ("N/A") and nulls are wrong, an empty one right."""
     missing = F.coalesce(answer, F.lit("")) == "N/A"
-    return F.coalesce(~missing & F.contains(prediction, F.trim(answer)), F.lit(False))
+    return F.coalesce(~missing & F.contains(prediction, strip(answer)), F.lit(False))
 
 
 def option_letter(text: Column) -> Column:
     """A-D (any case) at the start, followed by a dot or white space; else null."""
-    return F.nullif(F.upper(F.regexp_extract(text, r"^\s*([A-Da-d])[.\s]", 1)), F.lit(""))
+    return F.nullif(F.upper(F.regexp_extract(text, OPTION_LETTER, 1)), F.lit(""))
 
 
 def match_choice(text: Column, choices: Column) -> Column:
     """The index of the choice that a free answer names: by a leading letter with punctuation if it is in range, else the
     choice whose text occurs first (of equals the lower index); null if none does."""
-    letter = F.upper(F.regexp_extract(F.trim(text), r"^\s*\(?([A-Za-z])\)?\s*[\.\):,-]", 1))
+    letter = F.upper(F.regexp_extract(strip(text), CHOICE_LETTER, 1))
     by_letter = F.ascii(letter) - 65
-    found = F.transform(choices, lambda c, i: F.struct(F.when(F.trim(c) != "", F.nullif(F.instr(F.lower(text), F.lower(F.trim(c))), F.lit(0))).alias("at"), i.alias("i")))
+    found = F.transform(choices, lambda c, i: F.struct(F.when(strip(c) != "", F.nullif(F.instr(F.lower(text), F.lower(strip(c))), F.lit(0))).alias("at"), i.alias("i")))
     first = F.array_min(F.filter(found, lambda x: x["at"].isNotNull()))["i"]
     return F.when((letter != "") & (by_letter < F.size(choices)), by_letter).otherwise(first)
 
 
 def normal_token(token: Column) -> Column:
-    """Trimmed, lower case, without punctuation at the ends."""
-    return F.regexp_replace(F.lower(F.trim(token)), f"^[{PUNCTUATION}]+|[{PUNCTUATION}]+$", "")
+    """Stripped, lower case, without punctuation at the ends."""
+    return F.regexp_replace(F.lower(strip(token)), f"^[{PUNCTUATION}]+|[{PUNCTUATION}]+$", "")
 
 
 def parse_timestamp(text: Column) -> Column:
@@ -53,16 +70,17 @@ def format_timestamp(seconds: Column) -> Column:
 
 def valid_timestamp(text: Column) -> Column:
     """Hours 0-23, minutes and seconds 0-59, one or two digits each, and a fraction of one to six digits."""
-    return text.rlike(r"^(2[0-3]|[01]?\d):[0-5]?\d:[0-5]?\d\.\d{1,6}$")
+    return text.rlike(TIMESTAMP)
 
 
 def reward_seconds(text: Column) -> Column:
     """Seconds of HH:MM:SS with an optional fraction of up to three digits, two-digit minutes and seconds; else null."""
-    pattern = r"^(\d{1,2}):(\d{2}):(\d{2})(?:\.(\d{1,3}))?$"
-    t = F.trim(text)
-    h, m, s = (F.regexp_extract(t, pattern, i).try_cast("int") for i in (1, 2, 3))
-    millis = F.coalesce(F.rpad(F.nullif(F.regexp_extract(t, pattern, 4), F.lit("")), 3, "0").try_cast("int") / 1000.0, F.lit(0.0))
-    return F.when(t.rlike(pattern), h * 3600 + m * 60 + s + millis)
+
+    def seconds(t: Column) -> Column:
+        h, m, s = (F.get(F.split(t, ":"), F.lit(i)).try_cast("double") for i in range(3))
+        return F.when(t.rlike(REWARD_TIMESTAMP), h * 3600 + m * 60 + s)
+
+    return let(strip(text), seconds)
 
 
 def numbers_close(pred: Column, truth: Column) -> Column:
@@ -70,37 +88,49 @@ def numbers_close(pred: Column, truth: Column) -> Column:
 
 
 def strings_close(pred: Column, truth: Column) -> Column:
-    """Loose equality of two strings: timestamps within 0.75 s, numbers within tolerance, else equal when trimmed, in any case."""
-    p, t = reward_seconds(pred), reward_seconds(truth)
-    x, y = pred.try_cast("double"), truth.try_cast("double")
-    return (
-        F.when(p.isNotNull() & t.isNotNull(), F.abs(p - t) <= 0.75)
-        .when(x.isNotNull() & y.isNotNull(), F.when(F.isnan(x) | F.isnan(y), F.lit(False)).otherwise(numbers_close(x, y)))
-        .otherwise(F.lower(F.trim(pred)) == F.lower(F.trim(truth)))
-    )
+    """Loose equality of two strings: timestamps within 0.75 s, numbers within tolerance, else equal when stripped, in any case."""
+    read = lambda text: F.struct(text.alias("raw"), strip(text).alias("text"), F.when(F.contains(text, F.lit(":")), reward_seconds(text)).alias("seconds"))
+
+    def same(p: Column, t: Column) -> Column:
+        numbers = lambda x, y: F.when(F.isnan(x) | F.isnan(y), F.lit(False)).otherwise(numbers_close(x, y))
+        # Only texts that end like numbers are read as such.
+        numeric = p["text"].rlike("[0-9.a-zA-Z]$") & p["text"].rlike("^[-+0-9.iInN]") & t["text"].rlike("^[-+0-9.iInN]")
+        x, y = p["raw"].try_cast("double"), t["raw"].try_cast("double")
+        return (
+            F.when(p["seconds"].isNotNull() & t["seconds"].isNotNull(), F.abs(p["seconds"] - t["seconds"]) <= 0.75)
+            .when(F.coalesce(numeric & x.isNotNull() & y.isNotNull(), F.lit(False)), numbers(x, y))
+            .otherwise(F.lower(p["text"]) == F.lower(t["text"]))
+        )
+
+    return let(F.struct(read(pred).alias("p"), read(truth).alias("t")), lambda both: same(both["p"], both["t"]))
 
 
 def values_close(pred: Column, truth: Column) -> Column:
     """Loose equality of two VARIANT values: booleans only equal themselves (and 1 or 0), numbers have a tolerance, strings
-    compare loosely, all else must be equal as JSON."""
-    kp, kt = F.schema_of_variant(pred), F.schema_of_variant(truth)
-    number = lambda k: k.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
-    dbl = lambda v: F.try_variant_get(v, "$", "double")
-    txt = lambda v: F.try_variant_get(v, "$", "string")
-    boolean = (kp == "BOOLEAN") | (kt == "BOOLEAN")
-    as_number = lambda v, k: F.when(k == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double")).when(number(k), dbl(v))
-    return (
-        F.when(boolean, F.coalesce(as_number(pred, kp) == as_number(truth, kt), F.lit(False)))
-        .when(number(kp) & number(kt), numbers_close(dbl(pred), dbl(truth)))
-        .when((kp == "STRING") & (kt == "STRING"), strings_close(txt(pred), txt(truth)))
-        .otherwise(F.coalesce(F.to_json(pred) == F.to_json(truth), F.lit(False)))
-    )
+    compare loosely, all else must be equal as JSON. Kind, number and text of either side are read once."""
+    number = "^(BIGINT|DECIMAL|DOUBLE|FLOAT)"
+
+    def read(v: Column) -> Column:
+        return let(v, lambda x: let(F.schema_of_variant(x), lambda kind: by_kind(x, kind)))
+
+    def by_kind(v: Column, kind: Column) -> Column:
+        value = F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double")).when(kind.rlike(number), F.try_variant_get(v, "$", "double"))
+        return F.struct((kind == "BOOLEAN").alias("boolean"), value.alias("number"), F.when(kind == "STRING", F.try_variant_get(v, "$", "string")).alias("text"), F.when(value.isNull() & (kind != "STRING"), F.to_json(v)).alias("json"))
+
+    def same(p: Column, t: Column) -> Column:
+        return (
+            F.when(p["boolean"] | t["boolean"], p["number"] == t["number"])
+            .when(p["number"].isNotNull() & t["number"].isNotNull(), numbers_close(p["number"], t["number"]))
+            .when(p["text"].isNotNull() & t["text"].isNotNull(), strings_close(p["text"], t["text"]))
+            .otherwise(p["json"] == t["json"])
+        )
+
+    return F.coalesce(let(F.struct(read(pred).alias("p"), read(truth).alias("t")), lambda both: same(both["p"], both["t"])), F.lit(False))
 
 
 def strip_fence(text: Column) -> Column:
     """The content of the first code fence anywhere, or the text."""
-    pattern = r"(?s)```(?:json)?\s*(.*?)\s*```"
-    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1)).otherwise(text)
+    return F.when(text.rlike(FENCE), F.regexp_extract(text, FENCE, 1)).otherwise(text)
 
 
 def count_substring(text: Column, part: str) -> Column:
@@ -118,5 +148,5 @@ def first_filled(*columns: Column) -> Column:
 
 
 def file_suffix(values: Column) -> Column:
-    """The values joined by underscores, with anything but word characters and hyphens made an underscore."""
-    return F.regexp_replace(F.array_join(values, "_"), r"[^\w\-]", "_")
+    """The values joined by underscores, with anything but letters and digits of any script, underscores and hyphens made an underscore."""
+    return F.regexp_replace(F.array_join(values, "_"), NOT_IN_NAMES, "_")

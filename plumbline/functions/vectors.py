@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .scalar import let
 
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
@@ -36,9 +37,9 @@ def db_ratio(db: Column) -> Column:
 
 def scale_to_snr(reference: Column, noise: Column, db: Column) -> Column:
     """noise at a level of db below the reference; unchanged if either is silent."""
-    r, n = rms(reference), rms(noise)
-    factor = r / db_ratio(db) / F.nullif(n, F.lit(0.0))
-    return F.when((r <= 0) | (n <= 0), noise).otherwise(F.transform(noise, lambda v: v * factor))
+    levels = F.struct(rms(reference).alias("r"), rms(noise).alias("n"), db_ratio(db).alias("d"))
+    scaled = lambda x: let(x["r"] / x["d"] / x["n"], lambda factor: F.transform(noise, lambda v: v * factor))
+    return let(levels, lambda x: F.when((x["r"] <= 0) | (x["n"] <= 0), noise).otherwise(scaled(x)))
 
 
 def mean_difference(x: Column, y: Column) -> Column:
@@ -52,12 +53,17 @@ def level_db(x: Column) -> Column:
 def si_sdr(estimate: Column, reference: Column) -> Column:
     """Scale-invariant signal-to-distortion ratio over the common length; NaN if that is empty or the reference silent."""
     n = F.least(F.size(estimate), F.size(reference))
-    e, r = F.slice(estimate, F.lit(1), n), F.slice(reference, F.lit(1), n)
-    scale = dot(e, r) / (dot(r, r) + 1e-8)
-    noise = F.zip_with(e, r, lambda a, b: a - scale * b)
-    ratio = (scale * scale * dot(r, r) + 1e-8) / (dot(noise, noise) + 1e-8)
-    silent = ~F.exists(r, lambda v: F.abs(v) > 1e-8)
-    return F.when((n == 0) | silent, float("nan")).otherwise(10 * F.log10(ratio))
+
+    def ratio(e: Column, r: Column) -> Column:
+        def by_scale(scale: Column) -> Column:
+            noise = F.zip_with(e, r, lambda a, b: a - scale * b)
+            return 10 * F.log10((scale * scale * dot(r, r) + 1e-8) / (let(noise, lambda x: dot(x, x)) + 1e-8))
+
+        silent = ~F.exists(r, lambda v: F.abs(v) > 1e-8)
+        return F.when((F.size(r) == 0) | silent, float("nan")).otherwise(let(dot(e, r) / (dot(r, r) + 1e-8), by_scale))
+
+    cut = F.struct(F.slice(estimate, F.lit(1), n).alias("e"), F.slice(reference, F.lit(1), n).alias("r"))
+    return let(cut, lambda x: ratio(x["e"], x["r"]))
 
 
 def fit_length(x: Column, n: Column) -> Column:
@@ -81,7 +87,7 @@ def fade(x: Column, length: Column) -> Column:
 
 def remove_offset(x: Column) -> Column:
     """x less its mean."""
-    return F.transform(F.array(total(x) / F.size(x)), lambda mean: F.transform(x, lambda v: v - mean))[0]  # the mean once, not for each value
+    return let(total(x) / F.size(x), lambda mean: F.transform(x, lambda v: v - mean))
 
 
 def pre_emphasis(x: Column, coefficient: float) -> Column:
@@ -90,10 +96,8 @@ def pre_emphasis(x: Column, coefficient: float) -> Column:
 
 
 def normalise_peak(x: Column, level: float) -> Column:
-    peak = F.array_max(F.transform(x, F.abs))
-    return F.when(peak > 0, F.transform(x, lambda v: v / peak * level)).otherwise(x)
+    return let(F.array_max(F.transform(x, F.abs)), lambda peak: F.when(peak > 0, F.transform(x, lambda v: v / peak * level)).otherwise(x))
 
 
 def normalise_rms(x: Column, level: float) -> Column:
-    r = rms(x)
-    return F.when(r > 0, F.transform(x, lambda v: v / r * (level / math.sqrt(2)))).otherwise(x)
+    return let(rms(x), lambda r: F.when(r > 0, F.transform(x, lambda v: v / r * (level / math.sqrt(2)))).otherwise(x))

@@ -8,26 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def multiple_choice_prompt(question: Column, choices: Column) -> Column:
-    listed = F.array_join(F.transform(choices, lambda c, i: F.concat(F.char(65 + i), F.lit(". "), c)), "\n")
-    return F.concat(question, F.lit("\nChoices:\n"), listed, F.lit("\nAnswer with the letter and the text of one choice."))
-
-
-def system_prompt(own: Column, built: Column) -> Column:
-    """An own prompt wins; an empty one means no system turn (null); only a missing one is built."""
-    return F.when(own == "", F.lit(None)).otherwise(F.coalesce(own, built))
-
-
-def catalogue(schema: DataFrame) -> DataFrame:
-    """(tool, text) from rows (tool, param, type, allowed, required): the tool's parameters by name."""
-    line = F.concat(
-        F.lit("- "), "param", F.lit(" ("), F.when(F.col("type") == "timestamp", "string").otherwise(F.col("type")), F.lit("), "), F.when(F.col("required"), "required").otherwise("optional"),
-        F.when(F.col("type") == "timestamp", ", format=HH:MM:SS.mmm").otherwise(""), F.when(F.col("allowed").isNotNull(), F.concat(F.lit(", allowed="), F.array_join("allowed", "|"))).otherwise(""),
-    )
-    lines = schema.groupBy("tool").agg(F.sort_array(F.collect_list(line)).alias("lines"))
-    return lines.select("tool", F.concat("tool", F.lit("\nParameters:\n"), F.array_join("lines", "\n")).alias("text"))
-
-
 def call_text(tool: Column, params: Column) -> Column:
     return F.to_json(F.struct(tool.alias("tool_name"), params.alias("parameters")))
 

@@ -43,11 +43,6 @@ class Echo:
         return [p.rsplit("\n", 1)[-1].upper() for p in prompts]
 
 
-def verification_prompt(question, answer, n_audios, token: str):
-    """Asks whether an answer is right; an item without audio still has one token."""
-    return F.concat(F.repeat(F.lit(token), F.greatest(n_audios, F.lit(1))), F.lit("\nQuestion: "), question, F.lit("\nProposed answer: "), answer, F.lit("\nIs the proposed answer correct? Answer yes or no."))
-
-
 def evaluate(items: DataFrame, done: DataFrame, load: Callable[[], Generator]) -> DataFrame:
     """Answers of items (id, prompt, audios, answer) without a result yet, with their correctness."""
     from ..functions.scalar import is_correct

@@ -9,41 +9,112 @@ from ..functions.scalar import valid_timestamp
 
 #: Keys that an entry's metadata must have.
 METADATA_KEYS = ["question", "choice", "answer", "id", "audio_path"]
-#: Tool -> (own parameters as name:type, with | for an enumeration; required ones besides the audio's three).
-SEGMENT_TOOLS = {
-    "asr": (["language:string"], []),
-    "clipping": ([], []),
-    "denoise": (["algorithm:string:spectral_subtraction|wiener|echo_cancellation|adaptive", "noise_factor:number", "sensitivity:number"], ["algorithm"]),
-    "amplitude_normalize": (["target_level:number", "method:string:peak|rms"], []),
-    "loudness_normalize": (["target_lufs:number"], []),
-    "remove_dc_offset": ([], []),
-    "spectral_normalize": (["strength:number"], []),
-    "trim_silence": (["threshold_db:number", "frame_length:integer", "hop_length:integer"], []),
-    "pre_emphasis": (["coef:number"], []),
-    "source_separation": (["target_description:string", "save_residual:boolean"], []),
-    "extract_target": (["target_description:string"], ["target_description"]),
-    "remove_target": (["target_description:string"], ["target_description"]),
-}
-SEGMENT_PARAMETERS = ["audio_path:string", "audio_begin:timestamp", "audio_end:timestamp"]
+#: The parameters of the tools that work on a segment of an audio, besides AUDIO and SEGMENT:
+#: (tool, parameter, type, allowed values, required).
+SEGMENT_TOOLS = ["asr", "clipping", "amplitude_normalize", "loudness_normalize", "remove_dc_offset", "spectral_normalize", "trim_silence", "pre_emphasis", "source_separation"]
+SEGMENT_PARAMETERS = [
+    ("asr", "language", "string", None, False),
+    ("amplitude_normalize", "target_level", "number", None, False),
+    ("amplitude_normalize", "method", "string", ["peak", "rms"], False),
+    ("loudness_normalize", "target_lufs", "number", None, False),
+    ("spectral_normalize", "strength", "number", None, False),
+    ("trim_silence", "threshold_db", "number", None, False),
+    ("trim_silence", "frame_length", "integer", None, False),
+    ("trim_silence", "hop_length", "integer", None, False),
+    ("pre_emphasis", "coef", "number", None, False),
+    ("source_separation", "target_description", "string", None, False),
+    ("source_separation", "save_residual", "boolean", None, False),
+]
+#: Those of the tools that work on a whole audio, besides AUDIO; schedules know three of them, with a segment.
+WHOLE_TOOLS = ["denoise", "extract_target", "remove_target", "human_voice_enhance", "super_resolution", "pitch_shift", "time_stretch"]
+SCHEDULED_WHOLE_TOOLS = ["denoise", "extract_target", "remove_target"]
+SEPARATION_LABELS = ["vocals", "background sound", "background music", "noise"]
+WHOLE_PARAMETERS = [
+    ("denoise", "algorithm", "string", ["spectral_subtraction", "wiener", "echo_cancellation", "adaptive"], True),
+    ("denoise", "noise_factor", "number", None, False),
+    ("denoise", "sensitivity", "number", None, False),
+    ("extract_target", "target_description", "string", SEPARATION_LABELS, True),
+    ("remove_target", "target_description", "string", SEPARATION_LABELS, True),
+    ("super_resolution", "model_name", "string", ["basic", "speech"], False),
+    ("super_resolution", "ddim_steps", "number", None, False),
+    ("super_resolution", "guidance_scale", "number", None, False),
+    ("pitch_shift", "n_steps", "number", None, True),
+    ("pitch_shift", "bins_per_octave", "integer", None, False),
+    ("time_stretch", "rate", "number", None, True),
+]
+AUDIO = ("audio_path", "string", None, True)
+SEGMENT = [("audio_begin", "timestamp", None, True), ("audio_end", "timestamp", None, True)]
+#: Fixed value: the tools whose result is text.
+TEXT_TOOLS = ["asr"]
 SCHEMA = "tool string, param string, type string, allowed array<string>, required boolean"
 
 
 def registry(spark: SparkSession) -> DataFrame:
-    """SCHEMA rows of every known tool's parameters."""
-    rows = []
-    for tool, (own, required) in SEGMENT_TOOLS.items():
-        for k, text in enumerate([*SEGMENT_PARAMETERS, *own]):
-            name, kind, *allowed = text.split(":")
-            rows.append((tool, name, kind, allowed[0].split("|") if allowed else None, k < 3 or name in required))
-    return spark.createDataFrame(rows, SCHEMA)
+    """SCHEMA rows of all sixteen tools' parameters."""
+    rows = [(t, *p) for t in SEGMENT_TOOLS for p in (AUDIO, *SEGMENT)] + [(t, *AUDIO) for t in WHOLE_TOOLS]
+    return spark.createDataFrame(rows + SEGMENT_PARAMETERS + WHOLE_PARAMETERS, SCHEMA)
+
+
+def schedule_registry(spark: SparkSession) -> DataFrame:
+    """SCHEMA rows of the twelve tools that schedules may name: all have a segment, and targets are free text."""
+    tools = SEGMENT_TOOLS + SCHEDULED_WHOLE_TOOLS
+    own = [(t, p, kind, None if p == "target_description" else allowed, required) for t, p, kind, allowed, required in SEGMENT_PARAMETERS + WHOLE_PARAMETERS if t in tools]
+    return spark.createDataFrame([(t, *p) for t in tools for p in (AUDIO, *SEGMENT)] + own, SCHEMA)
+
+
+def audio_tools(schema: DataFrame) -> DataFrame:
+    """(tool) of those whose result is a new audio."""
+    return schema.select("tool").distinct().where(~F.col("tool").isin(TEXT_TOOLS))
 
 
 def entries(schedules: DataFrame, text_col: str = "value") -> DataFrame:
     """(source, entry, meta, calls): the entries of whole-text JSON schedules, as variants; what isn't JSON has one null entry."""
     parsed = schedules.select(F.col("source"), F.try_parse_json(text_col).alias("v"))
-    parsed.createOrReplaceTempView("__schedules")
-    spark = schedules.sparkSession
-    return spark.sql("SELECT source, e.pos AS entry, try_variant_get(e.value, '$[0]', 'variant') AS meta, try_variant_get(e.value, '$[1]', 'variant') AS calls, e.value AS raw FROM __schedules, LATERAL variant_explode_outer(v) AS e")
+    query = "SELECT source, e.pos AS entry, try_variant_get(e.value, '$[0]', 'variant') AS meta, try_variant_get(e.value, '$[1]', 'variant') AS calls, e.value AS raw FROM {parsed}, LATERAL variant_explode_outer(v) AS e"
+    return schedules.sparkSession.sql(query, parsed=parsed)
+
+
+def _kind(v: Column) -> Column:
+    """"ARRAY", "OBJECT", "STRING", "VOID" and so on; null for what isn't there."""
+    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+
+
+def entry_errors(found: DataFrame, schema: DataFrame) -> DataFrame:
+    """(source, entry, errors) of entries(): errors of an entry's shape, of its metadata and of all its calls.
+
+    An entry that is no list of two is one error. Metadata that is no object is one, a missing key (METADATA_KEYS) one in all, a
+    choice that is no list one. Calls that are no list, or an empty one, are one; a call is judged by its shape, its tool and its
+    parameters (parameter_errors).
+    """
+    parts = F.try_variant_get("raw", "$", "array<variant>")
+    pair = (_kind(F.col("raw")) == "ARRAY") & (F.size(parts) == 2)
+    meta = F.try_variant_get("meta", "$", "map<string,variant>")
+    has = lambda key: F.map_contains_key(meta, key)
+    lacking = ~F.forall(F.array(*map(F.lit, METADATA_KEYS)), has)
+    choice = F.coalesce(has("choice") & (_kind(F.element_at(meta, "choice")) != "ARRAY"), F.lit(False))
+    of_meta = F.when(F.coalesce(_kind(F.col("meta")) == "OBJECT", F.lit(False)), lacking.cast("int") + choice.cast("int")).otherwise(1)
+    calls = F.when(F.coalesce(_kind(F.col("calls")) == "ARRAY", F.lit(False)), F.try_variant_get("calls", "$", "array<variant>"))
+    of_calls = F.when(calls.isNull() | (F.size(calls) == 0), 1).otherwise(0)
+    shaped = found.select("source", "entry", F.coalesce(pair, F.lit(False)).alias("pair"), (of_meta + of_calls).alias("own"), calls.alias("calls"))
+    one = shaped.where("pair").select("source", "entry", F.posexplode("calls").alias("pos", "call"))
+    call = F.try_variant_get("call", "$", "map<string,variant>")
+    tool, params = F.try_element_at(call, F.lit("tool")), F.try_element_at(call, F.lit("parameters"))
+    read = one.select("source", "entry", "pos", (_kind(F.col("call")) == "OBJECT").alias("object"), _kind(tool).alias("tool_kind"), F.try_variant_get(tool, "$", "string").alias("tool"), F.map_contains_key(call, "parameters").alias("given"), _kind(params).alias("kind"), F.try_variant_get(params, "$", "map<string,variant>").alias("params"))
+    read = read.withColumn("call_id", F.struct("source", "entry", "pos"))
+    named = read.where("object and tool_kind = 'STRING'").join(F.broadcast(schema.select("tool").distinct()), "tool", "left_semi")
+    inside = parameter_errors(named.where("given and kind = 'OBJECT'").select("call_id", "tool", "params"), schema)
+    known = named.select("call_id", F.lit(True).alias("known"))
+    judged = read.join(known, "call_id", "left").join(inside.withColumnRenamed("errors", "inside"), "call_id", "left")
+    is_known = F.coalesce("known", F.lit(False))
+    errors = F.when(~F.col("object"), 1).otherwise((~is_known).cast("int") + (~F.col("given")).cast("int") + F.when(is_known & F.col("given"), F.when(F.col("kind") == "OBJECT", F.col("inside")).otherwise(1)).otherwise(0))
+    by_entry = judged.groupBy("source", "entry").agg(F.sum(errors).alias("of_calls"))
+    total = F.when(F.col("pair"), F.col("own") + F.coalesce("of_calls", F.lit(0))).otherwise(1)
+    return shaped.join(by_entry, ["source", "entry"], "left").select("source", "entry", total.cast("long").alias("errors"))
+
+
+def validation_totals(judged: DataFrame) -> DataFrame:
+    """(source, entries, bad_entries, errors) of entry_errors()."""
+    return judged.groupBy("source").agg(F.count("*").alias("entries"), F.count_if(F.col("errors") > 0).alias("bad_entries"), F.sum("errors").alias("errors"))
 
 
 def parameter_errors(calls: DataFrame, schema: DataFrame) -> DataFrame:
@@ -94,6 +165,6 @@ def run_batches(calls: DataFrame, run, schema: str) -> DataFrame:
             out = [{"status": "success", **r} for r in results]
         except Exception as error:  # the tool's own failure, whatever it is, becomes rows
             out = [{"status": "failure", "message": str(error)}] * len(pdf)
-        return pd.DataFrame([{**a, **b} for a, b in zip(pdf.to_dict("records"), out)]).reindex(columns=[c.split()[0] for c in schema.split(", ")])
+        return pd.DataFrame([{**a, **b} for a, b in zip(pdf.to_dict("records"), out)]).reindex(columns=[c.split()[0] for c in schema.split(", ")]).astype(object)
 
     return calls.groupBy("tool", "batch").applyInPandas(one, schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import match_choice, normal_token
+from ..functions.scalar import let, match_choice, normal_token
 
 TRUE_TOKENS = ("yes", "true", "correct")
 FALSE_TOKENS = ("no", "false", "incorrect")
@@ -59,9 +59,24 @@ def greedy_clusters(texts: Column, same: Callable[[Column, Column], Column]) ->
     return F.aggregate(texts, F.array().cast("array<array<string>>"), step)
 
 
+def cluster_sizes(texts: Column, same: Callable[[Column, Column], Column]) -> Column:
+    """The sizes of greedy_clusters(): only each cluster's first member and its count are carried along."""
+    kind = "array<struct<first: string, n: bigint>>"
+
+    def step(found: Column, text: Column) -> Column:
+        hit = F.array_position(F.transform(found, lambda c: F.coalesce(same(c["first"], text) & same(text, c["first"]), F.lit(False))), F.lit(True))
+
+        def grown(at: Column) -> Column:
+            more = F.transform(found, lambda c, i: F.struct(c["first"].alias("first"), (c["n"] + (i + 1 == at).cast("long")).alias("n")))
+            return F.when(at > 0, more).otherwise(F.concat(found, F.array(F.struct(text.alias("first"), F.lit(1).cast("long").alias("n")))))
+
+        return let(hit, grown)
+
+    return F.transform(F.aggregate(texts, F.array().cast(kind), step), lambda c: c["n"])
+
+
 def semantic_entropy(samples: DataFrame, same: Callable[[Column, Column], Column]) -> DataFrame:
     """(id, n_clusters, semantic_entropy) of each id's texts in order of pos."""
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])
-    clustered = samples.groupBy("id").agg(ordered.alias("texts")).select("id", F.size("texts").alias("n"), greedy_clusters(F.col("texts"), same).alias("clusters"))
-    sizes = F.transform("clusters", lambda c: F.size(c))
-    return clustered.select("id", F.size("clusters").cast("long").alias("n_clusters"), entropy_of_counts(sizes, F.col("n")).alias("semantic_entropy"))
+    clustered = samples.groupBy("id").agg(ordered.alias("texts")).select("id", F.size("texts").alias("n"), cluster_sizes(F.col("texts"), same).alias("sizes"))
+    return clustered.select("id", F.size("sizes").cast("long").alias("n_clusters"), entropy_of_counts(F.col("sizes"), F.col("n")).alias("semantic_entropy"))

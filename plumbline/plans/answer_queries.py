@@ -112,12 +112,12 @@ def label_agreement(spark, d):
     return P.label_agreement(_letter_pairs(spark, d))
 
 
-@query("""WITH t AS (SELECT doc_id AS id, text AS prediction, CASE WHEN doc_id % 11 = 0 THEN 'N/A' WHEN doc_id % 13 = 0 THEN '' WHEN doc_id % 17 = 0 THEN NULL ELSE ' ' || substr(source, 4) || lang || ' ' END AS answer FROM documents)
-SELECT id, coalesce(answer <> 'N/A' AND contains(prediction, trim(answer)), FALSE) AS correct FROM t""")
+@query(r"""WITH t AS (SELECT doc_id AS id, text AS prediction, CASE WHEN doc_id % 11 = 0 THEN 'N/A' WHEN doc_id % 13 = 0 THEN '' WHEN doc_id % 17 = 0 THEN NULL ELSE chr(9) || ' ' || substr(text, 1 + doc_id % 7, 3) || chr(10) || CASE WHEN doc_id % 3 = 0 THEN chr(160) ELSE '' END END AS answer FROM documents)
+SELECT id, coalesce(answer <> 'N/A' AND contains(prediction, regexp_replace(answer, '^[\s\v\x{a0}]+|[\s\v\x{a0}]+$', '', 'g')), FALSE) AS correct FROM t""")
 def answer_correctness(spark, d):
-    """Substring correctness over whole texts; covers the missing, the empty and the null answer."""
+    """Substring correctness over whole texts; covers the missing, the empty and the null answer, and white space of many kinds."""
     i = F.col("doc_id")
-    answer = F.when(i % 11 == 0, "N/A").when(i % 13 == 0, "").when(i % 17 == 0, F.lit(None)).otherwise(F.concat(F.lit(" "), F.substr("source", F.lit(4)), "lang", F.lit(" ")))
+    answer = F.when(i % 11 == 0, "N/A").when(i % 13 == 0, "").when(i % 17 == 0, F.lit(None)).otherwise(F.concat(F.lit("\t "), F.substr("text", (1 + i % 7).cast("int"), F.lit(3)), F.lit("\n"), F.when(i % 3 == 0, "\u00a0").otherwise("")))
     return V.table(spark, d, "documents").select(i.alias("id"), scalar.is_correct(answer, F.col("text")).alias("correct"))
 
 
@@ -174,10 +174,16 @@ def p_true(spark, d):
     return U.p_true(V.samples(spark, d).withColumn("token", token)).withColumn("p_true", F.round("p_true", 6))
 
 
-@query(f"WITH {V.SAMPLES_SQL}, c AS (SELECT id, text[1:1] AS k, count(*) AS c FROM samples GROUP BY 1, 2), t AS (SELECT *, sum(c) OVER (PARTITION BY id) AS n FROM c) SELECT id, count(*) AS n_clusters, round(-sum(c / n * ln(c / n)), 6) + 0.0 AS semantic_entropy FROM t GROUP BY id")
+@query(f"""WITH RECURSIVE {V.SAMPLES_SQL}, o AS (SELECT id, text, row_number() OVER (PARTITION BY id ORDER BY pos) AS i FROM samples),
+fold AS (SELECT DISTINCT id, 0::BIGINT AS i, []::VARCHAR[] AS firsts, []::BIGINT[] AS ns FROM samples UNION ALL
+  SELECT id, i, CASE WHEN hit > 0 THEN firsts ELSE list_append(firsts, text) END, CASE WHEN hit > 0 THEN list_transform(ns, lambda n, k: n + (k = hit)::BIGINT) ELSE list_append(ns, 1) END
+  FROM (SELECT f.id, o.i, f.firsts, f.ns, o.text, coalesce(list_position(list_transform(f.firsts, lambda x: abs(length(x) - length(o.text)) <= 1), TRUE), 0) AS hit FROM fold f JOIN o ON o.id = f.id AND o.i = f.i + 1)),
+done AS (SELECT id, ns, list_sum(ns) AS n FROM fold QUALIFY row_number() OVER (PARTITION BY id ORDER BY i DESC) = 1)
+SELECT id, len(ns)::BIGINT AS n_clusters, round(-list_sum(list_transform(ns, lambda c: c / n * ln(c / n))), 6) + 0.0 AS semantic_entropy FROM done""")
 def semantic_entropy(spark, d):
-    """Greedy clustering, with a stand-in for the entailment model under which texts with one first letter agree."""
-    same = lambda a, b: F.substring(a, 1, 1) == F.substring(b, 1, 1)
+    """Greedy clustering, with a stand-in for the entailment model under which texts of nearly one length agree: not transitive, so
+    the order decides."""
+    same = lambda a, b: F.abs(F.length(a) - F.length(b)) <= 1
     return U.semantic_entropy(V.samples(spark, d), same).withColumn("semantic_entropy", F.round("semantic_entropy", 6) + 0.0)
 
 

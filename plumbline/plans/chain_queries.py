@@ -161,11 +161,10 @@ def evaluation_summary(spark, d):
     return _round(C.summary(_results(spark, d)), "success_rate", "mean_f1", "mean_closeness", "mean_gain")
 
 
-@query(f"WITH {_RESULTS} SELECT n_gt, count(*) AS n, round(avg(f1), 6) AS mean_f1, round(avg(coalesce(closeness, 0)), 6) AS mean_closeness FROM (SELECT * REPLACE (CASE WHEN isnan(closeness) THEN NULL ELSE closeness END AS closeness) FROM results) GROUP BY n_gt")
+@query(f"WITH {_RESULTS} SELECT n_gt, count(*) AS n, round(avg(f1), 6) AS mean_f1, CASE WHEN bool_or(isnan(closeness)) THEN 'nan'::DOUBLE ELSE round(avg(closeness), 6) END AS mean_closeness FROM results GROUP BY n_gt")
 def breakdown_by_length(spark, d):
-    """By truth length; missing closeness counts as 0 here, as the breakdown doesn't skip values."""
-    r = _results(spark, d).withColumn("closeness", F.coalesce(F.nanvl("closeness", F.lit(None)), F.lit(0.0)))
-    return _round(C.breakdown(r, "n_gt"), "mean_f1", "mean_closeness")
+    """By truth length; a NaN makes its length's mean NaN."""
+    return _round(C.breakdown(_results(spark, d), "n_gt"), "mean_f1", "mean_closeness")
 
 
 @query("""WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS i, count(*) OVER (PARTITION BY conv_id) AS n, sum((role = 'assistant')::INT) OVER (PARTITION BY conv_id ORDER BY turn, role ROWS UNBOUNDED PRECEDING) AS k FROM conversations)

@@ -82,12 +82,12 @@ def loose_equality(spark, d):
 
 @query(r"""SELECT conv_id, turn, md5(coalesce(nullif(regexp_extract('said ```json' || chr(10) || text || chr(10) || '``` and ```x```', '(?s)```(?:json)?\s*(.*?)\s*```', 1), ''), text)) AS body, ((length(text) - length(replace(text, 'en', ''))) / 2)::BIGINT AS n_en,
   CASE WHEN instr(text, 'e') > 0 THEN md5(substr(text, 1, instr(text, 'e') - 1) || '<audio>' || substr(text, instr(text, 'e') + 1)) ELSE md5(text) END AS tagged,
-  regexp_replace(role || '_' || turn || '_' || substr(text, 1, 12), '[^A-Za-z0-9_\-]', '_', 'g') AS suffix FROM conversations""")
+  regexp_replace(role || '_' || turn || '_' || text, '[^\p{L}\p{N}_\-]', '_', 'g') AS suffix FROM conversations""")
 def text_functions(spark, d):
     """Fences, counts, first-only replacement, file-safe suffixes."""
     t = F.col("text")
     fenced = F.concat(F.lit("said ```json\n"), t, F.lit("\n``` and ```x```"))
-    suffix = S.file_suffix(F.array("role", F.col("turn").cast("string"), F.substring("text", 1, 12)))
+    suffix = S.file_suffix(F.array("role", F.col("turn").cast("string"), "text"))
     return V.table(spark, d, "conversations").select("conv_id", "turn", F.md5(S.strip_fence(fenced)).alias("body"), S.count_substring(t, "en").alias("n_en"), F.md5(S.replace_first(t, F.lit("e"), F.lit("<audio>"))).alias("tagged"), suffix.alias("suffix"))
 
 
@@ -244,7 +244,7 @@ SELECT call_id, CASE WHEN tool = 'no_such_tool' THEN 1 ELSE (k % 5 = 0 OR (tool
   + CASE WHEN k % 5 = 0 THEN 0 WHEN k % 7 = 0 THEN 2 WHEN k % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN k % 2 > 0 THEN 0 WHEN tool <> 'denoise' THEN 1 WHEN k % 4 > 0 THEN 1 ELSE 0 END END::BIGINT AS errors FROM t""")
 def schedule_errors(spark, d):
     """Errors of each call against its tool's schema: missing, unexpected, mistyped, bad timestamps and values."""
-    return H.parameter_errors(_schedule_calls(spark, d).select("call_id", "tool", "params"), H.registry(spark))
+    return H.parameter_errors(_schedule_calls(spark, d).select("call_id", "tool", "params"), H.schedule_registry(spark))
 
 
 @query("WITH e AS (SELECT CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events) SELECT coalesce(CASE WHEN k % 9 > 0 THEN ['denoise', 'trim_silence', 'clipping', 'no_such_tool'][k % 4 + 1] END, 'UnknownTool') AS tool, count(*) AS n FROM e GROUP BY 1")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 QA_SCHEMA = "question string, choice array<string>, answer string, id string, audio_url string, question_type string, _json_path string, audio_path string"
@@ -52,17 +55,27 @@ def training_logs(spark: SparkSession, pattern: str) -> DataFrame:
     return rows.where("loss is not null").select("run", steps[0].cast("int").alias("step"), steps[1].cast("int").alias("max_steps"), "loss", "token_acc", "epoch", "learning_rate", "grad_norm")
 
 
-#: What a tool's result is said to be, with {audio} and {text} for the result and {name} for parameters.
+#: What a tool's result is said to be; {audio} and {text} stand for the result, {target} for the target's description.
 RESULT_PHRASES = {
-    "asr": "The transcription of the audio segment is: {text}",
-    "clipping": "The clipped audio segment is: {audio}",
-    "denoise": "The denoised audio is: {audio}",
-    "extract_target": "The extracted target audio is: {audio}",
-    "remove_target": "The audio without the target is: {audio}",
-    "human_voice_enhance": "The audio with enhanced voice is: {audio}",
+    "extract_target": "{target}-isolated auxiliary audio: {audio}",
+    "remove_target": "auxiliary audio with {target} removed: {audio}",
+    "asr": "transcription of the audio: {text}",
+    "human_voice_enhance": "human voice enhanced audio: {audio}",
+    "pitch_shift": "pitch-shifted audio: {audio}",
+    "time_stretch": "time-stretched audio: {audio}",
 }
 
 
+def result_phrase(tool: Column, target: Column, text: Column, audio_token: str) -> Column:
+    """What is said of a tool's result. A tool without a phrase, a missing target or a missing transcription is an error."""
+    phrase = F.create_map(*[F.lit(x) for kv in RESULT_PHRASES.items() for x in kv])[tool]
+    fail = lambda why: F.raise_error(F.lit(why))
+    said = F.replace(phrase, F.lit("{audio}"), F.lit(audio_token))
+    said = F.when(F.contains(phrase, F.lit("{text}")), F.coalesce(F.replace(said, F.lit("{text}"), text), fail("a transcription is missing"))).otherwise(said)
+    said = F.when(F.contains(phrase, F.lit("{target}")), F.coalesce(F.replace(said, F.lit("{target}"), target), fail("a target's description is missing"))).otherwise(said)
+    return F.when(phrase.isNull(), fail("no phrase for this tool's result")).otherwise(said)
+
+
 def tool_results(spark: SparkSession, folder: str, audio_token: str, only: str | None = None, skip_missing: bool = False) -> DataFrame:
     """(folder, prompt, audio_paths) of folders with tool_input_<n>.json and, for each, tool_result_<n>.txt or .wav.
 
@@ -74,12 +87,10 @@ def tool_results(spark: SparkSession, folder: str, audio_token: str, only: str |
     inputs = named.where("kind = 'input'").select("folder", "n", F.from_json(F.col("content").cast("string"), "tool string, parameters map<string, string>").alias("call"))
     results = named.where("kind = 'result'").groupBy("folder", "n").agg(F.max(F.when(F.col("type") == "txt", F.col("content").cast("string"))).alias("text"), F.max(F.when(F.col("type") == "wav", F.col("path"))).alias("audio"))
     both = inputs.join(results, ["folder", "n"], "left").where(F.lit(only).isNull() | (F.col("call.tool") == F.lit(only)))
-    phrase = F.create_map(*[F.lit(x) for kv in RESULT_PHRASES.items() for x in kv])[F.col("call.tool")]
-    said = F.replace(F.replace(phrase, F.lit("{audio}"), F.lit(audio_token)), F.lit("{text}"), F.coalesce("text", F.lit("")))
     missing = F.col("text").isNull() & F.col("audio").isNull()
     if skip_missing:
         both = both.where(~missing)
-    told = F.when(missing, F.raise_error(F.lit("a tool input has no result"))).when(phrase.isNull(), F.raise_error(F.lit("no phrase for this tool's result"))).otherwise(said)
+    told = F.when(missing, F.raise_error(F.lit("a tool input has no result"))).otherwise(result_phrase(F.col("call.tool"), F.col("call.parameters")["target_description"], F.col("text"), audio_token))
     ordered = both.groupBy("folder").agg(F.sort_array(F.collect_list(F.struct("n", told.alias("said"), "audio"))).alias("x"))
     return ordered.select("folder", F.array_join(F.transform("x", lambda r: r["said"]), "").alias("prompt"), F.array_compact(F.transform("x", lambda r: r["audio"])).alias("audio_paths"))
 
@@ -109,10 +120,31 @@ def append_results(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def as_array_text(df: DataFrame, order: str) -> DataFrame:
-    """(value): the rows as one pretty JSON array, for small reports; Unicode stays as it is."""
-    rows = df.agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.to_json(F.struct("*")).alias("j")))).alias("x"))
-    return rows.select(F.concat(F.lit("[\n  "), F.array_join(F.transform("x", lambda r: r["j"]), ",\n  "), F.lit("\n]")).alias("value"))
+def array_text(rows: Column, order: Column) -> Column:
+    """An aggregate: a group's rows (structs) as one pretty JSON array in order; Unicode stays as it is."""
+    listed = F.array_sort(F.collect_list(F.struct(order.alias("o"), F.to_json(rows).alias("j"))))
+    return F.concat(F.lit("[\n  "), F.array_join(F.transform(listed, lambda r: r["j"]), ",\n  "), F.lit("\n]"))
+
+
+def write_arrays(df: DataFrame, path: str, by: str, order: str) -> None:
+    """One file with one JSON array for each value of `by`, in a folder of its own. A file's rows must fit a task: choose `by` so."""
+    rows = F.struct(*[c for c in df.columns if c != by])
+    texts = df.groupBy(by).agg(array_text(rows, F.col(order)).alias("value"))
+    texts.write.mode("overwrite").partitionBy(by).option("lineSep", "\n").text(path)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors share, for files that only this session reads: under spark.checkpoint.dir, or,
+    for a local session, the temporary folder. It goes when the session's JVM ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.gettempdir()
+    path = f"{base}/plumbline-{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
 
 
 def output_name(base: str, with_results: bool) -> str:

@@ -13,7 +13,7 @@ from plumbline.functions import json_parse as J
 from plumbline.functions import vectors as X
 from plumbline.functions.ranks import global_rank
 from plumbline.operators import chains as C
-from plumbline.operators import datasets, disturb, models, sampling, schedules
+from plumbline.operators import datasets, disturb, models, prompts, sampling, schedules
 from plumbline.operators import predictions as P
 from plumbline.operators import uncertainty as U
 from plumbline.sources import records, wav
@@ -163,12 +163,12 @@ def test_sources(spark, tmp_path):
     assert [(r["run"], r["step"], r["max_steps"]) for r in log] == [("v1", 5, 939)]
     folder = tmp_path / "t"
     folder.mkdir()
-    for n, tool in ((10, "asr"), (2, "denoise")):
+    for n, tool in ((10, "asr"), (2, "pitch_shift")):
         (folder / f"tool_input_{n}.json").write_text(json.dumps({"tool": tool, "parameters": {}}))
     (folder / "tool_result_10.txt").write_text("hello")
     (folder / "tool_result_2.wav").write_bytes(b"x")
     r = records.tool_results(spark, str(folder), "<audio>").first()
-    assert r["prompt"] == "The denoised audio is: <audio>The transcription of the audio segment is: hello" and len(r["audio_paths"]) == 1
+    assert r["prompt"] == "pitch-shifted audio: <audio>transcription of the audio: hello" and len(r["audio_paths"]) == 1
     (folder / "tool_input_3.json").write_text(json.dumps({"tool": "asr", "parameters": {}}))
     with pytest.raises(Exception, match="no result"):
         records.tool_results(spark, str(folder), "<audio>").collect()
@@ -185,7 +185,7 @@ def test_sinks(spark, tmp_path):
     records.append_results(df, str(tmp_path / "out"))
     records.append_results(df, str(tmp_path / "out"))
     assert records.json_lines(spark, str(tmp_path / "out")).count() == 4
-    assert [r["v"] for r in json.loads(records.as_array_text(df, "tool").first()[0])] == ["x", "é"]
+    assert [r["v"] for r in json.loads(df.agg(records.array_text(F.struct("*"), F.col("tool"))).first()[0])] == ["x", "é"]
     assert records.output_name("m", True) == "m_with_tool_chain_results"
 
 
@@ -205,10 +205,13 @@ def test_turns(spark, tmp_path):
 
 
 def test_prompts(spark):
-    row = spark.range(1).select(datasets.system_prompt(F.lit(""), F.lit("built")), datasets.system_prompt(F.lit(None).cast("string"), F.lit("built")), datasets.multiple_choice_prompt(F.lit("q"), F.array(F.lit("x"), F.lit("y")))).first()
-    assert row[0] is None and row[1] == "built" and "A. x\nB. y" in row[2]
-    texts = {r["tool"]: r["text"] for r in datasets.catalogue(schedules.registry(spark)).collect()}
-    assert len(texts) == 12 and "- algorithm (string), required, allowed=spectral_subtraction|wiener|echo_cancellation|adaptive" in texts["denoise"]
+    text = lambda c: spark.range(1).select(c).first()[0]
+    assert text(prompts.fill("{{x}} {a} {b}", a=F.lit("{b}"), b="y")) == "{x} {b} y"
+    assert text(prompts.lines(F.lit(None).cast("array<string>"))) == "" and text(prompts.system_turn(F.lit(""), final=True)) == prompts.FINAL_ROUND
+    assert text(prompts.system_turn(F.lit("T"))).startswith("\nYou are an expert in audio analysis and question answering.\n\nYou are given") and '{{"example' in text(prompts.system_turn(F.lit("T")))
+    assert text(prompts.call_message(F.lit('a"é'), F.lit("{}"), F.lit("x"))) == json.dumps({"tool_name": 'a"é', "parameters": {}, "output_audio_id": "x"}, ensure_ascii=False)
+    texts = {r["tool"]: r["text"] for r in prompts.catalogue(schedules.registry(spark)).collect()}
+    assert len(texts) == 16 and "- algorithm (string), required, allowed=['spectral_subtraction', 'wiener', 'echo_cancellation', 'adaptive']" in texts["denoise"]
     with pytest.raises(ValueError):
         datasets.single_turn_rows(spark.range(1), "")
 
