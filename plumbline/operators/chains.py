@@ -149,11 +149,11 @@ def fold_messages(turns: DataFrame) -> DataFrame:
     ordered = F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
     chats = turns.groupBy("conv_id").agg(ordered.alias("t"))
 
-    def message(x: Column, i: Column) -> Column:
-        said = F.struct(x["role"].alias("role"), x["content"].alias("content"))
-        steps = F.size(F.filter(F.slice("t", 1, i + 1), lambda y: y["role"] == "assistant"))
-        tool = F.struct(F.lit("tool").alias("role"), F.concat(F.lit("Output of step "), steps, F.lit(": <audio>")).alias("content"))
-        return F.when((x["role"] == "assistant") & (i < F.size("t") - 1), F.array(said, tool)).otherwise(F.array(said))
-
-    out = chats.select("conv_id", F.flatten(F.transform("t", message)).alias("messages"))
-    return out.withColumn("n_outputs", F.size(F.filter("messages", lambda m: m["role"] == "tool")).cast("long"))
+    # A step's number is its place in the list of assistant turns; both lists are put together by position.
+    message = lambda at, after, role, content: F.struct(at.alias("at"), F.lit(after).alias("after"), role.alias("role"), content.alias("content"))
+    said = chats.select("conv_id", F.transform("t", lambda x, i: message(i, 0, x["role"], x["content"])).alias("said"))
+    steps = F.filter("said", lambda x: (x["role"] == "assistant") & (x["at"] < F.size("said") - 1))
+    outputs = F.transform(steps, lambda x, k: message(x["at"], 1, F.lit("tool"), F.concat(F.lit("Output of step "), k + 1, F.lit(": <audio>"))))
+    both = said.select("conv_id", "said", outputs.alias("outputs"))
+    told = F.transform(F.array_sort(F.concat("said", "outputs")), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
+    return both.select("conv_id", told.alias("messages"), F.size("outputs").cast("long").alias("n_outputs"))

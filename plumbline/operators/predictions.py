@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: How much more confident the second prediction must be to win.
@@ -11,8 +11,7 @@ MARGIN = 0.1
 
 def last_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key in the given order: a later prediction of an id replaces an earlier one."""
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
-    return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+    return df.groupBy(*keys).agg(F.max_by(F.struct("*"), F.struct(*order)).alias("__row")).select("__row.*")
 
 
 def prefers_second(p1: Column, p2: Column) -> Column:

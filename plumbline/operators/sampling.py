@@ -5,7 +5,7 @@ The draws have the distributions of seeded random generators, not their sequence
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,9 +31,8 @@ def weighted_sample(df: DataFrame, key: str, weight: Column, k: int, seed: int)
 
 
 def first_of_each(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """One row a key, the first in order; rows without a key are one key."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+    """One row a key, the first in order; rows without a key are one key. Added up before the exchange, so no task sorts a key's rows."""
+    return df.groupBy(key).agg(F.min_by(F.struct("*"), F.struct(*order)).alias("__row")).select("__row.*")
 
 
 def repeat(df: DataFrame, times: int) -> DataFrame:
