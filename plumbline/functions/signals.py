@@ -1,84 +1,15 @@
-"""Spectral signal steps on one sample array, for use inside Arrow batches. What higher-order functions can say is in vectors."""
+"""The transforms of one frame or one signal that Spark's functions can't say; operators.frames applies them inside Arrow batches."""
 
 from __future__ import annotations
 
 import numpy as np
 
-N_FFT, HOP = 2048, 512
-#: Shares of magnitude that denoising leaves, and the peak that normalising aims at.
-SUBTRACTION_FLOOR, ADAPTIVE_FLOOR, PEAK = 0.1, 0.05, 0.95
-
 
 def hann(n: int) -> np.ndarray:
     """The periodic raised-cosine window."""
     return 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
 
 
-def spectrogram(x: np.ndarray, n_fft: int = N_FFT, hop: int = HOP, centred: bool = False) -> np.ndarray:
-    """(bins, frames). Centred frames reach half a window beyond both ends, into zeros."""
-    if centred:
-        x = np.pad(x, n_fft // 2)
-    if len(x) < n_fft:
-        raise ValueError(f"the segment is shorter than a window of {n_fft} samples")
-    return np.fft.rfft(np.lib.stride_tricks.sliding_window_view(x, n_fft)[::hop] * hann(n_fft)).T
-
-
-def resynthesise(spectrum: np.ndarray, length: int, n_fft: int = N_FFT, hop: int = HOP) -> np.ndarray:
-    """Weighted overlap-add, less half a window at the start, cut or padded to length."""
-    frames, window = np.fft.irfft(spectrum.T, n_fft) * hann(n_fft), hann(n_fft) ** 2
-    out = np.zeros(n_fft + hop * (len(frames) - 1))
-    weight = np.zeros_like(out)
-    for k, frame in enumerate(frames):
-        out[k * hop : k * hop + n_fft] += frame
-        weight[k * hop : k * hop + n_fft] += window
-    out = (out / np.where(weight > 1e-10, weight, 1))[n_fft // 2 :]
-    return np.pad(out, (0, max(0, length - len(out))))[:length]
-
-
-def reweighted(x: np.ndarray, gain) -> np.ndarray:
-    """x with every cell of its spectrogram scaled by gain(magnitudes). Half a window is lost at both ends: the result starts
-    there and is padded with silence."""
-    spectrum = spectrogram(x)
-    y = resynthesise(spectrum * gain(np.abs(spectrum)), len(x))
-    covered = HOP * (spectrum.shape[1] - 1)
-    y[covered:] = 0
-    return y
-
-
-def quiet_frames(rate: int) -> int:
-    """Frames of the first half second, which are taken for noise."""
-    return max(1, int(0.5 * rate / HOP))
-
-
-def _ratio(kept: np.ndarray, magnitude: np.ndarray) -> np.ndarray:
-    return np.divide(kept, magnitude, out=np.zeros_like(magnitude), where=magnitude > 0)
-
-
-def denoise(x: np.ndarray, rate: int, algorithm: str, noise_factor: float = 2.0, sensitivity: float = 0.5) -> np.ndarray:
-    def subtraction(m: np.ndarray) -> np.ndarray:
-        noise = np.median(m[:, : quiet_frames(rate)], axis=1, keepdims=True)
-        return _ratio(np.maximum(m - noise_factor * noise, SUBTRACTION_FLOOR * m), m)
-
-    def wiener(m: np.ndarray) -> np.ndarray:
-        power = (m / (N_FFT / 2)) ** 2  # in units of a window's sum
-        noise = power[:, : quiet_frames(rate)].mean(1, keepdims=True)
-        return np.maximum(power - noise, 0) / (power + 1e-10)
-
-    def echo(m: np.ndarray) -> np.ndarray:
-        envelope = np.median(np.lib.stride_tricks.sliding_window_view(np.pad(m, ((0, 0), (10, 10)), "symmetric"), 21, axis=1), axis=2)
-        return 1 / (1 + 0.3 * envelope / (envelope.max() + 1e-10))
-
-    def adaptive(m: np.ndarray) -> np.ndarray:
-        s = min(1.0, max(0.0, sensitivity))
-        noise = np.stack([np.percentile(m[:, max(0, k - 20) : k + 20], 10 + 40 * (1 - s), axis=1) for k in range(m.shape[1])], 1)
-        return _ratio(np.maximum(m - 1.5 * s * noise, ADAPTIVE_FLOOR * m), m)
-
-    gains = {"spectral_subtraction": subtraction, "wiener": wiener, "echo_cancellation": echo, "adaptive": adaptive}
-    if algorithm not in gains:
-        raise ValueError(f"unknown algorithm {algorithm}")
-    return reweighted(butterworth(x, rate, 4, 80.0, None) if algorithm == "echo_cancellation" else x, gains[algorithm])
-
-
 def butterworth(x: np.ndarray, rate: int, order: int, low: float, high: float | None) -> np.ndarray:
     """A high pass, or with `high` a band pass, by its frequency response. The second of zeros behind x takes the tail, which
     by then is far below rounding."""
@@ -91,131 +22,26 @@ def butterworth(x: np.ndarray, rate: int, order: int, low: float, high: float |
     return np.fft.irfft(np.fft.rfft(x, n) * response, n)[: len(x)]
 
 
-def loudness_normalise(x: np.ndarray, rate: int, target_lufs: float = -23.0) -> np.ndarray:
-    level = np.sqrt(np.mean(butterworth(x, rate, 2, 20.0, min(20000.0, rate / 2 - 1)) ** 2))
-    if level <= 0:
-        return x
-    y = x * 10 ** ((target_lufs + 23.0 - 20 * np.log10(level / 0.1)) / 20)
-    return y / max(1.0, np.abs(y).max() / PEAK)
-
-
-def spectral_normalise(x: np.ndarray, rate: int, strength: float = 0.5) -> np.ndarray:
-    spectrum = spectrogram(x, centred=True)
-    energy = np.abs(spectrum).mean(1, keepdims=True) + 1e-10
-    y = resynthesise(spectrum * (np.median(energy) / energy) ** strength, len(x))
-    return y / np.abs(y).max() * PEAK if y.any() else y
-
-
-def trim_silence(x: np.ndarray, rate: int, threshold_db: float = 40.0, frame_length: int = 2048, hop_length: int = 512) -> np.ndarray:
-    """x from its first to its last frame that is not threshold_db below the loudest."""
-    frames = np.lib.stride_tricks.sliding_window_view(np.pad(x, frame_length // 2), frame_length)[::hop_length]
-    level = 20 * np.log10(np.maximum(1e-5, np.sqrt((frames.astype(np.float64) ** 2).mean(1))))
-    loud = np.flatnonzero(level - level.max() > -threshold_db)
-    return x[loud[0] * hop_length : (loud[-1] + 1) * hop_length] if len(loud) else x[:0]
-
-
-def time_stretch(x: np.ndarray, rate: int, speed: float) -> np.ndarray:
-    """A phase vocoder: magnitudes are read between frames, phases advance by what neighbouring frames differ."""
-    if speed <= 0:
-        raise ValueError("rate must be greater than 0")
-    spectrum = spectrogram(x, centred=True)
-    steps = np.arange(0, spectrum.shape[1], speed)
-    left, part = steps.astype(int), steps % 1
-    padded = np.pad(spectrum, ((0, 0), (0, 2)))
-    a, b = padded[:, left], padded[:, left + 1]
-    expected = np.linspace(0, np.pi * HOP, spectrum.shape[0])[:, None]
-    turn = np.angle(b) - np.angle(a) - expected
-    advance = expected + turn - 2 * np.pi * np.round(turn / (2 * np.pi))
-    phase = np.angle(padded[:, :1]) + np.cumsum(advance, 1) - advance
-    return resynthesise(((1 - part) * np.abs(a) + part * np.abs(b)) * np.exp(1j * phase), round(len(x) / speed))
-
-
 def resample(x: np.ndarray, n: int) -> np.ndarray:
-    """n values along the last axis by truncating or padding the Fourier series."""
-    have = x.shape[-1]
-    if n == have:
+    """n values by truncating or padding the Fourier series."""
+    have = len(x)
+    if n == have or not have:
         return x
     series, m = np.fft.rfft(x), min(n, have)
-    kept = np.zeros((*x.shape[:-1], n // 2 + 1), complex)
-    kept[..., : m // 2 + 1] = series[..., : m // 2 + 1]
+    kept = np.zeros(n // 2 + 1, complex)
+    kept[: m // 2 + 1] = series[: m // 2 + 1]
     if m % 2 == 0:  # the middle frequency of the shorter one stands for both signs
-        kept[..., m // 2] *= 2.0 if n < have else 0.5
+        kept[m // 2] *= 2.0 if n < have else 0.5
         if n < have:
-            kept[..., m // 2] = kept[..., m // 2].real
+            kept[m // 2] = kept[m // 2].real
     return np.fft.irfft(kept, n) * (n / have)
 
 
-def pitch_shift(x: np.ndarray, rate: int, n_steps: float, bins_per_octave: int = 12) -> np.ndarray:
-    """A stretch, resampled back to the length (by Fourier series)."""
-    speed = 2.0 ** (-n_steps / bins_per_octave)
-    y = time_stretch(x, rate, speed)
-    y = resample(y, int(np.ceil(len(y) * speed)))
-    return np.pad(y, (0, max(0, len(x) - len(y))))[: len(x)]
-
-
-def level(x: np.ndarray) -> float:
-    return float(np.sqrt(np.mean(np.square(x)))) if len(x) else 0.0
-
-
-def unit_noise(n: int, kind: str, rng: np.random.Generator) -> np.ndarray:
-    """White or pink (power falling with frequency) noise of level 1."""
-    noise = rng.standard_normal(n)
-    if kind == "pink":
-        frequency = np.fft.rfftfreq(n)
-        frequency[0] = frequency[1] if n > 1 else 1.0
-        noise = np.fft.irfft(np.fft.rfft(noise) / np.sqrt(frequency), n)
-    elif kind != "white":
-        raise ValueError(f"unknown noise {kind}")
-    return noise / (level(noise) or 1.0)
-
-
-def faded(x: np.ndarray, rate: int, fade_ms: float) -> np.ndarray:
-    n = min(int(rate * fade_ms / 1000), len(x) // 2) if fade_ms > 0 else 0
-    gain = np.ones(len(x))
-    ramp = 0.5 - 0.5 * np.cos(np.linspace(0, np.pi, n))
-    gain[:n] *= ramp
-    gain[len(x) - n :] *= ramp[::-1]
-    return x * gain
-
-
-def at_snr(noise: np.ndarray, beside: np.ndarray, db: float) -> np.ndarray:
-    have, want = level(noise), level(beside) / 10 ** (db / 20)
-    return noise * (want / have) if have > 0 and want > 0 else noise
-
-
-def add_noise(x: np.ndarray, rate: int, noise_type: str = "white", snr_db: float = 15.0, seed: int = 0) -> np.ndarray:
-    return x + at_snr(unit_noise(len(x), noise_type, np.random.default_rng(seed)), x, snr_db)
-
-
-def pad_noise(x: np.ndarray, rate: int, position: str = "both", duration_sec: float = 1.0, noise_type: str = "white", snr_db: float = 20.0, fade_ms: float = 20.0, seed: int = 0) -> np.ndarray:
-    if position not in ("start", "end", "both") or duration_sec <= 0:
-        raise ValueError("position must be start, end or both, and duration_sec over 0")
-    rng, own = np.random.default_rng(seed), level(x)
-    pad = lambda: faded(unit_noise(int(rate * duration_sec), noise_type, rng) * (own / 10 ** (snr_db / 20) if own > 0 else 0.01), rate, fade_ms)
-    before = [pad()] if position != "end" else []
-    return np.concatenate([*before, x, *([pad()] if position != "start" else [])])
-
-
-def insert_event(x: np.ndarray, rate: int, event: np.ndarray, onset: float, duration: float | None = None, snr_db: float = 5.0, fade_ms: float = 20.0) -> np.ndarray:
-    """x with an event, looped or cut to its duration and to x's end, at a level relative to what it covers."""
-    first = int(onset * rate)
-    n = min(int(rate * duration) if duration else len(event), len(x) - first)
-    if onset < 0 or n <= 0 or not len(event):
-        raise ValueError(f"no room for an event at {onset:.3f} s")
-    y = np.array(x, np.float64)
-    y[first : first + n] += at_snr(faded(np.resize(event, n), rate, fade_ms), x[first : first + n], snr_db)
-    return y
-
-
-def mix(x: np.ndarray, rate: int, noise: np.ndarray, snr_db: float | None = None, seed: int = 0) -> np.ndarray:
-    """x and a noise placed in it, or cut from, at random; the peak becomes 1."""
-    rng, spare = np.random.default_rng(seed), len(noise) - len(x)
-    at = int(rng.integers(0, abs(spare), endpoint=True))
-    noise = noise[at : at + len(x)] if spare >= 0 else np.pad(noise, (at, -spare - at))
-    if snr_db is not None:
-        noise = noise * np.sqrt(np.mean(np.square(x)) / 10 ** (snr_db / 10) / (np.mean(np.square(noise)) + 1e-8))
-    y = x + noise
-    return y / (np.abs(y).max() + 1e-8)
+def pink(x: np.ndarray) -> np.ndarray:
+    """White noise with its power falling with frequency."""
+    frequency = np.fft.rfftfreq(len(x)) if len(x) else np.ones(1)
+    frequency[0] = frequency[1] if len(x) > 1 else 1.0
+    return np.fft.irfft(np.fft.rfft(x) / np.sqrt(frequency), len(x)) if len(x) else x
 
 
 def mel_filters(rate: int, n_fft: int, bands: int) -> np.ndarray:
@@ -227,35 +53,3 @@ def mel_filters(rate: int, n_fft: int, bands: int) -> np.ndarray:
     bins, width = np.fft.rfftfreq(n_fft, 1 / rate), np.diff(edges)
     rising, falling = (bins - edges[:-2, None]) / width[:-1, None], (edges[2:, None] - bins) / width[1:, None]
     return np.maximum(0, np.minimum(rising, falling)) * (2 / (edges[2:] - edges[:-2]))[:, None]
-
-
-def closeness(a: np.ndarray, b: np.ndarray, rate: int = 16000) -> dict[str, float | None]:
-    """How close a prediction is to its target: durations, log-mel and cepstral cosines over a common time axis, levels, and
-    the distortion ratio where the durations differ by less than 2 %."""
-    filters = mel_filters(rate, 1024, 64)
-    k = np.arange(64)
-    cosines = np.sqrt(2 / 64) * np.cos(np.pi * np.arange(13)[:, None] * (2 * k + 1) / 128) * np.where(np.arange(13) == 0, np.sqrt(0.5), 1)[:, None]
-
-    def log_mel(x: np.ndarray) -> np.ndarray:
-        db = 10 * np.log10(np.maximum(1e-10, filters @ np.abs(spectrogram(x, 1024, 256, True)) ** 2))
-        return np.maximum(db, db.max() - 80)
-
-    def aligned(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = max(x.shape[1], y.shape[1])
-        return resample(x, n), resample(y, n)
-
-    cosine = lambda x, y: float((x * y).sum() / (np.linalg.norm(x) * np.linalg.norm(y) + 1e-8))
-    mel_a, mel_b = log_mel(a), log_mel(b)
-    x, y = aligned(mel_a, mel_b)
-    mel, cepstral = cosine(x, y), cosine(*aligned(cosines @ mel_a, cosines @ mel_b))
-    db = [20 * float(np.log10(level(s) + 1e-8)) for s in (a, b)]
-    ratio = len(a) / len(b) if len(b) else float("nan")
-    n, sdr = min(len(a), len(b)), None
-    if abs(ratio - 1) < 0.02:
-        e, r = a[:n].astype(np.float64), b[:n].astype(np.float64)
-        wanted = r * (e @ r / (r @ r + 1e-8))
-        sdr = float("nan") if np.abs(r).max() <= 1e-8 else float(10 * np.log10((wanted @ wanted + 1e-8) / ((e - wanted) @ (e - wanted) + 1e-8)))
-    return {
-        "duration_pred_sec": len(a) / rate, "duration_target_sec": len(b) / rate, "duration_ratio": ratio, "log_mel_cosine": mel, "log_mel_l1": float(np.abs(x - y).mean()), "mfcc_cosine": cepstral,
-        "rms_db_pred": db[0], "rms_db_target": db[1], "rms_db_diff": db[0] - db[1], "si_sdr_db": sdr, "closeness_score": float(np.clip(0.25 * (mel + 1) + 0.25 * (cepstral + 1), 0, 1)),
-    }

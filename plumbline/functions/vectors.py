@@ -79,10 +79,14 @@ def match_length(x: Column, n: Column) -> Column:
 
 def fade(x: Column, length: Column) -> Column:
     """A raised-cosine fade over `length` values (half of x at most) at both ends."""
-    n = F.least(length, F.floor(F.size(x) / 2).cast("int"))
-    gain = lambda i: 0.5 * (1 - F.cos(math.pi * i / F.greatest(F.lit(1), n - 1)))
-    from_end = lambda i: F.size(x) - 1 - i
-    return F.transform(x, lambda v, i: v * F.when(i < n, gain(i)).otherwise(1.0) * F.when(from_end(i) < n, gain(from_end(i))).otherwise(1.0))
+    def faded(given: Column) -> Column:
+        y, size, n = given["y"], given["size"], given["n"]
+        gain = lambda i: 0.5 * (1 - F.cos(math.pi * i / F.greatest(F.lit(1), n - 1)))
+        from_end = lambda i: size - 1 - i
+        return F.transform(y, lambda v, i: v * F.when(i < n, gain(i)).otherwise(1.0) * F.when(from_end(i) < n, gain(from_end(i))).otherwise(1.0))
+
+    sized = let(x, lambda y: F.struct(y.alias("y"), F.size(y).alias("size"), F.least(length, F.floor(F.size(y) / 2).cast("int")).alias("n")))
+    return let(sized, faded)
 
 
 def remove_offset(x: Column) -> Column:

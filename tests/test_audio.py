@@ -1,14 +1,17 @@
 """Signal tools against known signals, and their rows."""
 
 import json
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.functions import signals as G
+from plumbline.functions import signals
 from plumbline.operators import audio
 
+from . import numpy_signals as G
+
 RATE = 16000
 
 
@@ -109,19 +112,106 @@ def test_closeness(tone):
     assert filters.shape == (64, 513) and (filters >= 0).all() and (filters.sum(1) > 0).all()
 
 
+#: Calls that two signals of different length are put through, and the same in numpy.
+CALLS = [
+    ("denoise", {"algorithm": "spectral_subtraction", "noise_factor": 1.5}), ("denoise", {"algorithm": "wiener"}), ("denoise", {"algorithm": "adaptive", "sensitivity": 0.4}), ("denoise", {"algorithm": "adaptive", "sensitivity": 7}),
+    ("denoise", {"algorithm": "echo_cancellation"}), ("loudness_normalize", {}), ("loudness_normalize", {"target_lufs": -3}), ("spectral_normalize", {"strength": 0.7}), ("trim_silence", {}),
+    ("trim_silence", {"threshold_db": 15, "hop_length": 300}), ("time_stretch", {"rate": 1.25}), ("time_stretch", {"rate": 0.7}), ("pitch_shift", {"n_steps": 3}), ("pitch_shift", {"n_steps": -2.5, "bins_per_octave": 24}),
+    ("insert_background_event", {"onset": 0.5, "duration": 0.4}), ("insert_background_event", {"onset": 1, "fade_ms": 0}),
+]
+NUMPY = {
+    "denoise": G.denoise, "loudness_normalize": G.loudness_normalise, "spectral_normalize": G.spectral_normalise, "trim_silence": G.trim_silence, "time_stretch": lambda x, sample_rate, rate: G.time_stretch(x, sample_rate, rate),
+    "pitch_shift": G.pitch_shift, "insert_background_event": G.insert_event,
+}
+CALL_COLUMNS = "id int, tool string, params string, rate int, samples array<float>, other array<float>"
+
+
+def single(x):
+    return [float(v) for v in np.float32(x)]
+
+
+def burst(n, rate, seed):
+    t = np.arange(n) / rate
+    return single(0.3 * np.sin(2 * np.pi * 440 * t) * (t > 0.3) * (t < n / rate - 0.3) + 0.02 * np.random.default_rng(seed).standard_normal(n) * (t > 0.1))
+
+
+def test_tools_match_numpy(spark):
+    other, rows, want = single(np.sin(np.arange(900))), [], {}
+    for n in (6000, 12_001):
+        for tool, params in CALLS:
+            x = burst(n, 4000, len(rows))
+            want[len(rows)] = NUMPY[tool](np.array(x), 4000, *([np.array(other)] if tool == "insert_background_event" else []), **params)
+            rows.append((len(rows), tool, json.dumps(params), 4000, x, other))
+    got = {r["id"]: r for r in audio.run(spark.createDataFrame(rows, CALL_COLUMNS)).collect()}
+    assert len(got) == len(rows)
+    for k, expected in want.items():
+        assert got[k]["status"] == "success" and np.allclose(got[k]["samples"], expected, atol=2e-7), rows[k][1:3]
+
+
+def test_noise_levels(spark, tone):
+    x, loud = single(tone), single(np.random.default_rng(1).standard_normal(RATE // 2))
+    calls = [("add_noise", {"noise_type": "pink", "snr_db": 10}), ("add_noise", {"snr_db": 20, "seed": 3}), ("pad_noise", {"position": "start", "duration_sec": 0.5}), ("pad_noise", {"fade_ms": 0}), ("mix_audio", {"snr_db": 3}), ("mix_audio", {})]
+    rows = [(k, tool, json.dumps(p), RATE, x, loud) for k, (tool, p) in enumerate(calls)]
+    frame = spark.createDataFrame(rows, CALL_COLUMNS)
+    pink, white, before, both, mixed, plain = (np.array(r["samples"]) for r in sorted(audio.run(frame).collect()))
+    x = np.array(x)
+    assert 20 * np.log10(G.level(x) / G.level(pink - x)) == pytest.approx(10, abs=1e-3) and 20 * np.log10(G.level(x) / G.level(white - x)) == pytest.approx(20, abs=1e-3)
+    slope = [np.log(np.abs(np.fft.rfft(v - x))[a:b] ** 2).mean() for v in (pink, white) for a, b in ((50, 500), (4000, 8000))]
+    assert slope[0] - slope[1] > 2.5 and abs(slope[2] - slope[3]) < 0.5
+    assert len(before) == RATE + RATE // 2 and np.allclose(before[RATE // 2 :], x) and before[0] == 0
+    assert len(both) == 3 * RATE and 20 * np.log10(G.level(x) / G.level(both[:RATE])) == pytest.approx(20, abs=1e-3) and not np.allclose(both[:RATE], both[2 * RATE :])
+    assert np.abs(mixed).max() == pytest.approx(1, abs=1e-6) and np.abs(plain).max() == pytest.approx(1, abs=1e-6)
+    draws = (white - x) / G.level(white - x)
+    assert abs(draws.mean()) < 0.03 and abs((draws**4).mean() - 3) < 0.2 and abs(np.corrcoef(draws[1:], draws[:-1])[0, 1]) < 0.03
+
+
 def test_rows(spark, tone):
-    x = [float(v) for v in tone]
+    x = single(tone)
+    wiener = '{"algorithm": "wiener"}'
     rows = [
         (1, "denoise", json.dumps({"algorithm": "wiener", "audio_path": "a"}), RATE, x, None), (2, "nothing", None, RATE, x, None), (3, "denoise", "{}", RATE, x, None), (4, "trim_silence", None, RATE, x, None),
-        (5, "insert_background_event", '{"onset": 0.5}', RATE, x, [1.0] * 50), (6, "trim_silence", "not json", RATE, x, None), (7, "denoise", '{"algorithm": "wiener"}', RATE, None, None),
+        (5, "insert_background_event", '{"onset": 0.5}', RATE, x, [1.0] * 50), (6, "trim_silence", "not json", RATE, x, None), (7, "denoise", wiener, RATE, None, None), (8, "denoise", '{"algorithm": "magic"}', RATE, x, None),
+        (9, "time_stretch", '{"rate": 0}', RATE, x, None), (10, "time_stretch", '{"rate": "fast"}', RATE, x, None), (11, "insert_background_event", '{"onset": 9}', RATE, x, [1.0]), (12, "spectral_normalize", "{}", RATE, [], None),
+        (13, "trim_silence", '{"depth": 1}', RATE, x, None), (14, None, None, None, None, None), (15, "pitch_shift", '{"n_steps": 1, "n_steps": 2}', RATE, x, None), (16, "time_stretch", '{"rate": 2}', RATE, [], None), (17, "trim_silence", "[1]", RATE, x, None),
     ]
-    calls = spark.createDataFrame(rows, "id int, tool string, params string, rate int, samples array<float>, other array<float>")
+    calls = spark.createDataFrame(rows, CALL_COLUMNS)
     got = {r["id"]: (r["status"], r["samples"] is None) for r in audio.run(calls).collect()}
-    assert got == {i: ("success", False) if i in (1, 4, 5) else ("failure", True) for i in range(1, 8)}
+    assert got == {i: ("success", False) if i in (1, 4, 5, 12, 15, 16) else ("failure", True) for i in range(1, 18)}
     assert audio.run(calls.limit(0)).count() == 0
-    pairs = calls.select("id", "rate", "samples", F.col("samples").alias("target"))
-    scores = {r["id"]: r["closeness_score"] for r in audio.compare(pairs).collect()}
-    assert scores[1] == pytest.approx(1) and scores[7] is None
+    repeated = audio.run(calls.where("id = 1").unionAll(calls.where("id = 1")).withColumn("call", F.lit(1)).withColumn("id", F.lit(None).cast("int"))).collect()
+    assert len(repeated) == 2 and repeated[0] == repeated[1] and len(repeated[0]["samples"]) == RATE
+    supplied = audio.injected(calls.where("id in (2, 3)").drop("other"), {"nothing": lambda samples, rate: samples * 0}).collect()
+    assert {r["id"]: r["status"] for r in supplied} == {2: "success", 3: "failure"}
+
+
+def test_comparisons_match_numpy(spark, tone):
+    other = np.random.default_rng(0).standard_normal(RATE)
+    sides = {1: (tone, tone), 2: (tone, other), 3: (tone, tone[:8000]), 4: (tone[:15_900], tone)}
+    rows = [(k, RATE, single(a), single(b)) for k, (a, b) in sides.items()] + [(5, RATE, single(tone), None), (6, RATE, [], single(tone)), (None, RATE, single(tone), single(tone)), (1, RATE, single(tone), single(tone))]
+    done = audio.compare(spark.createDataFrame(rows, "id int, rate int, samples array<float>, target array<float>")).collect()
+    assert len(done) == len(rows)
+    for r in done:
+        if r["id"] in (5, 6):
+            assert all(v is None for k, v in r.asDict().items() if k != "id")
+        else:
+            a, b = sides[r["id"] or 1]
+            for k, v in G.closeness(np.array(single(a)), np.array(single(b)), RATE).items():
+                assert r[k] == (v if v is None else pytest.approx(v, abs=1e-5)), (r["id"], k)
+
+
+def test_exchanges(spark):
+    """Rows are exchanged by signal, to be named and after each transform, and never by frame, bin or block."""
+    calls = spark.createDataFrame([], CALL_COLUMNS)
+    for done, most in ((audio.run(calls), 6), (audio.compare(calls.withColumn("target", F.col("other"))), 4)):
+        plan = done._jdf.queryExecution().executedPlan().toString()
+        keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+        assert 0 < len(keys) <= most and all(re.fullmatch(r"call#\d+L?, (nth#\d+, )?\d+", k) for k in keys)
+
+
+def test_helpers():
+    t = np.arange(100) / 100
+    for n in (50, 51, 100, 150, 201):
+        assert np.allclose(signals.resample(np.sin(2 * np.pi * 3 * t), n), np.sin(2 * np.pi * 3 * np.arange(n) / n))
 
 
 def test_native(spark):
