@@ -10,8 +10,8 @@ hashes with the group's counts, to hash buckets; each bucket adds up its keys ov
 corpus counts, in the order in which the group sent its keys. A group then scores its texts by lookup. Nothing is broadcast
 but the mixture weights; the driver gets totals and a histogram on a fixed grid.
 
-Words are told apart by 64-bit hashes, bigrams by 32 bits within their bucket: about one bigram in 4 * 10**9 / (bigrams of a
-bucket) shares its count with another.
+Words and bigrams are told apart by 64-bit hashes. EM takes held-out tokens that lie in one cell of the grid together, with the
+means of their estimates.
 """
 
 from __future__ import annotations
@@ -70,9 +70,7 @@ class Tokens:
         if len(before):
             before[self.starts[:-1]] = END
         self.words, self.word_at = np.unique(all_tokens, return_inverse=True)
-        pair = mix64(before * np.uint64(0x9E3779B97F4A7C15) + all_tokens)
-        pair = (self.bucket_of(pair, buckets) << np.uint64(32)) | (pair & np.uint64(0xFFFFFFFF))
-        self.pairs, self.pair_at = np.unique(pair, return_inverse=True)
+        self.pairs, self.pair_at = np.unique(mix64(before * np.uint64(0x9E3779B97F4A7C15) + all_tokens), return_inverse=True)
         self.buckets = buckets
 
     @staticmethod
@@ -83,12 +81,11 @@ class Tokens:
         """(kind, bucket, keys, train counts, held-out counts); train, held: weights of the texts."""
         for kind, keys, at in ((UNIGRAM, self.words, self.word_at), (BIGRAM, self.pairs, self.pair_at)):
             in_train, in_held = (np.bincount(at, w[self.doc], len(keys)).astype(np.uint32) for w in (train, held))
-            bucket = (self.bucket_of(keys, self.buckets) if kind == UNIGRAM else keys >> np.uint64(32)).astype(np.int64)
+            bucket = self.bucket_of(keys, self.buckets).astype(np.int64)
             cuts = np.searchsorted(bucket, np.arange(self.buckets + 1))
             for b in np.flatnonzero(np.diff(cuts)):
                 i, j = cuts[b], cuts[b + 1]
-                raw = keys[i:j] if kind == UNIGRAM else keys[i:j].astype(np.uint32)
-                yield kind, int(b), raw.tobytes(), pack_counts(in_train[i:j]), pack_counts(in_held[i:j])
+                yield kind, int(b), keys[i:j].tobytes(), pack_counts(in_train[i:j]), pack_counts(in_held[i:j])
 
 
 def _send(key: tuple, table: pa.Table, buckets: int) -> pa.Table:
@@ -101,7 +98,7 @@ def _send(key: tuple, table: pa.Table, buckets: int) -> pa.Table:
 
 def _answer(key: tuple, table: pa.Table) -> pa.Table:
     kind, bucket = key[0].as_py(), key[1].as_py()
-    keys = [np.frombuffer(x.as_buffer(), np.uint64 if kind == UNIGRAM else np.uint32) for x in table.column("keys")]
+    keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("keys")]
     stops = np.cumsum([len(k) for k in keys])
     unique, at = np.unique(np.concatenate(keys), return_inverse=True)
     train, held = (np.bincount(at, np.concatenate([unpack_counts(x.as_buffer()) for x in table.column(c)]), len(unique)).astype(np.int64) for c in ("train", "held"))
@@ -137,25 +134,25 @@ def context_bucket(count: np.ndarray) -> np.ndarray:
 
 
 def _histogram(texts: pa.Table, answers: pa.Table, buckets: int, tokens: int) -> pa.Table:
-    """Held-out tokens by context bucket and by both estimates' logarithms on a grid (0: never seen)."""
+    """Held-out tokens by context bucket and by both estimates' logarithms on a grid (0: never seen), with the estimates' sums."""
     _, own, pair, context = _looked_up(texts, answers, buckets, "rest")
     with np.errstate(divide="ignore", invalid="ignore"):
-        q2 = np.where((pair > 0) & (context > 0), 1 + np.round(-np.log(np.minimum(1, pair / context)) / GRID), 0).astype(np.int64)
-        q1 = np.where(own > 0, 1 + np.round(-np.log(own / tokens) / GRID), 0).astype(np.int64)
-    cells, n = np.unique(np.stack([context_bucket(context), q2, q1]), axis=1, return_counts=True)
-    return pa.table({"context": cells[0], "q2": cells[1], "q1": cells[2], "n": n.astype(np.int64)})
+        p2, p1 = np.where((pair > 0) & (context > 0), np.minimum(1, pair / context), 0), own / tokens
+        q2, q1 = (np.where(p > 0, 1 + np.round(-np.log(p) / GRID), 0).astype(np.int64) for p in (p2, p1))
+    cells, at, n = np.unique((context_bucket(context) << 40) | (q2 << 20) | q1, return_inverse=True, return_counts=True)
+    sums = {name: np.bincount(at, p, len(cells)) for name, p in (("p2", p2), ("p1", p1))}
+    return pa.table({"cell": cells, "context": cells >> 40, "n": n.astype(np.int64), **sums})
 
 
 def learn_weights(histogram: pd.DataFrame, types: int, rounds: int = 60) -> np.ndarray:
-    """(CONTEXTS, 3) weights of bigram, unigram and uniform estimates, by EM; a bucket without held-out tokens takes those of
-    the next lower one."""
+    """(CONTEXTS, 3) weights of bigram, unigram and uniform estimates, by EM over cells (context, n tokens, sums p2 and p1 of
+    their estimates); a bucket without held-out tokens takes those of the next lower one."""
     out, last = np.zeros((CONTEXTS, 3)), np.array([0.0, 0.9, 0.1])
     for b in range(CONTEXTS):
         rows = histogram[histogram["context"] == b]
         if len(rows):
-            q = rows[["q2", "q1"]].to_numpy()
-            p = np.column_stack([np.where(q > 0, np.exp(-(q - 1) * GRID), 0), np.full(len(q), 1 / (types + 1))])
             n, w = rows["n"].to_numpy(float), np.array([0.4 if b else 0.0, 0.5, 0.1])
+            p = np.column_stack([rows[["p2", "p1"]].to_numpy() / n[:, None], np.full(len(n), 1 / (types + 1))])
             w = w / w.sum()
             for _ in range(rounds):
                 post = p * w
@@ -208,8 +205,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
         own = replies.select("grp", "kind", "bucket", column)
         return which.groupBy("grp").cogroup(own.where(groups).groupBy("grp")).applyInArrow(lambda key, texts, answers: run(texts, answers), schema)
 
-    cells = beside(base.where(held), F.col("grp") >= n_rest, "rest", partial(_histogram, buckets=buckets, tokens=max(1, rest_tokens)), "context long, q2 long, q1 long, n long")
-    histogram = cells.groupBy("context", "q2", "q1").agg(F.sum("n").alias("n")).toPandas()
+    cells = beside(base.where(held), F.col("grp") >= n_rest, "rest", partial(_histogram, buckets=buckets, tokens=max(1, rest_tokens)), "cell long, context long, n long, p2 double, p1 double")
+    histogram = cells.groupBy("cell", "context").agg(*[F.sum(c).alias(c) for c in ("n", "p2", "p1")]).toPandas()
     weights = learn_weights(histogram, rest_types)
     kind = dict(base.dtypes)["__id"]
     schema = f"__id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

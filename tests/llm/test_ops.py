@@ -621,11 +621,36 @@ def test_model_brute_force(spark, monkeypatch):
 def test_em():
     import pandas as pd
 
-    h = pd.DataFrame({"context": [3, 3], "q2": [0, 8], "q1": [30, 90], "n": [300, 700]})
+    h = pd.DataFrame({"context": [3, 3], "p2": [0, 700 * math.exp(-0.7)], "p1": [300 * math.exp(-2.9), 700 * math.exp(-8.9)], "n": [300, 700]})
     w = interpolated_lm.learn_weights(h, 1000)
     assert w.sum(1) == pytest.approx(1) and 0.65 < w[3][0] < 0.75 and (w[4] == w[3]).all()
 
 
+def test_weights_of_exact_em(spark, sf, documents, monkeypatch):
+    """The weights learned from cells are those of EM over every single held-out token."""
+    seen, learn = {}, interpolated_lm.learn_weights
+    monkeypatch.setattr(interpolated_lm, "learn_weights", lambda h, types: seen.setdefault("w", learn(h, types)))
+    interpolated_lm.score(spark.read.parquet(f"{sf}/documents.parquet"))
+    tokens = {i: [*t.encode().lower().split(), None] for i, t in documents.items()}
+    fold = lambda i: zlib.crc32(str(i).encode()) % 10
+    rest = [t for i, t in tokens.items() if fold(i) > 1]
+    one, two = Counter(w for t in rest for w in t), Counter(p for t in rest for p in zip([None, *t], t))
+    n = sum(one.values())
+    held = [p for i, t in tokens.items() if fold(i) == 1 for p in zip([None, *t], t)]
+    bucket = np.array([one[u].bit_length() for u, _ in held])
+    p = np.array([(two[u, w] / one[u] if one[u] else 0, one[w] / n, 1 / (len(one) + 1)) for u, w in held])
+    mixed = {"exact": 0.0, "cells": 0.0}
+    for b in set(bucket):
+        mine, w = p[bucket == b], np.array([0.4 if b else 0.0, 0.5, 0.1])
+        w = w / w.sum()
+        for _ in range(60):
+            w = (mine * w / (mine @ w)[:, None]).mean(0)
+        assert seen["w"][b] == pytest.approx(w, abs=2e-3)
+        mixed["exact"] += np.log10(mine @ w).sum()
+        mixed["cells"] += np.log10(mine @ seen["w"][b]).sum()
+    assert mixed["cells"] == pytest.approx(mixed["exact"], rel=1e-5)
+
+
 def test_score_cases(spark, odd, empty):
     assert interpolated_lm.score(odd).count() == odd.count() and interpolated_lm.score(empty).count() == 0
 
