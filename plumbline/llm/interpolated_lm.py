@@ -43,13 +43,30 @@ _SENT = "kind int, bucket int, grp long, keys binary, train binary, held binary"
 _ANSWER = "grp long, kind int, bucket int, train binary, rest binary, tokens long, types long, rest_tokens long, rest_types long"
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """The first bytes of all values, then all second bytes, and so on: those of small values compress to almost nothing."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def _of_planes(raw: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def pack_counts(counts: np.ndarray) -> bytes:
-    """As four byte planes: small counts then compress to almost nothing."""
-    return counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return _planes(counts.astype("<u4"))
 
 
 def unpack_counts(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return _of_planes(raw, "<u4")
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as their differences, which have fewer bytes than the keys."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)).astype("<u8"))
+
+
+def unpack_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(_of_planes(raw, "<u8"), dtype=np.uint64)
 
 
 class Tokens:
@@ -85,7 +102,7 @@ class Tokens:
             cuts = np.searchsorted(bucket, np.arange(self.buckets + 1))
             for b in np.flatnonzero(np.diff(cuts)):
                 i, j = cuts[b], cuts[b + 1]
-                yield kind, int(b), keys[i:j].tobytes(), pack_counts(in_train[i:j]), pack_counts(in_held[i:j])
+                yield kind, int(b), pack_keys(keys[i:j]), pack_counts(in_train[i:j]), pack_counts(in_held[i:j])
 
 
 def _send(key: tuple, table: pa.Table, buckets: int) -> pa.Table:
@@ -98,7 +115,7 @@ def _send(key: tuple, table: pa.Table, buckets: int) -> pa.Table:
 
 def _answer(key: tuple, table: pa.Table) -> pa.Table:
     kind, bucket = key[0].as_py(), key[1].as_py()
-    keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("keys")]
+    keys = [unpack_keys(x.as_buffer()) for x in table.column("keys")]
     stops = np.cumsum([len(k) for k in keys])
     unique, at = np.unique(np.concatenate(keys), return_inverse=True)
     train, held = (np.bincount(at, np.concatenate([unpack_counts(x.as_buffer()) for x in table.column(c)]), len(unique)).astype(np.int64) for c in ("train", "held"))

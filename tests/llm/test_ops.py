@@ -626,6 +626,13 @@ def test_em():
     assert w.sum(1) == pytest.approx(1) and 0.65 < w[3][0] < 0.75 and (w[4] == w[3]).all()
 
 
+@given(st.sets(st.integers(0, 2**64 - 1), min_size=1))
+@settings(max_examples=60, deadline=None)
+def test_packed_keys(keys):
+    keys = np.array(sorted(keys), np.uint64)
+    assert (interpolated_lm.unpack_keys(interpolated_lm.pack_keys(keys)) == keys).all()
+
+
 def test_weights_of_exact_em(spark, sf, documents, monkeypatch):
     """The weights learned from cells are those of EM over every single held-out token."""
     seen, learn = {}, interpolated_lm.learn_weights
