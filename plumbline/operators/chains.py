@@ -43,9 +43,10 @@ def stop_reasons(steps: DataFrame, allowed: list[str], cap: int = MOST_STEPS) ->
 
 
 def assign_ids(chain: DataFrame) -> DataFrame:
-    """Each step of a chain (id, pos) reads what the one before wrote: audio_0 first, then audio_1, ..."""
-    at = F.col("pos") - 1
-    return chain.withColumns({"input_id": F.concat(F.lit("audio_"), at), "output_id": F.concat(F.lit("audio_"), at + 1)})
+    """Each step of a chain (id, pos from 1) reads what the one before wrote: audio_0, the source, first; audio_1 is the target,
+    so step 1 writes audio_2, step 2 audio_3, ..."""
+    pos = F.col("pos")
+    return chain.withColumns({"input_id": F.when(pos == 1, "audio_0").otherwise(F.concat(F.lit("audio_"), pos)), "output_id": F.concat(F.lit("audio_"), pos + 1)})
 
 
 def last_produced(steps: DataFrame, produced: Column, first: str) -> Column:

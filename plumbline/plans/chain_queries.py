@@ -65,7 +65,7 @@ def step_budget(spark, d):
     return V.calls(spark, d).groupBy("id").agg(C.step_budget(F.count("*")).alias("budget"))
 
 
-@query(f"WITH {V.CALLS_SQL} SELECT id, pos, 'audio_' || (pos - 1) AS input_id, 'audio_' || pos AS output_id FROM calls")
+@query(f"WITH {V.CALLS_SQL} SELECT id, pos, CASE pos WHEN 1 THEN 'audio_0' ELSE 'audio_' || pos END AS input_id, 'audio_' || (pos + 1) AS output_id FROM calls")
 def chain_ids(spark, d):
     return C.assign_ids(V.calls(spark, d).select("id", "pos")).select("id", "pos", "input_id", "output_id")
 
