@@ -81,12 +81,16 @@ def draw_params(spec: dict[str, dict], seed: int, key: str) -> dict[str, Column]
     return out
 
 
-def chains(items: DataFrame, key: str, tools: list[str], least: int, most: int, seed: int) -> DataFrame:
-    """(key, pos, tool): for each item a chain of distinct tools, of a drawn length between least and most (clamped to the
-    pool), in a drawn order."""
+def chain(key: str, tools: list[str], least: int, most: int, seed: int) -> Column:
+    """An array of distinct tools, of a drawn length between least and most (clamped to the pool), in a drawn order."""
     k = F.least(F.lit(len(tools)), integer(seed, least, most, key, F.lit("length")))
     pool = F.sort_array(F.array(*[F.struct(draw(seed, key, F.lit(t)).alias("u"), F.lit(t).alias("tool")) for t in tools]))
-    return items.select(key, F.posexplode(F.slice(pool, F.lit(1), k)).alias("pos", "x")).select(key, (F.col("pos") + 1).alias("pos"), F.col("x.tool").alias("tool"))
+    return F.slice(pool, F.lit(1), k)["tool"]
+
+
+def chains(items: DataFrame, key: str, tools: list[str], least: int, most: int, seed: int) -> DataFrame:
+    """(key, pos, tool): a drawn chain of each item."""
+    return items.select(key, F.posexplode(chain(key, tools, least, most, seed)).alias("pos", "tool")).withColumn("pos", F.col("pos") + 1)
 
 
 def held_out_tail(df: DataFrame, order: str, share: float) -> DataFrame:

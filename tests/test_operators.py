@@ -13,10 +13,11 @@ from plumbline.functions import json_parse as J
 from plumbline.functions import vectors as X
 from plumbline.functions.ranks import global_rank
 from plumbline.operators import chains as C
-from plumbline.operators import datasets, disturb, models, prompts, sampling, schedules
+from plumbline.operators import builders, datasets, disturb, models, prompts, sampling, schedules
 from plumbline.operators import predictions as P
 from plumbline.operators import uncertainty as U
 from plumbline.sources import records, wav
+from plumbline.sources import results as results_sink
 from plumbline.streaming import resume
 
 
@@ -225,3 +226,40 @@ def test_resume(spark, tmp_path):
     (tmp_path / "in" / "2.json").write_text('{"id": 3}\n')
     go()
     assert sorted(r["x"] for r in spark.read.json(sink).collect()) == [2, 4, 6]
+
+
+def test_built_samples(spark, tmp_path):
+    """A hook that fails the first attempt of odd tasks and drops the rows of task 4, which is replaced."""
+    seen = lambda c: F.split("key", "/")[c].cast("int")
+    run = lambda calls: calls.where(seen(0) != 4).select("key", F.concat("audio", F.lit("+"), "tool").alias("output"), F.create_map(F.lit("audio_path"), "audio").alias("parameters"), F.when((seen(0) % 2 == 1) & (seen(1) == 0), "failure").otherwise("success").alias("status"))
+    sources = spark.createDataFrame([(0, "x"), (1, "y")], "place long, audio string")
+    rows = builders.build(6, sources, ["a", "b"], 2, 5, 1, 3, run, str(tmp_path / "built")).orderBy("task").collect()
+    assert [r["task"] for r in rows] == [0, 1, 2, 3, 5, 6] and len({r["id"] for r in rows}) == 6
+    for r in rows:
+        first, second = (c["tool_name"] for c in r["tool_calls"])
+        assert {first, second} == {"a", "b"} and r["num_steps"] == 2 and r["source_audio"] in "xy" and r["target_audio"] == f"{r['source_audio']}+{first}+{second}" == r["step_outputs"][1]
+        assert [c["parameters"] for c in r["tool_calls"]] == [{"audio_id": "audio_0"}, {"audio_id": "audio_2"}]
+        assert r["audio_id_map"] == {"audio_0": r["source_audio"], "audio_1": r["target_audio"], "audio_2": r["step_outputs"][0], "audio_3": r["target_audio"]}
+    assert builders.build(0, sources, ["a"], 1, 1, 1, 1, run, str(tmp_path / "none")).count() == 0
+    with pytest.raises(ValueError):
+        builders.build(1, sources.limit(0), ["a"], 1, 1, 1, 1, run, str(tmp_path / "empty"))
+    with pytest.raises(RuntimeError):
+        builders.build(1, sources, ["a"], 1, 1, 1, 1, lambda c: run(c).where("false"), str(tmp_path / "never"), rounds=2)
+
+
+def test_saved_results(spark, tmp_path):
+    audio = tmp_path / "in.WAV"
+    audio.write_bytes(b"RIFF")
+    schema = "id string, tool string, transcript string, clip_path string, output_path string, separated_files map<string,string>, record string, problem string"
+    results = spark.createDataFrame([
+        ("1", "asr", "é", str(audio), None, None, "{}", None), ("2", "t", None, None, str(audio), {"v": "/x"}, "{}", None), ("3", "t", None, None, str(tmp_path / "no.wav"), None, '{"a": {}}', '{"q": 1}'),
+        ("4", "t", None, None, None, {"v": str(audio), "w": str(tmp_path / "no.wav")}, "{}", "1"), ("5", "t", None, None, None, {}, "{ }\n", None),
+    ], schema)
+    files = results_sink.result_files(results, spark.createDataFrame([(str(audio),)] * 2, "path string"))
+    for _ in range(2):  # written again, the files are the same
+        got = {(r["id"], r["name"]): r["status"] for r in results_sink.save(files, str(tmp_path / "out")).collect()}
+        assert [k for k, s in got.items() if s == "failure"] == [("4", "tool_result_t_w.wav")] and len(got) == 7
+    read = lambda i, name: (tmp_path / "out" / i / name).read_bytes()
+    assert read("1", "tool_result_asr.txt") == "é".encode() and read("2", "tool_result_t.WAV") == read("4", "tool_result_t_v.WAV") == b"RIFF"
+    assert json.loads(read("3", "tool_result_t.json")) == {"a": {}, "_problem": {"q": 1}} and json.loads(read("4", "tool_result_t.json")) == {"_problem": 1} and json.loads(read("5", "tool_result_t.json")) == {"_problem": None}
+    assert results_sink.result_files(results.limit(0), files.select(F.lit("x").alias("path"))).count() == 0
