@@ -28,7 +28,8 @@ def run_chains(items: DataFrame, run: Callable[[DataFrame], DataFrame], longest:
         got = run(state.where(goes).select("key", F.lit(step).alias("step"), F.get("chain", F.lit(step - 1)).alias("tool"), "audio"))
         joined = state.join(got.select("key", "output", "parameters", "status"), "key", "left")
         ok = goes & F.coalesce(F.col("status") == "success", F.lit(False))
-        call = F.struct(F.get("chain", F.lit(step - 1)).alias("tool_name"), "parameters", "output")
+        given = F.coalesce("parameters", F.create_map().cast("map<string,string>")).alias("parameters")
+        call = F.struct(F.get("chain", F.lit(step - 1)).alias("tool_name"), given, "output")
         joined.select(
             *items.drop("audio").columns, F.when(ok, F.col("output")).otherwise(F.col("audio")).alias("audio"),
             F.when(ok, F.concat("calls", F.array(call))).otherwise(F.col("calls")).alias("calls"), (F.col("failed") | (goes & ~ok)).alias("failed"),
@@ -85,3 +86,15 @@ def build(n: int, sources: DataFrame, tools: list[str], least: int, most: int, s
         part = part.select("task", "source", "audio", "calls")
         built = part if built is None else built.unionByName(part)
     return built.select(*_sample(seed))
+
+
+def applied_pairs(items: DataFrame, tools: dict[str, float], least: int, most: int, seed: int, run: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
+    """Each item (id, audio; ids are distinct) beside the same audio with tools applied, drawn by weight: (id, original_audio,
+    tool_chain array<struct<tool, parameters, output_path>>, tool_applied_audio, failed).
+
+    A chain may be empty: then both audios are the same. A failed item keeps what was applied before its failure.
+    """
+    start = items.select(F.col("id").alias("key"), F.col("audio").alias("original_audio"), "audio").withColumn("chain", chain("key", tools, least, most, seed))
+    calls = F.transform("calls", lambda c: F.struct(c["tool_name"].alias("tool"), F.map_filter(c["parameters"], lambda name, _: name != "audio_path").alias("parameters"), c["output"].alias("output_path")))
+    done = run_chains(start, run, min(most, len(tools)), folder)
+    return done.select(F.col("key").alias("id"), "original_audio", calls.alias("tool_chain"), F.col("audio").alias("tool_applied_audio"), "failed")

@@ -81,10 +81,13 @@ def draw_params(spec: dict[str, dict], seed: int, key: str) -> dict[str, Column]
     return out
 
 
-def chain(key: str, tools: list[str], least: int, most: int, seed: int) -> Column:
-    """An array of distinct tools, of a drawn length between least and most (clamped to the pool), in a drawn order."""
-    k = F.least(F.lit(len(tools)), integer(seed, least, most, key, F.lit("length")))
-    pool = F.sort_array(F.array(*[F.struct(draw(seed, key, F.lit(t)).alias("u"), F.lit(t).alias("tool")) for t in tools]))
+def chain(key: str, tools: list[str] | dict[str, float], least: int, most: int, seed: int) -> Column:
+    """An array of distinct tools, of a drawn length between least and most (clamped to the pool), in a drawn order; with
+    weights, heavier tools come earlier and more often, and tools of weight 0 never."""
+    weights = {t: w for t, w in tools.items() if w > 0} if isinstance(tools, dict) else dict.fromkeys(tools)
+    k = F.least(F.lit(len(weights)), integer(seed, least, most, key, F.lit("length")))
+    by = lambda t, w: draw(seed, key, F.lit(t)) if w is None else -F.ln(draw(seed, key, F.lit(t))) / w
+    pool = F.sort_array(F.array(*[F.struct(by(t, w).alias("u"), F.lit(t).alias("tool")) for t, w in weights.items()]))
     return F.slice(pool, F.lit(1), k)["tool"]
 
 

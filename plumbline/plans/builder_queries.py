@@ -23,6 +23,13 @@ def query(sql: str):
     return add
 
 
+def _run(calls):
+    """A stand-in for tools."""
+    out = F.md5(F.concat_ws(":", "tool", "audio"))
+    parameters = F.create_map(F.lit("audio_path"), "audio", F.lit("step"), F.col("step").cast("string"))
+    return calls.select("key", out.alias("output"), parameters.alias("parameters"), F.when(out.startswith("f"), "failure").otherwise("success").alias("status"))
+
+
 def _attempt_sql(attempt: int) -> str:
     """All tasks' outputs at one attempt; a call fails where its output begins with f."""
     key = f"task || '/{attempt}'"
@@ -42,14 +49,27 @@ def built_samples(spark, d):
     """One sample a customer, from chains of tools of which some fail: retried once, then replaced by further tasks."""
     parts = global_rank(V.table(spark, d, "part").select("p_partkey"), ["p_partkey"], "place")
     sources = parts.select((F.col("place") - 1).alias("place"), F.concat(F.lit("part_"), "p_partkey").alias("audio"))
-    out = F.md5(F.concat_ws(":", "tool", "audio"))
-    run = lambda calls: calls.select("key", out.alias("output"), F.create_map(F.lit("audio_path"), "audio", F.lit("step"), F.col("step").cast("string")).alias("parameters"), F.when(out.startswith("f"), "failure").otherwise("success").alias("status"))
-    built = B.build(V.table(spark, d, "customer").count(), sources, _POOL, 1, 3, 5, 2, run, R.scratch_folder(spark, "samples"))
+    built = B.build(V.table(spark, d, "customer").count(), sources, _POOL, 1, 3, 5, 2, _run, R.scratch_folder(spark, "samples"))
     ids = F.transform("tool_calls", lambda c: F.concat_ws(">", c["parameters"]["audio_id"], c["output_audio_id"]))
     audios = F.transform(F.map_entries("audio_id_map"), lambda e: F.concat_ws("=", e["key"], e["value"]))
     return built.select("task", "id", "source_audio", "target_audio", "num_steps", F.array_join(ids, ",").alias("ids"), F.array_join(F.col("tool_calls")["tool_name"], ",").alias("tools"), F.array_join(audios, ",").alias("audios"))
 
 
+_WEIGHTS = {"clipping": 1.0, "denoise": 2.5, "trim_silence": 0.5, "asr": 0.0}
+
+
+@query(f"""WITH i AS (SELECT p_partkey AS id, 'part_' || p_partkey AS o0, floor({_U.format(text="'6:' || p_partkey || ':length'")} * 4)::INT AS k FROM part), w(tool, w) AS (VALUES ('clipping', 1.0), ('denoise', 2.5), ('trim_silence', 0.5)),
+c AS (SELECT id, o0, k, list(tool ORDER BY -ln({_U.format(text="'6:' || id || ':' || tool")}) / w) AS chain FROM i, w GROUP BY ALL),
+a AS (SELECT *, CASE WHEN k >= 3 AND NOT starts_with(o1, 'f') AND NOT starts_with(o2, 'f') THEN md5(chain[3] || ':' || o2) END AS o3 FROM (SELECT *, CASE WHEN k >= 2 AND NOT starts_with(o1, 'f') THEN md5(chain[2] || ':' || o1) END AS o2 FROM (SELECT *, CASE WHEN k >= 1 THEN md5(chain[1] || ':' || o0) END AS o1 FROM c))),
+g AS (SELECT *, nullif(regexp_replace(o1, '^f.*', ''), '') AS g1, nullif(regexp_replace(o2, '^f.*', ''), '') AS g2, nullif(regexp_replace(o3, '^f.*', ''), '') AS g3 FROM a)
+SELECT id, o0 AS original_audio, array_to_string(chain[1:(g1 IS NOT NULL)::INT + (g2 IS NOT NULL)::INT + (g3 IS NOT NULL)::INT], ',') AS tools, concat_ws(',', g1, g2, g3) AS outputs, coalesce(g3, g2, g1, o0) AS tool_applied_audio, coalesce(starts_with(coalesce(o3, o2, o1), 'f'), false) AS failed FROM g""")
+def applied_pairs(spark, d):
+    """Every part's audio beside the same with up to three tools applied, drawn by weight, until one fails."""
+    items = V.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("part_"), "p_partkey").alias("audio"))
+    pairs = B.applied_pairs(items, _WEIGHTS, 0, 3, 6, _run, R.scratch_folder(spark, "pairs"))
+    return pairs.select("id", "original_audio", F.array_join(F.col("tool_chain")["tool"], ",").alias("tools"), F.array_join(F.col("tool_chain")["output_path"], ",").alias("outputs"), "tool_applied_audio", "failed")
+
+
 @query("""WITH e AS (SELECT event_id AS id, event_type AS tool, event_id % 6 AS k, '{"n": ' || event_id || '}' AS record, 'tool_result_' || event_type AS base FROM events)
 SELECT id, base || '.txt' AS name, NULL AS source, 'said ' || id AS content FROM e WHERE k = 0 UNION ALL SELECT id, base || '.wav', '/a/' || id || '.wav', NULL FROM e WHERE k = 1 OR (k = 2 AND id % 4 = 0)
 UNION ALL SELECT id, base || '_' || stem || '.flac', '/s.1/' || stem || '.flac', NULL FROM e, (VALUES ('voice'), ('rest')) v(stem) WHERE k = 3
