@@ -34,9 +34,9 @@ def _attempt_sql(attempt: int) -> str:
     """All tasks' outputs at one attempt; a call fails where its output begins with f."""
     key = f"task || '/{attempt}'"
     step = lambda k, before: f"CASE WHEN k >= {k} THEN md5(chain[{k}] || ':' || {before}) END"
-    return f"""a{attempt} AS (SELECT task, source, k, o1, o2, {step(3, "o2")} AS o3, chain FROM (SELECT *, {step(2, "o1")} AS o2 FROM (SELECT *, {step(1, "source")} AS o1 FROM (
+    return f"""t{attempt} AS (SELECT task, floor({_U.format(text=f"'5:' || {key} || ':source'")} * m)::BIGINT AS place FROM t, (SELECT count(*) AS m FROM s)), a{attempt} AS (SELECT task, source, k, o1, o2, {step(3, "o2")} AS o3, chain FROM (SELECT *, {step(2, "o1")} AS o2 FROM (SELECT *, {step(1, "source")} AS o1 FROM (
   SELECT t.task, 'part_' || s.p_partkey AS source, floor({_U.format(text=f"'5:' || {key} || ':length'")} * 3 + 1)::INT AS k, list_sort([md5('5:' || {key} || ':' || x) || x for x in {_POOL}]).list_transform(lambda y: substr(y, 33)) AS chain
-  FROM t JOIN s ON s.place = floor({_U.format(text=f"'5:' || {key} || ':source'")} * (SELECT count(*) FROM s))::BIGINT))))"""
+  FROM t{attempt} AS t JOIN s USING (place)))))"""
 
 
 @query(f"""WITH n AS (SELECT count(*) AS n FROM customer), s AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS place FROM part), t AS (SELECT unnest(range(4 * n)) AS task FROM n), {_attempt_sql(0)}, {_attempt_sql(1)},
