@@ -2,25 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.records import scratch_folder
 
-def global_rank(df: DataFrame, order: list[str], name: str, parts: int = 64) -> DataFrame:
-    """df with a column `name`: the row's number, from 1, in the given (total) order.
+#: Rows that a range holds, about.
+RANGE_ROWS = 1 << 20
+_ROW_BITS = 33
 
-    Rows are cut into ranges of the first column at its approximate quantiles, ranges are counted, and rows are numbered in
-    each range: two passes, and no window without a partition. Nulls are one range, before all others. Equal values of the
-    first column share a range.
+
+def global_rank(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with a column `name`: the row's number, from 1, in the given order, nulls first. Rows equal in all of `order` are
+    numbered in any order, but each once.
+
+    Rows are written once as they come and once dealt out by ranges of all order columns and sorted within, so a number is a
+    range's offset plus a place in it. Equal rows may lie in several ranges: what they were read as breaks ties. Ranges follow the number of
+    rows; only their sizes, one number for each of at most RANGE_ROWS rows, reach the driver.
     """
-    head = order[0]
-    bounds = sorted(set(df.stat.approxQuantile(head, [i / parts for i in range(1, parts)], 0.001)))
-    at = F.when(F.col(head).isNull(), -1).otherwise(F.aggregate(F.array(*map(F.lit, bounds)).cast("array<double>"), F.lit(0), lambda a, b: a + (F.col(head) > b).cast("int")))
-    ranged = df.withColumn("__range", at)
-    counts = sorted((r["__range"], r["n"]) for r in ranged.groupBy("__range").agg(F.count("*").alias("n")).collect())
-    before, so_far = {}, 0
-    for k, n in counts:
-        before[k], so_far = so_far, so_far + n
-    offset = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else F.create_map(F.lit(-1), F.lit(0))
-    number = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) + offset[F.col("__range")]
-    return ranged.withColumn(name, number.cast("long")).drop("__range")
+    spark = df.sparkSession
+    given, ranged = scratch_folder(spark, "unranked"), scratch_folder(spark, "ranked")
+    df.withColumn("__tie", F.monotonically_increasing_id()).write.parquet(given)
+    rows = spark.read.parquet(given)
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + rows.count() // RANGE_ROWS)
+    keys = [*order, "__tie"]
+    rows.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id()).drop("__tie").write.parquet(ranged)
+    placed = spark.read.parquet(ranged).withColumn("__range", F.shiftright("__at", _ROW_BITS))
+    sizes, before, so_far = sorted(map(tuple, placed.groupBy("__range").count().collect())), [], 0
+    for k, n in sizes:
+        before.append((k, so_far))
+        so_far += n
+    offsets = spark.createDataFrame(before, "__range long, __before long")
+    number = F.col("__before") + F.col("__at").bitwiseAND((1 << _ROW_BITS) - 1) + 1
+    return placed.join(F.broadcast(offsets), "__range").withColumn(name, number).drop("__range", "__before", "__at")
