@@ -77,12 +77,15 @@ def attach(below: DataFrame, above: DataFrame, width: int, kept: list[str]) -> D
     return both.withColumn("path", F.concat(F.array(step), "rest")).drop("bucket", "from", "to", "rest", *([] if "children" in below.columns else ["children"]))
 
 
-def paths(leaves: DataFrame, levels: list[DataFrame], starts: DataFrame) -> DataFrame:
-    """leaves with the path from each to the end of what its tree's start (tree, path, more columns) says, and those columns."""
-    kept = [c for c in starts.columns if c not in ("tree", "path")]
+def paths(leaves: DataFrame, levels: list[DataFrame], starts: DataFrame | None = None) -> DataFrame:
+    """leaves with the path from each to its tree's top and on along what its tree's start (tree, path, more columns) says, and those
+    columns. Without starts paths end at the top."""
+    kept = [c for c in starts.columns if c not in ("tree", "path")] if starts is not None else []
+    nothing = F.array().cast("array<struct<left: binary, right: binary>>")
+    begin = lambda nodes: nodes.withColumn("path", nothing) if starts is None else nodes.join(starts, "tree")
     width, above = FANOUT ** len(levels), None
     for level in reversed(levels):
-        top = level.where(F.col("n") > width // FANOUT).where(F.col("n") <= width).join(starts, "tree")
+        top = begin(level.where((F.col("n") > width // FANOUT) & (F.col("n") <= width)))
         if above is None:
             above = top
         else:
@@ -90,7 +93,7 @@ def paths(leaves: DataFrame, levels: list[DataFrame], starts: DataFrame) -> Data
             lower = attach(named, above, width * FANOUT, kept).withColumnRenamed("own", "children")
             above = top.unionByName(lower.select(*top.columns))
         width //= FANOUT
-    alone = leaves.where("n = 1").join(starts, "tree")
+    alone = begin(leaves.where("n = 1"))
     if above is None:
         return alone
     return alone.unionByName(attach(leaves.where("n > 1"), above, FANOUT, kept).select(*alone.columns))
@@ -128,10 +131,8 @@ def manifest(leaves: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
     subroots = materialise(subroots.select(F.col("tree").alias("source_tree"), F.lit("root").alias("tree"), F.lit(n_sources).cast("long").alias("n"), (F.col("hi") - 1).alias("lo"), "hi", "digest"), "subroots")
     upper = families(subroots.select("tree", "n", "lo", "hi", "digest"))
     top = tops(subroots, upper).first()
-    nothing = F.array().cast("array<struct<left: binary, right: binary>>")
     root = F.lit(bytes(top["digest"]) if top else None).cast("binary")
-    start = subroots.sparkSession.range(1).select(F.lit("root").alias("tree"), nothing.alias("path"))
-    starts = paths(subroots, upper, start).select(F.col("source_tree").alias("tree"), "path", F.col("digest").alias("subroot"))
+    starts = paths(subroots, upper).select(F.col("source_tree").alias("tree"), "path", F.col("digest").alias("subroot"))
     found = paths(ranked, levels, materialise(starts, "starts"))
     return found.select(*[F.col("digest" if c == leaf_col else n).alias(c) for c, n in names.items()], "subroot", root.alias("root"), "path")
 
