@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, html_extract, importance, interpolated_lm, jaccard_join, line_dedup, merkle, packing, quality, shards
+from . import bpe, chat, exact_dedup, html_extract, importance, interpolated_lm, jaccard_join, line_dedup, merkle, packing, pii, quality, shards
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "op9_interpolated_lm": interpolated_lm.op9_interpolated_lm,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+        "op11_personal_data": pii.op11_personal_data,
         "op12_importance_resampling": importance.op12_importance_resampling,
         "op13_merkle_manifest": merkle.op13_merkle_manifest,
     }
