@@ -1,8 +1,9 @@
 """Host-level quality rules, with DataFrame functions only.
 
 Each document is measured and judged by base rules. Failures are then aggregated by host; a host's failure rate is shrunk
-towards the corpus with a beta prior fitted to all hosts by the method of moments, and hosts whose shrunk rate lies more than
-DEVIATIONS standard deviations of that prior above its mean are rejected as a whole: what is too much follows from the corpus.
+towards the corpus with a beta prior fitted to all hosts by beta-binomial moments, that is, without the variance that small hosts' rates have by
+chance alone. Hosts whose shrunk rate lies more than DEVIATIONS standard deviations of that prior above its mean are rejected as a
+whole: what is too much follows from the corpus. Where hosts differ by no more than chance, none is rejected.
 Verdicts are joined back to the documents.
 """
 
@@ -71,16 +72,21 @@ def base_failed() -> Column:
 def host_verdicts(judged: DataFrame, host_col: str, deviations: float = DEVIATIONS) -> DataFrame:
     """(host, n_docs, n_failed, shrunk_rate, host_ok) for every non-null host; judged has base_failed.
 
-    The prior is a beta distribution. It has the hosts' mean rate m and a strength of m(1-m)/v - 1 pseudo-documents, held in 1 to 10,000 (10,000 when
-    the hosts do not differ). It is one row, the only thing that the driver gets.
+    The prior is a beta distribution around the hosts' mean rate m. The variance v of k hosts' rates is m(1-m) (u + c (1 - u)) if u is
+    the mean of 1/n over hosts and c the correlation of two failures at one host; solved for c, the prior has a strength of 1/c - 1
+    pseudo-documents, at least 1. Without excess variance c is 0 and all rates shrink to m. The prior is one row, the only thing that
+    the driver gets.
     """
     hosts = judged.where(F.col(host_col).isNotNull()).groupBy(F.col(host_col).alias("host")).agg(F.count("*").alias("n_docs"), F.count_if("base_failed").alias("n_failed"))
     rate = F.col("n_failed") / F.col("n_docs")
-    m, v = hosts.agg(F.avg(rate), F.var_pop(rate)).first()
-    m = m or 0.0
-    strength = min(10_000.0, max(1.0, m * (1 - m) / v - 1)) if v else 10_000.0
+    k, m, v, u = hosts.agg(F.count("*"), F.avg(rate), F.var_samp(rate), F.avg(1 / F.col("n_docs"))).first()
+    chance = (m or 0.0) * (1 - (m or 0.0))
+    excess = (v - chance * u) / (chance * (1 - u)) if k > 1 and chance > 0 and u < 1 else 0.0
+    if excess <= 0:
+        return hosts.withColumn("shrunk_rate", F.lit(m).cast("double")).withColumn("host_ok", F.lit(True))
+    strength = max(1.0, 1 / excess - 1)
     shrunk = (F.col("n_failed") + F.lit(m * strength)) / (F.col("n_docs") + F.lit(strength))
-    limit = m + deviations * math.sqrt(max(0.0, m * (1 - m)) / (strength + 1))
+    limit = m + deviations * math.sqrt(chance / (strength + 1))
     return hosts.withColumn("shrunk_rate", shrunk).withColumn("host_ok", F.col("shrunk_rate") <= limit)
 
 
@@ -141,12 +147,14 @@ words AS (
 ), hosts AS (
   SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS f FROM based WHERE source IS NOT NULL GROUP BY source
 ), prior AS (
-  SELECT coalesce(avg(f / n), 0) AS m, var_pop(f / n) AS v FROM hosts
+  SELECT count(*) AS c, coalesce(avg(f / n), 0) AS m, var_samp(f / n) AS v, avg(1 / n) AS u FROM hosts
 ), prior2 AS (
-  SELECT m, CASE WHEN v > 0 THEN least(10000.0, greatest(1.0, m * (1 - m) / v - 1)) ELSE 10000.0 END AS k FROM prior
+  SELECT m, CASE WHEN c > 1 AND m * (1 - m) > 0 AND u < 1 THEN (v - m * (1 - m) * u) / (m * (1 - m) * (1 - u)) ELSE 0 END AS e FROM prior
+), prior3 AS (
+  SELECT m, e, CASE WHEN e > 0 THEN greatest(1.0, 1 / e - 1) END AS k FROM prior2
 ), judged AS (
-  SELECT b.*, NOT base_failed AND coalesce((f + m * k) / (n + k) <= m + 2 * sqrt(m * (1 - m) / (k + 1)), TRUE) AS kept
-  FROM based b LEFT JOIN hosts USING (source) CROSS JOIN prior2
+  SELECT b.*, NOT base_failed AND (e <= 0 OR coalesce((f + m * k) / (n + k) <= m + 2 * sqrt(m * (1 - m) / (k + 1)), TRUE)) AS kept
+  FROM based b LEFT JOIN hosts USING (source) CROSS JOIN prior3
 )"""
 
 ORACLE = f"WITH {MEASURES_CTE} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged"
