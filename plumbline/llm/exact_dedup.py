@@ -5,8 +5,10 @@ row, the bit, added up before the exchange. Pass two tests each row's bit: a row
 through. Only the remaining rows, the repeated ones and about one in 32 of the others, are shuffled by digest and resolved exactly.
 
 Digests are dealt into ranges of about RANGE_ROWS rows, each with a filter of its own of 32 to 64 bits a row, so a filter is never
-fuller and never larger (RANGE_ROWS * 64 bits, 128 MB) however many rows there are. Filters are made, broadcast and applied
-one after the other. Groups with at least a thousandth of the rows (so at most 1,000 of them) are joined back by broadcast, so that no
+fuller and never larger (RANGE_ROWS * 64 bits, 128 MB) however many rows there are. All filters are made in one pass over the written
+digests and applied in a second one. One filter is broadcast; several, which together grow with the rows, meet the rows of their
+range in a shuffle of the digests, never of the texts: rows of bits that a thousandth of the rows hit are known from pass one, at most 1,000 bits,
+and need no filter. Groups with at least a thousandth of the rows (so at most 1,000 of them) are joined back by broadcast, so that no
 task gets a hot group.
 """
 
@@ -15,39 +17,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, discard, joined_by_size, materialise, materialise_parts
+from .common import ascii_lower, discard, joined_by_size, materialise
 
 #: Rows of one filter, about.
 RANGE_ROWS = 1 << 24
 BITS_A_ROW = 32
 
 
-def _slot(bits: int) -> Column:
-    return F.pmod(F.xxhash64(F.col("__digest")), F.lit(bits))
-
-
-def repeated_bits(hashed: DataFrame, bits: int) -> DataFrame:
-    """(bucket, bitmap): the bits that at least two rows hit."""
-    twice = hashed.groupBy(_slot(bits).alias("slot")).agg(F.count("*").alias("hits")).where("hits > 1")
-    return twice.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap"))
+def _placed(hashed: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    """(hashed with __range and its __slot in the range's filter, the number of ranges)."""
+    ranges, bits = 1 + rows // RANGE_ROWS, 1 << 16
+    while bits < BITS_A_ROW * (rows // ranges):
+        bits *= 2
+    of = F.pmod(F.xxhash64(F.col("__digest"), F.lit("range")), F.lit(ranges))
+    return hashed.withColumns({"__range": of, "__slot": F.pmod(F.xxhash64(F.col("__digest")), F.lit(bits))}), ranges
 
 
-def maybe_repeated(hashed: DataFrame, bits: int) -> DataFrame:
-    """hashed with a column __again: false only for rows whose digest surely occurs once."""
-    bitmaps = materialise(repeated_bits(hashed, bits), "bloom").select(F.col("bucket").alias("__bucket"), F.col("bitmap").alias("__bitmap"))
-    out = hashed.withColumn("__bucket", F.bitmap_bucket_number(_slot(bits))).join(F.broadcast(bitmaps), "__bucket", "left")
-    at = F.bitmap_bit_position(_slot(bits))
-    byte = F.conv(F.hex(F.substring("__bitmap", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return out.withColumn("__again", F.coalesce(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1, F.lit(False))).drop("__bucket", "__bitmap")
+def repeated_bits(placed: DataFrame) -> DataFrame:
+    """(__range, __slot, hits): the bits that at least two rows hit."""
+    return placed.groupBy("__range", "__slot").agg(F.count("*").alias("hits")).where("hits > 1")
 
 
 def flagged(hashed: DataFrame, rows: int) -> DataFrame:
-    """hashed (a written table of so many rows) with __again, range by range."""
-    ranges, bits = 1 + rows // RANGE_ROWS, 1 << 16
-    while bits < BITS_A_ROW * (rows // ranges):
-        bits *= 2
-    of = F.pmod(F.xxhash64(F.col("__digest"), F.lit("range")), F.lit(ranges))
-    return materialise_parts((maybe_repeated(hashed.where(of == r), bits) for r in range(ranges)), "flagged")
+    """hashed (a written table of so many rows with __row) with __again: false only for rows whose digest surely occurs once. Reads it twice."""
+    placed, ranges = _placed(hashed, rows)
+    twice = materialise(repeated_bits(placed), "bloom")
+    bucket = F.bitmap_bucket_number("__slot")
+    bitmaps = twice.groupBy("__range", bucket.alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__slot")).alias("__bitmap"))
+    hot = twice.where(F.col("hits") >= max(1000, rows // 1000)).select("__range", "__slot", F.lit(True).alias("__hot"))
+    out = placed.join(F.broadcast(hot), ["__range", "__slot"], "left")
+    out = out.withColumn("__bucket", F.when(F.col("__hot"), -1 - F.pmod(F.col("__row"), F.lit(1 << 16))).otherwise(bucket))
+    out = out.join(F.broadcast(bitmaps) if ranges == 1 else bitmaps, ["__range", "__bucket"], "left")
+    at = F.bitmap_bit_position("__slot")
+    byte = F.conv(F.hex(F.substring("__bitmap", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    again = F.coalesce("__hot", F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1, F.lit(False))
+    return materialise(out.withColumn("__again", again).select(*hashed.columns, "__again"), "flagged")
 
 
 def digest_of(text_col: str) -> Column:
@@ -62,7 +66,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     stays; a null id is less than any other, and of rows that share text and id one stays. Empty input gives no rows;
     columns other than id and text are not read.
     """
-    hashed = materialise(docs.select(F.col(id_col).alias("__id"), digest_of(text_col).alias("__digest")).withColumn("__row", F.monotonically_increasing_id()), "digests")
+    hashed = materialise(docs.select(F.col(f"`{id_col}`").alias("__id"), digest_of(text_col).alias("__digest")).withColumn("__row", F.monotonically_increasing_id()), "digests")
     rows = hashed.count()
     all_rows = flagged(hashed, rows)
     discard(hashed)
@@ -76,18 +80,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that exact_groups keeps, with all their columns: one of each group of equal texts.
+    """The rows of docs that exact_groups keeps, with all their columns: one of each group of equal texts.
 
-    Rows are told apart by row, not by id, so ids may be null or repeat. Rows that surely occur once go straight through; the
-    others are shuffled, whole, by row number, so no key is hot.
+    Rows are told apart by row, not by id, so ids may be null or repeat. docs is written once, whole; filters and groups work on
+    digests, and the numbers of the rows to drop are joined back, by broadcast where Spark finds them few.
     """
-    own = {"__id": F.col(id_col), "__digest": digest_of(text_col), "__row": F.monotonically_increasing_id()}
-    hashed = materialise(docs.withColumns(own), "digested-rows")
-    all_rows = flagged(hashed, hashed.count())
+    held = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered-rows")
+    hashed = materialise(held.select(F.col(f"`{id_col}`").alias("__id"), digest_of(text_col).alias("__digest"), "__row"), "digests")
+    again = flagged(hashed, hashed.count()).where("__again")
     discard(hashed)
-    again = all_rows.where("__again")
     top = again.groupBy("__digest").agg(F.max(F.struct("__id", "__row")).alias("top")).select(F.col("top.__row").alias("__row"))
-    return all_rows.where(~F.col("__again")).unionByName(again.join(top, "__row", "left_semi")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return held.join(again.select("__row").join(top, "__row", "left_anti"), "__row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -247,6 +247,18 @@ def test_rejected_hosts_of_many_broadcasts(spark, monkeypatch):
     assert kept == {1000 + i for i in range(1000)}
 
 
+def test_small_hosts_that_differ_by_chance_stay(spark):
+    """20,000 hosts of 1 to 8 documents that all fail at a tenth: the prior leaves out what chance does to small hosts."""
+    rng = np.random.default_rng(5)
+    judged = spark.createDataFrame([(f"h{h}", bool(x)) for h in range(20_000) for x in rng.random(1 + h % 8) < 0.1], "source string, base_failed boolean")
+    assert quality.host_verdicts(judged, "source").where("not host_ok").count() <= 20
+    worse = judged.withColumn("base_failed", F.col("base_failed") | F.col("source").isin([f"h{8 * i + 7}" for i in range(40)]))
+    bad = {r["host"] for r in quality.host_verdicts(worse, "source").where("not host_ok").collect()}
+    assert len(bad & {f"h{8 * i + 7}" for i in range(40)}) == 40 and len(bad) < 400
+    alike = spark.createDataFrame([(f"h{h}", h % 10 == 0) for h in range(100)], "source string, base_failed boolean")
+    assert quality.host_verdicts(alike, "source").where("not host_ok").count() == 0
+
+
 def test_bad_hosts_go(spark):
     good = " ".join(f"w{i}" for i in range(80))
     rows = [(i, "short" if i % 10 else good, "bad") for i in range(100)] + [(1000 + i, good, f"h{i % 5}") for i in range(100)] + [(5000, good, None)]
@@ -690,10 +702,21 @@ def test_survivors_are_whole_rows(spark, sf, odd, empty):
     assert sorted(map(tuple, exact_dedup.survivors(docs).collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_bloom_lets_singles_pass(spark):
-    hashed = spark.range(5000).select(F.col("id").alias("__id"), F.sha2(F.when(F.col("id") < 10, F.lit("x")).otherwise(F.col("id").cast("string")), 256).alias("__digest"))
-    again = exact_dedup.maybe_repeated(hashed, 1 << 20).where("__again").select("__id").collect()
-    assert {r[0] for r in again} >= set(range(10)) and len(again) < 60
+def test_bloom_lets_singles_pass(spark, monkeypatch):
+    """In one range and in many, with a hot digest; the digests are scanned twice whatever the number of ranges."""
+    hashed = spark.range(12_000).select(F.col("id").alias("__id"), F.sha2(F.when(F.col("id") < 4000, F.lit("x")).otherwise(F.col("id").cast("string")), 256).alias("__digest"), F.col("id").alias("__row"))
+    hashed, written = common.materialise(hashed, "hashed"), []
+    monkeypatch.setattr(exact_dedup, "materialise", lambda df, name: written.append(df._jdf.queryExecution().optimizedPlan().toString()) or common.materialise(df, name))
+    for size in (1 << 24, 700):
+        monkeypatch.setattr(exact_dedup, "RANGE_ROWS", size)
+        written.clear()
+        flagged = exact_dedup.flagged(hashed, 12_000)
+        assert flagged.columns == [*hashed.columns, "__again"] and flagged.count() == 12_000
+        again = {r[0] for r in flagged.where("__again").select("__id").collect()}
+        assert again >= set(range(4000)) and len(again) < 4600
+        path = hashed._plumbline_path.rsplit("/", 1)[-1]
+        scans = sum(plan.count("Relation [__id") for plan in written)
+        assert len(written) == 2 and scans == 2, (path, scans)
 
 
 # Pipeline ------------------------------------------------------------------------------------------------------------------
