@@ -70,4 +70,24 @@ LABELLED_PAGES = [
     f"<article><p>[[Short text]]</p><p>[[{_say(3, 1)}]]</p></article>",
     f"<nav><a href='/'>Home</a></nav><h1>[[Gate closed]]</h1><p>[[{_say(1, 1)}]]</p><footer>The lock</footer>",
     f"<h1>[[Notice]]</h1><p>[[{_say(5, 1)} <a href='/x'>{_say(3, 1)}</a>]]</p><div>{_links('Back', 'Home', wrap='span')}</div>",
+    # Notices in elements without a name, before and behind the text.
+    f"<div>We use cookies on this site. Read our cookie policy.</div><article><h1>[[Ice on the weir]]</h1>{_text('221')}</article><div>Copyright 2021 The Lock Company Ltd. All rights reserved. No part of this page may be copied without permission.</div>",
+    f"<p>[[{_say(0, 2)}]]</p><p>[[{_say(4, 3)}]]</p><div>Copyright 2019 Weir Press. All rights reserved. Terms of use and privacy policy apply.</div>",
+    f"<div>This site uses cookies. Accept cookies or change your cookie settings.</div><p>[[{_say(2, 2)}]]</p><p>[[{_say(6, 1)}]]</p><p>[[{_say(1, 3)}]]</p><p>Subscribe to our newsletter. Unsubscribe at any time.</p>",
+    f"<h1>[[A new gate]]</h1><p>[[{_say(5, 2)}]]</p><div>Advertisement</div><p>[[{_say(3, 2)}]]</p><p>[[{_say(7, 2)}]]</p><div>Share this page: email, print, subscribe. Copyright, all rights reserved.</div>",
+    f"<p>Sign in or register. Privacy policy, cookie policy and terms of use.</p><h2>[[Two boats]]</h2>{_text('132', 'div')}<p>Permission to reprint: copyright of the press, all rights reserved.</p>",
+    # Forms amid and behind the text, and one around all of it.
+    f"<article><h2>[[Low tide]]</h2><p>[[{_say(3, 1)}]]</p><form><label>Name</label><input><label>Mail</label><input><button>Send</button></form></article><section class='comments'><p>{_say(1, 1)}</p></section>",
+    f"<main><p>[[{_say(5, 1)}]]</p><form class='signup'><label>Your name</label><select><option>Mr</option><option>Ms</option></select><button>Go</button></form><p>[[{_say(2, 1)}]]</p></main>",
+    f"<nav>{_MENU}</nav><article><h1>[[At the weir]]</h1>{_text('12')}<form><label>Name</label><input><label>Town</label><input><p>Write to us</p><label>Text</label><button>Send</button></form></article>",
+    f"<article><p>[[{_say(6, 2)}]]</p><p>[[Not much]]</p><form><label>x</label><label>y</label><label>go</label><span>or not</span></form><p>[[{_say(0, 1)}]]</p></article><footer>Imprint</footer>",
+    f"<form id='page'><div>{_links('Start', 'Search', wrap='span')}</div><div id='main'><h1>[[Old gates]]</h1>{_text('22')}</div><div>Imprint</div></form>",
+    # What reads like a notice, but stands amid the text.
+    f"<nav>{_MENU}</nav><article><h1>[[The charter]]</h1>{_text('13')}<p>[[All rights reserved.]]</p>{_text('21', begin=4)}<p>[[Copyright of the charter, all rights reserved.]]</p></article><footer>Copyright 2020. Privacy and terms.</footer>",
+    f"<header>{_links('Home', 'Log', wrap='span')}</header><article><p>[[Terms of use of the lock.]]</p>{_text('31')}<p>[[All rights reserved.]]</p></article><div>Cookie policy</div>",
+    # Short lists as part of the text, or all of it.
+    f"<main><h2>[[What to bring]]</h2><ul><li>[[Rope]]</li><li>[[Gloves]]</li><li>[[Lamp]]</li><li>[[Bread]]</li></ul></main><footer>{_links('Help', 'Terms', wrap='span')}</footer>",
+    "<p>[[Bring with you:]]</p><ul><li>[[Oil]]</li><li>[[Rags]]</li><li>[[Paint]]</li></ul>",
+    f"<nav>{_MENU}</nav><article><p>[[{_say(3, 1)}]]</p><p>[[You need:]]</p><ol><li>[[Spade]]</li><li>[[Bucket]]</li><li>[[Two boards]]</li></ol><p>[[{_say(1, 2)}]]</p><ul><li>[[Sand]]</li><li>[[Lime]]</li></ul></article><ul>{_STORIES}</ul>",
+    f"<div><h3>[[Posts]]</h3><ul><li>[[North]]</li><li>[[South]]</li><li>[[Weir]]</li></ul>{_text('21')}</div><div>{_links('Imprint', 'Contact', 'Press', wrap='span')}</div>",
 ]
