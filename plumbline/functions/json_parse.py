@@ -66,7 +66,7 @@ def turn_of(text: str) -> dict | None:
     """One turn's object: a fence only at the very start is taken off, and nothing may follow the object."""
     text = text.strip()
     if text.startswith("```"):
-        text = re.sub(r"^json\s*", "", text.strip("`").strip())
+        text = re.sub(r"^json\s*", "", text.strip("`").strip(), flags=re.IGNORECASE)
     value = read_json(text)[1]
     return value if isinstance(value, dict) else None
 
@@ -80,3 +80,30 @@ def extract_calls(text: pd.Series) -> pd.Series:
 def parse_turn(text: pd.Series) -> pd.Series:
     """The turn's object as canonical JSON, or null."""
     return pd.Series([None if t is None or (found := turn_of(t)) is None else canonical(found) for t in text])
+
+
+#: What says where a call's audio lies; the caller decides that, not the model.
+PLACES = ("audio_id", "audio_path", "output_path")
+TURN = T.StructType([T.StructField("done", T.BooleanType()), *(T.StructField(f, T.StringType()) for f in ("tool", "parameters", "given", "audio_id", "output_id"))])
+
+
+def told_turn(text: str) -> dict | None:
+    """What a turn says: whether it is done, the tool's name (None without), its parameters and those without places as canonical
+    JSON, and the ids of its input and output audio where it names them. What Python holds for false counts as not said."""
+    found = turn_of(text)
+    if found is None:
+        return None
+    name, given = found.get("tool_name"), found.get("parameters")
+    given = given if isinstance(given, dict) else {}
+    as_text = lambda x: None if not x else x if isinstance(x, str) else canonical(x)
+    return {
+        "done": bool(found.get("done")), "tool": as_text(name), "parameters": canonical(given), "given": canonical({k: v for k, v in given.items() if k not in PLACES}),
+        "audio_id": as_text(given.get("audio_id")), "output_id": as_text(found.get("output_audio_id")),
+    }
+
+
+@F.pandas_udf(TURN)
+def read_turn(text: pd.Series) -> pd.DataFrame:
+    """told_turn of each text; null where the text is no turn."""
+    rows = [told_turn(t) or {} for t in text]
+    return pd.DataFrame({f: pd.Series([r.get(f) for r in rows], dtype=object) for f in TURN.fieldNames()})

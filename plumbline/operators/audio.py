@@ -38,7 +38,7 @@ WORDS = {
     "position": ["start", "end", "both"],
 }
 #: Parameters that say where a signal lies rather than what is done to it.
-PLACES = ("audio_path", "audio_begin", "audio_end", "output_path")
+PLACES = ("audio_id", "audio_path", "audio_begin", "audio_end", "output_path")
 RESULT = "rate int, samples array<float>, status string, message string"
 CLOSENESS = "duration_pred_sec double, duration_target_sec double, duration_ratio double, log_mel_cosine double, log_mel_l1 double, mfcc_cosine double, rms_db_pred double, rms_db_target double, rms_db_diff double, si_sdr_db double, closeness_score double"
 

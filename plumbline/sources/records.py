@@ -147,5 +147,11 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def whole_folder(spark: SparkSession, path: str) -> bool:
+    """Whether Spark has written a folder to its end."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+
 def output_name(base: str, with_results: bool) -> str:
     return f"{base}_{'with' if with_results else 'no'}_tool_chain_results"
