@@ -1,10 +1,10 @@
-"""WAV segments as columns: a small reader and writer around the standard library, applied to Arrow batches."""
+"""WAV segments of files in memory as columns, applied to batches; the data source in audio_files reads by ranges instead."""
 
 from __future__ import annotations
 
 import io
 import wave
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,30 +12,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-AUDIO = "rate int, n_frames long, samples array<float>, status string, message string"
-
-
-def decode(raw: bytes, begin: float | None, end: float | None, clamp: bool) -> tuple[int, int, np.ndarray]:
-    """(rate, frames in the file, mono float samples of the segment). A segment outside the file is an error, or clamped."""
-    with wave.open(io.BytesIO(raw)) as w:
-        rate, n, width, channels = w.getframerate(), w.getnframes(), w.getsampwidth(), w.getnchannels()
-        first, last = int((begin or 0.0) * rate), n if end is None else int(end * rate)
-        if clamp:
-            first, last = min(max(0, first), n), min(max(0, last), n)
-        if not 0 <= first < last <= n:
-            raise ValueError(f"segment {first}-{last} is not within 0-{n}")
-        w.setpos(first)
-        data = w.readframes(last - first)
-    kinds = {1: (np.uint8, 128.0, 128.0), 2: (np.dtype("<i2"), 0.0, 32768.0), 4: (np.dtype("<i4"), 0.0, 2147483648.0)}
-    if width not in kinds:
-        raise ValueError(f"a sample width of {width} bytes is not supported")
-    kind, middle, scale = kinds[width]
-    x = (np.frombuffer(data, kind).astype(np.float64) - middle) / scale
-    return rate, n, x.reshape(-1, channels).mean(1).astype(np.float32)
-
-
-def read_segments(files: DataFrame, begin: Column | None = None, end: Column | None = None, clamp: bool = False) -> DataFrame:
-    """files (path, content) with AUDIO columns; a file that can't be read is a row with status failure."""
+from . import riff
+
+AUDIO = "rate int, n_frames long, samples array<float>, status string, message string, decoder string"
+#: A decoder gets a file's bytes and gives (rate, frames x channels).
+Decoder = Callable[[bytes], tuple[int, np.ndarray]]
+
+
+def by_riff(raw: bytes) -> tuple[int, np.ndarray]:
+    head = riff.header(io.BytesIO(raw), len(raw))
+    return head.rate, riff.frames(io.BytesIO(raw), head, 0, head.frames)
+
+
+def by_soundfile(raw: bytes) -> tuple[int, np.ndarray]:
+    """Other formats, where the soundfile package is installed."""
+    import soundfile
+
+    x, rate = soundfile.read(io.BytesIO(raw), always_2d=True)
+    return rate, x
+
+
+DECODERS: tuple[tuple[str, Decoder], ...] = (("riff", by_riff), ("soundfile", by_soundfile))
+
+
+def decode(raw: bytes, begin: float | None, end: float | None, clamp: bool, decoders: tuple[tuple[str, Decoder], ...] = DECODERS) -> tuple[int, int, np.ndarray, str]:
+    """(rate, frames in the file, mono float samples of the segment, the first decoder that reads the file). A segment outside the
+    file is an error, or clamped; if no decoder reads the file, the error says why each doesn't."""
+    reasons = []
+    for name, read in decoders:
+        try:
+            rate, x = read(raw)
+            break
+        except Exception as error:  # a decoder may fail in ways of its own
+            reasons.append(f"{name}: {error}")
+    else:
+        raise ValueError("; ".join(reasons) or "no decoders")
+    n = len(x)
+    first, last = int((begin or 0.0) * rate), n if end is None else int(end * rate)
+    if clamp:
+        first, last = min(max(0, first), n), min(max(0, last), n)
+    if not 0 <= first < last <= n:
+        raise ValueError(f"segment {first}-{last} is not within 0-{n}")
+    return rate, n, x[first:last].mean(1).astype(np.float32), name
+
+
+def read_segments(files: DataFrame, begin: Column | None = None, end: Column | None = None, clamp: bool = False, decoders: tuple[tuple[str, Decoder], ...] = DECODERS) -> DataFrame:
+    """files (path, content) with AUDIO columns, by the first of the decoders that reads a file; one that none reads is a row with status
+    failure and each one's reason."""
     null = F.lit(None).cast("double")
     rows = files.select("path", "content", (null if begin is None else begin).alias("begin"), (null if end is None else end).alias("end"))
 
@@ -44,11 +67,11 @@ def read_segments(files: DataFrame, begin: Column | None = None, end: Column | N
             out = []
             for path, raw, first, last in pdf.itertuples(index=False):
                 try:
-                    rate, n, x = decode(raw, None if pd.isna(first) else first, None if pd.isna(last) else last, clamp)
-                    out.append((path, rate, n, x, "success", None))
-                except (wave.Error, ValueError, EOFError) as error:
-                    out.append((path, None, None, None, "failure", str(error)))
-            yield pd.DataFrame(out, columns=["path", "rate", "n_frames", "samples", "status", "message"]).astype({"rate": "Int32", "n_frames": "Int64"})
+                    rate, n, x, decoder = decode(raw, None if pd.isna(first) else first, None if pd.isna(last) else last, clamp, decoders)
+                    out.append((path, rate, n, x, "success", None, decoder))
+                except ValueError as error:
+                    out.append((path, None, None, None, "failure", str(error), None))
+            yield pd.DataFrame(out, columns=["path", "rate", "n_frames", "samples", "status", "message", "decoder"]).astype({"rate": "Int32", "n_frames": "Int64"})
 
     return rows.mapInPandas(run, f"path string, {AUDIO}")
 
