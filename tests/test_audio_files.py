@@ -128,7 +128,7 @@ def test_a_long_file_is_many_rows_of_many_partitions(spark, tmp_path):
     rows = cut.orderBy("segment").collect()
     own = [np.array(r["samples"])[r["before"] : len(r["samples"]) - r["after"]] for r in rows]
     assert np.allclose(np.concatenate(own), x, atol=1e-6) and len(rows) == 28 and [r["before"] for r in rows] == [0] + [100] * 27 and rows[-1]["after"] == 0
-    assert all(r["first_frame"] == 3700 * i and r["begin"] == 0.37 * i for i, r in enumerate(rows))
+    assert all(r["first_frame"] == 3700 * i and r["begin"] == 3700 * i / 10_000 for i, r in enumerate(rows))
 
 
 @pytest.mark.parametrize("rate,target", [(44100, 16000), (8000, 16000), (16000, 16000), (16000, 11025), (48000, 8000)])
