@@ -165,6 +165,7 @@ def run_batches(calls: DataFrame, run, schema: str) -> DataFrame:
             out = [{"status": "success", **r} for r in results]
         except Exception as error:  # the tool's own failure, whatever it is, becomes rows
             out = [{"status": "failure", "message": str(error)}] * len(pdf)
-        return pd.DataFrame([{**a, **b} for a, b in zip(pdf.to_dict("records"), out)]).reindex(columns=[c.split()[0] for c in schema.split(", ")]).astype(object)
+        rows = pd.DataFrame([{**a, **b} for a, b in zip(pdf.to_dict("records"), out)]).reindex(columns=[c.split()[0] for c in schema.split(", ")]).astype(object)
+        return rows.where(rows.notna(), None)
 
     return calls.groupBy("tool", "batch").applyInPandas(one, schema)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import json_parse as J
+from ..operators import batch_run as BR
 from ..operators import corpus as K
 from ..operators import prompts as P
 from ..operators import schedules as H
@@ -161,6 +163,31 @@ def tool_batch_run(spark, d):
     return H.run_batches(calls, run, "id long, tool string, batch long, status string, output string, message string").select("id", "status", "output", "message")
 
 
+_ORDERED = "row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)"
+
+
+@query(f"""WITH s AS (SELECT user_id::VARCHAR AS id, {_ORDERED} AS step, event_type AS tool, event_id % 13 = 0 AS bad, event_id FROM events),
+r AS (SELECT *, CASE WHEN bad THEN 'error' WHEN tool = 'error' THEN 'failure' ELSE 'success' END AS status, CASE WHEN bad OR tool = 'view' THEN 1 ELSE 2 END AS attempt FROM s)
+SELECT id, string_agg(tool, ',' ORDER BY step) AS tool_chain, string_agg(status, ',' ORDER BY step) AS statuses, string_agg(attempt::VARCHAR, ',' ORDER BY step) AS attempts, coalesce(string_agg(tool || ' ' || step, ',' ORDER BY step) FILTER (status = 'success'), '') AS texts FROM r GROUP BY id""")
+def batch_transaction(spark, d):
+    """A schedule run in two attempts, the first for one tool alone, and the summary of what both did."""
+    e = V.table(spark, d, "events")
+    order = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    steps = e.select(F.col("user_id").cast("string").alias("id"), order.alias("step"), F.col("event_type").alias("tool"), F.lit("{}").alias("parameters"), (F.col("event_id") % 13 != 0).alias("well_formed"))
+
+    def run(calls: list[dict]) -> list[dict]:
+        if calls[0]["tool"] == "error":
+            raise ValueError("no such tool: error")
+        return [{"text": f"{c['tool']} {c['step']}", "files": []} for c in calls]
+
+    folder = R.scratch_folder(spark, "batch")
+    BR.run(steps, run, folder, only_tool="view")
+    BR.run(steps, run, folder)
+    joined = lambda part: F.array_join(F.transform("results", part), ",")
+    texts = F.array_join(F.array_compact(F.transform("results", lambda r: r["text"])), ",")
+    return BR.summary(steps, BR.manifest(spark, folder)).select("id", F.array_join("tool_chain", ",").alias("tool_chain"), joined(lambda r: r["status"]).alias("statuses"), joined(lambda r: r["attempt"].cast("string")).alias("attempts"), texts.alias("texts"))
+
+
 # Corpora ------------------------------------------------------------------------------------------------------------------
 
 

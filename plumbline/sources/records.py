@@ -153,5 +153,12 @@ def whole_folder(spark: SparkSession, path: str) -> bool:
     return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none if it isn't there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in files.listStatus(where)] if files.exists(where) else []
+
+
 def output_name(base: str, with_results: bool) -> str:
     return f"{base}_{'with' if with_results else 'no'}_tool_chain_results"
