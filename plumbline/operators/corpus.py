@@ -51,16 +51,19 @@ def with_manifest(items: DataFrame, manifest: DataFrame, *keys: str) -> DataFram
 
 
 def config_tools(spark: SparkSession, config: DataFrame) -> DataFrame:
-    """(tool, enabled, weight, env) from configs (value: the whole JSON text). A tool is off unless it says otherwise."""
-    query = """SELECT t.key AS tool, coalesce(try_variant_get(t.value, '$.enabled', 'boolean'), false) AS enabled, coalesce(try_variant_get(t.value, '$.weight', 'double'), 1.0D) AS weight,
-      try_variant_get(t.value, '$.env', 'string') AS env FROM {config}, LATERAL variant_explode(try_variant_get(try_parse_json(value), '$.tools', 'variant')) AS t"""
+    """(tool, enabled, weight, env) from configs (value: the whole JSON text), beside their other columns. A tool is off unless it says otherwise."""
+    names = "".join(f"`{c}`, " for c in config.columns if c != "value")
+    query = f"""SELECT {names}t.key AS tool, coalesce(try_variant_get(t.value, '$.enabled', 'boolean'), false) AS enabled, coalesce(try_variant_get(t.value, '$.weight', 'double'), 1.0D) AS weight,
+      try_variant_get(t.value, '$.env', 'string') AS env FROM {{config}}, LATERAL variant_explode(try_variant_get(try_parse_json(value), '$.tools', 'variant')) AS t"""
     return spark.sql(query, config=config)
 
 
 def available(tools: DataFrame, known: DataFrame, environments: DataFrame) -> DataFrame:
-    """(tool) in order: enabled, known, and with no environment or one that exists. environments: (path)."""
-    present = tools.join(F.broadcast(known.select("tool").distinct()), "tool", "left_semi").join(F.broadcast(environments.select(F.col("path").alias("env")).distinct().withColumn("__there", F.lit(True))), "env", "left")
-    return present.where(F.col("enabled") & (F.coalesce(F.col("env"), F.lit("")).eqNullSafe("") | F.col("__there"))).select("tool").orderBy("tool")
+    """(tool) in order, beside the configurations' other columns: enabled, known, and with no environment or one that exists. environments: (path)."""
+    others = [c for c in tools.columns if c not in ("tool", "enabled", "weight", "env")]
+    there = environments.select(F.col("path").alias("env")).distinct().withColumn("__there", F.lit(True))
+    present = tools.join(F.broadcast(known.select("tool").distinct()), "tool", "left_semi").join(there, "env", "left")
+    return present.where(F.col("enabled") & (F.coalesce(F.col("env"), F.lit("")).eqNullSafe("") | F.col("__there"))).select(*others, "tool").orderBy(*others, "tool")
 
 
 def label_list(entries: DataFrame, labels: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import json_parse as J
 from ..operators import batch_run as BR
 from ..operators import corpus as K
+from ..operators import events as EV
 from ..operators import prompts as P
 from ..operators import schedules as H
 from ..sources import records as R
@@ -79,14 +80,36 @@ _ROWS = ", ".join(f"({_sql(t)}, {_sql(p)}, {_sql(k)}, {'NULL' if a is None else
 _ABOUT = ", ".join(f"({_sql(t)}, {_sql(x)})" for t, x in P.DESCRIPTIONS.items())
 
 
-@query(f"""WITH r(tool, param, kind, allowed, required, note) AS (VALUES {_ROWS}), about(tool, x) AS (VALUES {_ABOUT}),
-l AS (SELECT tool, string_agg('- ' || param || ' (' || CASE kind WHEN 'timestamp' THEN 'string' ELSE kind END || '), ' || CASE WHEN required THEN 'required' ELSE 'optional' END || CASE kind WHEN 'timestamp' THEN ', format=HH:MM:SS.mmm' ELSE '' END || coalesce(', allowed=' || allowed, '') || coalesce(', ' || note, ''), chr(10) ORDER BY param) AS params FROM r GROUP BY tool)
-SELECT tool, tool || ': ' || x || chr(10) || 'Parameters:' || chr(10) || params AS text, tool <> 'asr' AS makes_audio FROM l JOIN about USING (tool)""")
+def _configured(spark, d):
+    """Every supplier's configuration as JSON text, read again, and the environments of the nations with an even number."""
+    key = F.col("s_suppkey")
+    flag = lambda c: F.when(c, "true").otherwise("false")
+    text = F.format_string(
+        '{"max_tools": 3, "tools": {"denoise": {"enabled": %s, "weight": %s, "params": {}}, "clipping": {"enabled": true}, "asr": {"enabled": %s}, "super_resolution": {"enabled": true, "env": "/envs/%s"}, "unheard_of": {"enabled": true}, "pitch_shift": {}}}',
+        flag(key % 2 == 0), (key % 5).cast("string"), flag(key % 3 == 0), F.col("s_nationkey").cast("string"),
+    )
+    tools = K.config_tools(spark, V.table(spark, d, "supplier").select(key.alias("supplier"), text.alias("value")))
+    there = V.table(spark, d, "nation").where("n_nationkey % 2 = 0").select(F.concat(F.lit("/envs/"), "n_nationkey").alias("path"))
+    return tools, K.available(tools, H.registry(spark), there)
+
+
+_CONFIGURED = """configured AS (
+  SELECT s_suppkey AS supplier, tool, weight FROM supplier, (VALUES ('denoise'), ('clipping'), ('asr'), ('super_resolution')) AS t(tool), LATERAL (SELECT CASE tool WHEN 'denoise' THEN (s_suppkey % 5)::DOUBLE ELSE 1.0 END AS weight)
+  WHERE CASE tool WHEN 'denoise' THEN s_suppkey % 2 = 0 WHEN 'asr' THEN s_suppkey % 3 = 0 WHEN 'super_resolution' THEN s_nationkey % 2 = 0 AND s_nationkey IN (SELECT n_nationkey FROM nation) ELSE TRUE END
+)"""
+
+
+@query(f"""WITH {_CONFIGURED}, r(tool, param, kind, allowed, required, note) AS (VALUES {_ROWS}), about(tool, x) AS (VALUES {_ABOUT}),
+l AS (SELECT tool, string_agg('- ' || param || ' (' || CASE kind WHEN 'timestamp' THEN 'string' ELSE kind END || '), ' || CASE WHEN required THEN 'required' ELSE 'optional' END || CASE kind WHEN 'timestamp' THEN ', format=HH:MM:SS.mmm' ELSE '' END || coalesce(', allowed=' || allowed, '') || coalesce(', ' || note, ''), chr(10) ORDER BY param) AS params FROM r GROUP BY tool), c AS (SELECT tool, tool || ': ' || x || chr(10) || 'Parameters:' || chr(10) || params AS text FROM l JOIN about USING (tool))
+SELECT supplier, string_agg(text, chr(10) || chr(10) ORDER BY tool) AS tools_block, count(*) FILTER (tool <> 'asr') AS n_audio FROM configured JOIN c USING (tool) GROUP BY supplier""")
 def tool_catalogue(spark, d):
-    """All sixteen tools with their parameters in order, and whether they make audio."""
+    """The block of tools of each supplier's configuration, with their parameters in order, and how many of them make audio."""
     schema = H.registry(spark)
-    audio = F.broadcast(H.audio_tools(schema).withColumn("makes_audio", F.lit(True)))
-    return P.catalogue(schema).join(audio, "tool", "left").select("tool", "text", F.coalesce("makes_audio", F.lit(False)).alias("makes_audio"))
+    audio = H.audio_tools(schema).withColumn("makes_audio", F.lit(1))
+    known = P.catalogue(schema).join(audio, "tool", "left")
+    mine = _configured(spark, d)[1].join(F.broadcast(known), "tool").groupBy("supplier")
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("tool", "text"))), lambda x: x["text"])
+    return mine.agg(F.array_join(texts, "\n\n").alias("tools_block"), F.count("makes_audio").alias("n_audio"))
 
 
 @query("""SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN 'residual=r.wav,target=t.wav' WHEN 1 THEN '=o.wav' WHEN 2 THEN '=c.wav' WHEN 3 THEN '=o.wav' WHEN 4 THEN '=c.wav' ELSE '' END AS outputs FROM events""")
@@ -106,6 +129,20 @@ def result_phrases(spark, d):
     return V.table(spark, d, "events").select(F.col("event_id").alias("id"), R.result_phrase(tool, F.col("event_type"), F.col("props"), "<a>").alias("said"))
 
 
+@query(r"""WITH e AS (SELECT p_partkey AS event, [p_name, p_brand || ' (size ' || p_size || ')', 'manufacturer#' || p_size % 7 || '/x&y'] AS labels FROM part), l AS (SELECT event, unnest(labels) AS label FROM e),
+q AS (SELECT DISTINCT 'SIZE ' || p_size AS asked FROM part UNION SELECT DISTINCT substr(p_brand, 6) FROM part UNION SELECT DISTINCT upper(p_name) FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 2) FROM part UNION SELECT unnest(['#', '&', '(', '/x', 'x&y', '&y', 'manufacturer', 'facturer', '5)', '\E', 'Ü'])),
+d AS (SELECT DISTINCT label FROM l), x AS (SELECT asked, label FROM q JOIN d ON lower(asked) = lower(label)),
+w AS (SELECT asked, label FROM (SELECT asked FROM q WHERE asked NOT IN (SELECT asked FROM x)) JOIN d ON regexp_matches(label, '(?i)\b' || regexp_escape(asked) || '\b'))
+SELECT asked, count(DISTINCT event) AS n, min(event) AS first FROM (SELECT * FROM x UNION ALL SELECT * FROM w) JOIN l USING (label) GROUP BY asked""")
+def event_lookup(spark, d):
+    """Labels asked for, among them parts of words and signs, and the events that have them."""
+    p = V.table(spark, d, "part")
+    events = p.select(F.col("p_partkey").alias("event"), F.array("p_name", F.concat("p_brand", F.lit(" (size "), "p_size", F.lit(")")), F.concat(F.lit("manufacturer#"), F.col("p_size") % 7, F.lit("/x&y"))).alias("label"))
+    signs = spark.createDataFrame([(x,) for x in ("#", "&", "(", "/x", "x&y", "&y", "manufacturer", "facturer", "5)", "\\E", "Ü")], "label string")
+    asked = p.select(F.explode(F.array(F.concat(F.lit("SIZE "), "p_size"), F.substring("p_brand", 6, 9), F.upper("p_name"), F.get(F.split("p_name", " "), F.lit(1)))).alias("label")).union(signs)
+    return EV.lookup(asked, events).groupBy("asked").agg(F.count("*").alias("n"), F.min("event").alias("first"))
+
+
 # Parsing and validation ---------------------------------------------------------------------------------------------------
 
 
@@ -226,17 +263,11 @@ def manifest_join(spark, d):
     return K.with_manifest(o, m, "key").select("id", "name")
 
 
-_CONFIG = """{"min_tools": 1, "max_tools": 3, "tools": {"denoise": {"enabled": true, "weight": 2.0, "params": {}}, "clipping": {"enabled": true}, "asr": {"enabled": false},
-"super_resolution": {"enabled": true, "env": "/envs/sr"}, "remove_target": {"enabled": true, "env": "/envs/none"}, "unheard_of": {"enabled": true}, "pitch_shift": {}}}"""
-
-
-@query("SELECT * FROM (VALUES ('clipping', 1.0), ('denoise', 2.0), ('super_resolution', 1.0)) AS t(tool, weight)")
+@query(f"WITH {_CONFIGURED} SELECT * FROM configured")
 def configured_tools(spark, d):
-    """The tools of a configuration that are enabled, known, and whose environment is there."""
-    config = spark.createDataFrame([(_CONFIG,)], "value string")
-    tools = K.config_tools(spark, config)
-    there = spark.createDataFrame([("/envs/sr",)], "path string")
-    return K.available(tools, H.registry(spark), there).join(tools, "tool").select("tool", "weight")
+    """The tools of each supplier's configuration that are enabled, known, and whose environment is there."""
+    tools, there = _configured(spark, d)
+    return there.join(tools, ["supplier", "tool"]).select("supplier", "tool", "weight")
 
 
 @query("SELECT DISTINCT unnest(string_split(p_type, ' ')) AS label FROM part")

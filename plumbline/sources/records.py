@@ -160,5 +160,14 @@ def folder_names(spark: SparkSession, path: str) -> list[str]:
     return [f.getPath().getName() for f in files.listStatus(where)] if files.exists(where) else []
 
 
+def file_stamp(spark: SparkSession, path: str) -> str:
+    """A name for a file as it is now: of its path, length and time of change."""
+    import hashlib
+
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    status = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where)
+    return hashlib.md5(f"{path}:{status.getLen()}:{status.getModificationTime()}".encode()).hexdigest()
+
+
 def output_name(base: str, with_results: bool) -> str:
     return f"{base}_{'with' if with_results else 'no'}_tool_chain_results"
