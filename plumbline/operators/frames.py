@@ -1,12 +1,12 @@
 """Spectral work on signals as jobs over frames.
 
-A signal becomes rows (signal, frame) of samples, these become cells (signal, frame, bin); medians, percentiles, maxima and phases
-are windows over cells, overlap-add is a grouping by (signal, block). Only the transform of one frame runs in an Arrow batch.
+A signal becomes rows (signal, frame) of samples, and these rows of a spectrum, two arrays each. Frames are transformed in Arrow batches,
+whichever signal they are of. What needs the frames around a frame, or all of a signal's (medians, percentiles, running phases), works on
+the signal's frames together, as a matrix of frames by bins in one Arrow group; overlap-add is a grouping by (signal, block).
 
-A signal's rows are named by SIGNAL, a hash of the call and its number among equal calls. Whole signals are exchanged once to be named. After each transform,
-which forgets how rows lie, its frames are exchanged by SIGNAL while they are still arrays; every window and grouping up to the
-next transform has SIGNAL among its keys and finds its rows in place, so cells and blocks are never exchanged. The frames of one
-signal, which is one cell of the input, are the most that has to lie in a partition.
+A signal's rows are named by SIGNAL, a hash of the call and its number among equal calls. Whole signals are exchanged once to be named, and
+frames once after each transform, which forgets how rows lie. The frames of one signal, about eight times its samples, have to fit a
+task: cut long recordings into segments first (sources.audio_files).
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
@@ -69,20 +70,29 @@ def restore_frame(re: pd.Series, im: pd.Series) -> pd.Series:
     return pd.Series(list(np.fft.irfft(np.stack(re.to_list()) + 1j * np.stack(im.to_list()), N_FFT) * G.hann(N_FFT)))
 
 
-def cells(signals: DataFrame, x: Column, *carried: str) -> DataFrame:
-    """(SIGNAL, carried, frame, bin, re, im, magnitude) of the frames of x."""
+def spectra(signals: DataFrame, x: Column, *carried: str) -> DataFrame:
+    """(SIGNAL, carried, frame, re, im) of the frames of x."""
     frames = signals.select(*SIGNAL, *carried, F.posexplode(cut(x, N_FFT, HOP)).alias("frame", "values"))
-    spectra = frames.withColumn("z", transform_frame("values")).drop("values").repartition(*SIGNAL).select(*SIGNAL, *carried, "frame", F.posexplode(F.arrays_zip("z.re", "z.im")).alias("bin", "z"))
-    return spectra.select(*SIGNAL, *carried, "frame", "bin", "z.re", "z.im", F.hypot("z.re", "z.im").alias("magnitude"))
+    return frames.withColumn("z", transform_frame("values")).select(*SIGNAL, *carried, "frame", "z.re", "z.im")
+
+
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """A list column of equally long rows as a matrix."""
+    whole = column.combine_chunks()
+    return whole.flatten().to_numpy(zero_copy_only=False).reshape(len(whole), -1)
+
+
+def as_lists(values: np.ndarray) -> pa.Array:
+    n, width = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(values.ravel()))
 
 
 def overlap_add(spectrum: DataFrame, *carried: str) -> DataFrame:
-    """(SIGNAL, carried, samples, n_frames) of cells (SIGNAL, carried, frame, bin, re, im): frames are restored, cut into blocks of a
+    """(SIGNAL, carried, samples, n_frames) of spectra (SIGNAL, carried, frame, re, im): frames are restored, cut into blocks of a
     hop, added by block, and divided by the sum of the squared windows. Half a window is left out at the start."""
     kept = [F.any_value(c).alias(c) for c in carried]
-    frames = spectrum.groupBy(*SIGNAL, "frame").agg(*kept, F.array_sort(F.collect_list(F.struct("bin", "re", "im"))).alias("z"))
     parts = F.transform(F.sequence(F.lit(0), F.lit(N_FFT // HOP - 1)), lambda j: F.slice("y", j * HOP + 1, HOP))
-    blocks = frames.select(*SIGNAL, *carried, "frame", restore_frame("z.re", "z.im").alias("y")).repartition(*SIGNAL).select(*SIGNAL, *carried, "frame", F.posexplode(parts).alias("part", "values"))
+    blocks = spectrum.select(*SIGNAL, *carried, "frame", restore_frame("re", "im").alias("y")).repartition(*SIGNAL).select(*SIGNAL, *carried, "frame", F.posexplode(parts).alias("part", "values"))
     together = blocks.groupBy(*SIGNAL, (F.col("frame") + F.col("part")).alias("block")).agg(*kept, F.max("frame").alias("last"), F.array_sort(F.collect_list(F.struct("part", "values"))).alias("parts"))
     added = F.aggregate("parts.values", F.array_repeat(F.lit(0.0), HOP), lambda a, v: F.zip_with(a, v, lambda p, q: p + q))
     squared = lambda i: F.aggregate("parts.part", F.lit(0.0), lambda a, p: a + F.pow(0.5 - 0.5 * F.cos(2 * math.pi * (p * HOP + i) / N_FFT), 2))
@@ -91,26 +101,47 @@ def overlap_add(spectrum: DataFrame, *carried: str) -> DataFrame:
     return whole.select(*SIGNAL, *carried, F.slice("y", F.lit(N_FFT // 2 + 1), F.size("y")).alias("samples"), "n_frames")
 
 
-def percentile(values: Column, share: Column) -> Column:
-    """The value at a share of the way through the sorted values, interpolated."""
-    def at(v: Column) -> Column:
-        place = share * (F.size(v) - 1)
-        low = F.floor(place).cast("int")
-        return F.get(v, low) + (place - low) * (F.get(v, F.ceil(place).cast("int")) - F.get(v, low))
-
-    return let(F.array_sort(values), at)
-
-
-def median_near(values: Column, first: Column, frame: Column, n: Column) -> Column:
-    """The median of 21 frames around `frame`, of values that begin at frame `first`; beyond the ends frames are mirrored."""
-    def mirrored(d: Column) -> Column:
-        return let(F.pmod(frame + d, 2 * n), lambda j: F.when(j < n, j).otherwise(2 * n - 1 - j))
-
-    return F.get(F.array_sort(F.transform(F.sequence(F.lit(-10), F.lit(10)), lambda d: F.get(values, (mirrored(d) - first).cast("int")))), F.lit(10))
+def median_near(m: np.ndarray) -> np.ndarray:
+    """Of each frame, the medians of the 21 frames around it; beyond the ends frames are mirrored."""
+    n, out = len(m), np.empty_like(m)
+    for i in range(n):
+        at = (i + np.arange(-10, 11)) % (2 * n)
+        out[i] = np.median(m[np.where(at < n, at, 2 * n - 1 - at)], axis=0)
+    return out
+
+
+def gains(m: np.ndarray, kind: str, factor: float, quiet: int) -> np.ndarray:
+    """What each magnitude (frames x bins) is scaled by; the first `quiet` frames are taken for noise."""
+    ratio = lambda kept: np.divide(kept, m, out=np.zeros_like(m), where=m > 0)
+    if kind == "spectral_subtraction":
+        return ratio(np.maximum(m - factor * np.median(m[:quiet], axis=0), SUBTRACTION_FLOOR * m))
+    if kind == "wiener":
+        power = (m / (N_FFT / 2)) ** 2
+        return np.maximum(power - power[:quiet].mean(0), 0.0) / (power + 1e-10)
+    if kind == "echo_cancellation":
+        envelope = median_near(m)
+        return 1 / (1 + 0.3 * envelope / (envelope.max() + 1e-10))
+    if kind == "adaptive":
+        inner = min(1.0, max(0.0, factor))
+        floor = np.stack([np.percentile(m[max(0, i - 20) : i + 20], 10 + 40 * (1 - inner), axis=0) for i in range(len(m))])
+        return ratio(np.maximum(m - 1.5 * inner * floor, ADAPTIVE_FLOOR * m))
+    energy = m.mean(0) + 1e-10
+    return np.broadcast_to((np.median(energy) / energy) ** factor, m.shape)
+
+
+def _reweighted(frames: pa.Table) -> pa.Table:
+    """The frames of one signal, scaled."""
+    frames = frames.sort_by("frame")
+    re, im = matrix(frames.column("re")), matrix(frames.column("im"))
+    kind, factor, quiet = (frames.column(c)[0].as_py() for c in ("gain", "factor", "quiet"))
+    scale = gains(np.hypot(re, im), kind, factor, quiet)
+    for name, values in (("re", re * scale), ("im", im * scale)):
+        frames = frames.set_column(frames.schema.get_field_index(name), name, as_lists(values))
+    return frames
 
 
 def reweighted(signals: DataFrame) -> DataFrame:
-    """(SIGNAL, head, samples): every cell of a signal scaled by the gain of its `gain`, one of spectral_subtraction, wiener,
+    """(SIGNAL, head, samples): every cell of a signal's spectrum scaled by the gain of its `gain`, one of spectral_subtraction, wiener,
     echo_cancellation, adaptive and spectral_normalize. signals: SIGNAL, head, rate, x, gain, factor (noise factor,
     sensitivity or strength).
 
@@ -119,61 +150,40 @@ def reweighted(signals: DataFrame) -> DataFrame:
     is_ = lambda *names: F.col("gain").isin(*names)
     x = F.when(is_("spectral_normalize"), centred(F.col("x"), N_FFT)).otherwise(F.col("x"))
     rows = signals.withColumns({"length": F.size("x"), "quiet": F.greatest(F.lit(1), F.floor(0.5 * F.col("rate") / HOP).cast("int"))})
-    carried = ("head", "length", "quiet", "gain", "factor")
-    m, factor, frame = F.col("magnitude"), F.col("factor"), F.col("frame")
-    signal, line = Window.partitionBy(*SIGNAL), Window.partitionBy(*SIGNAL, "bin")
-    inner = F.greatest(F.lit(0.0), F.least(F.lit(1.0), factor))
-    quiet = frame < F.col("quiet")
-    scaled = cells(rows, x, *carried).withColumn("power", F.pow(m / (N_FFT / 2), 2))
-    near = line.orderBy("frame")
-    scaled = scaled.withColumns({
-        "noise": F.percentile(F.when(quiet & is_("spectral_subtraction"), m), 0.5).over(line), "noise_power": F.avg(F.when(quiet, F.col("power"))).over(line), "energy": F.avg(m).over(line) + 1e-10, "n": F.max("frame").over(line) + 1,
-        "around": F.collect_list(F.when(is_("adaptive"), m)).over(near.rowsBetween(-20, 19)), "beside": F.collect_list(F.when(is_("echo_cancellation"), m)).over(near.rowsBetween(-10, 10)),
-    })
-    scaled = scaled.withColumns({
-        "envelope": F.when(is_("echo_cancellation"), median_near(F.col("beside"), F.greatest(F.lit(0), frame - 10), frame, F.col("n"))),
-        "floor": F.when(is_("adaptive"), percentile(F.col("around"), (10 + 40 * (1 - inner)) / 100)),
-    })
-    scaled = scaled.withColumns({"loudest": F.max("envelope").over(signal), "middle": F.percentile(F.when((frame == 0) & is_("spectral_normalize"), F.col("energy")), 0.5).over(signal)})
-    over = lambda kept: F.when(m > 0, kept / m).otherwise(0.0)
-    gain = (
-        F.when(is_("spectral_subtraction"), over(F.greatest(m - factor * F.col("noise"), SUBTRACTION_FLOOR * m)))
-        .when(is_("wiener"), F.greatest(F.col("power") - F.col("noise_power"), F.lit(0.0)) / (F.col("power") + 1e-10))
-        .when(is_("echo_cancellation"), 1 / (1 + 0.3 * F.col("envelope") / (F.col("loudest") + 1e-10)))
-        .when(is_("adaptive"), over(F.greatest(m - 1.5 * inner * F.col("floor"), ADAPTIVE_FLOOR * m)))
-        .otherwise(F.pow(F.col("middle") / F.col("energy"), factor))
-    )
-    done = overlap_add(scaled.withColumn("scale", gain).withColumns({"re": F.col("re") * F.col("scale"), "im": F.col("im") * F.col("scale")}), "head", "length", "gain")
+    frames = spectra(rows, x, "head", "length", "gain", "quiet", "factor")
+    done = overlap_add(frames.groupBy(*SIGNAL).applyInArrow(_reweighted, frames.schema), "head", "length", "gain")
     y, length = F.col("samples"), F.col("length")
     within = F.slice(y, F.lit(1), HOP * (F.col("n_frames") - 1))
     samples = F.when(is_("spectral_normalize"), X.normalise_peak(X.match_length(y, length), PEAK)).otherwise(X.match_length(within, length))
     return done.select(*SIGNAL, "head", samples.alias("samples"))
 
 
+def _turned(frames: pa.Table) -> pa.Table:
+    """The frames of one signal read at its speed: magnitudes between frames; phases advance by what neighbouring frames differ."""
+    frames = frames.sort_by("frame")
+    z, speed = matrix(frames.column("re")) + 1j * matrix(frames.column("im")), frames.column("speed")[0].as_py()
+    n = len(z)
+    at = np.arange(math.ceil(n / speed)) * speed
+    frame = np.floor(at).astype(np.int64)
+    at, frame = at[frame < n], frame[frame < n]
+    later = np.concatenate([z[1:], np.zeros((1, z.shape[1]), complex)])
+    expected = math.pi * HOP * np.arange(z.shape[1]) / (N_FFT // 2)
+    turn = np.angle(later) - np.angle(z) - expected
+    advance = (expected + turn - 2 * math.pi * np.rint(turn / (2 * math.pi)))[frame]
+    phase = np.angle(z[0]) + np.cumsum(advance, axis=0) - advance
+    part = (at - frame)[:, None]
+    size = (1 - part) * np.abs(z[frame]) + part * np.abs(later[frame])
+    kept = frames.slice(0, 1).take(np.zeros(len(at), np.int64))
+    for name, values in (("frame", pa.array(np.arange(len(at)), pa.int32())), ("re", as_lists(size * np.cos(phase))), ("im", as_lists(size * np.sin(phase)))):
+        kept = kept.set_column(kept.schema.get_field_index(name), name, values)
+    return kept
+
+
 def stretched(signals: DataFrame) -> DataFrame:
-    """(SIGNAL, head, samples) of signals (SIGNAL, head, x, speed): a phase vocoder. Magnitudes are read between frames, phases
-    advance by what neighbouring frames differ; the phases of a bin are a running sum over its steps."""
-    line, speed = Window.partitionBy(*SIGNAL, "bin"), F.col("speed")
-    by_frame = line.orderBy("frame")
-    angle = lambda re, im: F.atan2(im, re)
-    rows = signals.withColumn("length", F.rint(F.size("x") / speed).cast("int"))
-    spectrum = cells(rows, centred(F.col("x"), N_FFT), "head", "length", "speed").withColumns({
-        "next_re": F.lead("re", 1, 0.0).over(by_frame), "next_im": F.lead("im", 1, 0.0).over(by_frame), "steps": F.ceil((F.max("frame").over(line) + 1) / speed),
-        "start": F.first(angle(F.col("re"), F.col("im"))).over(by_frame),
-    })
-    frame = F.col("frame")
-    near = F.sequence(F.greatest(F.lit(0), F.floor(frame / speed) - 1), F.ceil((frame + 1) / speed) + 1)
-    own = F.filter(near, lambda i: (F.floor(i * speed) == frame) & (i < F.col("steps")))
-    turn = angle(F.col("next_re"), F.col("next_im")) - angle(F.col("re"), F.col("im")) - F.col("expected")
-    read = spectrum.withColumn("expected", math.pi * HOP * F.col("bin") / (N_FFT // 2)).select("*", F.explode(own).alias("step")).withColumns({
-        "advance": F.col("expected") + turn - 2 * math.pi * F.rint(turn / (2 * math.pi)), "part": F.col("step") * speed - frame,
-    })
-    before = line.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    read = read.withColumns({
-        "phase": F.col("start") + F.coalesce(F.sum("advance").over(before), F.lit(0.0)),
-        "size": (1 - F.col("part")) * F.col("magnitude") + F.col("part") * F.hypot("next_re", "next_im"),
-    })
-    turned = read.select(*SIGNAL, "head", "length", F.col("step").cast("int").alias("frame"), "bin", (F.col("size") * F.cos("phase")).alias("re"), (F.col("size") * F.sin("phase")).alias("im"))
+    """(SIGNAL, head, samples) of signals (SIGNAL, head, x, speed): a phase vocoder."""
+    rows = signals.withColumn("length", F.rint(F.size("x") / F.col("speed")).cast("int"))
+    frames = spectra(rows, centred(F.col("x"), N_FFT), "head", "length", "speed")
+    turned = frames.groupBy(*SIGNAL).applyInArrow(_turned, frames.schema)
     return overlap_add(turned, "head", "length").select(*SIGNAL, "head", X.match_length(F.col("samples"), F.col("length")).alias("samples"))
 
 
@@ -192,39 +202,36 @@ def mel_powers(frames: pd.Series, rate: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-@F.pandas_udf(VALUES)
-def cepstra(levels: pd.Series) -> pd.Series:
-    """The first CEPSTRA cosine coefficients of a frame's levels."""
+def _cosines() -> np.ndarray:
+    """The matrix that takes a frame's levels to its first CEPSTRA cosine coefficients."""
     k, c = np.arange(BANDS), np.arange(CEPSTRA)[:, None]
-    cosines = np.sqrt(2 / BANDS) * np.cos(np.pi * c * (2 * k + 1) / (2 * BANDS)) * np.where(c == 0, np.sqrt(0.5), 1)
-    return pd.Series([cosines @ v for v in levels], dtype=object)
+    return np.sqrt(2 / BANDS) * np.cos(np.pi * c * (2 * k + 1) / (2 * BANDS)) * np.where(c == 0, np.sqrt(0.5), 1)
+
+
+def _compared(frames: pa.Table) -> pa.Table:
+    """One row of closeness for the frames of a pair: both sides' levels and cepstra, each band's course resampled to the longer one."""
+    frames = frames.sort_by([("side", "ascending"), ("frame", "ascending")])
+    side, db = frames.column("side").to_numpy(), 10 * np.log10(np.maximum(1e-10, matrix(frames.column("powers"))))
+    sides = [db[side == k] for k in (0, 1)]
+    sides = [np.maximum(x, x.max() - 80) for x in sides]
+    n = max(map(len, sides))
+    whole = [np.stack([G.resample(c, n) for c in np.hstack([x, x @ _cosines().T]).T]) for x in sides]
+    (a, p), (b, q) = ((x[:BANDS], x[BANDS:]) for x in whole)
+    cosine = lambda x, y: float((x * y).sum() / (np.sqrt((x * x).sum()) * np.sqrt((y * y).sum()) + 1e-8))
+    found = {"log_mel_cosine": cosine(a, b), "log_mel_l1": float(np.abs(a - b).mean()), "mfcc_cosine": cosine(p, q)}
+    first = frames.select([*SIGNAL, "head"]).slice(0, 1)
+    for name, value in found.items():
+        first = first.append_column(name, pa.array([value]))
+    return first
 
 
 def spectral_closeness(pairs: DataFrame) -> DataFrame:
-    """(SIGNAL, head, log_mel_cosine, log_mel_l1, mfcc_cosine) of pairs (SIGNAL, head, rate, x, y): levels and cepstra of both,
-    each band's course resampled to the longer one."""
+    """(SIGNAL, head, log_mel_cosine, log_mel_l1, mfcc_cosine) of pairs (SIGNAL, head, rate, x, y)."""
     sides = pairs.select(*SIGNAL, "head", "rate", F.posexplode(F.array("x", "y")).alias("side", "x"))
     frames = sides.select(*SIGNAL, "head", "rate", "side", F.posexplode(cut(centred(F.col("x"), MEL_FFT), MEL_FFT, MEL_HOP)).alias("frame", "values"))
-    levels = frames.select(*SIGNAL, "head", "side", "frame", F.transform(mel_powers("values", "rate"), lambda p: 10 * F.log10(F.greatest(F.lit(1e-10), p))).alias("db")).repartition(*SIGNAL)
-    levels = levels.withColumn("top", F.max(F.array_max("db")).over(Window.partitionBy(*SIGNAL, "side")))
-    levels = levels.withColumn("db", F.transform("db", lambda v: F.greatest(v, F.col("top") - 80)))
-    both_kinds = levels.select(*SIGNAL, "head", "side", "frame", F.concat("db", cepstra("db")).alias("values")).repartition(*SIGNAL)
-    values = both_kinds.select(*SIGNAL, "head", "side", "frame", F.posexplode("values").alias("band", "value"))
-    course = values.groupBy(*SIGNAL, "side", "band").agg(F.any_value("head").alias("head"), F.array_sort(F.collect_list(F.struct("frame", "value")))["value"].alias("course"))
-    course = course.withColumn("n", F.max(F.size("course")).over(Window.partitionBy(*SIGNAL)))
-    course = course.withColumn("course", resampled("course", "n")).repartition(*SIGNAL)
-    side = lambda k: F.max(F.when(F.col("side") == k, F.col("course")))
-    both = course.groupBy(*SIGNAL, "band").agg(F.any_value("head").alias("head"), F.any_value("n").alias("n"), side(0).alias("a"), side(1).alias("b"))
-    a, b, mel = F.col("a"), F.col("b"), F.col("band") < BANDS
-    sums = both.select(*SIGNAL, "head", "n", mel.alias("mel"), X.dot(a, b).alias("ab"), X.dot(a, a).alias("aa"), X.dot(b, b).alias("bb"), X.total(F.zip_with(a, b, lambda p, q: F.abs(p - q))).alias("apart"))
-
-    def cosine(which: Column) -> Column:
-        ab, aa, bb = (F.sum(F.when(which, F.col(c))) for c in ("ab", "aa", "bb"))
-        return ab / (F.sqrt(aa) * F.sqrt(bb) + 1e-8)
-
-    return sums.groupBy(*SIGNAL).agg(
-        F.any_value("head").alias("head"), cosine(F.col("mel")).alias("log_mel_cosine"), (F.sum(F.when(F.col("mel"), F.col("apart"))) / (BANDS * F.any_value("n"))).alias("log_mel_l1"), cosine(~F.col("mel")).alias("mfcc_cosine")
-    )
+    powers = frames.select(*SIGNAL, "head", "side", "frame", mel_powers("values", "rate").alias("powers"))
+    named_ = StructType([powers.schema[c] for c in (*SIGNAL, "head")] + [StructField(c, DoubleType()) for c in ("log_mel_cosine", "log_mel_l1", "mfcc_cosine")])
+    return powers.groupBy(*SIGNAL).applyInArrow(_compared, named_)
 
 
 @F.pandas_udf(VALUES)
