@@ -1,12 +1,11 @@
 """Spectral work on signals as jobs over frames.
 
-A signal becomes rows (signal, frame) of samples, and these rows of a spectrum, two arrays each. Frames are transformed in Arrow batches,
-whichever signal they are of. What needs the frames around a frame, or all of a signal's (medians, percentiles, running phases), works on
-the signal's frames together, as a matrix of frames by bins in one Arrow group; overlap-add is a grouping by (signal, block).
+A signal becomes rows (signal, frame) of samples, exchanged once by signal. What is done to a signal's frames (transforms, and all that
+needs the frames around a frame or all of a signal's: medians, percentiles, running phases, overlap-add) works on them
+together, as a matrix of frames by bins in one Arrow group.
 
-A signal's rows are named by SIGNAL, a hash of the call and its number among equal calls. Whole signals are exchanged once to be named, and
-frames once after each transform, which forgets how rows lie. The frames of one signal, about eight times its samples, have to fit a
-task: cut long recordings into segments first (sources.audio_files).
+A signal's rows are named by SIGNAL, a hash of the call and its number among equal calls. The frames of one signal, about four times its
+samples, have to fit a task: cut long recordings into segments first (sources.audio_files).
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from ..functions import signals as G
 from ..functions import vectors as X
@@ -27,7 +26,6 @@ from ..functions.scalar import let
 SIGNAL = ("call", "nth")
 N_FFT, HOP = 2048, 512
 VALUES = ArrayType(DoubleType())
-SPECTRUM = StructType([StructField("re", VALUES), StructField("im", VALUES)])
 #: Shares of magnitude that denoising leaves, and the peak that normalising aims at.
 SUBTRACTION_FLOOR, ADAPTIVE_FLOOR, PEAK = 0.1, 0.05, 0.95
 
@@ -57,23 +55,9 @@ def centred(x: Column, n: Column | int) -> Column:
     return F.concat(silence, x, silence)
 
 
-@F.pandas_udf(SPECTRUM)
-def transform_frame(frames: pd.Series) -> pd.DataFrame:
-    z = np.fft.rfft(np.stack(frames.to_list()) * G.hann(N_FFT)) if len(frames) else np.zeros((0, 1), complex)
-    return pd.DataFrame({"re": list(z.real), "im": list(z.imag)})
-
-
-@F.pandas_udf(VALUES)
-def restore_frame(re: pd.Series, im: pd.Series) -> pd.Series:
-    if not len(re):
-        return pd.Series([], dtype=object)
-    return pd.Series(list(np.fft.irfft(np.stack(re.to_list()) + 1j * np.stack(im.to_list()), N_FFT) * G.hann(N_FFT)))
-
-
-def spectra(signals: DataFrame, x: Column, *carried: str) -> DataFrame:
-    """(SIGNAL, carried, frame, re, im) of the frames of x."""
-    frames = signals.select(*SIGNAL, *carried, F.posexplode(cut(x, N_FFT, HOP)).alias("frame", "values"))
-    return frames.withColumn("z", transform_frame("values")).select(*SIGNAL, *carried, "frame", "z.re", "z.im")
+def framed(signals: DataFrame, x: Column, *carried: str, size: int = N_FFT, hop: int = HOP) -> DataFrame:
+    """(SIGNAL, carried, frame, values): the frames of x, by signal."""
+    return signals.select(*SIGNAL, *carried, F.posexplode(cut(x, size, hop)).alias("frame", "values"))
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -82,23 +66,33 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     return whole.flatten().to_numpy(zero_copy_only=False).reshape(len(whole), -1)
 
 
-def as_lists(values: np.ndarray) -> pa.Array:
-    n, width = values.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(values.ravel()))
+def spectrum_of(frames: pa.Table) -> np.ndarray:
+    """The transforms of a signal's frames in order, frames x bins."""
+    return np.fft.rfft(matrix(frames.sort_by("frame").column("values")) * G.hann(N_FFT))
+
 
+def overlap_add(spectrum: np.ndarray) -> np.ndarray:
+    """The samples of a signal's spectrum: frames are restored, added where they lie, and divided by the sum of the squared windows. Half a
+    window is left out at the start."""
+    window, n = G.hann(N_FFT), len(spectrum)
+    y, w = np.zeros((2, (n - 1) * HOP + N_FFT))
+    for i, frame in enumerate(np.fft.irfft(spectrum, N_FFT) * window):
+        y[i * HOP : i * HOP + N_FFT] += frame
+        w[i * HOP : i * HOP + N_FFT] += window**2
+    return np.where(w > 1e-10, y / np.maximum(w, 1e-10), y)[N_FFT // 2 :]
 
-def overlap_add(spectrum: DataFrame, *carried: str) -> DataFrame:
-    """(SIGNAL, carried, samples, n_frames) of spectra (SIGNAL, carried, frame, re, im): frames are restored, cut into blocks of a
-    hop, added by block, and divided by the sum of the squared windows. Half a window is left out at the start."""
-    kept = [F.any_value(c).alias(c) for c in carried]
-    parts = F.transform(F.sequence(F.lit(0), F.lit(N_FFT // HOP - 1)), lambda j: F.slice("y", j * HOP + 1, HOP))
-    blocks = spectrum.select(*SIGNAL, *carried, "frame", restore_frame("re", "im").alias("y")).repartition(*SIGNAL).select(*SIGNAL, *carried, "frame", F.posexplode(parts).alias("part", "values"))
-    together = blocks.groupBy(*SIGNAL, (F.col("frame") + F.col("part")).alias("block")).agg(*kept, F.max("frame").alias("last"), F.array_sort(F.collect_list(F.struct("part", "values"))).alias("parts"))
-    added = F.aggregate("parts.values", F.array_repeat(F.lit(0.0), HOP), lambda a, v: F.zip_with(a, v, lambda p, q: p + q))
-    squared = lambda i: F.aggregate("parts.part", F.lit(0.0), lambda a, p: a + F.pow(0.5 - 0.5 * F.cos(2 * math.pi * (p * HOP + i) / N_FFT), 2))
-    values = F.transform(added, lambda v, i: let(squared(i), lambda w: F.when(w > 1e-10, v / w).otherwise(v)))
-    whole = together.select(*SIGNAL, *carried, "last", "block", values.alias("values")).groupBy(*SIGNAL).agg(*kept, (F.max("last") + 1).alias("n_frames"), F.flatten(F.array_sort(F.collect_list(F.struct("block", "values")))["values"]).alias("y"))
-    return whole.select(*SIGNAL, *carried, F.slice("y", F.lit(N_FFT // 2 + 1), F.size("y")).alias("samples"), "n_frames")
+
+def _resynthesised(frames: pa.Table, spectrum: np.ndarray) -> pa.Table:
+    """One row of a signal: what its frames carry, and the samples and number of frames of a spectrum."""
+    first = frames.drop_columns(["frame", "values"]).slice(0, 1)
+    return first.append_column("samples", pa.array([overlap_add(spectrum)], pa.list_(pa.float64()))).append_column("n_frames", pa.array([len(spectrum)], pa.int32()))
+
+
+def resynthesised(frames: DataFrame, work) -> DataFrame:
+    """(SIGNAL, carried, samples, n_frames) by work on the frames of each signal, which gives the new spectrum."""
+    kept = [f for f in frames.schema if f.name not in ("frame", "values")]
+    schema = StructType([*kept, StructField("samples", VALUES), StructField("n_frames", IntegerType())])
+    return frames.groupBy(*SIGNAL).applyInArrow(lambda table: _resynthesised(table, work(table)), schema)
 
 
 def median_near(m: np.ndarray) -> np.ndarray:
@@ -129,15 +123,10 @@ def gains(m: np.ndarray, kind: str, factor: float, quiet: int) -> np.ndarray:
     return np.broadcast_to((np.median(energy) / energy) ** factor, m.shape)
 
 
-def _reweighted(frames: pa.Table) -> pa.Table:
-    """The frames of one signal, scaled."""
-    frames = frames.sort_by("frame")
-    re, im = matrix(frames.column("re")), matrix(frames.column("im"))
+def _reweighted(frames: pa.Table) -> np.ndarray:
     kind, factor, quiet = (frames.column(c)[0].as_py() for c in ("gain", "factor", "quiet"))
-    scale = gains(np.hypot(re, im), kind, factor, quiet)
-    for name, values in (("re", re * scale), ("im", im * scale)):
-        frames = frames.set_column(frames.schema.get_field_index(name), name, as_lists(values))
-    return frames
+    z = spectrum_of(frames)
+    return z * gains(np.abs(z), kind, factor, quiet)
 
 
 def reweighted(signals: DataFrame) -> DataFrame:
@@ -150,18 +139,16 @@ def reweighted(signals: DataFrame) -> DataFrame:
     is_ = lambda *names: F.col("gain").isin(*names)
     x = F.when(is_("spectral_normalize"), centred(F.col("x"), N_FFT)).otherwise(F.col("x"))
     rows = signals.withColumns({"length": F.size("x"), "quiet": F.greatest(F.lit(1), F.floor(0.5 * F.col("rate") / HOP).cast("int"))})
-    frames = spectra(rows, x, "head", "length", "gain", "quiet", "factor")
-    done = overlap_add(frames.groupBy(*SIGNAL).applyInArrow(_reweighted, frames.schema), "head", "length", "gain")
+    done = resynthesised(framed(rows, x, "head", "length", "gain", "quiet", "factor"), _reweighted)
     y, length = F.col("samples"), F.col("length")
     within = F.slice(y, F.lit(1), HOP * (F.col("n_frames") - 1))
     samples = F.when(is_("spectral_normalize"), X.normalise_peak(X.match_length(y, length), PEAK)).otherwise(X.match_length(within, length))
     return done.select(*SIGNAL, "head", samples.alias("samples"))
 
 
-def _turned(frames: pa.Table) -> pa.Table:
-    """The frames of one signal read at its speed: magnitudes between frames; phases advance by what neighbouring frames differ."""
-    frames = frames.sort_by("frame")
-    z, speed = matrix(frames.column("re")) + 1j * matrix(frames.column("im")), frames.column("speed")[0].as_py()
+def _turned(frames: pa.Table) -> np.ndarray:
+    """The spectrum of a signal read at its speed: magnitudes between frames; phases advance by what neighbouring frames differ."""
+    z, speed = spectrum_of(frames), frames.column("speed")[0].as_py()
     n = len(z)
     at = np.arange(math.ceil(n / speed)) * speed
     frame = np.floor(at).astype(np.int64)
@@ -172,36 +159,19 @@ def _turned(frames: pa.Table) -> pa.Table:
     advance = (expected + turn - 2 * math.pi * np.rint(turn / (2 * math.pi)))[frame]
     phase = np.angle(z[0]) + np.cumsum(advance, axis=0) - advance
     part = (at - frame)[:, None]
-    size = (1 - part) * np.abs(z[frame]) + part * np.abs(later[frame])
-    kept = frames.slice(0, 1).take(np.zeros(len(at), np.int64))
-    for name, values in (("frame", pa.array(np.arange(len(at)), pa.int32())), ("re", as_lists(size * np.cos(phase))), ("im", as_lists(size * np.sin(phase)))):
-        kept = kept.set_column(kept.schema.get_field_index(name), name, values)
-    return kept
+    return ((1 - part) * np.abs(z[frame]) + part * np.abs(later[frame])) * np.exp(1j * phase)
 
 
 def stretched(signals: DataFrame) -> DataFrame:
     """(SIGNAL, head, samples) of signals (SIGNAL, head, x, speed): a phase vocoder."""
     rows = signals.withColumn("length", F.rint(F.size("x") / F.col("speed")).cast("int"))
-    frames = spectra(rows, centred(F.col("x"), N_FFT), "head", "length", "speed")
-    turned = frames.groupBy(*SIGNAL).applyInArrow(_turned, frames.schema)
-    return overlap_add(turned, "head", "length").select(*SIGNAL, "head", X.match_length(F.col("samples"), F.col("length")).alias("samples"))
+    turned = resynthesised(framed(rows, centred(F.col("x"), N_FFT), "head", "length", "speed"), _turned)
+    return turned.select(*SIGNAL, "head", X.match_length(F.col("samples"), F.col("length")).alias("samples"))
 
 
 BANDS, CEPSTRA, MEL_FFT, MEL_HOP = 64, 13, 1024, 256
 
 
-@F.pandas_udf(VALUES)
-def mel_powers(frames: pd.Series, rate: pd.Series) -> pd.Series:
-    """The power of each frame in BANDS bands."""
-    out: list = [None] * len(frames)
-    for r in rate.unique():
-        at = np.flatnonzero(rate == r)
-        power = np.abs(np.fft.rfft(np.stack(frames.iloc[at].to_list()) * G.hann(MEL_FFT))) ** 2
-        for i, row in zip(at, power @ G.mel_filters(int(r), MEL_FFT, BANDS).T):
-            out[i] = row
-    return pd.Series(out, dtype=object)
-
-
 def _cosines() -> np.ndarray:
     """The matrix that takes a frame's levels to its first CEPSTRA cosine coefficients."""
     k, c = np.arange(BANDS), np.arange(CEPSTRA)[:, None]
@@ -211,7 +181,9 @@ def _cosines() -> np.ndarray:
 def _compared(frames: pa.Table) -> pa.Table:
     """One row of closeness for the frames of a pair: both sides' levels and cepstra, each band's course resampled to the longer one."""
     frames = frames.sort_by([("side", "ascending"), ("frame", "ascending")])
-    side, db = frames.column("side").to_numpy(), 10 * np.log10(np.maximum(1e-10, matrix(frames.column("powers"))))
+    side, rate = frames.column("side").to_numpy(), frames.column("rate")[0].as_py()
+    power = np.abs(np.fft.rfft(matrix(frames.column("values")) * G.hann(MEL_FFT))) ** 2
+    db = 10 * np.log10(np.maximum(1e-10, power @ G.mel_filters(rate, MEL_FFT, BANDS).T))
     sides = [db[side == k] for k in (0, 1)]
     sides = [np.maximum(x, x.max() - 80) for x in sides]
     n = max(map(len, sides))
@@ -228,10 +200,9 @@ def _compared(frames: pa.Table) -> pa.Table:
 def spectral_closeness(pairs: DataFrame) -> DataFrame:
     """(SIGNAL, head, log_mel_cosine, log_mel_l1, mfcc_cosine) of pairs (SIGNAL, head, rate, x, y)."""
     sides = pairs.select(*SIGNAL, "head", "rate", F.posexplode(F.array("x", "y")).alias("side", "x"))
-    frames = sides.select(*SIGNAL, "head", "rate", "side", F.posexplode(cut(centred(F.col("x"), MEL_FFT), MEL_FFT, MEL_HOP)).alias("frame", "values"))
-    powers = frames.select(*SIGNAL, "head", "side", "frame", mel_powers("values", "rate").alias("powers"))
-    named_ = StructType([powers.schema[c] for c in (*SIGNAL, "head")] + [StructField(c, DoubleType()) for c in ("log_mel_cosine", "log_mel_l1", "mfcc_cosine")])
-    return powers.groupBy(*SIGNAL).applyInArrow(_compared, named_)
+    frames = framed(sides, centred(F.col("x"), MEL_FFT), "head", "rate", "side", size=MEL_FFT, hop=MEL_HOP)
+    schema = StructType([frames.schema[c] for c in (*SIGNAL, "head")] + [StructField(c, DoubleType()) for c in ("log_mel_cosine", "log_mel_l1", "mfcc_cosine")])
+    return frames.groupBy(*SIGNAL).applyInArrow(_compared, schema)
 
 
 @F.pandas_udf(VALUES)
