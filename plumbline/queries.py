@@ -1,8 +1,8 @@
 """All queries of the library's own operators and the SQL that checks them."""
 
-from .plans import agent_queries, answer_queries, audio_queries, builder_queries, chain_queries, corpus_queries, data_queries, protocol_queries
+from .plans import agent_queries, answer_queries, applier_queries, audio_queries, builder_queries, chain_queries, corpus_queries, data_queries, protocol_queries
 
-MODULES = (agent_queries, answer_queries, audio_queries, builder_queries, chain_queries, corpus_queries, data_queries, protocol_queries)
+MODULES = (agent_queries, answer_queries, applier_queries, audio_queries, builder_queries, chain_queries, corpus_queries, data_queries, protocol_queries)
 
 
 def queries() -> dict:
