@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The patterns of free-form answers, timestamps and code fences, and what a file name's part may hold.
@@ -73,59 +73,75 @@ def valid_timestamp(text: Column) -> Column:
     return text.rlike(TIMESTAMP)
 
 
-def reward_seconds(text: Column) -> Column:
-    """Seconds of HH:MM:SS with an optional fraction of up to three digits, two-digit minutes and seconds; else null."""
+def _seconds(stripped: Column) -> Column:
+    h, m, s = (F.get(F.split(stripped, ":"), F.lit(i)).try_cast("double") for i in range(3))
+    return F.when(stripped.rlike(REWARD_TIMESTAMP), h * 3600 + m * 60 + s)
 
-    def seconds(t: Column) -> Column:
-        h, m, s = (F.get(F.split(t, ":"), F.lit(i)).try_cast("double") for i in range(3))
-        return F.when(t.rlike(REWARD_TIMESTAMP), h * 3600 + m * 60 + s)
 
-    return let(strip(text), seconds)
+def reward_seconds(text: Column) -> Column:
+    """Seconds of HH:MM:SS with an optional fraction of up to three digits, two-digit minutes and seconds; else null."""
+    return let(strip(text), _seconds)
 
 
 def numbers_close(pred: Column, truth: Column) -> Column:
     return F.abs(pred - truth) <= F.greatest(F.lit(0.02), 0.05 * F.abs(truth))
 
 
+def _same_text(p, t) -> Column:
+    """p, t: raw, stripped text and seconds, by name."""
+    numbers = lambda x, y: F.when(F.isnan(x) | F.isnan(y), F.lit(False)).otherwise(numbers_close(x, y))
+    # Only texts that end like numbers are read as such.
+    numeric = p["text"].rlike("[0-9.a-zA-Z]$") & p["text"].rlike("^[-+0-9.iInN]") & t["text"].rlike("^[-+0-9.iInN]")
+    x, y = p["raw"].try_cast("double"), t["raw"].try_cast("double")
+    return (
+        F.when(p["seconds"].isNotNull() & t["seconds"].isNotNull(), F.abs(p["seconds"] - t["seconds"]) <= 0.75)
+        .when(F.coalesce(numeric & x.isNotNull() & y.isNotNull(), F.lit(False)), numbers(x, y))
+        .otherwise(F.lower(p["text"]) == F.lower(t["text"]))
+    )
+
+
 def strings_close(pred: Column, truth: Column) -> Column:
     """Loose equality of two strings: timestamps within 0.75 s, numbers within tolerance, else equal when stripped, in any case."""
     read = lambda text: F.struct(text.alias("raw"), strip(text).alias("text"), F.when(F.contains(text, F.lit(":")), reward_seconds(text)).alias("seconds"))
+    return let(F.struct(read(pred).alias("p"), read(truth).alias("t")), lambda both: _same_text(both["p"], both["t"]))
 
-    def same(p: Column, t: Column) -> Column:
-        numbers = lambda x, y: F.when(F.isnan(x) | F.isnan(y), F.lit(False)).otherwise(numbers_close(x, y))
-        # Only texts that end like numbers are read as such.
-        numeric = p["text"].rlike("[0-9.a-zA-Z]$") & p["text"].rlike("^[-+0-9.iInN]") & t["text"].rlike("^[-+0-9.iInN]")
-        x, y = p["raw"].try_cast("double"), t["raw"].try_cast("double")
-        return (
-            F.when(p["seconds"].isNotNull() & t["seconds"].isNotNull(), F.abs(p["seconds"] - t["seconds"]) <= 0.75)
-            .when(F.coalesce(numeric & x.isNotNull() & y.isNotNull(), F.lit(False)), numbers(x, y))
-            .otherwise(F.lower(p["text"]) == F.lower(t["text"]))
-        )
 
-    return let(F.struct(read(pred).alias("p"), read(truth).alias("t")), lambda both: same(both["p"], both["t"]))
+def _parts(v: Column, kind: Column) -> dict[str, Column]:
+    """What a variant of a kind is compared by."""
+    number = kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+    value = F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double")).when(number, F.try_variant_get(v, "$", "double"))
+    return {"boolean": kind == "BOOLEAN", "number": value, "text": F.when(kind == "STRING", F.try_variant_get(v, "$", "string")), "json": F.when(value.isNull() & (kind != "STRING"), F.to_json(v))}
 
 
-def values_close(pred: Column, truth: Column) -> Column:
-    """Loose equality of two VARIANT values: booleans only equal themselves (and 1 or 0), numbers have a tolerance, strings
-    compare loosely, all else must be equal as JSON. Kind, number and text of either side are read once."""
-    number = "^(BIGINT|DECIMAL|DOUBLE|FLOAT)"
-
-    def read(v: Column) -> Column:
-        return let(v, lambda x: let(F.schema_of_variant(x), lambda kind: by_kind(x, kind)))
+def _same_value(p, t, texts: Column) -> Column:
+    """p, t: _parts by name. texts: whether they are the same if both are texts."""
+    return (
+        F.when(p["boolean"] | t["boolean"], p["number"] == t["number"])
+        .when(p["number"].isNotNull() & t["number"].isNotNull(), numbers_close(p["number"], t["number"]))
+        .when(p["text"].isNotNull() & t["text"].isNotNull(), texts)
+        .otherwise(p["json"] == t["json"])
+    )
 
-    def by_kind(v: Column, kind: Column) -> Column:
-        value = F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double")).when(kind.rlike(number), F.try_variant_get(v, "$", "double"))
-        return F.struct((kind == "BOOLEAN").alias("boolean"), value.alias("number"), F.when(kind == "STRING", F.try_variant_get(v, "$", "string")).alias("text"), F.when(value.isNull() & (kind != "STRING"), F.to_json(v)).alias("json"))
 
-    def same(p: Column, t: Column) -> Column:
-        return (
-            F.when(p["boolean"] | t["boolean"], p["number"] == t["number"])
-            .when(p["number"].isNotNull() & t["number"].isNotNull(), numbers_close(p["number"], t["number"]))
-            .when(p["text"].isNotNull() & t["text"].isNotNull(), strings_close(p["text"], t["text"]))
-            .otherwise(p["json"] == t["json"])
-        )
-
-    return F.coalesce(let(F.struct(read(pred).alias("p"), read(truth).alias("t")), lambda both: same(both["p"], both["t"])), F.lit(False))
+def values_close(pred: Column, truth: Column) -> Column:
+    """Loose equality of two VARIANT values: booleans only equal themselves (and 1 or 0), numbers have a tolerance, strings
+    compare loosely, all else must be equal as JSON. Kind, number and text of either side are read once. For values inside arrays
+    and maps; those of two columns are compared faster by with_values_close()."""
+    read = lambda v: let(v, lambda x: let(F.schema_of_variant(x), lambda kind: F.struct(*[c.alias(n) for n, c in _parts(x, kind).items()])))
+    same = lambda both: _same_value(both["p"], both["t"], strings_close(both["p"]["text"], both["t"]["text"]))
+    return F.coalesce(let(F.struct(read(pred).alias("p"), read(truth).alias("t")), same), F.lit(False))
+
+
+def with_values_close(df: DataFrame, pred: Column, truth: Column, name: str) -> DataFrame:
+    """df with values_close(pred, truth) as a column, read step by step in plain columns, for which Spark generates code."""
+    sides = ("__p", "__t")
+    out = df.withColumns({"__p": pred, "__t": truth}).withColumns({f"{s}_kind": F.schema_of_variant(s) for s in sides})
+    out = out.withColumns({f"{s}_{n}": c for s in sides for n, c in _parts(F.col(s), F.col(f"{s}_kind")).items()})
+    out = out.withColumns({f"{s}_stripped": strip(F.col(f"{s}_text")) for s in sides})
+    out = out.withColumns({f"{s}_seconds": F.when(F.contains(f"{s}_text", F.lit(":")), _seconds(F.col(f"{s}_stripped"))) for s in sides})
+    p, t = ({n: F.col(f"{s}_{n}") for n in ("boolean", "number", "text", "json")} for s in sides)
+    x, y = ({"raw": F.col(f"{s}_text"), "text": F.col(f"{s}_stripped"), "seconds": F.col(f"{s}_seconds")} for s in sides)
+    return out.withColumn(name, F.coalesce(_same_value(p, t, _same_text(x, y)), F.lit(False))).select(*df.columns, name)
 
 
 def strip_fence(text: Column) -> Column:

@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import chain, draw
+from ..functions.ranks import global_rank
+from .sampling import chain, draw, held_out_tail
 
 CALLS = "array<struct<tool_name: string, parameters: map<string,string>, output: string>>"
 
@@ -88,6 +89,13 @@ def build(n: int, sources: DataFrame, tools: list[str], least: int, most: int, s
     return built.select(*_sample(seed))
 
 
+def benchmark(n: int, pool: DataFrame, order: str, share: float, tools: list[str], least: int, most: int, seed: int, attempts: int, run: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
+    """n samples as build() makes them, from the last `share` of the pool (audio and a column to order by, without repeats): what was
+    trained on the first part of it never meets its audios. The seed should be one that no training samples have."""
+    held = global_rank(held_out_tail(pool.select(order, "audio"), order, share), [order], "place")
+    return build(n, held.select((F.col("place") - 1).alias("place"), "audio"), tools, least, most, seed, attempts, run, folder)
+
+
 def applied_pairs(items: DataFrame, tools: dict[str, float], least: int, most: int, seed: int, run: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
     """Each item (id, audio; ids are distinct) beside the same audio with tools applied, drawn by weight: (id, original_audio,
     tool_chain array<struct<tool, parameters, output_path>>, tool_applied_audio, failed).

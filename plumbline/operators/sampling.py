@@ -19,6 +19,11 @@ def shuffle_key(seed: int, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
+def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """df in a drawn order: sorted over all tasks by a hash of seed and key, so a key's place doesn't depend on how df lay."""
+    return df.orderBy(shuffle_key(seed, F.col(key)), key)
+
+
 def sample(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
     """k rows (or all) without replacement. A top-k: each task keeps k rows at most."""
     return df.orderBy(shuffle_key(seed, F.col(key)), key).limit(k)

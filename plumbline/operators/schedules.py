@@ -138,6 +138,106 @@ def parameter_errors(calls: DataFrame, schema: DataFrame) -> DataFrame:
     return calls.join(known, "tool", "left").select("call_id", F.when(spec.isNull(), 1).otherwise(total).cast("long").alias("errors"))
 
 
+def _listed(names: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(F.transform(names, lambda n: F.concat(F.lit("'"), n, F.lit("'"))), ", "), F.lit("]"))
+
+
+def _shown(value: Column) -> Column:
+    """A variant in a message: a text as it is, else its JSON."""
+    return F.coalesce(F.try_variant_get(value, "$", "string"), F.to_json(value), F.lit("null"))
+
+
+def _named(value: Column) -> Column:
+    """What kind of value a variant is, in a message."""
+    kind = F.coalesce(_kind(value), F.lit("VOID"))
+    names = {"ARRAY": "list", "OBJECT": "object", "STRING": "text", "BOOLEAN": "boolean", "VOID": "null"}
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[kind], F.lit("number"))
+
+
+def _faults(*found: tuple[Column, Column]) -> Column:
+    """The messages of the conditions that hold, in order."""
+    return F.array_compact(F.array(*[F.when(F.coalesce(holds, F.lit(False)), message) for holds, message in found]))
+
+
+def parameter_messages(calls: DataFrame, schema: DataFrame) -> DataFrame:
+    """(call_id, messages array<string>): what parameter_errors() counts, in words. Of a call the missing parameters are named first, in
+    the schema's order by name, then what is wrong with each given one, by name."""
+    known = F.broadcast(schema.groupBy("tool").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("param", F.struct("type", "allowed", "required"))))).alias("spec")))
+    spec, params = F.col("spec"), F.coalesce(F.col("params"), F.create_map().cast("map<string,variant>"))
+    missing = F.filter(F.map_keys(spec), lambda p: spec[p]["required"] & ~F.map_contains_key(params, p))
+
+    def messages_of(p: Column) -> Column:
+        s, value = spec[p], params[p]
+        text, quoted = F.try_variant_get(value, "$", "string"), F.concat(F.lit("'"), p, F.lit("'"))
+        is_text, given = F.coalesce(_kind(value) == "STRING", F.lit(False)), F.coalesce(F.schema_of_variant(value) != "VOID", F.lit(False))
+        bad_time = F.when(is_text, F.concat(F.lit(" timestamp format error: "), text)).otherwise(F.concat(F.lit(" must be a string in HH:MM:SS.mmm format, got "), _named(value)))
+        return _faults(
+            (s.isNull(), F.concat(F.lit("Unexpected parameter: "), quoted)),
+            (s["type"].isin("string", "timestamp") & ~is_text, F.concat(F.lit("Parameter "), quoted, F.lit(" must be a string"))),
+            ((s["type"] == "timestamp") & ~(is_text & F.coalesce(valid_timestamp(text), F.lit(False))), F.concat(quoted, bad_time)),
+            (s["allowed"].isNotNull() & given & ~F.coalesce(is_text & F.array_contains(s["allowed"], text), F.lit(False)), F.concat(F.lit("Parameter "), quoted, F.lit(" has invalid value '"), _shown(value), F.lit("'. Allowed: "), _listed(s["allowed"]))),
+        )
+
+    of_missing = _faults((F.size(missing) > 0, F.concat(F.lit("Missing required parameters: "), _listed(missing))))
+    told = F.concat(of_missing, F.flatten(F.transform(F.array_sort(F.map_keys(params)), messages_of)))
+    unknown = F.array(F.concat(F.lit("unknown tool '"), F.coalesce("tool", F.lit("null")), F.lit("'")))
+    return calls.join(known, "tool", "left").select("call_id", F.when(spec.isNull(), unknown).otherwise(told).alias("messages"))
+
+
+def entry_messages(found: DataFrame, schema: DataFrame) -> DataFrame:
+    """(source, entry, messages array<string>) of entries(): what entry_errors() counts, in words; each says where it is. A text without entries
+    has one message."""
+    parts = F.try_variant_get("raw", "$", "array<variant>")
+    is_list = F.coalesce(_kind(F.col("raw")) == "ARRAY", F.lit(False))
+    pair = is_list & (F.size(parts) == 2)
+    meta = F.try_variant_get("meta", "$", "map<string,variant>")
+    is_object = F.coalesce(_kind(F.col("meta")) == "OBJECT", F.lit(False))
+    lacking = F.filter(F.array(*map(F.lit, METADATA_KEYS)), lambda key: ~F.map_contains_key(meta, key))
+    choice = F.map_contains_key(meta, "choice") & (_kind(F.element_at(meta, "choice")) != "ARRAY")
+    calls_listed = F.coalesce(_kind(F.col("calls")) == "ARRAY", F.lit(False))
+    calls = F.when(calls_listed, F.try_variant_get("calls", "$", "array<variant>"))
+    at = F.concat(F.lit("entry["), F.col("entry").cast("string"), F.lit("]"))
+    shape = _faults(
+        (F.col("entry").isNull(), F.lit("schedule: no list of entries")),
+        (~is_list & F.col("entry").isNotNull(), F.concat(at, F.lit(": must be a 2-element list, got "), _named(F.col("raw")))),
+        (is_list & ~pair, F.concat(at, F.lit(": must have exactly 2 elements, got "), F.size(parts).cast("string"))),
+    )
+    about = _faults(
+        (pair & ~is_object, F.concat(at, F.lit(".metadata: metadata must be a dict, got "), _named(F.col("meta")))),
+        (pair & is_object & (F.size(lacking) > 0), F.concat(at, F.lit(".metadata: metadata missing required keys: "), _listed(lacking))),
+        (pair & is_object & choice, F.concat(at, F.lit(".metadata: metadata 'choice' must be a list"))),
+        (pair & ~calls_listed, F.concat(at, F.lit(".tool_calls: must be a list, got "), _named(F.col("calls")))),
+        (pair & calls_listed & (F.size(calls) == 0), F.concat(at, F.lit(".tool_calls: list is empty"))),
+    )
+    shaped = found.select("source", "entry", F.coalesce(pair, F.lit(False)).alias("pair"), F.concat(shape, about).alias("own"), calls.alias("calls"))
+    call = F.try_variant_get("call", "$", "map<string,variant>")
+    tool, params = F.try_element_at(call, F.lit("tool")), F.try_element_at(call, F.lit("parameters"))
+    one = shaped.where("pair").select("source", "entry", F.posexplode("calls").alias("pos", "call"))
+    read = one.select(
+        F.struct("source", "entry", "pos").alias("call_id"), _named(F.col("call")).alias("call_kind"), tool.isNull().alias("no_tool"), _named(tool).alias("tool_kind"), F.try_variant_get(tool, "$", "string").alias("tool"),
+        F.map_contains_key(call, "parameters").alias("given"), _named(params).alias("kind"), F.try_variant_get(params, "$", "map<string,variant>").alias("params"),
+    )
+    known = read.join(F.broadcast(schema.select("tool").distinct().withColumn("known", F.lit(True))), "tool", "left")
+    inside = parameter_messages(known.where("known and tool_kind = 'text' and given and kind = 'object'").select("call_id", "tool", "params"), schema)
+    judged = known.join(inside, "call_id", "left")
+    is_call, is_text, is_known = F.col("call_kind") == "object", F.col("tool_kind") == "text", F.coalesce("known", F.lit(False))
+    nothing = F.col("no_tool") | (F.col("tool_kind") == "null")
+    prefix = F.concat(F.lit("tool_call["), F.col("call_id.pos").cast("string"), F.lit("]"))
+    of_tool = F.concat(prefix, F.lit("(tool="), F.col("tool"), F.lit("): "))
+    wrong = _faults(
+        (~is_call, F.concat(prefix, F.lit(": must be a dict, got "), F.col("call_kind"))),
+        (is_call & nothing, F.concat(prefix, F.lit(": missing 'tool' key"))),
+        (is_call & ~nothing & ~is_text, F.concat(prefix, F.lit(": 'tool' must be a string, got "), F.col("tool_kind"))),
+        (is_call & is_text & ~is_known, F.concat(prefix, F.lit(": unknown tool '"), F.col("tool"), F.lit("'"))),
+        (is_call & ~F.col("given"), F.concat(prefix, F.lit(": missing 'parameters' key"))),
+        (is_call & is_text & is_known & F.col("given") & (F.col("kind") != "object"), F.concat(of_tool, F.lit("'parameters' must be a dict, got "), F.col("kind"))),
+    )
+    told = F.concat(wrong, F.transform(F.coalesce("messages", F.array().cast("array<string>")), lambda m: F.concat(of_tool, m)))
+    by_entry = judged.select("call_id.*", told.alias("m")).groupBy("source", "entry").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"])).alias("of_calls"))
+    of_calls = F.transform(F.coalesce("of_calls", F.array().cast("array<string>")), lambda m: F.concat(at, F.lit(": "), m))
+    return shaped.join(by_entry, ["source", "entry"], "left").select("source", "entry", F.concat("own", of_calls).alias("messages"))
+
+
 def statuses(steps: DataFrame, only_tool: str | None) -> DataFrame:
     """Steps (tool, path, well_formed) with a status: error for a malformed one, skipped for another tool than the one asked for
     (rows stay), else ready."""

@@ -38,6 +38,16 @@ def discrete_entropy(samples: DataFrame, choices: Column) -> DataFrame:
     return grouped.select("id", entropy_of_counts(F.col("cs"), F.col("n")).alias("entropy"), "n", F.size("cs").cast("long").alias("n_answers"))
 
 
+def answer_distribution(samples: DataFrame, choices: Column) -> DataFrame:
+    """(id, entropy, distribution map<string,bigint>) of the samples' answers as for discrete_entropy(), with how often each was given. An id whose samples are all without
+    a text (null) has a null entropy and an empty map."""
+    answer = F.when(F.col("text").isNotNull(), F.coalesce(F.get(choices, match_choice(F.col("text"), choices)), F.lit("unresolved")))
+    counts = samples.groupBy("id", answer.alias("answer")).agg(F.count("*").alias("c"))
+    found = F.sort_array(F.collect_list(F.when(F.col("answer").isNotNull(), F.struct("answer", "c"))))
+    grouped = counts.groupBy("id").agg(found.alias("found"), F.sum(F.when(F.col("answer").isNotNull(), F.col("c"))).alias("n"))
+    return grouped.select("id", F.when(F.col("n") > 0, entropy_of_counts(F.col("found")["c"], F.col("n"))).alias("entropy"), F.map_from_entries("found").alias("distribution"))
+
+
 def p_true(tokens: DataFrame) -> DataFrame:
     """(id, p_true): the mass of tokens that mean yes over that of yes and no; null where there is neither."""
     word = normal_token(F.col("token"))

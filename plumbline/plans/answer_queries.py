@@ -152,6 +152,14 @@ def discrete_entropy(spark, d):
     return U.discrete_entropy(_answers(spark, d), F.array(*map(F.lit, CHOICES))).withColumn("entropy", F.round("entropy", 6) + 0.0)
 
 
+@query(f"""WITH {_ANSWERS}, {_MATCH.format(src='answers')}, counts AS (SELECT id, coalesce(choices[choice + 1], 'unresolved') AS answer, count(*) AS c FROM resolved GROUP BY 1, 2)
+SELECT id, round(-sum(c / n * ln(c / n)), 6) + 0.0 AS entropy, string_agg(answer || '=' || c, ',' ORDER BY answer) AS distribution FROM (SELECT *, sum(c) OVER (PARTITION BY id) AS n FROM counts) GROUP BY id""")
+def answer_distribution(spark, d):
+    """The entropy of answers beside how often each was given."""
+    told = F.array_join(F.transform(F.map_entries("distribution"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return U.answer_distribution(_answers(spark, d), F.array(*map(F.lit, CHOICES))).select("id", (F.round("entropy", 6) + 0.0).alias("entropy"), told.alias("distribution"))
+
+
 @query(f"WITH {V.SAMPLES_SQL} SELECT id, round(avg(-logprob), 6) AS predictive_entropy FROM samples GROUP BY id")
 def predictive_entropy(spark, d):
     return U.predictive_entropy(V.samples(spark, d)).withColumn("predictive_entropy", F.round("predictive_entropy", 6))

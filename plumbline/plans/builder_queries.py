@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import global_rank
 from ..operators import builders as B
+from ..operators import datasets as T
+from ..operators import prompts as P
 from ..sources import records as R
 from ..sources import results as S
 from . import views as V
@@ -23,6 +25,11 @@ def query(sql: str):
     return add
 
 
+def _sql(text: str) -> str:
+    """A text as a SQL literal."""
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
 def _run(calls):
     """A stand-in for tools."""
     out = F.md5(F.concat_ws(":", "tool", "audio"))
@@ -30,31 +37,67 @@ def _run(calls):
     return calls.select("key", out.alias("output"), parameters.alias("parameters"), F.when(out.startswith("f"), "failure").otherwise("success").alias("status"))
 
 
-def _attempt_sql(attempt: int) -> str:
+def _attempt_sql(attempt: int, seed: int) -> str:
     """All tasks' outputs at one attempt; a call fails where its output begins with f."""
     key = f"task || '/{attempt}'"
     step = lambda k, before: f"CASE WHEN k >= {k} THEN md5(chain[{k}] || ':' || {before}) END"
-    return f"""t{attempt} AS (SELECT task, floor({_U.format(text=f"'5:' || {key} || ':source'")} * m)::BIGINT AS place FROM t, (SELECT count(*) AS m FROM s)), a{attempt} AS (SELECT task, source, k, o1, o2, {step(3, "o2")} AS o3, chain FROM (SELECT *, {step(2, "o1")} AS o2 FROM (SELECT *, {step(1, "source")} AS o1 FROM (
-  SELECT t.task, 'part_' || s.p_partkey AS source, floor({_U.format(text=f"'5:' || {key} || ':length'")} * 3 + 1)::INT AS k, list_sort([md5('5:' || {key} || ':' || x) || x for x in {_POOL}]).list_transform(lambda y: substr(y, 33)) AS chain
+    return f"""t{attempt} AS (SELECT task, floor({_U.format(text=f"'{seed}:' || {key} || ':source'")} * m)::BIGINT AS place FROM t, (SELECT count(*) AS m FROM s)), a{attempt} AS (SELECT task, source, k, o1, o2, {step(3, "o2")} AS o3, chain FROM (SELECT *, {step(2, "o1")} AS o2 FROM (SELECT *, {step(1, "source")} AS o1 FROM (
+  SELECT t.task, 'part_' || s.p_partkey AS source, floor({_U.format(text=f"'{seed}:' || {key} || ':length'")} * 3 + 1)::INT AS k, list_sort([md5('{seed}:' || {key} || ':' || x) || x for x in {_POOL}]).list_transform(lambda y: substr(y, 33)) AS chain
   FROM t{attempt} AS t JOIN s USING (place)))))"""
 
 
-@query(f"""WITH n AS (SELECT count(*) AS n FROM customer), s AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS place FROM part), t AS (SELECT unnest(range(4 * n)) AS task FROM n), {_attempt_sql(0)}, {_attempt_sql(1)},
+def _built_sql(table: str, sources: str, seed: int) -> str:
+    """As many samples as table has rows, from sources (p_partkey, place)."""
+    return f"""WITH n AS (SELECT count(*) AS n FROM {table}), s AS ({sources}), t AS (SELECT unnest(range(4 * n)) AS task FROM n), {_attempt_sql(0, seed)}, {_attempt_sql(1, seed)},
 tried AS (SELECT *, 0 AS attempt FROM a0 UNION ALL SELECT *, 1 FROM a1), good AS (SELECT * FROM tried WHERE NOT (starts_with(o1, 'f') OR coalesce(starts_with(o2, 'f'), false) OR coalesce(starts_with(o3, 'f'), false))),
 best AS (SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY task ORDER BY attempt) = 1), kept AS (SELECT * FROM best QUALIFY row_number() OVER (ORDER BY task) <= (SELECT n FROM n))
-SELECT task, 'sample_' || substr(md5('5:' || task), 1, 12) AS id, source AS source_audio, coalesce(o3, o2, o1) AS target_audio, k AS num_steps,
+SELECT task, 'sample_' || substr(md5('{seed}:' || task), 1, 12) AS id, source AS source_audio, coalesce(o3, o2, o1) AS target_audio, k AS num_steps,
   CASE k WHEN 1 THEN 'audio_0>audio_2' WHEN 2 THEN 'audio_0>audio_2,audio_2>audio_3' ELSE 'audio_0>audio_2,audio_2>audio_3,audio_3>audio_4' END AS ids, array_to_string(chain[1:k], ',') AS tools,
-  'audio_0=' || source || ',audio_1=' || coalesce(o3, o2, o1) || ',audio_2=' || o1 || CASE WHEN k > 1 THEN ',audio_3=' || o2 ELSE '' END || CASE WHEN k > 2 THEN ',audio_4=' || o3 ELSE '' END AS audios FROM kept""")
-def built_samples(spark, d):
-    """One sample a customer, from chains of tools of which some fail: retried once, then replaced by further tasks."""
+  'audio_0=' || source || ',audio_1=' || coalesce(o3, o2, o1) || ',audio_2=' || o1 || CASE WHEN k > 1 THEN ',audio_3=' || o2 ELSE '' END || CASE WHEN k > 2 THEN ',audio_4=' || o3 ELSE '' END AS audios FROM kept"""
+
+
+_ALL_PARTS = "SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS place FROM part"
+_LAST_PARTS = "SELECT p_partkey, r - 1 - floor(m * (1 - 0.2)) AS place FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS r, count(*) OVER () AS m FROM part) WHERE r > floor(m * (1 - 0.2))"
+
+
+def _built(spark, d):
     parts = global_rank(V.table(spark, d, "part").select("p_partkey"), ["p_partkey"], "place")
     sources = parts.select((F.col("place") - 1).alias("place"), F.concat(F.lit("part_"), "p_partkey").alias("audio"))
-    built = B.build(V.table(spark, d, "customer").count(), sources, _POOL, 1, 3, 5, 2, _run, R.scratch_folder(spark, "samples"))
+    return B.build(V.table(spark, d, "customer").count(), sources, _POOL, 1, 3, 5, 2, _run, R.scratch_folder(spark, "samples"))
+
+
+def _told(built):
     ids = F.transform("tool_calls", lambda c: F.concat_ws(">", c["parameters"]["audio_id"], c["output_audio_id"]))
     audios = F.transform(F.map_entries("audio_id_map"), lambda e: F.concat_ws("=", e["key"], e["value"]))
     return built.select("task", "id", "source_audio", "target_audio", "num_steps", F.array_join(ids, ",").alias("ids"), F.array_join(F.col("tool_calls")["tool_name"], ",").alias("tools"), F.array_join(audios, ",").alias("audios"))
 
 
+@query(_built_sql("customer", _ALL_PARTS, 5))
+def built_samples(spark, d):
+    """One sample a customer, from chains of tools of which some fail: retried once, then replaced by further tasks."""
+    return _told(_built(spark, d))
+
+
+@query(_built_sql("supplier", _LAST_PARTS, 1234))
+def benchmark_samples(spark, d):
+    """One sample a supplier, from audios that no training sample was built from: the last fifth of them in order (a feature)."""
+    pool = V.table(spark, d, "part").select("p_partkey", F.concat(F.lit("part_"), "p_partkey").alias("audio"))
+    return _told(B.benchmark(V.table(spark, d, "supplier").count(), pool, "p_partkey", 0.2, _POOL, 1, 3, 1234, 2, _run, R.scratch_folder(spark, "benchmark")))
+
+
+_STEP_MESSAGES = """list_transform(range(1, num_steps + 1), lambda k: 'assistant:{"tool_name": "' || string_split(tools, ',')[k] || '", "parameters": {"step": "' || k || '", "audio_id": "' || CASE k WHEN 1 THEN 'audio_0' ELSE 'audio_' || k END || '"}, "output_audio_id": "audio_' || (k + 1) || '"}|tool:Output of step ' || k || ': <audio_' || (k + 1) || '><audio>')"""
+
+
+@query(f"""WITH b AS ({_built_sql("customer", _ALL_PARTS, 5)}) SELECT id, (3 + 2 * num_steps)::BIGINT AS n_messages, md5('system:Be brief.' || chr(10) || chr(10) || {_sql(P.TOOLS_BEGIN)} || 'the tools|user:From <audio_0><audio> to <audio_1><audio>, not from ' || source_audio || '|' || array_to_string({_STEP_MESSAGES}, '|') || '|assistant:{{"done": true}}') AS digest,
+  array_to_string(list_transform(string_split(audios, ','), lambda a: string_split(a, '=')[2]), ',') AS audios FROM b""")
+def training_samples(spark, d):
+    """Built samples as conversations: tagged question, a turn for each call and its result, and the end."""
+    asked = F.concat(F.lit("From "), "source_audio", F.lit(" to "), "target_audio", F.lit(", not from "), "source_audio")
+    rows = T.multi_turn_rows(_built(spark, d).withColumn("question", asked), P.composed_system(F.lit("the tools"), F.lit("Be brief.")))
+    flat = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|")
+    return rows.select("id", F.size("messages").cast("long").alias("n_messages"), F.md5(flat).alias("digest"), F.array_join("audios", ",").alias("audios"))
+
+
 _WEIGHTS = {"clipping": 1.0, "denoise": 2.5, "trim_silence": 0.5, "asr": 0.0}
 
 

@@ -187,6 +187,28 @@ def schedule_validation(spark, d):
     return H.validation_totals(H.entry_errors(H.entries(texts), H.schedule_registry(spark)))
 
 
+#: What is said of the seven entries, written by hand.
+_SAID = [
+    "",
+    "entry[0].metadata: metadata missing required keys: ['audio_path'];entry[0].metadata: metadata 'choice' must be a list;entry[0].tool_calls: list is empty",
+    "entry[0]: must have exactly 2 elements, got 1",
+    "entry[0]: must be a 2-element list, got text",
+    "entry[0].metadata: metadata must be a dict, got number;entry[0].tool_calls: must be a list, got object",
+    "entry[0]: tool_call[0]: must be a dict, got number;entry[0]: tool_call[1]: missing 'tool' key;entry[0]: tool_call[2]: 'tool' must be a string, got number;entry[0]: tool_call[2]: missing 'parameters' key;"
+    "entry[0]: tool_call[3]: unknown tool 'pitch_shift';entry[0]: tool_call[4](tool=asr): 'parameters' must be a dict, got list",
+    "entry[0]: tool_call[0](tool=asr): Missing required parameters: ['audio_end'];entry[0]: tool_call[0](tool=asr): 'audio_begin' timestamp format error: 00:00:00;entry[0]: tool_call[0](tool=asr): Parameter 'audio_path' must be a string;"
+    "entry[0]: tool_call[0](tool=asr): Unexpected parameter: 'volume';entry[0]: tool_call[1](tool=denoise): Parameter 'algorithm' must be a string",
+]
+
+
+@query(f"SELECT event_id::VARCHAR AS source, 0::BIGINT AS entry, [{', '.join(_sql(x) for x in _SAID)}][event_id % 7 + 1] AS messages FROM events")
+def schedule_messages(spark, d):
+    """What is wrong with each entry, in words: a schedule of one entry for each event."""
+    entry = F.get(F.array(*map(F.lit, _ENTRIES)), (F.col("event_id") % 7).cast("int"))
+    texts = V.table(spark, d, "events").select(F.col("event_id").cast("string").alias("source"), F.concat(F.lit("["), entry, F.lit("]")).alias("value"))
+    return H.entry_messages(H.entries(texts), H.schedule_registry(spark)).select("source", F.col("entry").cast("long").alias("entry"), F.array_join("messages", ";").alias("messages"))
+
+
 @query("SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 'failure' ELSE 'success' END AS status, CASE WHEN event_type <> 'error' THEN event_type || '_' || event_id || '.wav' END AS output, CASE WHEN event_type = 'error' THEN 'no such tool: error' END AS message FROM events")
 def tool_batch_run(spark, d):
     """Calls run in batches of one tool; a tool that raises fails its batch and no other."""

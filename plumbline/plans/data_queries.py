@@ -74,7 +74,7 @@ def loose_equality(spark, d):
     stamp = lambda x: F.concat(F.lit("00:00:"), F.lpad(F.floor(x).cast("string"), 2, "0"), F.lit("."), F.lpad(_r(x % 1 * 1000, 0).cast("int").cast("string"), 3, "0"))
     pred = F.when(n % 4 == 0, v(q * (1 + F.col("l_discount")))).when(n % 4 == 1, v(F.concat(F.lit(" "), "l_returnflag", F.lit(" ")))).when(n % 4 == 2, v(stamp(n.cast("double")))).otherwise(v(F.col("l_returnflag") == "N"))
     truth = F.when(n % 4 == 0, v(q)).when(n % 4 == 1, v(F.col("l_linestatus"))).when(n % 4 == 2, v(stamp((n + 1) * F.col("l_discount")))).otherwise(v(F.lit(True)))
-    return t.select(F.col("l_orderkey").alias("id"), n.alias("line"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.col("l_extendedprice").alias("price"), S.values_close(pred, truth).alias("close"))
+    return S.with_values_close(t, pred, truth, "close").select(F.col("l_orderkey").alias("id"), n.alias("line"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.col("l_extendedprice").alias("price"), "close")
 
 
 # Texts ------------------------------------------------------------------------------------------------------------------
