@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import values_close
+from ..functions.scalar import with_values_close
 
 NAME_WEIGHT, PARAM_WEIGHT = 0.3, 0.7
 SEQUENCE_SHARE, NAME_SHARE = 0.7, 0.3
@@ -101,21 +101,20 @@ def name_f1(gt: Column, pred: Column) -> Column:
     return F.when((n == 0) & (m == 0), 1.0).when((n == 0) | (m == 0), 0.0).otherwise(f1(both / n, both / m))
 
 
-def call_score(name_gt: Column, name_pred: Column, matched: Column, n_params: Column) -> Column:
-    """Of one call in place: 0 for another tool (or none), else a share for the name and one for matching parameters."""
-    share = F.when(n_params == 0, 1.0).otherwise(matched / n_params)
-    return F.when(name_gt == name_pred, NAME_WEIGHT + PARAM_WEIGHT * share).otherwise(0.0)
-
-
 def position_scores(gt: DataFrame, pred: DataFrame) -> DataFrame:
     """(id, score) of chains of calls (id, pos, tool, params map<string, variant>), compared by position; a missing or extra step
-    scores 0. Chains empty on both sides have no rows here; their score is 1 by definition (see chain_reward)."""
+    scores 0, a call of the right tool a share for its name and one for its parameters. Chains empty on both sides have no rows here; their score is 1 by definition (see chain_reward)."""
     g = gt.select("id", "pos", F.col("tool").alias("gt"), F.col("params").alias("gp"))
     p = pred.select("id", "pos", F.col("tool").alias("pt"), F.col("params").alias("pp"))
-    both = g.join(p, ["id", "pos"], "full")
-    matched = F.size(F.filter(F.map_keys("gp"), lambda k: F.map_contains_key("pp", k) & F.coalesce(values_close(F.element_at("pp", k), F.element_at("gp", k)), F.lit(False))))
-    n = F.greatest(F.size("gp"), F.size("pp"))
-    return both.groupBy("id").agg((F.sum(F.when(F.col("gt").isNotNull() & F.col("pt").isNotNull(), call_score(F.col("gt"), F.col("pt"), matched, n)).otherwise(0.0)) / F.greatest(F.count("gt"), F.count("pt"))).alias("score"))
+    both = g.join(p, ["id", "pos"], "full").withColumn("n", F.greatest(F.size("gp"), F.size("pp")))
+    # A row for each parameter that both calls have, and one for a call without any; a call counts on its first row.
+    each = both.select("id", "gt", "pt", "gp", "pp", "n", F.posexplode_outer(F.array_intersect(F.map_keys("gp"), F.map_keys("pp"))).alias("at", "name"))
+    each = with_values_close(each, F.try_element_at("pp", F.col("name")), F.try_element_at("gp", F.col("name")), "close")
+    first, same = F.coalesce("at", F.lit(0)) == 0, F.col("gt") == F.col("pt")
+    named = F.when(F.col("n") == 0, NAME_WEIGHT + PARAM_WEIGHT).when(F.col("gp").isNotNull(), NAME_WEIGHT)
+    points = F.sum(F.when(same & first, named)), F.sum(F.when(same & F.col("close"), PARAM_WEIGHT / F.col("n")))
+    counted = lambda side: F.count(F.when(first, F.col(side)))
+    return each.groupBy("id").agg(((F.coalesce(points[0], F.lit(0.0)) + F.coalesce(points[1], F.lit(0.0))) / F.greatest(counted("gt"), counted("pt"))).alias("score"))
 
 
 def chain_reward(sequence: Column, names: Column) -> Column:
@@ -126,6 +125,24 @@ def weighted_reward(well_formed: Column, accuracy: Column) -> Column:
     return FORMAT_WEIGHT * well_formed + ACCURACY_WEIGHT * accuracy
 
 
+#: Rewards by name, over formed (whether a completion could be read), sequence and names (scores in [0, 1]).
+REWARDS = {
+    "tool_format": lambda formed, sequence, names: F.lit(1.0),
+    "tool_accuracy": lambda formed, sequence, names: sequence,
+    "tool_name_f1": lambda formed, sequence, names: names,
+    "tool_use": lambda formed, sequence, names: chain_reward(sequence, names),
+}
+
+
+def rewards(scored: DataFrame, *asked: str) -> DataFrame:
+    """scored (formed, sequence, names and more) with a column for each reward asked for by name (see REWARDS); a completion that couldn't be read
+    has 0 in all, a score that is missing counts as 0. An unknown name is an error."""
+    if unknown := sorted(set(asked) - set(REWARDS)):
+        raise ValueError(f"unknown rewards: {unknown}; known: {sorted(REWARDS)}")
+    formed, sequence, names = F.coalesce("formed", F.lit(False)), F.coalesce("sequence", F.lit(0.0)), F.coalesce("names", F.lit(0.0))
+    return scored.withColumns({name: F.when(formed, REWARDS[name](formed, sequence, names)).otherwise(0.0) for name in asked})
+
+
 def mean_of_numbers(x: Column) -> Column:
     """The mean without nulls and NaNs; null if nothing is left."""
     return F.avg(F.nanvl(x, F.lit(None)))

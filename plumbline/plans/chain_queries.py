@@ -142,6 +142,16 @@ def composite_reward(spark, d):
     return both.select("id", F.round(C.chain_reward(F.col("score"), F.col("names")), 6).alias("reward"), F.round(C.weighted_reward(F.col("formed"), F.col("score")), 6).alias("weighted"))
 
 
+@query(f"""WITH {_SEQ}, {_POSITION}, o AS (SELECT id, sum(least(g, p))::BIGINT AS n FROM (SELECT id, t, count(*) FILTER (side = 1) AS g, count(*) FILTER (side = 2) AS p FROM (SELECT id, unnest(gt) AS t, 1 AS side FROM seqs UNION ALL SELECT id, unnest(pred), 2 FROM seqs) GROUP BY id, t) GROUP BY id),
+r AS (SELECT id, id % 5 > 0 AS formed, score, CASE WHEN len(pred) = 0 THEN 0 ELSE 2.0 * n / (len(pred) + len(gt)) END AS names FROM seqs JOIN o USING (id) JOIN scored USING (id))
+SELECT id, formed::INT::DOUBLE AS tool_format, round(formed::INT * score, 6) AS tool_accuracy, round(formed::INT * names::DOUBLE, 6) AS tool_name_f1, round(formed::INT * (0.7 * score + 0.3 * names)::DOUBLE, 6) AS tool_use FROM r""")
+def named_rewards(spark, d):
+    """All rewards by name; a fifth of the completions couldn't be read."""
+    seqs = C.sequences(V.calls(spark, d)).select("id", (F.col("id") % 5 > 0).alias("formed"), C.name_f1(F.col("gt"), F.col("pred")).alias("names"))
+    scored = seqs.join(C.position_scores(*_chains(spark, d)).withColumnRenamed("score", "sequence"), "id")
+    return _round(C.rewards(scored, *C.REWARDS).select("id", *C.REWARDS), *C.REWARDS)
+
+
 _RESULTS = _SEQ + """, results AS (
   SELECT id, len(pred) AS n_pred, n_done AS n_ok, n_gt, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1,
          CASE WHEN id % 5 = 0 THEN 'nan'::DOUBLE WHEN id % 7 = 0 THEN NULL ELSE (id % 100) / 100 END AS closeness, (id % 90) / 100 AS baseline FROM pr

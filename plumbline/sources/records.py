@@ -23,6 +23,19 @@ def json_arrays(spark: SparkSession, paths: str | list[str], schema: str | None
     return df if "_json_path" in df.columns and not schema else df.withColumn("_json_path", F.coalesce("_json_path", F.col("_metadata.file_path")) if "_json_path" in df.columns else F.col("_metadata.file_path"))
 
 
+def sampled_arrays(spark: SparkSession, folder: str, n: int, seed: int, schema: str | None = None, pattern: str = "*.json") -> DataFrame:
+    """json_arrays() of n files (or all) of a folder, drawn without replacement by their names, so the draw is the same wherever the
+    folder lies. Only the chosen files are read; their n paths reach the driver. A folder without such files is an error."""
+    from ..operators.sampling import sample
+
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", F.substring_index("path", "/", -1).alias("name"))
+    chosen = [r["path"] for r in sample(listed, "name", n, seed).select("path").collect()]
+    if not chosen:
+        raise FileNotFoundError(f"no {pattern} in {folder}")
+    rows = json_arrays(spark, chosen, schema)
+    return rows if "_json_path" in rows.columns else rows.withColumn("_json_path", F.col("_metadata.file_path"))
+
+
 def checked_arrays(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """As json_arrays, but a file whose top level is no list fails the query that reads it."""
     text = spark.read.text(path, wholetext=True)

@@ -2,9 +2,12 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import builders, datasets, schedules
+from plumbline.functions import scalar
+from plumbline.operators import builders, chains, datasets, sampling, schedules, uncertainty
+from plumbline.sources import records
 
 
 def test_multi_turn_rows(spark):
@@ -44,3 +47,52 @@ def test_messages_agree_with_counts(spark):
     assert said[("1", 0)] == [] and "entry[0]: tool_call[0](tool=denoise): 'audio_begin' must be a string in HH:MM:SS.mmm format, got number" in said[("0", 0)]
     assert "entry[0]: tool_call[8](tool=denoise): Parameter 'algorithm' has invalid value '[\"wiener\"]'. Allowed: ['spectral_subtraction', 'wiener', 'echo_cancellation', 'adaptive']" in said[("0", 0)]
     assert {k: len(v) for k, v in said.items()} == counts
+
+
+def test_values_in_columns_as_in_lambdas(spark):
+    """Both forms of loose equality agree on all pairs of kinds of values."""
+    values = [None, "null", "true", "false", "1", "0", "1.03", "1e300", "-0.5", '" 1 "', '"1"', '"NaN"', '"x"', '" X"', '"00:00:01.5"', '"00:00:02"', '"1:2"', '""', "[1]", "[1.0]", '{"a": 1}', "12345678901234567890"]
+    one = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").withColumn("x", F.try_parse_json("v"))
+    pairs = one.crossJoin(one.select(F.col("i").alias("j"), F.col("x").alias("y")))  # a fixture's own pairs
+    got = scalar.with_values_close(pairs, F.col("x"), F.col("y"), "fast").select("i", "j", "fast", scalar.values_close(F.col("x"), F.col("y")).alias("slow")).collect()
+    assert len(got) == len(values) ** 2 and [(r["i"], r["j"]) for r in got if r["fast"] is not r["slow"]] == []
+    close = {(values[r["i"]], values[r["j"]]) for r in got if r["fast"]}
+    assert {("true", "1"), ("1", "1.03"), ('"x"', '" X"'), ('"00:00:01.5"', '"00:00:02"'), ("[1]", "[1]")} <= close and not {("1", '"1"'), ('"NaN"', '"NaN"'), ("true", "1.03")} & close
+
+
+def test_position_scores_by_hand(spark):
+    """Missing and extra steps, a wrong tool, no parameters on either side, one side, and shared ones of which some agree."""
+    calls = lambda rows: spark.createDataFrame(rows, "id int, pos int, tool string, p map<string,string>").select("id", "pos", "tool", F.map_from_entries(F.transform(F.map_entries("p"), lambda e: F.struct(e["key"], F.try_parse_json(e["value"])))).alias("params"))
+    gt = calls([(1, 1, "a", {"x": "1", "y": '"s"'}), (1, 2, "b", {}), (2, 1, "a", {}), (2, 2, "c", {"x": "1"}), (3, 1, "a", {"x": "1"})])
+    pred = calls([(1, 1, "a", {"x": "1.01", "y": '"t"', "z": "3"}), (1, 2, "b", {}), (2, 1, "b", {}), (3, 1, "a", {}), (3, 2, "d", {}), (4, 1, "a", {})])
+    got = {r["id"]: r["score"] for r in chains.position_scores(gt, pred).collect()}
+    assert got == pytest.approx({1: (0.3 + 0.7 / 3 + 1.0) / 2, 2: 0.0, 3: 0.3 / 2, 4: 0.0})
+
+
+def test_rewards_by_name(spark):
+    scored = spark.createDataFrame([(1, True, 0.5, 1.0), (2, False, 0.5, 1.0), (3, None, 0.5, 1.0), (4, True, None, 1.0)], "id int, formed boolean, sequence double, names double")
+    got = [[r[n] for n in chains.REWARDS] for r in chains.rewards(scored, *chains.REWARDS).orderBy("id").collect()]
+    for row, want in zip(got, [[1, 0.5, 1, 0.65], [0] * 4, [0] * 4, [1, 0, 1, 0.3]], strict=True):
+        assert row == pytest.approx(want)
+    with pytest.raises(ValueError, match="odd"):
+        chains.rewards(scored, "tool_use", "odd")
+
+
+def test_sampled_folder(spark, tmp_path):
+    for place in ("a", "b"):
+        (tmp_path / place).mkdir()
+        for i in range(20):
+            (tmp_path / place / f"{i}.json").write_text(json.dumps({"id": str(i), "question": "q"}))
+    first, second = (records.sampled_arrays(spark, str(tmp_path / place), 5, 3, "id string, question string").collect() for place in ("a", "b"))
+    assert len(first) == 5 and sorted(r["id"] for r in first) == sorted(r["id"] for r in second) and all(r["_json_path"].endswith(f"/{r['id']}.json") for r in first)
+    assert records.sampled_arrays(spark, str(tmp_path / "a"), 99, 3).count() == 20
+    with pytest.raises(FileNotFoundError):
+        records.sampled_arrays(spark, str(tmp_path / "a"), 5, 3, pattern="*.nothing")
+
+
+def test_distribution_and_order(spark):
+    samples = spark.createDataFrame([(1, "click"), (1, "(B) it"), (1, "none"), (1, None), (2, None)], "id int, text string")
+    got = {r["id"]: r for r in uncertainty.answer_distribution(samples, F.array(F.lit("click"), F.lit("view"))).collect()}
+    assert got[1]["distribution"] == {"click": 1, "view": 1, "unresolved": 1} and got[1]["entropy"] == pytest.approx(1.0986123) and got[2]["distribution"] == {} and got[2]["entropy"] is None
+    ids = [r["id"] for r in sampling.shuffled(spark.range(200), "id", 4).collect()]
+    assert sorted(ids) == list(range(200)) != ids and ids == [r["id"] for r in sampling.shuffled(spark.range(200).repartition(9), "id", 4).collect()]
