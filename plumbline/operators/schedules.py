@@ -84,7 +84,7 @@ def entry_errors(found: DataFrame, schema: DataFrame) -> DataFrame:
 
     An entry that is no list of two is one error. Metadata that is no object is one, a missing key (METADATA_KEYS) one in all, a
     choice that is no list one. Calls that are no list, or an empty one, are one; a call is judged by its shape, its tool and its
-    parameters (parameter_errors).
+    parameters (parameter_errors). Entries are read once and never joined with themselves, as their order may differ when texts are made again.
     """
     parts = F.try_variant_get("raw", "$", "array<variant>")
     pair = (_kind(F.col("raw")) == "ARRAY") & (F.size(parts) == 2)
@@ -95,21 +95,21 @@ def entry_errors(found: DataFrame, schema: DataFrame) -> DataFrame:
     of_meta = F.when(F.coalesce(_kind(F.col("meta")) == "OBJECT", F.lit(False)), lacking.cast("int") + choice.cast("int")).otherwise(1)
     calls = F.when(F.coalesce(_kind(F.col("calls")) == "ARRAY", F.lit(False)), F.try_variant_get("calls", "$", "array<variant>"))
     of_calls = F.when(calls.isNull() | (F.size(calls) == 0), 1).otherwise(0)
-    shaped = found.select("source", "entry", F.coalesce(pair, F.lit(False)).alias("pair"), (of_meta + of_calls).alias("own"), calls.alias("calls"))
-    one = shaped.where("pair").select("source", "entry", F.posexplode("calls").alias("pos", "call"))
+    numbered = found.withColumn("row", F.monotonically_increasing_id())
+    one = numbered.select("row", "source", "entry", F.coalesce(pair, F.lit(False)).alias("pair"), (of_meta + of_calls).alias("own"), F.posexplode_outer(F.when(pair, calls)).alias("pos", "call"))
     call = F.try_variant_get("call", "$", "map<string,variant>")
     tool, params = F.try_element_at(call, F.lit("tool")), F.try_element_at(call, F.lit("parameters"))
-    read = one.select("source", "entry", "pos", (_kind(F.col("call")) == "OBJECT").alias("object"), _kind(tool).alias("tool_kind"), F.try_variant_get(tool, "$", "string").alias("tool"), F.map_contains_key(call, "parameters").alias("given"), _kind(params).alias("kind"), F.try_variant_get(params, "$", "map<string,variant>").alias("params"))
-    read = read.withColumn("call_id", F.struct("source", "entry", "pos"))
-    named = read.where("object and tool_kind = 'STRING'").join(F.broadcast(schema.select("tool").distinct()), "tool", "left_semi")
-    inside = parameter_errors(named.where("given and kind = 'OBJECT'").select("call_id", "tool", "params"), schema)
-    known = named.select("call_id", F.lit(True).alias("known"))
-    judged = read.join(known, "call_id", "left").join(inside.withColumnRenamed("errors", "inside"), "call_id", "left")
-    is_known = F.coalesce("known", F.lit(False))
-    errors = F.when(~F.col("object"), 1).otherwise((~is_known).cast("int") + (~F.col("given")).cast("int") + F.when(is_known & F.col("given"), F.when(F.col("kind") == "OBJECT", F.col("inside")).otherwise(1)).otherwise(0))
-    by_entry = judged.groupBy("source", "entry").agg(F.sum(errors).alias("of_calls"))
+    read = one.select(
+        "row", "source", "entry", "pair", "own", "pos", (_kind(F.col("call")) == "OBJECT").alias("object"), F.when(_kind(tool) == "STRING", F.try_variant_get(tool, "$", "string")).alias("tool"), F.map_contains_key(call, "parameters").alias("given"),
+        _kind(params).alias("kind"), F.try_variant_get(params, "$", "map<string,variant>").alias("params"),
+    )
+    judged = read.join(_specs(schema), "tool", "left")
+    is_known = F.col("spec").isNotNull()
+    inside = F.when(F.col("kind") == "OBJECT", _errors_inside(F.col("spec"), F.col("params"))).otherwise(1)
+    errors = F.when(~F.col("object"), 1).otherwise((~is_known).cast("int") + (~F.col("given")).cast("int") + F.when(is_known & F.col("given"), inside).otherwise(0))
+    by_entry = judged.groupBy("row", "source", "entry").agg(F.first("pair").alias("pair"), F.first("own").alias("own"), F.sum(F.when(F.col("pos").isNotNull(), errors)).alias("of_calls"))
     total = F.when(F.col("pair"), F.col("own") + F.coalesce("of_calls", F.lit(0))).otherwise(1)
-    return shaped.join(by_entry, ["source", "entry"], "left").select("source", "entry", total.cast("long").alias("errors"))
+    return by_entry.select("source", "entry", total.cast("long").alias("errors"))
 
 
 def validation_totals(judged: DataFrame) -> DataFrame:
@@ -117,12 +117,19 @@ def validation_totals(judged: DataFrame) -> DataFrame:
     return judged.groupBy("source").agg(F.count("*").alias("entries"), F.count_if(F.col("errors") > 0).alias("bad_entries"), F.sum("errors").alias("errors"))
 
 
-def parameter_errors(calls: DataFrame, schema: DataFrame) -> DataFrame:
-    """(call_id, errors): of calls (call_id, tool, params map<string, variant>). An unknown tool is one error; else one for
-    missing parameters, one for each unexpected one, and one for each wrong string type, timestamp or value. Numbers,
-    integers and booleans aren't type-checked."""
-    known = F.broadcast(schema.groupBy("tool").agg(F.map_from_entries(F.collect_list(F.struct("param", F.struct("type", "allowed", "required")))).alias("spec")))
-    spec, params = F.col("spec"), F.coalesce(F.col("params"), F.create_map().cast("map<string,variant>"))
+def _specs(schema: DataFrame) -> DataFrame:
+    """(tool, spec): a map from each parameter, by name, to what the schema says of it."""
+    told = F.sort_array(F.collect_list(F.struct("param", F.struct("type", "allowed", "required"))))
+    return F.broadcast(schema.groupBy("tool").agg(F.map_from_entries(told).alias("spec")))
+
+
+def _given_or_none(params: Column) -> Column:
+    return F.coalesce(params, F.create_map().cast("map<string,variant>"))
+
+
+def _errors_inside(spec: Column, given: Column) -> Column:
+    """The errors of a known tool's parameters."""
+    params = _given_or_none(given)
     missing = F.exists(F.map_keys(spec), lambda p: spec[p]["required"] & ~F.map_contains_key(params, p))
 
     def errors_of(p: Column) -> Column:
@@ -134,8 +141,16 @@ def parameter_errors(calls: DataFrame, schema: DataFrame) -> DataFrame:
         wrong_value = s["allowed"].isNotNull() & F.coalesce(kind != "VOID", F.lit(False)) & ~F.coalesce(is_string & F.array_contains(s["allowed"], text), F.lit(False))
         return F.when(s.isNull(), 1).otherwise(wrong_type.cast("int") + wrong_time.cast("int") + wrong_value.cast("int"))
 
-    total = F.aggregate(F.transform(F.map_keys(params), errors_of), missing.cast("int"), lambda a, n: a + n)
-    return calls.join(known, "tool", "left").select("call_id", F.when(spec.isNull(), 1).otherwise(total).cast("long").alias("errors"))
+    return F.aggregate(F.transform(F.map_keys(params), errors_of), missing.cast("int"), lambda a, n: a + n)
+
+
+def parameter_errors(calls: DataFrame, schema: DataFrame) -> DataFrame:
+    """(call_id, errors): of calls (call_id, tool, params map<string, variant>). An unknown tool is one error; else one for
+    missing parameters, one for each unexpected one, and one for each wrong string type, timestamp or value. Numbers,
+    integers and booleans aren't type-checked."""
+    spec = F.col("spec")
+    errors = F.when(spec.isNull(), 1).otherwise(_errors_inside(spec, F.col("params")))
+    return calls.join(_specs(schema), "tool", "left").select("call_id", errors.cast("long").alias("errors"))
 
 
 def _listed(names: Column) -> Column:
@@ -159,11 +174,10 @@ def _faults(*found: tuple[Column, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(F.coalesce(holds, F.lit(False)), message) for holds, message in found]))
 
 
-def parameter_messages(calls: DataFrame, schema: DataFrame) -> DataFrame:
-    """(call_id, messages array<string>): what parameter_errors() counts, in words. Of a call the missing parameters are named first, in
-    the schema's order by name, then what is wrong with each given one, by name."""
-    known = F.broadcast(schema.groupBy("tool").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("param", F.struct("type", "allowed", "required"))))).alias("spec")))
-    spec, params = F.col("spec"), F.coalesce(F.col("params"), F.create_map().cast("map<string,variant>"))
+def _messages_inside(spec: Column, given: Column) -> Column:
+    """What _errors_inside() counts, in words: missing parameters first, in the schema's order by name, then what is wrong with each given
+    one, by name."""
+    params = _given_or_none(given)
     missing = F.filter(F.map_keys(spec), lambda p: spec[p]["required"] & ~F.map_contains_key(params, p))
 
     def messages_of(p: Column) -> Column:
@@ -179,9 +193,7 @@ def parameter_messages(calls: DataFrame, schema: DataFrame) -> DataFrame:
         )
 
     of_missing = _faults((F.size(missing) > 0, F.concat(F.lit("Missing required parameters: "), _listed(missing))))
-    told = F.concat(of_missing, F.flatten(F.transform(F.array_sort(F.map_keys(params)), messages_of)))
-    unknown = F.array(F.concat(F.lit("unknown tool '"), F.coalesce("tool", F.lit("null")), F.lit("'")))
-    return calls.join(known, "tool", "left").select("call_id", F.when(spec.isNull(), unknown).otherwise(told).alias("messages"))
+    return F.concat(of_missing, F.flatten(F.transform(F.array_sort(F.map_keys(params)), messages_of)))
 
 
 def entry_messages(found: DataFrame, schema: DataFrame) -> DataFrame:
@@ -209,20 +221,19 @@ def entry_messages(found: DataFrame, schema: DataFrame) -> DataFrame:
         (pair & ~calls_listed, F.concat(at, F.lit(".tool_calls: must be a list, got "), _named(F.col("calls")))),
         (pair & calls_listed & (F.size(calls) == 0), F.concat(at, F.lit(".tool_calls: list is empty"))),
     )
-    shaped = found.select("source", "entry", F.coalesce(pair, F.lit(False)).alias("pair"), F.concat(shape, about).alias("own"), calls.alias("calls"))
+    numbered = found.withColumn("row", F.monotonically_increasing_id())
+    one = numbered.select("row", "source", "entry", F.concat(shape, about).alias("own"), F.posexplode_outer(F.when(pair, calls)).alias("pos", "call"))
     call = F.try_variant_get("call", "$", "map<string,variant>")
     tool, params = F.try_element_at(call, F.lit("tool")), F.try_element_at(call, F.lit("parameters"))
-    one = shaped.where("pair").select("source", "entry", F.posexplode("calls").alias("pos", "call"))
     read = one.select(
-        F.struct("source", "entry", "pos").alias("call_id"), _named(F.col("call")).alias("call_kind"), tool.isNull().alias("no_tool"), _named(tool).alias("tool_kind"), F.try_variant_get(tool, "$", "string").alias("tool"),
+        "row", "source", "entry", "own", "pos", _named(F.col("call")).alias("call_kind"), tool.isNull().alias("no_tool"), _named(tool).alias("tool_kind"), F.try_variant_get(tool, "$", "string").alias("tool"),
         F.map_contains_key(call, "parameters").alias("given"), _named(params).alias("kind"), F.try_variant_get(params, "$", "map<string,variant>").alias("params"),
     )
-    known = read.join(F.broadcast(schema.select("tool").distinct().withColumn("known", F.lit(True))), "tool", "left")
-    inside = parameter_messages(known.where("known and tool_kind = 'text' and given and kind = 'object'").select("call_id", "tool", "params"), schema)
-    judged = known.join(inside, "call_id", "left")
-    is_call, is_text, is_known = F.col("call_kind") == "object", F.col("tool_kind") == "text", F.coalesce("known", F.lit(False))
+    judged = read.join(_specs(schema), "tool", "left")
+    is_call, is_text = F.col("call_kind") == "object", F.col("tool_kind") == "text"
+    is_known = is_text & F.col("spec").isNotNull()
     nothing = F.col("no_tool") | (F.col("tool_kind") == "null")
-    prefix = F.concat(F.lit("tool_call["), F.col("call_id.pos").cast("string"), F.lit("]"))
+    prefix = F.concat(F.lit("tool_call["), F.col("pos").cast("string"), F.lit("]"))
     of_tool = F.concat(prefix, F.lit("(tool="), F.col("tool"), F.lit("): "))
     wrong = _faults(
         (~is_call, F.concat(prefix, F.lit(": must be a dict, got "), F.col("call_kind"))),
@@ -232,10 +243,12 @@ def entry_messages(found: DataFrame, schema: DataFrame) -> DataFrame:
         (is_call & ~F.col("given"), F.concat(prefix, F.lit(": missing 'parameters' key"))),
         (is_call & is_text & is_known & F.col("given") & (F.col("kind") != "object"), F.concat(of_tool, F.lit("'parameters' must be a dict, got "), F.col("kind"))),
     )
-    told = F.concat(wrong, F.transform(F.coalesce("messages", F.array().cast("array<string>")), lambda m: F.concat(of_tool, m)))
-    by_entry = judged.select("call_id.*", told.alias("m")).groupBy("source", "entry").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"])).alias("of_calls"))
-    of_calls = F.transform(F.coalesce("of_calls", F.array().cast("array<string>")), lambda m: F.concat(at, F.lit(": "), m))
-    return shaped.join(by_entry, ["source", "entry"], "left").select("source", "entry", F.concat("own", of_calls).alias("messages"))
+    inside = F.when(is_known & F.col("given") & (F.col("kind") == "object"), _messages_inside(F.col("spec"), F.col("params")))
+    told = F.concat(wrong, F.transform(F.coalesce(inside, F.array().cast("array<string>")), lambda m: F.concat(of_tool, m)))
+    of_call = F.when(F.col("pos").isNotNull(), F.struct("pos", told.alias("m")))
+    by_entry = judged.groupBy("row", "source", "entry").agg(F.first("own").alias("own"), F.flatten(F.transform(F.sort_array(F.collect_list(of_call)), lambda x: x["m"])).alias("of_calls"))
+    of_calls = F.transform("of_calls", lambda m: F.concat(at, F.lit(": "), m))
+    return by_entry.select("source", "entry", F.concat("own", of_calls).alias("messages"))
 
 
 def statuses(steps: DataFrame, only_tool: str | None) -> DataFrame:

@@ -183,7 +183,8 @@ _WRONG = [0, 3, 1, 1, 2, 6, 5]
 def schedule_validation(spark, d):
     """Whole schedules: entries, bad entries and errors of each, over all kinds of faults."""
     entry = F.get(F.array(*map(F.lit, _ENTRIES)), (F.col("event_id") % 7).cast("int"))
-    texts = V.table(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("source")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(entry), ","), F.lit("]")).alias("value"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("event_id", entry.alias("text")))), lambda x: x["text"])
+    texts = V.table(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("source")).agg(F.concat(F.lit("["), F.array_join(ordered, ","), F.lit("]")).alias("value"))
     return H.validation_totals(H.entry_errors(H.entries(texts), H.schedule_registry(spark)))
 
 

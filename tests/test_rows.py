@@ -49,6 +49,21 @@ def test_messages_agree_with_counts(spark):
     assert {k: len(v) for k, v in said.items()} == counts
 
 
+def test_entries_in_no_fixed_order(spark):
+    """Texts whose entries come in another order each time they are made, and a schedule without a name, are judged as they were read."""
+    import random
+
+    good = [{"question": "q", "choice": [], "answer": "a", "id": "1", "audio_path": "x"}, [{"tool": "asr", "parameters": {"audio_path": "x", "audio_begin": "00:00:00.0", "audio_end": "00:00:01.0"}}]]
+    entries = [json.dumps(x) for x in (good, [good[0], [3]], [good[0], good[1] + [3, 4]], [good[0], []], 7, [good[0]])]
+    anyhow = F.udf(lambda x: "[" + ",".join(random.SystemRandom().sample(entries, len(entries))) + "]").asNondeterministic()
+    texts = spark.range(40).select(F.when(F.col("id") > 0, F.col("id").cast("string")).alias("source"), anyhow("id").alias("value"))
+    schema = schedules.schedule_registry(spark)
+    got = schedules.validation_totals(schedules.entry_errors(schedules.entries(texts), schema)).collect()
+    assert len(got) == 40 and {(r["entries"], r["bad_entries"], r["errors"]) for r in got} == {(6, 5, 6)}
+    said = schedules.entry_messages(schedules.entries(texts), schema).groupBy("source").agg(F.sum(F.size("messages")).alias("n")).collect()
+    assert len(said) == 40 and {r["n"] for r in said} == {6}
+
+
 def test_values_in_columns_as_in_lambdas(spark):
     """Both forms of loose equality agree on all pairs of kinds of values."""
     values = [None, "null", "true", "false", "1", "0", "1.03", "1e300", "-0.5", '" 1 "', '"1"', '"NaN"', '"x"', '" X"', '"00:00:01.5"', '"00:00:02"', '"1:2"', '""', "[1]", "[1.0]", '{"a": 1}', "12345678901234567890"]
