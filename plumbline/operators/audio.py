@@ -1,6 +1,6 @@
 """Signal tools, edits and comparisons on rows of samples. A call that fails is a row.
 
-Steps on single samples are columns; those that need a spectrum are jobs over frames (operators.frames).
+Steps on single samples are columns; those that need a spectrum work on whole signals in Arrow batches (operators.frames).
 """
 
 from __future__ import annotations
@@ -212,19 +212,19 @@ def run(calls: DataFrame) -> DataFrame:
     rows = calls.select("id", "tool", "params", F.col("rate").cast("int").alias("rate"), F.col("samples").cast("array<double>").alias("samples"), other.cast("array<double>").alias("other"))
     rows = rows.select("*", F.struct("id", "rate").alias("head"), signal("samples").alias("x"), signal("other").alias("y"), _parameters().alias("given")).withColumn("message", _complaint())
     right = F.col("message").isNull()
-    spectral = S.named(rows.where(right & F.col("tool").isin(*SPECTRAL)).select("tool", "head", "rate", "x", "params")).withColumn("given", _parameters())
+    spectral = S.dealt(rows.where(right & F.col("tool").isin(*SPECTRAL)).select("tool", "head", "rate", "x", "params")).withColumn("given", _parameters())
     echo = F.col("given")["algorithm"] == "echo_cancellation"
     gain = F.when(F.col("tool") == "spectral_normalize", F.col("tool")).otherwise(F.col("given")["algorithm"])
     factor = F.when(gain == "spectral_normalize", _of("spectral_normalize", "strength")).when(gain == "adaptive", _of("denoise", "sensitivity")).otherwise(_of("denoise", "noise_factor"))
     high = S.band_pass(F.when(echo, F.col("x")), "rate", F.lit(4), F.lit(80.0), F.lit(None).cast("double"))
-    cleaned = spectral.where(F.col("tool").isin("denoise", "spectral_normalize")).select(*S.SIGNAL, "head", "rate", F.when(echo, high).otherwise(F.col("x")).alias("x"), gain.alias("gain"), factor.alias("factor"))
+    cleaned = spectral.where(F.col("tool").isin("denoise", "spectral_normalize")).select(S.CALL, "head", "rate", F.when(echo, high).otherwise(F.col("x")).alias("x"), gain.alias("gain"), factor.alias("factor"))
     shift = F.col("tool") == "pitch_shift"
     speed = F.when(shift, F.pow(2.0, -_of("pitch_shift", "n_steps") / _of("pitch_shift", "bins_per_octave"))).otherwise(_of("time_stretch", "rate"))
-    timed = spectral.where(F.col("tool").isin("time_stretch", "pitch_shift")).select(*S.SIGNAL, F.struct("head.id", "head.rate", F.when(shift, F.size("x")).alias("length"), speed.alias("speed")).alias("head"), "x", speed.alias("speed"))
+    timed = spectral.where(F.col("tool").isin("time_stretch", "pitch_shift")).select(S.CALL, F.struct("head.id", "head.rate", F.when(shift, F.size("x")).alias("length"), speed.alias("speed")).alias("head"), "x", speed.alias("speed"))
     y, length = F.col("samples"), F.col("head.length")
     back = S.resampled(F.when(length.isNotNull(), y), F.coalesce(F.ceil(F.size(y) * F.col("head.speed")), F.lit(0)))
     played = S.stretched(timed).select(F.struct("head.id", "head.rate").alias("head"), F.when(length.isNull(), y).otherwise(X.match_length(back, length)).alias("samples"))
-    done = _plain(rows).unionByName(S.reweighted(cleaned).select("head", "samples").unionByName(played).withColumn("message", F.lit(None).cast("string")))
+    done = _plain(rows).unionByName(S.reweighted(cleaned).unionByName(played).withColumn("message", F.lit(None).cast("string")))
     status = F.when(F.col("message").isNull(), "success").otherwise("failure")
     return done.select("head.id", "head.rate", F.col("samples").cast("array<float>").alias("samples"), status.alias("status"), "message")
 
@@ -259,7 +259,7 @@ def compare(pairs: DataFrame) -> DataFrame:
         "si_sdr_db": F.when(F.abs(ratio - 1) < 0.02, X.si_sdr(x, y)),
     }
     head = F.struct("id", *[v.alias(k) for k, v in plain.items()])
-    close = S.spectral_closeness(S.named(rows.where(heard).select("rate", "x", "y", head.alias("head"))))
+    close = S.spectral_closeness(S.dealt(rows.where(heard).select("rate", "x", "y", head.alias("head"))))
     names = [c.split()[0] for c in CLOSENESS.split(", ")]
     close = close.select("head.*", "log_mel_cosine", "log_mel_l1", "mfcc_cosine").withColumns({"rms_db_diff": F.col("rms_db_pred") - F.col("rms_db_target"), "closeness_score": X.closeness(F.col("log_mel_cosine"), F.col("mfcc_cosine"))})
     unheard = rows.where(~F.coalesce(heard, F.lit(False))).select("id", *[F.lit(None).cast("double").alias(c) for c in names])

@@ -1,21 +1,21 @@
-"""Spectral work on signals as jobs over frames.
+"""Spectral work on signals, each of which is whole in its row.
 
-A signal becomes rows (signal, frame) of samples, exchanged once by signal. What is done to a signal's frames (transforms, and all that
-needs the frames around a frame or all of a signal's: medians, percentiles, running phases, overlap-add) works on them
-together, as a matrix of frames by bins in one Arrow group.
+Rows are dealt out once by CALL, a hash of the call. What is done to a signal's frames (transforms, and all that needs the frames around a
+frame or all of a signal's: medians, percentiles, running phases, overlap-add) works on them together, as a matrix of frames by
+bins that is made and left again signal by signal inside an Arrow batch: frames are never rows, so nothing is sorted or kept for them.
 
-A signal's rows are named by SIGNAL, a hash of the call and its number among equal calls. The frames of one signal, about four times its
-samples, have to fit a task: cut long recordings into segments first (sources.audio_files).
+The frames of one signal, about four times its samples, have to fit a task: cut long recordings into segments first (sources.audio_files).
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
@@ -23,17 +23,16 @@ from ..functions import signals as G
 from ..functions import vectors as X
 from ..functions.scalar import let
 
-SIGNAL = ("call", "nth")
+CALL = "call"
 N_FFT, HOP = 2048, 512
 VALUES = ArrayType(DoubleType())
 #: Shares of magnitude that denoising leaves, and the peak that normalising aims at.
 SUBTRACTION_FLOOR, ADAPTIVE_FLOOR, PEAK = 0.1, 0.05, 0.95
 
 
-def named(calls: DataFrame) -> DataFrame:
-    """calls with SIGNAL, so that equal rows stay apart."""
-    keyed = calls.withColumn("call", F.xxhash64(*calls.columns))
-    return keyed.withColumn("nth", F.row_number().over(Window.partitionBy("call").orderBy("call")))
+def dealt(calls: DataFrame) -> DataFrame:
+    """calls with CALL, dealt out by it over the tasks."""
+    return calls.withColumn(CALL, F.xxhash64(*calls.columns)).repartition(CALL)
 
 
 def cut(x: Column, length: Column | int, hop: Column | int) -> Column:
@@ -55,20 +54,20 @@ def centred(x: Column, n: Column | int) -> Column:
     return F.concat(silence, x, silence)
 
 
-def framed(signals: DataFrame, x: Column, *carried: str, size: int = N_FFT, hop: int = HOP) -> DataFrame:
-    """(SIGNAL, carried, frame, values): the frames of x, by signal."""
-    return signals.select(*SIGNAL, *carried, F.posexplode(cut(x, size, hop)).alias("frame", "values"))
+def frames_of(x: np.ndarray, size: int = N_FFT, hop: int = HOP) -> np.ndarray:
+    """The frames that lie whole in x, frames x samples."""
+    return np.lib.stride_tricks.sliding_window_view(x, size)[::hop] if len(x) >= size else np.zeros((0, size))
 
 
-def matrix(column: pa.ChunkedArray) -> np.ndarray:
-    """A list column of equally long rows as a matrix."""
-    whole = column.combine_chunks()
-    return whole.flatten().to_numpy(zero_copy_only=False).reshape(len(whole), -1)
+def signals_of(column: pa.Array) -> Iterator[np.ndarray]:
+    """The values of a list column, row by row."""
+    values, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *[n or 0 for n in column.value_lengths().to_pylist()]])
+    return (values[a:b] for a, b in zip(ends, ends[1:]))
 
 
-def spectrum_of(frames: pa.Table) -> np.ndarray:
-    """The transforms of a signal's frames in order, frames x bins."""
-    return np.fft.rfft(matrix(frames.sort_by("frame").column("values")) * G.hann(N_FFT))
+def spectrum_of(x: np.ndarray) -> np.ndarray:
+    """The transforms of a signal's frames, frames x bins."""
+    return np.fft.rfft(frames_of(x) * G.hann(N_FFT))
 
 
 def overlap_add(spectrum: np.ndarray) -> np.ndarray:
@@ -82,17 +81,21 @@ def overlap_add(spectrum: np.ndarray) -> np.ndarray:
     return np.where(w > 1e-10, y / np.maximum(w, 1e-10), y)[N_FFT // 2 :]
 
 
-def _resynthesised(frames: pa.Table, spectrum: np.ndarray) -> pa.Table:
-    """One row of a signal: what its frames carry, and the samples and number of frames of a spectrum."""
-    first = frames.drop_columns(["frame", "values"]).slice(0, 1)
-    return first.append_column("samples", pa.array([overlap_add(spectrum)], pa.list_(pa.float64()))).append_column("n_frames", pa.array([len(spectrum)], pa.int32()))
+def resynthesised(signals: DataFrame, work: Callable[..., np.ndarray], given: list[str], carried: list[str]) -> DataFrame:
+    """(carried, samples, n_frames) of signals (CALL, x, given, carried): work(spectrum, *given) gives a signal's new spectrum."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = zip(signals_of(batch.column("x")), *[batch.column(c).to_pylist() for c in given])
+            spectra = (work(spectrum_of(x), *values) for x, *values in each)
+            done = [(overlap_add(z), len(z)) for z in spectra]
+            ends = np.cumsum([0, *[len(y) for y, _ in done]]).astype(np.int32)
+            samples = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0), *[y for y, _ in done]])))
+            n_frames = pa.array([n for _, n in done], pa.int32())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carried], samples, n_frames], [*carried, "samples", "n_frames"])
 
-def resynthesised(frames: DataFrame, work) -> DataFrame:
-    """(SIGNAL, carried, samples, n_frames) by work on the frames of each signal, which gives the new spectrum."""
-    kept = [f for f in frames.schema if f.name not in ("frame", "values")]
-    schema = StructType([*kept, StructField("samples", VALUES), StructField("n_frames", IntegerType())])
-    return frames.groupBy(*SIGNAL).applyInArrow(lambda table: _resynthesised(table, work(table)), schema)
+    schema = StructType([*[signals.schema[c] for c in carried], StructField("samples", VALUES), StructField("n_frames", IntegerType())])
+    return signals.mapInArrow(run, schema)
 
 
 def median_near(m: np.ndarray) -> np.ndarray:
@@ -123,32 +126,29 @@ def gains(m: np.ndarray, kind: str, factor: float, quiet: int) -> np.ndarray:
     return np.broadcast_to((np.median(energy) / energy) ** factor, m.shape)
 
 
-def _reweighted(frames: pa.Table) -> np.ndarray:
-    kind, factor, quiet = (frames.column(c)[0].as_py() for c in ("gain", "factor", "quiet"))
-    z = spectrum_of(frames)
+def _reweighted(z: np.ndarray, kind: str, factor: float, quiet: int) -> np.ndarray:
     return z * gains(np.abs(z), kind, factor, quiet)
 
 
 def reweighted(signals: DataFrame) -> DataFrame:
-    """(SIGNAL, head, samples): every cell of a signal's spectrum scaled by the gain of its `gain`, one of spectral_subtraction, wiener,
-    echo_cancellation, adaptive and spectral_normalize. signals: SIGNAL, head, rate, x, gain, factor (noise factor,
+    """(head, samples): every cell of a signal's spectrum scaled by the gain of its `gain`, one of spectral_subtraction, wiener,
+    echo_cancellation, adaptive and spectral_normalize. signals: CALL, head, rate, x, gain, factor (noise factor,
     sensitivity or strength).
 
     Denoising starts half a window in and ends in silence of that length; spectral_normalize has centred frames and a fixed peak.
     """
     is_ = lambda *names: F.col("gain").isin(*names)
     x = F.when(is_("spectral_normalize"), centred(F.col("x"), N_FFT)).otherwise(F.col("x"))
-    rows = signals.withColumns({"length": F.size("x"), "quiet": F.greatest(F.lit(1), F.floor(0.5 * F.col("rate") / HOP).cast("int"))})
-    done = resynthesised(framed(rows, x, "head", "length", "gain", "quiet", "factor"), _reweighted)
+    rows = signals.select(CALL, "head", "gain", "factor", F.size("x").alias("length"), F.greatest(F.lit(1), F.floor(0.5 * F.col("rate") / HOP).cast("int")).alias("quiet"), x.alias("x"))
+    done = resynthesised(rows, _reweighted, ["gain", "factor", "quiet"], ["head", "gain", "length"])
     y, length = F.col("samples"), F.col("length")
     within = F.slice(y, F.lit(1), HOP * (F.col("n_frames") - 1))
     samples = F.when(is_("spectral_normalize"), X.normalise_peak(X.match_length(y, length), PEAK)).otherwise(X.match_length(within, length))
-    return done.select(*SIGNAL, "head", samples.alias("samples"))
+    return done.select("head", samples.alias("samples"))
 
 
-def _turned(frames: pa.Table) -> np.ndarray:
+def _turned(z: np.ndarray, speed: float) -> np.ndarray:
     """The spectrum of a signal read at its speed: magnitudes between frames; phases advance by what neighbouring frames differ."""
-    z, speed = spectrum_of(frames), frames.column("speed")[0].as_py()
     n = len(z)
     at = np.arange(math.ceil(n / speed)) * speed
     frame = np.floor(at).astype(np.int64)
@@ -163,10 +163,10 @@ def _turned(frames: pa.Table) -> np.ndarray:
 
 
 def stretched(signals: DataFrame) -> DataFrame:
-    """(SIGNAL, head, samples) of signals (SIGNAL, head, x, speed): a phase vocoder."""
-    rows = signals.withColumn("length", F.rint(F.size("x") / F.col("speed")).cast("int"))
-    turned = resynthesised(framed(rows, centred(F.col("x"), N_FFT), "head", "length", "speed"), _turned)
-    return turned.select(*SIGNAL, "head", X.match_length(F.col("samples"), F.col("length")).alias("samples"))
+    """(head, samples) of signals (CALL, head, x, speed): a phase vocoder."""
+    rows = signals.select(CALL, "head", "speed", F.rint(F.size("x") / F.col("speed")).cast("int").alias("length"), centred(F.col("x"), N_FFT).alias("x"))
+    turned = resynthesised(rows, _turned, ["speed"], ["head", "length"])
+    return turned.select("head", X.match_length(F.col("samples"), F.col("length")).alias("samples"))
 
 
 BANDS, CEPSTRA, MEL_FFT, MEL_HOP = 64, 13, 1024, 256
@@ -178,31 +178,41 @@ def _cosines() -> np.ndarray:
     return np.sqrt(2 / BANDS) * np.cos(np.pi * c * (2 * k + 1) / (2 * BANDS)) * np.where(c == 0, np.sqrt(0.5), 1)
 
 
-def _compared(frames: pa.Table) -> pa.Table:
-    """One row of closeness for the frames of a pair: both sides' levels and cepstra, each band's course resampled to the longer one."""
-    frames = frames.sort_by([("side", "ascending"), ("frame", "ascending")])
-    side, rate = frames.column("side").to_numpy(), frames.column("rate")[0].as_py()
-    power = np.abs(np.fft.rfft(matrix(frames.column("values")) * G.hann(MEL_FFT))) ** 2
-    db = 10 * np.log10(np.maximum(1e-10, power @ G.mel_filters(rate, MEL_FFT, BANDS).T))
-    sides = [db[side == k] for k in (0, 1)]
-    sides = [np.maximum(x, x.max() - 80) for x in sides]
+def _levels(x: np.ndarray, filters: np.ndarray) -> np.ndarray:
+    """The levels of a signal's centred frames in dB, frames x bands, none more than 80 below the loudest."""
+    power = np.abs(np.fft.rfft(frames_of(np.pad(x, MEL_FFT // 2), MEL_FFT, MEL_HOP) * G.hann(MEL_FFT))) ** 2
+    db = 10 * np.log10(np.maximum(1e-10, power @ filters.T))
+    return np.maximum(db, db.max() - 80)
+
+
+def _compared(x: np.ndarray, y: np.ndarray, filters: np.ndarray, cosines: np.ndarray) -> tuple[float, float, float]:
+    """The closeness of two signals: both sides' levels and cepstra, each band's course resampled to the longer one."""
+    sides = [_levels(v, filters) for v in (x, y)]
     n = max(map(len, sides))
-    whole = [np.stack([G.resample(c, n) for c in np.hstack([x, x @ _cosines().T]).T]) for x in sides]
-    (a, p), (b, q) = ((x[:BANDS], x[BANDS:]) for x in whole)
-    cosine = lambda x, y: float((x * y).sum() / (np.sqrt((x * x).sum()) * np.sqrt((y * y).sum()) + 1e-8))
-    found = {"log_mel_cosine": cosine(a, b), "log_mel_l1": float(np.abs(a - b).mean()), "mfcc_cosine": cosine(p, q)}
-    first = frames.select([*SIGNAL, "head"]).slice(0, 1)
-    for name, value in found.items():
-        first = first.append_column(name, pa.array([value]))
-    return first
+    whole = [np.stack([G.resample(c, n) for c in np.hstack([v, v @ cosines.T]).T]) for v in sides]
+    (a, p), (b, q) = ((v[:BANDS], v[BANDS:]) for v in whole)
+    cosine = lambda u, v: float((u * v).sum() / (np.sqrt((u * u).sum()) * np.sqrt((v * v).sum()) + 1e-8))
+    return cosine(a, b), float(np.abs(a - b).mean()), cosine(p, q)
+
+
+CLOSE = ("log_mel_cosine", "log_mel_l1", "mfcc_cosine")
 
 
 def spectral_closeness(pairs: DataFrame) -> DataFrame:
-    """(SIGNAL, head, log_mel_cosine, log_mel_l1, mfcc_cosine) of pairs (SIGNAL, head, rate, x, y)."""
-    sides = pairs.select(*SIGNAL, "head", "rate", F.posexplode(F.array("x", "y")).alias("side", "x"))
-    frames = framed(sides, centred(F.col("x"), MEL_FFT), "head", "rate", "side", size=MEL_FFT, hop=MEL_HOP)
-    schema = StructType([frames.schema[c] for c in (*SIGNAL, "head")] + [StructField(c, DoubleType()) for c in ("log_mel_cosine", "log_mel_l1", "mfcc_cosine")])
-    return frames.groupBy(*SIGNAL).applyInArrow(_compared, schema)
+    """(head, log_mel_cosine, log_mel_l1, mfcc_cosine) of pairs (CALL, head, rate, x, y)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cosines, filters = _cosines(), {}
+        for batch in batches:
+            found = []
+            for rate, x, y in zip(batch.column("rate").to_pylist(), signals_of(batch.column("x")), signals_of(batch.column("y"))):
+                if rate not in filters:  # those of the last rate are kept
+                    filters = {rate: G.mel_filters(rate, MEL_FFT, BANDS)}
+                found.append(_compared(x, y, filters[rate], cosines))
+            columns = [pa.array([f[k] for f in found], pa.float64()) for k in range(len(CLOSE))]
+            yield pa.RecordBatch.from_arrays([batch.column("head"), *columns], ["head", *CLOSE])
+
+    return pairs.mapInArrow(run, StructType([pairs.schema["head"], *[StructField(c, DoubleType()) for c in CLOSE]]))
 
 
 @F.pandas_udf(VALUES)

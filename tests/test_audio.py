@@ -208,6 +208,13 @@ def test_exchanges(spark):
         assert 0 < len(keys) <= most and all(re.fullmatch(r"call#\d+L?, (nth#\d+, )?\d+", k) for k in keys)
 
 
+@pytest.mark.parametrize("work, exchanges", [(audio.run, 2), (lambda calls: audio.compare(calls.withColumn("target", F.col("other"))), 1)])
+def test_signals_are_not_sorted(spark, work, exchanges):
+    """Signals are dealt out whole, once, and stream through a task: nothing sorts, groups or cuts them into rows of frames."""
+    plan = work(spark.createDataFrame([], CALL_COLUMNS))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"\bSort\b|Window|FlatMapGroups|Generate", plan) and len(re.findall(r"Exchange hashpartitioning", plan)) == exchanges
+
+
 def test_helpers():
     t = np.arange(100) / 100
     for n in (50, 51, 100, 150, 201):
