@@ -15,6 +15,9 @@ METADATA = "file string, label array<string>, onset double, offset double"
 #: Words of any script, and single characters that are neither of a word nor space.
 _TOKEN = r"(?U)\w+|[^\w\s]"
 
+#: Pairs of a label asked for and an event that one task tells apart.
+PAIRS = 1 << 20
+
 
 def metadata(spark: SparkSession, path: str, folder: str, schema: str = METADATA) -> DataFrame:
     """The events of a file with one JSON array, with a number each, as event. They are parsed once: what was read is kept below `folder`
@@ -50,9 +53,14 @@ def matching_labels(asked: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def lookup(asked: DataFrame, events: DataFrame, index: DataFrame | None = None) -> DataFrame:
-    """(asked, event) of asked's labels (label) and events (event, label array<string>); each pair once."""
+    """(asked, event) of asked's labels (label) and events (event, label array<string>); each pair once. How many pairs there will be is counted
+    first, from how often each label occurs, and so many tasks are made that none has more than about PAIRS to tell apart. Labels found are the side that a task holds; events stream past them."""
     found = matching_labels(asked, index if index is not None else label_index(events))
-    return events.select("event", F.explode("label").alias("label")).join(found, "label").select("asked", "event").distinct()
+    each = events.select("event", F.explode("label").alias("label"))
+    often = each.groupBy("label").agg(F.count("*").alias("n"))
+    pairs = often.join(found.groupBy("label").agg(F.count("*").alias("m")), "label").agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
+    tasks = max(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + pairs // PAIRS)  # a number of one's own isn't made less for small rows
+    return each.join(found.hint("shuffle_hash"), "label").select("asked", "event").repartition(tasks, "asked", "event").distinct()
 
 
 def available_labels(events: DataFrame) -> DataFrame:

@@ -31,6 +31,16 @@ def test_lookup(spark):
     assert E.lookup(spark.createDataFrame([("",), (" ",)], "label string"), events).count() == 0
 
 
+def test_pairs_of_a_task_are_bounded(spark, monkeypatch):
+    """A common label's pairs are dealt over as many tasks as they need, and events aren't sorted by label."""
+    monkeypatch.setattr(E, "PAIRS", 100)
+    events = spark.range(3000).selectExpr("id AS event", "array('rain', 'Rain', concat('dog ', id % 3)) AS label")
+    found = E.lookup(spark.createDataFrame([("RAIN",), ("dog",)], "label string"), events)
+    assert "SortMergeJoin [label" not in found._jdf.queryExecution().executedPlan().toString()
+    sizes = found.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(sizes) == 6000 and len(sizes) == 91 and max(sizes) < 150  # 9000 pairs, those of both rains among them
+
+
 def test_metadata_is_read_once(spark, tmp_path):
     source, kept = str(tmp_path / "m.json"), str(tmp_path / "kept")
     write = lambda rows: (tmp_path / "m.json").write_text(json.dumps([{"file": f, "label": ls, "extra": 1} for f, ls in rows]))
