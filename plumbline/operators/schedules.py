@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.scalar import valid_timestamp
 
@@ -268,17 +271,19 @@ def batches(steps: DataFrame, size: int) -> DataFrame:
 def run_batches(calls: DataFrame, run, schema: str) -> DataFrame:
     """Run each tool's calls with `run(list of parameter dicts) -> list of result dicts`, once for a task's rows of one tool. A
     batch that raises fails as one; a missing or extra result is an error of its rows, never a shift of others' results."""
-    import pandas as pd
+    columns = to_arrow_schema(StructType.fromDDL(schema))
+    known = lambda v: None if isinstance(v, float) and v != v else v
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(table: pa.Table) -> pa.Table:
+        given = table.to_pylist()
         try:
-            results = run(pdf.to_dict("records"))
-            if len(results) != len(pdf):
-                raise ValueError(f"{len(results)} results for {len(pdf)} calls")
+            results = run([dict(c) for c in given])
+            if len(results) != len(given):
+                raise ValueError(f"{len(results)} results for {len(given)} calls")
             out = [{"status": "success", **r} for r in results]
         except Exception as error:  # the tool's own failure, whatever it is, becomes rows
-            out = [{"status": "failure", "message": str(error)}] * len(pdf)
-        rows = pd.DataFrame([{**a, **b} for a, b in zip(pdf.to_dict("records"), out)]).reindex(columns=[c.split()[0] for c in schema.split(", ")]).astype(object)
-        return rows.where(rows.notna(), None)
+            out = [{"status": "failure", "message": str(error)}] * len(given)
+        rows = [{k: known(v) for k, v in {**a, **b}.items()} for a, b in zip(given, out)]
+        return pa.Table.from_pylist(rows, schema=columns)
 
-    return calls.groupBy("tool", "batch").applyInPandas(one, schema)
+    return calls.groupBy("tool", "batch").applyInArrow(one, schema)

@@ -116,6 +116,14 @@ def test_batch_failures_are_rows(spark):
     assert got == {1: "success", 2: "success", 3: "failure"}
 
 
+def test_batches_keep_values_as_they_are(spark):
+    """A tool gets whole numbers and nulls as such, a hundred calls at a time without a table of objects for each."""
+    calls = spark.createDataFrame([("a", 1, 1 << 60, ["x"]), ("a", 1, None, None)], "tool string, batch int, id long, files array<string>")
+    run = lambda rows: [{"said": f"{c['id']} {c['files']}", "score": None if c["id"] else float("nan")} for c in rows]
+    got = schedules.run_batches(calls, run, "tool string, id long, status string, said string, score double, message string").collect()
+    assert sorted((r["said"], r["id"], r["score"]) for r in got) == [(f"{1 << 60} ['x']", 1 << 60, None), ("None None", None, None)]
+
+
 def test_vectors(spark):
     e = F.array().cast("array<double>")
     x = F.array(*map(F.lit, [1.0, -2.0, 3.0]))
