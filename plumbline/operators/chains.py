@@ -107,10 +107,11 @@ def position_scores(gt: DataFrame, pred: DataFrame) -> DataFrame:
     g = gt.select("id", "pos", F.col("tool").alias("gt"), F.col("params").alias("gp"))
     p = pred.select("id", "pos", F.col("tool").alias("pt"), F.col("params").alias("pp"))
     both = g.join(p, ["id", "pos"], "full").withColumn("n", F.greatest(F.size("gp"), F.size("pp")))
-    # A row for each parameter that both calls have, and one for a call without any; a call counts on its first row.
-    each = both.select("id", "gt", "pt", "gp", "pp", "n", F.posexplode_outer(F.array_intersect(F.map_keys("gp"), F.map_keys("pp"))).alias("at", "name"))
+    # A row for each parameter that both calls of the same tool have, and one for any other call; a call counts on its first row.
+    same = F.col("gt") == F.col("pt")
+    each = both.select("id", "gt", "pt", "gp", "pp", "n", F.posexplode_outer(F.when(same, F.array_intersect(F.map_keys("gp"), F.map_keys("pp")))).alias("at", "name"))
     each = with_values_close(each, F.try_element_at("pp", F.col("name")), F.try_element_at("gp", F.col("name")), "close")
-    first, same = F.coalesce("at", F.lit(0)) == 0, F.col("gt") == F.col("pt")
+    first = F.coalesce("at", F.lit(0)) == 0
     named = F.when(F.col("n") == 0, NAME_WEIGHT + PARAM_WEIGHT).when(F.col("gp").isNotNull(), NAME_WEIGHT)
     points = F.sum(F.when(same & first, named)), F.sum(F.when(same & F.col("close"), PARAM_WEIGHT / F.col("n")))
     counted = lambda side: F.count(F.when(first, F.col(side)))

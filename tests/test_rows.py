@@ -1,6 +1,7 @@
 """Training rows, benchmarks and what validation says."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,6 +85,17 @@ def test_position_scores_by_hand(spark):
     assert got == pytest.approx({1: (0.3 + 0.7 / 3 + 1.0) / 2, 2: 0.0, 3: 0.3 / 2, 4: 0.0})
 
 
+def test_parameters_of_other_tools_are_not_compared(spark):
+    """A position where the tools differ, or one is missing, is one row, however many parameters the calls share."""
+    params = F.map_from_arrays(F.transform(F.sequence(F.lit(1), F.lit(50)), lambda i: i.cast("string")), F.transform(F.sequence(F.lit(1), F.lit(50)), lambda i: i.cast("variant")))
+    calls = lambda tool: spark.range(20).select("id", F.lit(1).alias("pos"), F.lit(tool).alias("tool"), params.alias("params"))
+    for other, score in (("b", 0.0), ("a", 1.0)):
+        done = chains.position_scores(calls("a"), calls(other))
+        plan = done._jdf.queryExecution().optimizedPlan().toString()
+        assert re.search(r"CASE WHEN .* THEN array_intersect", plan)
+        assert [r["score"] for r in done.collect()] == [pytest.approx(score)] * 20
+
+
 def test_rewards_by_name(spark):
     scored = spark.createDataFrame([(1, True, 0.5, 1.0), (2, False, 0.5, 1.0), (3, None, 0.5, 1.0), (4, True, None, 1.0)], "id int, formed boolean, sequence double, names double")
     got = [[r[n] for n in chains.REWARDS] for r in chains.rewards(scored, *chains.REWARDS).orderBy("id").collect()]
