@@ -29,6 +29,8 @@ SAMPLE_TEMPERATURE, SAMPLE_TOKENS, CHECK_TOKENS = 1.0, 256, 5
 AUDIO_MARK = "<|AUDIO|>"
 #: Characters of prompts, each as long as the longest, of one batch.
 BATCH_CHARACTERS = 200_000
+#: Over how many tasks items are dealt before they fan out.
+TASKS_A_CORE = 3
 
 
 class Answer(NamedTuple):
@@ -145,40 +147,58 @@ def measured(answers: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def clustered(texts: DataFrame, entails: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
-    """(id, pos, text, cluster) of texts (id, pos, text, question): each text joins the first cluster whose first member it and that entail
-    each other, else it opens one, as in a fold over pos. (id, pos) are distinct.
+def _said(x: Column) -> Column:
+    return F.concat_ws(" ", x["text"], F.nullif(x["question"], F.lit("")))
+
+
+def clusters_by_rounds(groups: DataFrame, entails: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
+    """(id, cluster, members array<struct<pos, text>>) of groups (id, todo array<struct<pos, text, question>>): one row an id, its texts in
+    order; each text joins the first cluster whose first member it and that entail each other, else it opens one, as in a fold.
 
     A round asks about all undecided texts of all ids against their id's first undecided one, which opens the round's cluster: what
     it doesn't take meets the next. So there are as many rounds as the largest number of clusters of an id. entails gets (id,
     pos, premise, hypothesis) and returns (id, pos, entails); it is called twice a round, the second time only with pairs whose first
-    direction held. Rounds are appended to `folder`.
+    direction held. An id's undecided texts stay in one row, so pairs are made where the row is, and a round exchanges a row an id,
+    once for both uses, and the pairs that held. Rounds are appended to `folder`.
     """
-    spark, number = texts.sparkSession, 0
-    left = texts.select("id", "pos", "text", F.concat_ws(" ", "text", F.nullif("question", F.lit(""))).alias("said"))
-    left.write.mode("overwrite").parquet(f"{folder}/left/round=0")
-    left = spark.read.parquet(f"{folder}/left/round=0")
+    spark, number = groups.sparkSession, 0
+    groups.select("id", "todo").write.mode("overwrite").parquet(f"{folder}/left")
+    left = spark.read.parquet(f"{folder}/left").where(F.size("todo") > 0)
     while not left.isEmpty():
-        first = left.groupBy("id").agg(F.min_by(F.struct("pos", "said"), "pos").alias("first"))
-        pairs = left.join(first, "id").where(F.col("pos") != F.col("first.pos")).select("id", "pos", F.col("said").alias("text"), F.col("first.said").alias("opener"))
-        there = entails(pairs.select("id", "pos", F.col("opener").alias("premise"), F.col("text").alias("hypothesis"))).where("entails").select("id", "pos")
-        there.write.mode("overwrite").parquet(f"{folder}/there/round={number}")
-        there = spark.read.parquet(f"{folder}/there/round={number}")
-        back = pairs.join(there, ["id", "pos"]).select("id", "pos", F.col("text").alias("premise"), F.col("opener").alias("hypothesis"))
-        joins = entails(back).where("entails").select("id", "pos").unionByName(first.select("id", "first.pos"))
-        marked = left.join(joins.withColumn("joins", F.lit(True)), ["id", "pos"], "left")
-        marked.withColumn("cluster", F.when(F.col("joins"), F.lit(number))).drop("joins").write.mode("overwrite").parquet(f"{folder}/decided/round={number}")
-        left = spark.read.parquet(f"{folder}/decided/round={number}").where("cluster is null").drop("cluster")
+        opener = _said(F.col("todo")[0])
+        asked = left.select("id", opener.alias("premise"), F.explode(F.slice("todo", 2, F.size("todo"))).alias("x"))
+        asked = asked.select("id", "x.pos", "premise", _said(F.col("x")).alias("hypothesis"))
+        entails(asked).where("entails").select("id", "pos").write.mode("overwrite").parquet(f"{folder}/there/round={number}")
+        held = spark.read.parquet(f"{folder}/there/round={number}").groupBy("id").agg(F.collect_list("pos").alias("held"))
+        back = left.join(held, "id").select("id", F.explode(F.filter("todo", lambda x, i: (i > 0) & F.array_contains("held", x["pos"]))).alias("x"), opener.alias("hypothesis"))
+        joins = entails(back.select("id", "x.pos", _said(F.col("x")).alias("premise"), "hypothesis")).where("entails").groupBy("id").agg(F.collect_list("pos").alias("joins"))
+        joined = lambda x, i: (i == 0) | F.coalesce(F.array_contains("joins", x["pos"]), F.lit(False))
+        members = F.transform(F.filter("todo", joined), lambda x: F.struct(x["pos"].alias("pos"), x["text"].alias("text")))
+        marked = left.join(joins, "id", "left").select("id", F.lit(number).alias("cluster"), members.alias("members"), F.filter("todo", lambda x, i: ~joined(x, i)).alias("todo"))
+        marked.write.mode("overwrite").parquet(f"{folder}/decided/round={number}")
+        left = spark.read.parquet(f"{folder}/decided/round={number}").where(F.size("todo") > 0).select("id", "todo")
         number += 1
     paths = [f"{folder}/decided/round={n}" for n in range(number)]
-    empty = f"id {dict(texts.dtypes)['id']}, pos {dict(texts.dtypes)['pos']}, text string, cluster int"
-    return spark.read.parquet(*paths).where("cluster is not null").select("id", "pos", "text", "cluster") if paths else spark.createDataFrame([], empty)
+    pos = groups.schema["todo"].dataType.elementType["pos"].dataType.simpleString()
+    empty = f"id {dict(groups.dtypes)['id']}, cluster int, members array<struct<pos: {pos}, text: string>>"
+    return spark.read.parquet(*paths).select("id", "cluster", "members") if paths else spark.createDataFrame([], empty)
+
+
+def clustered(texts: DataFrame, entails: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
+    """(id, pos, text, cluster) of texts (id, pos, text, question), as clusters_by_rounds() finds them. (id, pos) are distinct."""
+    found = clusters_by_rounds(texts.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "text", "question"))).alias("todo")), entails, folder)
+    return found.select("id", F.explode("members").alias("x"), "cluster").select("id", "x.pos", "x.text", "cluster")
 
 
 def semantic(clusters: DataFrame) -> DataFrame:
     """(id, semantic_entropy, semantic_clusters array<array<string>>) of clustered texts."""
-    each = clusters.groupBy("id", "cluster").agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("m"), F.count("*").alias("c"))
-    grouped = each.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("cluster", "c", F.col("m")["text"].alias("texts")))).alias("x"), F.sum("c").alias("n"))
+    return meanings(clusters.groupBy("id", "cluster").agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("members")))
+
+
+def meanings(clusters: DataFrame) -> DataFrame:
+    """The same of whole clusters (id, cluster, members array<struct<pos, text>>)."""
+    each = clusters.select("id", "cluster", F.size("members").alias("c"), F.col("members")["text"].alias("texts"))
+    grouped = each.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("cluster", "c", "texts"))).alias("x"), F.sum("c").alias("n"))
     return grouped.select("id", entropy_of_counts(F.col("x")["c"], F.col("n")).alias("semantic_entropy"), F.col("x")["texts"].alias("semantic_clusters"))
 
 
@@ -211,13 +231,15 @@ def assess(items: DataFrame, generate: Callable[[DataFrame], DataFrame], k: int,
     the semantic entropy and clusters. generate gets sample and check requests and returns (id, sample, ANSWER); its answers are
     written before they are used, so each request is answered once."""
     folder = folder or scratch_folder(items.sparkSession, "protocol")
-    requests = sample_requests(items, k, seed)
-    requests = requests.unionByName(check_requests(items, system)) if check else requests
+    dealt = items.repartition(TASKS_A_CORE * items.sparkSession.sparkContext.defaultParallelism, "id")  # few bytes, much work: not as they were read
+    requests = sample_requests(dealt, k, seed)
+    requests = requests.unionByName(check_requests(dealt, system)) if check else requests
     generate(requests).select("id", "sample", "text", "tokens", "first").write.mode("overwrite").parquet(f"{folder}/answers")
     answers = items.sparkSession.read.parquet(f"{folder}/answers")
     out = measured(answers, items)
     if entails is None:
         return out
     drawn = answers.where((F.col("sample") != CHECK) & F.col("text").isNotNull()).select("id", F.col("sample").alias("pos"), strip(F.col("text")).alias("text"))
-    asked = drawn.join(items.select("id", "question"), "id")
-    return out.join(semantic(clustered(asked, entails, f"{folder}/clusters")), "id", "left")
+    texts = drawn.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("texts")).join(items.select("id", "question"), "id")
+    groups = texts.select("id", F.transform("texts", lambda x: F.struct(x["pos"].alias("pos"), x["text"].alias("text"), F.col("question").alias("question"))).alias("todo"))
+    return out.join(meanings(clusters_by_rounds(groups, entails, f"{folder}/clusters")), "id", "left")

@@ -87,6 +87,22 @@ def test_rounds_equal_the_fold(spark, tmp_path):
     assert P.clustered(spark.createDataFrame([], "id int, pos int, text string, question string"), score, str(tmp_path / "y")).count() == 0
 
 
+def test_items_fan_out_over_many_tasks_and_stay_one_row_a_round(spark, tmp_path):
+    items = spark.range(60).selectExpr("id", "concat('p', id) AS prompt", "array() AS audios", "'' AS question", "array('1') AS choices", "'1' AS prediction").coalesce(1)
+    tasks = []
+
+    def generate(requests):
+        tasks.append(requests.rdd.getNumPartitions())
+        text = ((F.col("id") * 7 + F.col("sample") * 25) % 60).cast("string")
+        return requests.select("id", "sample", text.alias("text"), F.array().cast(P.TOKENS).alias("tokens"), F.array().cast(P.TOKENS).alias("first"))
+
+    out = P.assess(items, generate, 5, 1, F.lit("s"), P.with_scorer(Close), check=False, folder=str(tmp_path / "x"))
+    got = {r["id"]: r["semantic_clusters"] for r in out.select("id", "semantic_clusters").collect()}
+    assert got == {i: folded([str((i * 7 + k * 25) % 60) for k in range(5)]) for i in range(60)}
+    assert tasks == [P.TASKS_A_CORE * spark.sparkContext.defaultParallelism]
+    assert spark.read.parquet(str(tmp_path / "x/clusters/decided/round=0")).count() == 60
+
+
 @pytest.mark.parametrize("name", sorted(Q.ORACLE))
 def test_sql(spark, sf, name):
     check(spark, Q.QUERIES[name], Q.ORACLE[name], sf)
