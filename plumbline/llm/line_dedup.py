@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import WHITESPACE, discard, joined_by_size, materialise, mix64
 from .jaccard_join import prefix_length, similar
-from .links import PACKED, Forest, components, linked, may_contain, member_filter, packed_batch, packed_rows, runs, star_pairs, stars
+from .links import PACKED, Forest, components, distinct_pairs, linked, may_contain, member_filter, packed_batch, packed_rows, runs, star_pairs, stars
 
 CHARS = 8
 BANDS, ROWS = 16, 5
@@ -40,6 +40,10 @@ BUCKET_ENTRIES = 250_000
 TASK_SHINGLES = 2_000_000
 #: Characters of the lines that are sent together, and of those that are hashed together.
 BATCH_CHARS, SLICE_CHARS = 1 << 22, 1 << 20
+#: Characters of the lines whose minima are taken together.
+CACHE_CHARS = 1 << 17
+#: Clusters of so many lines are compared pair by pair.
+FEW = 6
 #: Failed comparisons that a task remembers at a time.
 FAILED = 1_000_000
 
@@ -68,9 +72,10 @@ def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     ends = np.cumsum(sizes)
     hashes, span = chars, 1
     while span < CHARS:  # of runs of span characters, those of twice as many
-        hashes = hashes[:-span] * _DOUBLINGS[span] + hashes[span:]
-        span *= 2
-    hashes = mix64(hashes)
+        twice = hashes[:-span] * _DOUBLINGS[span]
+        twice += hashes[span:]
+        hashes, span = twice, 2 * span
+    hashes = mix64(hashes, hashes)
     keep = np.ones(len(hashes), bool)
     for k in range(1, CHARS):  # a run that would start k characters before its line's end
         keep[ends[sizes > k] - k] = False
@@ -80,19 +85,30 @@ def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return hashes[keep], np.concatenate([[0], np.cumsum(np.maximum(1, sizes - CHARS + 1))])
 
 
-def bands(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(lines, BANDS) keys of the MinHash signatures of consecutive shingle sets, and the lines' sketches."""
+def _minima(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(BANDS * ROWS, lines) minima of consecutive shingle sets."""
     short = (hashes >> np.uint64(32)).astype(np.uint32)
-    out, sketches = np.empty((len(at) - 1, BANDS), np.uint64), np.zeros(len(at) - 1, np.uint64)
-    for b in range(BANDS):
-        key = np.full(len(at) - 1, b, np.uint64)
-        for r in range(b * ROWS, (b + 1) * ROWS):
-            least = np.minimum.reduceat((short ^ _FLIPS[r]) * _MULTIPLIERS[r], at[:-1]).astype(np.uint64)
-            if r < 64:
-                sketches |= ((least * _PLACES[1]) >> np.uint64(63)) << np.uint64(r)
-            key = mix64(key + least * _PLACES[0])
-        out[:, b] = key
-    return out, sketches
+    mixed, out = np.empty_like(short), np.empty((BANDS * ROWS, len(at) - 1), np.uint32)
+    for r in range(BANDS * ROWS):
+        np.bitwise_xor(short, _FLIPS[r], out=mixed)
+        np.multiply(mixed, _MULTIPLIERS[r], out=mixed)
+        np.minimum.reduceat(mixed, at[:-1], out=out[r])
+    return out
+
+
+def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(lines, BANDS) keys of the MinHash signatures of non-empty lines, and the lines' sketches. Shingles are made for few
+    lines at a time, so that they stay in a core's cache while all minima are taken."""
+    sizes = np.cumsum([len(x) for x in lines])
+    cuts = np.unique(np.append(np.searchsorted(sizes, np.arange(0, int(sizes[-1]), CACHE_CHARS)), len(lines)))
+    minima = np.concatenate([_minima(*shingles(lines[i:j])) for i, j in zip(cuts[:-1], cuts[1:])], axis=1)
+    minima = minima.astype(np.uint64)
+    bits = ((minima[:64] * _PLACES[1]) >> np.uint64(63)) << np.arange(64, dtype=np.uint64)[:, None]
+    keys, least = np.repeat(np.arange(BANDS, dtype=np.uint64)[:, None], len(lines), axis=1), minima.reshape(BANDS, ROWS, -1)
+    for r in range(ROWS):
+        keys = mix64(keys + least[:, r] * _PLACES[0])
+    keys = keys & ~np.uint64(1) | (np.arange(BANDS) == 0).astype(np.uint64)[:, None]  # stars() notes an item that comes again at its odd key
+    return keys.T.copy(), np.bitwise_or.reduce(bits, axis=0)
 
 
 def _batches(batches: Iterator[pa.RecordBatch], limit: int = SLICE_CHARS) -> Iterator[tuple[pa.Array, pa.Array, list[int], list[str]]]:
@@ -117,10 +133,14 @@ def _packed(keys: list[np.ndarray], sketches: list[np.ndarray], items: list[np.n
     keys, sketches, items = np.concatenate(keys), np.concatenate(sketches), np.concatenate(items)
     items, first, times = np.unique(items, return_index=True, return_counts=True)
     flat, of = keys[first].ravel(), np.repeat(np.arange(len(items)), BANDS)
-    order = np.argsort(flat, kind="stable")
+    order = np.argsort(flat)
+    starts, run = runs(flat[order])
+    tied = np.flatnonzero(np.diff(np.append(starts, len(flat)))[run] > 1)
+    order[tied] = order[tied][np.lexsort((order[tied], run[tied]))]  # equal keys in order of items
     flat, of = flat[order], of[order]
     leader, member, leads = star_pairs(flat, sketches[first][of])
-    edges = np.unique(np.concatenate([np.stack([items[of[leader]], items[of[member]]], axis=1), np.repeat(items[times > 1], 2).reshape(-1, 2)]), axis=0)
+    again = items[times > 1]
+    edges = distinct_pairs(np.concatenate([items[of[leader]], again]), np.concatenate([items[of[member]], again]))
     rows = list(packed_rows(flat[leads], of[leads], np.stack([items, sketches[first]], axis=1), buckets))
     if len(edges):
         rows.append((int(edges[0, 0] % np.uint64(buckets)), b"", b"", edges.tobytes()))
@@ -133,7 +153,7 @@ def _send(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
         times: dict[str, int] = {}
         for x in lines:
             times[x] = times.get(x, 0) + 1
-        own, (own_keys, own_sketches) = line_names(list(times))[1], bands(*shingles(list(times)))
+        own, (own_keys, own_sketches) = line_names(list(times))[1], signatures(list(times))
         again = np.array([n > 1 for n in times.values()])
         for column, value in zip((keys, sketches, items), (own_keys, own_sketches, own)):
             column += [value, value[again]]  # twice what occurs twice: _packed() notes it
@@ -166,20 +186,31 @@ def prefix_links(sets: list[np.ndarray], seeds: np.ndarray) -> list[tuple[int, i
     Two similar sets share one of their n - ceil(0.8 n) + 1 rarest shingles, so only sets that do are compared; what a family of lines
     has in common isn't rare.
     """
+    if len(sets) <= FEW:
+        forest, out = Forest(seeds), []
+        for q in range(1, len(sets)):
+            for p in range(q):
+                if forest.root(p) != forest.root(q) and similar(sets[p], sets[q]):
+                    forest.join(q, p)
+                    out.append((p, q))
+        return out
     shingle, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    groups: dict[int, list[int]] = {}
-    begin = 0
-    for q, own in enumerate(sets):
-        mine = at[begin : begin + len(own)]
-        begin += len(own)
-        for key in mine[np.lexsort((mine, times[mine]))[: prefix_length(len(own))]].tolist():
-            if times[key] > 1:
-                groups.setdefault(key, []).append(q)
+    own, begin = [], 0
+    for x in sets:
+        mine = at[begin : begin + len(x)]
+        begin += len(x)
+        own.append(mine[np.lexsort((mine, times[mine]))[: prefix_length(len(x))]])
+    key, of = np.concatenate(own), np.repeat(np.arange(len(sets)), [len(x) for x in own])
+    order = np.argsort(key, kind="stable")
+    key, of = key[order], of[order]
+    starts, ends = runs(key)[0], np.append(runs(key)[0][1:], len(key))
+    shared = ends - starts > 1
+    groups = dict.fromkeys(tuple(of[i:j].tolist()) for i, j in zip(starts[shared].tolist(), ends[shared].tolist()))
     forest, out, failed, most = Forest(seeds), [], set(), len(set(seeds.tolist())) - 1
-    for group in groups.values():
+    for group in groups:
         # The group's members by component: a newcomer is held against members of other components only.
         parts: dict[int, list[int]] = {}
-        for q in group if len(group) > 1 else ():
+        for q in group:
             mine = forest.root(q)
             for root in list(parts):
                 if root == mine or root not in parts:
@@ -205,7 +236,9 @@ def prefix_links(sets: list[np.ndarray], seeds: np.ndarray) -> list[tuple[int, i
 def _ascending(hashes: np.ndarray) -> np.ndarray:
     """The distinct values in order."""
     hashes = np.sort(hashes)
-    return hashes[runs(hashes)[0]]
+    new = np.ones(len(hashes), bool)
+    np.not_equal(hashes[1:], hashes[:-1], out=new[1:])
+    return hashes[new]
 
 
 def text_links(texts: list[np.ndarray], seeds: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -226,14 +259,14 @@ def text_links(texts: list[np.ndarray], seeds: np.ndarray, starts: np.ndarray) -
 def lost_lines(docs: DataFrame) -> DataFrame:
     """(id, key, gone) for the documents of docs (__id, __key, __text) that lose lines; gone: their numbers."""
     kind = dict(docs.dtypes)["__id"]
-    newlines = F.coalesce(F.length("__text") - F.length(F.replace("__text", F.lit("\n"), F.lit(""))), F.lit(0))
+    newlines = F.coalesce(F.octet_length("__text") - F.octet_length(F.replace("__text", F.lit("\n"), F.lit(""))), F.lit(0))
     buckets = int(1 + (docs.agg(F.sum(newlines + 1)).first()[0] or 0) * BANDS // BUCKET_ENTRIES)
     packed = docs.mapInArrow(partial(_send, buckets=buckets), PACKED)
     pairs = materialise(packed.groupBy("bucket").applyInArrow(lambda table: stars(table), "a long, b long"), "line-pairs")
     edges = pairs.where("a <> b")
     n_pairs, n_edges = pairs.agg(F.count("*"), F.count_if(F.col("a") != F.col("b"))).first()
-    ends = lambda df: df.select(F.explode(F.array("a", "b")).alias("item"))
-    wanted, clustered = member_filter(ends(pairs), "item", 2 * n_pairs), member_filter(ends(edges), "item", 2 * n_edges)
+    ends = lambda df: df.select(F.explode(F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))).alias("item"))
+    wanted, clustered = member_filter(ends(pairs), "item", 8 * n_pairs), member_filter(ends(edges), "item", 2 * n_edges)
     schema = f"id {kind}, key long, line int, name binary, item long, weight long, payload binary"
     found = materialise(docs.mapInArrow(partial(_found, wanted=wanted, clustered=clustered), schema), "lines")
     coarse = components(edges)

@@ -98,18 +98,48 @@ def star_pairs(keys: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.n
     return leader, member, leads
 
 
+def shared_entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, items with sketches) of the entries of one bucket whose key another entry has too, in no order: most keys are alone, and
+    nothing is looked up or sorted with them."""
+    columns = [table.column(c) for c in ("keys", "refs", "items")]
+    rows = [(np.frombuffer(k.as_buffer(), np.uint32), r.as_buffer(), x.as_buffer()) for k, r, x in zip(*columns)]
+    ordered = np.sort(np.concatenate([np.zeros(0, np.uint32), *(k for k, _, _ in rows)]))
+    again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    keys, items = [np.zeros(0, np.uint32)], [np.zeros((0, 2), np.uint64)]
+    if len(again):
+        maybe = np.zeros(1 << 20, bool)
+        maybe[again & np.uint32((1 << 20) - 1)] = True
+        for k, r, x in rows:
+            at = np.flatnonzero(maybe[k & np.uint32((1 << 20) - 1)])
+            at = at[again[np.minimum(np.searchsorted(again, k[at]), len(again) - 1)] == k[at]]
+            r = np.frombuffer(r, np.uint16 if len(r) == 2 * len(k) else np.uint32)
+            keys.append(k[at])
+            items.append(np.frombuffer(x, np.uint64).reshape(-1, 2)[r[at]])
+    return np.concatenate(keys), np.concatenate(items)
+
+
+def distinct_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(pairs, 2): the distinct pairs in order."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return np.stack([a[new], b[new]], axis=1)
+
+
 def stars(table: pa.Table) -> pa.Table:
     """EDGES from leaders to the items with a key in common and a close sketch, for one bucket of items with sketches; an item
-    that more than one batch has gets an edge to itself. Rows without keys hold edges that a batch found by itself."""
+    that more than one batch has gets an edge to itself, from its odd key only. Rows without keys hold edges that a batch found by itself."""
     ready = [np.frombuffer(x.as_buffer(), np.uint64).reshape(-1, 2) for k, x in zip(table.column("keys"), table.column("items")) if not len(k.as_buffer())]
     table = table.filter(pc.greater(pc.binary_length(table.column("keys")), 0))
-    keys, items, _ = unpacked(table, 2)
+    keys, items = shared_entries(table)
     order = np.lexsort((items[:, 0], keys))
     keys, items = keys[order], items[order]
     leader, member, _ = star_pairs(keys, items[:, 1])
-    edges = np.concatenate([np.stack([items[leader, 0], items[member, 0]], axis=1), *ready])
-    edges = np.unique(edges, axis=0) if len(edges) else edges
-    return pa.table({"a": edges[:, 0].view(np.int64), "b": edges[:, 1].view(np.int64)})
+    once = (items[leader, 0] != items[member, 0]) | (keys[member] & np.uint32(1) == 1)
+    edges = np.concatenate([np.stack([items[leader[once], 0], items[member[once], 0]], axis=1), *ready])
+    edges = distinct_pairs(edges[:, 0], edges[:, 1])
+    return pa.table({"a": edges[:, 0].copy().view(np.int64), "b": edges[:, 1].copy().view(np.int64)})
 
 
 def member_filter(ids: DataFrame, column: str, rows: int | None = None, most_bits: int = 1 << 30) -> Broadcast:
@@ -147,9 +177,9 @@ def components(edges: DataFrame) -> DataFrame:
         parent = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"), F.count("*").alias("degree"))
         parent = materialise(parent.select("node", F.least("node", "least").alias("parent"), "degree"), "parents")
         hops.append(parent)
-        moved = current
+        moved, most = current, parent.agg(F.max("degree")).first()[0]
         for c in ("a", "b"):
-            moved = joined_by_size(moved, parent.select(F.col("node").alias(c), F.col("parent").alias(f"p{c}"), "degree"), c, "degree", n_edges)
+            moved = joined_by_size(moved, parent.select(F.col("node").alias(c), F.col("parent").alias(f"p{c}"), "degree"), c, "degree", n_edges, most)
         after = materialise(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).where("a <> b").distinct(), "edges")
         discard(current)
         current = after

@@ -12,6 +12,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -812,3 +814,14 @@ def test_pipeline_on_odd_input(spark, tmp_path, odd):
         rows = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
         assert {r["doc_id"] for r in rows} == ({20, 22} if name == "odd" else set()) or {r["doc_id"] for r in rows} == {None, 22}
         assert len({r["doc_id"] for r in rows}) == len({(r["doc_id"], r["doc_tokens"]) for r in rows})
+
+
+def test_a_line_of_two_batches_is_noted_once():
+    """Not once for each of its keys; and few lines of a cluster are held against each other without an index."""
+    lines = [f"line {i} of a text that two batches have, and no other one" * 2 for i in range(0, 4000, 97)]
+    keys, sketches = line_dedup.signatures(lines)
+    items = line_dedup.line_names(lines)[1]
+    sent = pa.Table.from_batches([line_dedup._packed([keys], [sketches], [items], 5)] * 2)
+    edges = [e for b in range(5) for e in zip(*links.stars(sent.filter(pc.equal(sent.column("bucket"), b))).to_pydict().values())]
+    assert 0 < sum(a == b for a, b in edges) <= len(lines)
+    assert {x for e in edges for x in e} == set(items.view(np.int64).tolist())
