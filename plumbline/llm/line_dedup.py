@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WHITESPACE, discard, joined_by_size, materialise, mix64
-from .jaccard_join import prefix_length, similar
+from .jaccard_join import NEED, OF, similar
 from .links import PACKED, Forest, components, distinct_pairs, linked, may_contain, member_filter, packed_batch, packed_rows, runs, star_pairs, stars
 
 CHARS = 8
@@ -44,8 +44,8 @@ BATCH_CHARS, SLICE_CHARS = 1 << 22, 1 << 20
 CACHE_CHARS = 1 << 17
 #: Clusters of so many lines are compared pair by pair.
 FEW = 6
-#: Failed comparisons that a task remembers at a time.
-FAILED = 1_000_000
+#: Bits of a line's bitmap in a larger cluster, and of the folded one that is looked at before it.
+BITMAP_BITS, FOLDED_BITS = 4096, 512
 
 _ODD = mix64(np.arange(1, 2 * BANDS * ROWS + CHARS + 9, dtype=np.uint64)) | np.uint64(1)
 _MULTIPLIERS, _FLIPS = _ODD[: BANDS * ROWS].astype(np.uint32) | np.uint32(1), (_ODD[BANDS * ROWS : 2 * BANDS * ROWS] >> np.uint64(32)).astype(np.uint32)
@@ -180,11 +180,21 @@ def _found(batches: Iterator[pa.RecordBatch], wanted, clustered) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "line", "name", "item", "weight", "payload"])
 
 
+def _parities(sets: list[np.ndarray]) -> np.ndarray:
+    """A bitmap for each set: whether an odd number of its values have a bit in common. Two sets have at least as many values
+    apart as their bitmaps, whole or folded by xor, have bits."""
+    out = np.empty((len(sets), BITMAP_BITS // 64), np.uint64)
+    for row, x in zip(out, sets):
+        odd = np.bincount((x & np.uint64(BITMAP_BITS - 1)).astype(np.int64), minlength=BITMAP_BITS) & 1
+        row[:] = np.packbits(odd.astype(np.uint8)).view(np.uint64)
+    return out
+
+
 def prefix_links(sets: list[np.ndarray], seeds: np.ndarray) -> list[tuple[int, int]]:
     """Similar pairs of ascending sets, as far as they connect what the seeds and earlier pairs don't.
 
-    Two similar sets share one of their n - ceil(0.8 n) + 1 rarest shingles, so only sets that do are compared; what a family of lines
-    has in common isn't rare.
+    Sets whose bitmaps differ in more bits than similar sets of their sizes may have shingles apart aren't compared: what isn't
+    linked, however much of a family's shingles it has, costs a few counted words a pair.
     """
     if len(sets) <= FEW:
         forest, out = Forest(seeds), []
@@ -194,42 +204,25 @@ def prefix_links(sets: list[np.ndarray], seeds: np.ndarray) -> list[tuple[int, i
                     forest.join(q, p)
                     out.append((p, q))
         return out
-    shingle, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    own, begin = [], 0
-    for x in sets:
-        mine = at[begin : begin + len(x)]
-        begin += len(x)
-        own.append(mine[np.lexsort((mine, times[mine]))[: prefix_length(len(x))]])
-    key, of = np.concatenate(own), np.repeat(np.arange(len(sets)), [len(x) for x in own])
-    order = np.argsort(key, kind="stable")
-    key, of = key[order], of[order]
-    starts, ends = runs(key)[0], np.append(runs(key)[0][1:], len(key))
-    shared = ends - starts > 1
-    groups = dict.fromkeys(tuple(of[i:j].tolist()) for i, j in zip(starts[shared].tolist(), ends[shared].tolist()))
-    forest, out, failed, most = Forest(seeds), [], set(), len(set(seeds.tolist())) - 1
-    for group in groups:
-        # The group's members by component: a newcomer is held against members of other components only.
-        parts: dict[int, list[int]] = {}
-        for q in group:
-            mine = forest.root(q)
-            for root in list(parts):
-                if root == mine or root not in parts:
-                    continue
-                for p in parts[root]:
-                    if (p, q) in failed:
-                        continue
-                    if similar(sets[p], sets[q]):
-                        forest.join(q, p)
-                        out.append((p, q))
-                        parts[root] += parts.pop(mine, [])
-                        mine = root
-                        break
-                    if len(failed) >= FAILED:
-                        failed.clear()
-                    failed.add((p, q))
-            parts.setdefault(mine, []).append(q)
+    size = np.array([len(x) for x in sets])
+    order = np.argsort(size, kind="stable")
+    size, part = size[order], Forest(seeds).roots()[order]
+    least, whole = np.searchsorted(OF * size, NEED * size), _parities([sets[i] for i in order])
+    folded = np.bitwise_xor.reduce(whole.reshape(len(sets), -1, FOLDED_BITS // 64), axis=1).T.copy()
+    out, most = [], len(set(part.tolist())) - 1
+    for q in range(1, len(sets)):
         if len(out) == most:
             break
+        begin = least[q]
+        most_apart = (OF - NEED) * (size[begin:q] + size[q])
+        apart = np.bitwise_count(folded[:, begin:q] ^ folded[:, q : q + 1]).sum(axis=0, dtype=np.int64)
+        near = np.flatnonzero(((OF + NEED) * apart <= most_apart) & (part[begin:q] != part[q]))
+        apart = np.bitwise_count(whole[begin + near] ^ whole[q]).sum(axis=1, dtype=np.int64)
+        near, apart = (x[(OF + NEED) * apart <= most_apart[near]] for x in (near, apart))
+        for p in (begin + near[np.argsort(apart, kind="stable")]).tolist():  # the closest first: one link mostly does
+            if part[p] != part[q] and similar(sets[order[p]], sets[order[q]]):
+                part[part == part[q]] = part[p]
+                out.append((int(order[p]), int(order[q])))
     return out
 
 

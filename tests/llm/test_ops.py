@@ -254,6 +254,23 @@ def test_linkers_prune_but_connect():
         assert len(found) == len(sets) - len(set(want))
 
 
+def test_lines_of_a_family_that_are_not_linked_are_hardly_compared(monkeypatch):
+    """Drawn from the same shingles, so that all have rare ones in common: pairs that are not similar must not each cost a comparison."""
+    rng, calls = np.random.default_rng(5), []
+    pool = np.unique(rng.integers(0, 1 << 62, 600, dtype=np.uint64))
+    sets = [pool[np.sort(rng.choice(len(pool), 60 + 2 * i, replace=False))] for i in range(200)]
+    sets += [np.delete(x, [3, 4]) for x in sets[::10]] + [np.unique(np.append(x[5:], np.uint64(9))) for x in sets[::20]]
+    monkeypatch.setattr(line_dedup, "similar", lambda a, b: calls.append(1) or jaccard_join.similar(a, b))
+    seeds = np.array([b"seed" if i in (0, 1, 2) else b"%d" % i for i in range(len(sets))], object)
+    found, forest = line_dedup.prefix_links(sets, seeds), links.Forest(seeds)
+    assert all(jaccard_join.similar(sets[p], sets[q]) for p, q in found)
+    assert len(calls) < 2 * len(sets)
+    for p, q in found:
+        assert forest.root(p) != forest.root(q)
+        forest.join(p, q)
+    assert all(forest.root(p) == forest.root(q) for q in range(len(sets)) for p in range(q) if jaccard_join.similar(sets[p], sets[q]))
+
+
 def test_clusters_of_a_task_are_linked_each_by_itself():
     long = "the quick brown fox jumps over the lazy dog and runs far away from here"
     clusters = [[f"{long}{i}a", f"{long}{i}b", *(["x", "", "short"][1:] if i % 3 == 0 else [])] for i in range(40)] + [["alone"]]
