@@ -66,12 +66,11 @@ def interleaved(left: Column, right: Column) -> Column:
     return F.flatten(F.zip_with(F.slice(left, F.lit(1), n), F.slice(right, F.lit(1), n), lambda a, b: F.array(a, b)))
 
 
-def noise(n: Column, kind: Column, *seed: Column) -> tuple[Column, Column]:
-    """n values of white noise, drawn from a hash of seed and place, and what is to be made pink of it (null where it stays white)."""
+def noise(n: Column, *seed: Column) -> Column:
+    """n values of white noise, drawn from a hash of seed and place."""
     draw = lambda i, k: (F.pmod(F.xxhash64(*seed, i, F.lit(k)), F.lit(1 << 52)) + 1) / (1 << 52)
     # a place's two draws by the polar form of the normal distribution
-    white = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.sqrt(-2 * F.log(draw(i, 0))) * F.cos(2 * np.pi * draw(i, 1)))).otherwise(F.array().cast("array<double>"))
-    return white, F.when(kind == "pink", white)
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.sqrt(-2 * F.log(draw(i, 0))) * F.cos(2 * np.pi * draw(i, 1)))).otherwise(F.array().cast("array<double>"))
 
 
 def of_level_one(x: Column) -> Column:
@@ -175,13 +174,13 @@ def _plain(calls: DataFrame) -> DataFrame:
     x, rate, tool, right = F.col("x"), F.col("rate"), F.col("tool"), F.col("message").isNull()
     is_ = lambda *names: right & tool.isin(*names)
     pads = F.floor(rate * _of("pad_noise", "duration_sec")).cast("int")
-    kind = F.when(is_("add_noise", "pad_noise"), F.coalesce(F.col("given")["noise_type"], F.lit("white")))
-    first, second = noise(F.when(is_("add_noise"), F.size("x")).when(is_("pad_noise"), pads), kind, F.col("seed"), F.lit("first")), noise(F.when(is_("pad_noise"), pads), kind, F.col("seed"), F.lit("second"))
-    rows = calls.withColumn("seed", F.coalesce(F.col("given")["seed"].try_cast("double"), F.lit(0.0)))
-    rows = rows.withColumns({
-        "heard": S.band_pass(F.when(is_("loudness_normalize"), x), rate, F.lit(2), F.lit(20.0), F.least(F.lit(20000.0), rate / 2 - 1)),
-        "first": F.when(kind == "pink", S.pinked(first[1])).otherwise(first[0]), "second": F.when(kind == "pink", S.pinked(second[1])).otherwise(second[0]),
-    })
+    rows = calls.where(~is_(*SPECTRAL)).withColumn("seed", F.coalesce(F.col("given")["seed"].try_cast("double"), F.lit(0.0)))
+    second = F.when(is_("pad_noise"), pads)
+    rows = rows.select(
+        "head", "tool", "params", "rate", "x", "y", "message", "seed", F.when(is_("loudness_normalize"), x).alias("heard"), F.least(F.lit(20000.0), rate / 2 - 1).alias("high"), F.coalesce(F.col("given")["noise_type"], F.lit("white")).alias("kind"),
+        noise(F.when(is_("add_noise"), F.size("x")).otherwise(second), F.col("seed"), F.lit("first")).alias("first"), noise(second, F.col("seed"), F.lit("second")).alias("second"),
+    )
+    rows = S.changed(rows, {"heard": (S.band_passed, ["rate", "high"]), "first": (S.coloured, ["kind"]), "second": (S.coloured, ["kind"])}).withColumn("given", _parameters())
     whole = lambda t, name: _of(t, name).cast("int")
     pad = lambda c: padding(rate, X.rms(x), of_level_one(F.col(c)), _of("pad_noise", "snr_db"), _of("pad_noise", "fade_ms"))
     nothing, position = F.array().cast("array<double>"), _of("pad_noise", "position")
@@ -195,7 +194,7 @@ def _plain(calls: DataFrame) -> DataFrame:
         .when(is_("insert_background_event"), with_event(x, F.floor(event[0] * rate).cast("int"), F.col("y"), _event_length(), event[1], F.floor(rate * event[2] / 1000).cast("int")))
         .when(is_("mix_audio"), mixed(x, F.col("y"), _of("mix_audio", "snr_db"), draw))
     )
-    return rows.where(~is_(*SPECTRAL)).select("head", samples.alias("samples"), "message")
+    return rows.select("head", samples.alias("samples"), "message")
 
 
 SPECTRAL = ("denoise", "spectral_normalize", "time_stretch", "pitch_shift")
@@ -213,17 +212,15 @@ def run(calls: DataFrame) -> DataFrame:
     rows = rows.select("*", F.struct("id", "rate").alias("head"), signal("samples").alias("x"), signal("other").alias("y"), _parameters().alias("given")).withColumn("message", _complaint())
     right = F.col("message").isNull()
     spectral = S.dealt(rows.where(right & F.col("tool").isin(*SPECTRAL)).select("tool", "head", "rate", "x", "params")).withColumn("given", _parameters())
-    echo = F.col("given")["algorithm"] == "echo_cancellation"
     gain = F.when(F.col("tool") == "spectral_normalize", F.col("tool")).otherwise(F.col("given")["algorithm"])
     factor = F.when(gain == "spectral_normalize", _of("spectral_normalize", "strength")).when(gain == "adaptive", _of("denoise", "sensitivity")).otherwise(_of("denoise", "noise_factor"))
-    high = S.band_pass(F.when(echo, F.col("x")), "rate", F.lit(4), F.lit(80.0), F.lit(None).cast("double"))
-    cleaned = spectral.where(F.col("tool").isin("denoise", "spectral_normalize")).select(S.CALL, "head", "rate", F.when(echo, high).otherwise(F.col("x")).alias("x"), gain.alias("gain"), factor.alias("factor"))
+    cleaned = spectral.where(F.col("tool").isin("denoise", "spectral_normalize")).select(S.CALL, "head", "rate", "x", gain.alias("gain"), factor.alias("factor"))
     shift = F.col("tool") == "pitch_shift"
     speed = F.when(shift, F.pow(2.0, -_of("pitch_shift", "n_steps") / _of("pitch_shift", "bins_per_octave"))).otherwise(_of("time_stretch", "rate"))
     timed = spectral.where(F.col("tool").isin("time_stretch", "pitch_shift")).select(S.CALL, F.struct("head.id", "head.rate", F.when(shift, F.size("x")).alias("length"), speed.alias("speed")).alias("head"), "x", speed.alias("speed"))
     y, length = F.col("samples"), F.col("head.length")
-    back = S.resampled(F.when(length.isNotNull(), y), F.coalesce(F.ceil(F.size(y) * F.col("head.speed")), F.lit(0)))
-    played = S.stretched(timed).select(F.struct("head.id", "head.rate").alias("head"), F.when(length.isNull(), y).otherwise(X.match_length(back, length)).alias("samples"))
+    back = S.changed(S.stretched(timed).withColumn("n", F.when(length.isNotNull(), F.ceil(F.size(y) * F.col("head.speed")))), {"samples": (S.resampled, ["n"])})
+    played = back.select(F.struct("head.id", "head.rate").alias("head"), F.when(length.isNull(), y).otherwise(X.match_length(y, length)).alias("samples"))
     done = _plain(rows).unionByName(S.reweighted(cleaned).unionByName(played).withColumn("message", F.lit(None).cast("string")))
     status = F.when(F.col("message").isNull(), "success").otherwise("failure")
     return done.select("head.id", "head.rate", F.col("samples").cast("array<float>").alias("samples"), status.alias("status"), "message")

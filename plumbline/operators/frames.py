@@ -13,7 +13,6 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +27,8 @@ N_FFT, HOP = 2048, 512
 VALUES = ArrayType(DoubleType())
 #: Shares of magnitude that denoising leaves, and the peak that normalising aims at.
 SUBTRACTION_FLOOR, ADAPTIVE_FLOOR, PEAK = 0.1, 0.05, 0.95
+#: Bytes of the rows of a batch that are worked on together.
+PART_BYTES = 1 << 24
 
 
 def dealt(calls: DataFrame) -> DataFrame:
@@ -81,13 +82,39 @@ def overlap_add(spectrum: np.ndarray) -> np.ndarray:
     return np.where(w > 1e-10, y / np.maximum(w, 1e-10), y)[N_FFT // 2 :]
 
 
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, about PART_BYTES at a time: what is made of them is sent before the next ones are taken."""
+    for batch in batches:
+        n = max(1, batch.num_rows * PART_BYTES // max(1, batch.nbytes))
+        for i in range(0, batch.num_rows, n):
+            yield batch.slice(i, n)
+
+
+def changed(rows: DataFrame, work: dict[str, tuple[Callable[..., np.ndarray], list[str]]]) -> DataFrame:
+    """rows with the signals of some columns changed: {column: (work, given)}, a signal becomes work(signal, *given), null stays null.
+
+    Whole rows go to the tasks' Python, in batches bounded by their bytes. A column function would be handed nulls for the rows that
+    don't need it, so up to spark.sql.execution.arrow.maxRecordsPerBatch rows a batch, and all of their signals would wait in the executor.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            columns = dict(zip(batch.schema.names, batch.columns))
+            for name, (f, given) in work.items():
+                each = zip(columns[name].is_valid().to_pylist(), signals_of(columns[name]), *[batch.column(c).to_pylist() for c in given])
+                columns[name] = pa.array([f(x, *values) if there else None for there, x, *values in each], columns[name].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def resynthesised(signals: DataFrame, work: Callable[..., np.ndarray], given: list[str], carried: list[str]) -> DataFrame:
-    """(carried, samples, n_frames) of signals (CALL, x, given, carried): work(spectrum, *given) gives a signal's new spectrum."""
+    """(carried, samples, n_frames) of signals (CALL, x, given, carried): work(x, *given) gives a signal's new spectrum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             each = zip(signals_of(batch.column("x")), *[batch.column(c).to_pylist() for c in given])
-            spectra = (work(spectrum_of(x), *values) for x, *values in each)
+            spectra = (work(x, *values) for x, *values in each)
             done = [(overlap_add(z), len(z)) for z in spectra]
             ends = np.cumsum([0, *[len(y) for y, _ in done]]).astype(np.int32)
             samples = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0), *[y for y, _ in done]])))
@@ -126,7 +153,8 @@ def gains(m: np.ndarray, kind: str, factor: float, quiet: int) -> np.ndarray:
     return np.broadcast_to((np.median(energy) / energy) ** factor, m.shape)
 
 
-def _reweighted(z: np.ndarray, kind: str, factor: float, quiet: int) -> np.ndarray:
+def _reweighted(x: np.ndarray, kind: str, factor: float, quiet: int, rate: int) -> np.ndarray:
+    z = spectrum_of(G.butterworth(x, rate, 4, 80.0, None) if kind == "echo_cancellation" else x)
     return z * gains(np.abs(z), kind, factor, quiet)
 
 
@@ -135,20 +163,21 @@ def reweighted(signals: DataFrame) -> DataFrame:
     echo_cancellation, adaptive and spectral_normalize. signals: CALL, head, rate, x, gain, factor (noise factor,
     sensitivity or strength).
 
-    Denoising starts half a window in and ends in silence of that length; spectral_normalize has centred frames and a fixed peak.
+    Denoising starts half a window in and ends in silence of that length, echo_cancellation after a high pass at 80 Hz; spectral_normalize has centred frames and a fixed peak.
     """
     is_ = lambda *names: F.col("gain").isin(*names)
     x = F.when(is_("spectral_normalize"), centred(F.col("x"), N_FFT)).otherwise(F.col("x"))
-    rows = signals.select(CALL, "head", "gain", "factor", F.size("x").alias("length"), F.greatest(F.lit(1), F.floor(0.5 * F.col("rate") / HOP).cast("int")).alias("quiet"), x.alias("x"))
-    done = resynthesised(rows, _reweighted, ["gain", "factor", "quiet"], ["head", "gain", "length"])
+    rows = signals.select(CALL, "head", "rate", "gain", "factor", F.size("x").alias("length"), F.greatest(F.lit(1), F.floor(0.5 * F.col("rate") / HOP).cast("int")).alias("quiet"), x.alias("x"))
+    done = resynthesised(rows, _reweighted, ["gain", "factor", "quiet", "rate"], ["head", "gain", "length"])
     y, length = F.col("samples"), F.col("length")
     within = F.slice(y, F.lit(1), HOP * (F.col("n_frames") - 1))
     samples = F.when(is_("spectral_normalize"), X.normalise_peak(X.match_length(y, length), PEAK)).otherwise(X.match_length(within, length))
     return done.select("head", samples.alias("samples"))
 
 
-def _turned(z: np.ndarray, speed: float) -> np.ndarray:
+def _turned(x: np.ndarray, speed: float) -> np.ndarray:
     """The spectrum of a signal read at its speed: magnitudes between frames; phases advance by what neighbouring frames differ."""
+    z = spectrum_of(x)
     n = len(z)
     at = np.arange(math.ceil(n / speed)) * speed
     frame = np.floor(at).astype(np.int64)
@@ -215,20 +244,16 @@ def spectral_closeness(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, StructType([pairs.schema["head"], *[StructField(c, DoubleType()) for c in CLOSE]]))
 
 
-@F.pandas_udf(VALUES)
-def resampled(x: pd.Series, n: pd.Series) -> pd.Series:
-    """x with n values, by its Fourier series; null stays null."""
-    return pd.Series([None if v is None else G.resample(np.asarray(v), int(k)) for v, k in zip(x, n)], dtype=object)
+def resampled(x: np.ndarray, n: int | None) -> np.ndarray:
+    """x with n values, by its Fourier series; as it is without n."""
+    return x if n is None else G.resample(x, n)
 
 
-@F.pandas_udf(VALUES)
-def band_pass(x: pd.Series, rate: pd.Series, order: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
-    """x through a Butterworth high pass, or with `high` a band pass; null stays null."""
-    each = zip(x, rate, order, low, high)
-    return pd.Series([None if v is None else G.butterworth(np.asarray(v), int(r), int(o), a, None if pd.isna(b) else b) for v, r, o, a, b in each], dtype=object)
+def band_passed(x: np.ndarray, rate: int, high: float) -> np.ndarray:
+    """What of x is heard: 20 Hz to `high`."""
+    return G.butterworth(x, rate, 2, 20.0, high)
 
 
-@F.pandas_udf(VALUES)
-def pinked(x: pd.Series) -> pd.Series:
-    """Noise whose power falls with frequency, of white noise; null stays null."""
-    return pd.Series([None if v is None else G.pink(np.asarray(v)) for v in x], dtype=object)
+def coloured(x: np.ndarray, kind: str) -> np.ndarray:
+    """Noise of a kind, of white noise: that of pink noise falls in power with frequency."""
+    return G.pink(x) if kind == "pink" else x

@@ -4,11 +4,12 @@ import json
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import signals
-from plumbline.operators import audio
+from plumbline.operators import audio, frames
 
 from . import numpy_signals as G
 
@@ -230,3 +231,20 @@ def test_native(spark):
     assert list(map(pytest.approx, row)) == [[0.5, 2.5, -4.5, 1.5], [1.0, 2.5, -5.5, 4.0], [0.2, 0.6, -0.8, 0.4], [3.0, -4.0], [1.0, 9.0, 3.0, 8.0]]
     with pytest.raises(ValueError):
         audio.native("asr", x, F.lit(1))
+
+
+def test_no_column_function_keeps_whole_signals_waiting(spark):
+    """Handed nulls for most rows, column functions take 10,000 rows a batch, and Spark keeps all their signals meanwhile."""
+    calls = spark.createDataFrame([(i, tool, params, 4000, [0.1] * 4096) for i, (tool, params) in enumerate([("loudness_normalize", "{}"), ("add_noise", '{"noise_type": "pink"}'), ("denoise", '{"algorithm": "echo_cancellation"}'), ("pitch_shift", '{"n_steps": 3}')])], "id long, tool string, params string, rate int, samples array<float>")
+    done = audio.run(calls)
+    assert "EvalPython" not in done._jdf.queryExecution().executedPlan().toString()
+    assert [(r["status"], len(r["samples"])) for r in done.orderBy("id").collect()] == [("success", 4096)] * 4
+
+
+def test_signals_change_in_parts_of_bounded_size(spark):
+    rows = spark.createDataFrame([(1, [1.0, 2.0], 2), (2, None, 3), (3, [], 4), (4, [3.0], None)], "id long, x array<double>, n int").coalesce(1)
+    found = frames.changed(rows, {"x": (lambda x, n: x * (n or 1), ["n"])}).orderBy("id").collect()
+    assert [r["x"] for r in found] == [[2.0, 4.0], None, [], [3.0]] and [r["n"] for r in found] == [2, 3, 4, None]
+    batch = pa.RecordBatch.from_arrays([pa.array([np.ones(1 << 17)] * 64)], ["x"])
+    cut = list(frames.parts([batch]))
+    assert sum(b.num_rows for b in cut) == 64 and max(b.num_rows for b in cut) <= 16 and all(len(x) == 1 << 17 for b in cut for x in frames.signals_of(b.column("x")))
